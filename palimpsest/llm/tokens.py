@@ -36,8 +36,8 @@ from .common import fresh, utf8_bytes
 
 CHUNK_CHARS = 1 << 16
 #: Words and states kept by a worker; beyond that the tables are emptied and filled anew.
-MAX_WORDS = 500_000
-MAX_STATES = 200_000
+MAX_WORDS = 300_000
+MAX_STATES = 150_000
 HALF = 1 << 15
 
 # The white space of the tokenizer's normalizer and its word pattern.
