@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import decontam, langid, mixing, sharding, tiff, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,84 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_report(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language": op2_language,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op6_media": op6_media,
+    "op8_sharding": op8_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # The documents of a source in hash order, up to the budget; the one across it if that brings the sum nearer.
+    "op3_mixing": r"""
+WITH base AS (
+  SELECT doc_id, source AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+src AS (
+  SELECT s, CAST(sum(size) AS BIGINT) AS words, CASE (row_number() OVER (ORDER BY s NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM base GROUP BY s),
+filling AS (
+  SELECT *, row_number() OVER w AS place,
+         (CAST(sum(words) OVER () AS BIGINT) * CAST(1.5 AS DOUBLE) - CAST(coalesce(sum(words) OVER (ORDER BY words / weight, s NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) * CAST(2 AS DOUBLE))
+         / CAST(sum(weight) OVER (ORDER BY words / weight, s NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS lvl
+  FROM src WINDOW w AS (ORDER BY words / weight, s NULLS LAST)),
+targets AS (
+  SELECT s, words, coalesce(least(words * CAST(2 AS DOUBLE), weight * (SELECT arg_min(lvl, place) FROM filling WHERE words * CAST(2 AS DOUBLE) > lvl * weight)), words * CAST(2 AS DOUBLE)) AS target
+  FROM filling),
+parts AS (
+  SELECT *, CASE WHEN words > 0 THEN CAST(floor(target / words) AS BIGINT) ELSE 0 END AS passes FROM targets),
+sums AS (
+  SELECT b.doc_id, b.size, p.words AS source_size, p.target, p.passes, p.target - p.passes * p.words AS rest,
+         CAST(sum(b.size) OVER (PARTITION BY b.s ORDER BY b.h) AS BIGINT) AS upto,
+         CAST(sum(b.size) OVER (PARTITION BY b.s, b.h) AS BIGINT) AS own
+  FROM base b JOIN parts p ON b.s IS NOT DISTINCT FROM p.s)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (passes + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sums
+""",
+    # Equal words, anywhere: words by position, windows by their first word, and hits as the positions they cover.
+    "op4_decontamination": r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS phrase
+  FROM item_words, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM doc_words, lengths, unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(i)),
+found AS (SELECT p.doc_id, p.i, p.n, x.item_id FROM places p JOIN windows x USING (n, phrase)),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM found), unnest(range(0, n)) AS u(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id, ',' ORDER BY item_id)) AS items_sha256 FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       coalesce(i.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+""",
+}
