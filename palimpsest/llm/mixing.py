@@ -120,7 +120,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     s, h, n = fresh(docs, "mix_source"), fresh(docs, "mix_hash"), fresh(docs, "mix_times")
     base = checkpointed(docs.select(F.col("source").alias("s"), size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")))
-    by = small(thresholds(base).select(F.col("s").alias(s), F.struct("at", "take_at", "passes").alias(n)))
+    by = small(thresholds(base)).select(F.col("s").alias(s), F.struct("at", "take_at", "passes").alias(n))
     keyed = docs.withColumn(h, hash_of(F.col("doc_id")))
     joined = keyed.join(by, keyed["source"].eqNullSafe(by[s]))
     repeated = F.explode(F.array_repeat(F.lit(1), times(F.col(h), F.col(f"{n}.at"), F.col(f"{n}.take_at"), F.col(f"{n}.passes")).cast("int")))
