@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, neardup, secrets, sharding, tiff, tokens
+from . import decontam, html_main, importance, langid, mixing, neardup, secrets, sharding, tiff, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text_report(table(spark, sf_dir, "pages"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_report(table(spark, sf_dir, "documents"))
 
 
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_main_text": op5_main_text,
     "op6_media": op6_media,
+    "op7_importance": op7_importance,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
