@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, langid, mixing, neardup, sharding
-from palimpsest.llm.common import fresh, table
+from palimpsest.llm.common import checkpointed, fresh, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,6 +55,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        # Stages read their input several times: keep it where executors that are lost cannot take it along.
+        docs = stage(spark, checkpointed(docs) if k else docs, sf_dir)
     return docs
