@@ -33,6 +33,8 @@ MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
 #: A word or n-gram met less often is not known.
 MIN_COUNT = 2
+#: Frequency of what a language does not have; the same for languages with few rows and with many.
+FLOOR = 1e-7
 ORDERS = (5, 4, 3, 2, 1)
 #: Words counted for the score: the posterior of this many words like the text's mean word.
 SCORE_WORDS = 12
@@ -73,7 +75,7 @@ class Model:
         index = {e: k for k, e in enumerate(entries)}
         n = np.zeros((len(entries), len(self.langs)))
         np.add.at(n, (counts["entry"].map(index).to_numpy(int), counts["lang"].map({x: k for k, x in enumerate(self.langs)}).to_numpy(int)), counts["n"])
-        return index, np.log((n + 0.1) / (n.sum(0) + 0.1 * max(1, len(entries)))).astype(np.float32)
+        return index, np.log(n / np.maximum(n.sum(0), 1) + FLOOR).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         if (k := self.words.get(word)) is not None:
