@@ -14,7 +14,7 @@ CONDITION = re.compile(r"^\s*(?:\w+\.)?(\w+)\s*(<=|>=|!=|=|<|>)\s*(.+?)\s*$")
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], mode: str = "replace", columns: list[str] | None = None) -> DataFrame:
-    """``replace``: an update takes the place of the row with its key; ``ignore``: it only comes in where there is none; ``merge``: it changes ``columns`` of that row.
+    """``replace``: an update takes the place of the row with its key; ``ignore``: it only comes in where there is none; ``merge``: it changes ``columns`` of that row (an update without one comes in, other columns null).
 
     Updates have one row a key.
     """
@@ -26,7 +26,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], mode: str = "
         raise ValueError(f"unknown mode {mode!r}")
     new = updates.select(*keys, *[F.col(c).alias(f"{c}__new") for c in columns or ()], F.lit(True).alias("__hit"))
     kept = target.join(new, keys, "left").select(*[F.when(F.col("__hit"), F.col(f"{c}__new")).otherwise(F.col(c)).alias(c) if c in (columns or ()) else F.col(c) for c in target.columns])
-    return kept.unionByName(updates.join(target.select(keys), keys, "left_anti"))
+    return kept.unionByName(updates.join(target.select(keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def latest(df: DataFrame, keys: list[str], order: Column, *ties: str) -> DataFrame:

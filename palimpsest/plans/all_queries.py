@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import memory_queries, table_queries
+from . import graph_queries, memory_queries, stream_queries, table_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "memory_queries", "table_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "memory_queries", "stream_queries", "table_queries"]
