@@ -9,7 +9,8 @@ from .. import constants as C
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Within bounds; null stays null."""
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
 def sigmoid(x: Column) -> Column:
@@ -65,12 +66,12 @@ def decayed_salience(sector: Column, salience: Column, age_days: Column, place:
     if place is not None and of is not None:
         rate = F.when(of > 0, rate * (1.0 - F.sqrt(place / of))).otherwise(rate)
     left = F.exp(-rate * age_days)
-    return F.coalesce(clamp(salience * left + C.FLOOR_SALIENCE * (1.0 - left)), salience)
+    return F.when(rate.isNull() | age_days.isNull(), salience).otherwise(clamp(salience * left + C.FLOOR_SALIENCE * (1.0 - left)))
 
 
 def recency(last_seen: Column, as_of: Column) -> Column:
     hours = F.greatest(F.lit(0.0), seconds(last_seen, as_of)) / 3600.0
-    return F.coalesce(F.exp(hours * -C.RECENCY_RATE), F.lit(0.0))
+    return F.when(last_seen.isNull(), 0.0).otherwise(F.exp(hours * -C.RECENCY_RATE))
 
 
 def tier(last_seen: Column, feedback: Column, salience: Column, as_of: Column) -> Column:

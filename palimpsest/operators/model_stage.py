@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import SECTORS
@@ -51,6 +51,13 @@ def model_stage(df: DataFrame, fn: Fn, schema: str, on_error: str = "keep") -> D
     return df.mapInPandas(run, full)
 
 
+def observed(df: DataFrame, name: str = "stage") -> tuple[DataFrame, Observation]:
+    """The stage's rows, and counts of them by status that are there once an action has run over the rows."""
+    seen = Observation(name)
+    count = lambda s: F.coalesce(F.sum((F.col("status") == s).cast("long")), F.lit(0)).alias(s)
+    return df.observe(seen, F.count(F.lit(1)).alias("n"), count("completed"), count("failed")), seen
+
+
 def classify(scores: Column, forced: Column | None = None) -> Column:
     """From sector scores (0 to 100, an array in the order of SECTORS) a struct: primary, additional, confidence.
 

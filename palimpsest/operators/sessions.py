@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .recall import ranked
-from .tables import latest
+from .tables import latest, mark
 
 # Limits of a compact profile, and what names an item of a list.
 DEEPEST, MOST_KEYS, MOST_ITEMS, MOST_HABITS, MOST_TAGS, LEAST_CONFIDENCE = 6, 60, 50, 10, 15, 0.5
@@ -57,6 +57,20 @@ def session_batches(memories: DataFrame, users: DataFrame, cutoff: Column, least
     return batch.select("user_id", "n", F.transform("d", lambda x: x["id"]).alias("dialogue_ids"))
 
 
+def profile_batches(memories: DataFrame, users: DataFrame, cutoff: Column) -> DataFrame:
+    """As ``session_batches``, of any size."""
+    return session_batches(memories, users, cutoff, least=1)
+
+
+def write_sessions(batches: DataFrame, summary: Column, memories: DataFrame, embed=None) -> tuple[DataFrame, DataFrame]:
+    """Session rows of batches (user_id, dialogue_ids) with the vector of their summary, and the memories with ``session_joined`` set for those in a session."""
+    from ..functions.embedding import embedded, hash_embed
+
+    rows = batches.select(F.concat("user_id", F.lit(":"), F.xxhash64("dialogue_ids").cast("string")).alias("id"), "user_id", summary.alias("summary"), "dialogue_ids")
+    rows = rows.withColumn("v", embedded(F.col("summary"), embed or hash_embed))
+    return rows, mark(memories, batches.select(F.explode("dialogue_ids").alias("id")), "session_joined")
+
+
 def gap_sessions(turns: DataFrame, ts: str = "ts", gap_minutes: int = 30) -> DataFrame:
     """Add ``session_id``: a turn that comes later than the gap after the user's turn before it begins a session."""
     w = Window.partitionBy("user_id").orderBy(ts, "id")

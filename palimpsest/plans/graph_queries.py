@@ -175,6 +175,23 @@ def x1_session_batches(t: Tables) -> DataFrame:
     return ses.session_batches(m, t.users, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("user_id", "n", F.array_join("dialogue_ids", ",").alias("dialogue"))
 
 
+@query("SELECT user_id, count(*) AS n, min(last_seen_at) AS first FROM m_memories WHERE last_seen_at < TIMESTAMP '2024-01-03 00:00:00' AND user_id IN (SELECT id FROM m_users WHERE status = 1) GROUP BY 1")
+def x3_profile_batches(t: Tables) -> DataFrame:
+    m = t.memories.withColumn("created_at", F.col("last_seen_at"))
+    b = ses.profile_batches(m, t.users, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
+    first = b.select("user_id", "n", F.get("dialogue_ids", F.lit(0)).alias("id"))
+    return first.join(t.memories.select("id", "last_seen_at"), "id").select("user_id", "n", F.col("last_seen_at").alias("first"))
+
+
+@query()
+def x2_write_sessions(t: Tables) -> DataFrame:
+    m = t.memories.withColumn("created_at", F.col("last_seen_at"))
+    batches = ses.session_batches(m, t.users, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    rows, marked = ses.write_sessions(batches, F.format_string("%d memories", "n"), t.memories)
+    joined = marked.groupBy("user_id").agg(F.sum(F.col("session_joined").cast("long")).alias("joined"))
+    return rows.join(joined, "user_id").select("user_id", "summary", F.size("v").alias("dim"), "joined")
+
+
 @query("""SELECT user_id, CAST(session_no AS BIGINT) AS session_no, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) // 1000000 <= 600 THEN 0 ELSE 1 END AS fresh FROM m_hits)) GROUP BY 1, 2""")
 def b5_gap_sessions(t: Tables) -> DataFrame:
     rows = t.hits.select(F.col("event_id").alias("id"), "user_id", "ts")

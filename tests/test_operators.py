@@ -249,6 +249,8 @@ def test_model_stage_keeps_failures(spark):
     got = {r["n"]: (r["m"], r["status"], r["error"]) for r in model_stage.model_stage(df, fn, "m long").collect()}
     assert got[3] == (None, "failed", "RuntimeError: bad row") and got[2] == (4, "completed", None) and len(got) == 6
     assert model_stage.model_stage(df, fn, "m long", on_error="drop").count() == 5
+    rows, seen = model_stage.observed(model_stage.model_stage(df, fn, "m long"))
+    assert rows.count() == 6 and seen.get == {"n": 6, "completed": 5, "failed": 1}
 
 
 def test_retrieval_metrics(spark):
