@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to numpy at a time, in characters; one longer text is a slice of its own.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

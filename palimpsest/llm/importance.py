@@ -40,7 +40,7 @@ SHARE = 0.5
 #: Keys are counted as whole numbers of this size, after a shift that makes them positive.
 STEP, SHIFT = 1e-9, 1e6
 KEY_BITS, LEVEL_BITS = 60, 12
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
