@@ -18,9 +18,9 @@ groups of copies by one link a member. Then, within buckets, only members of
 different components are compared, the members outside the bucket's largest
 component with all others, in blocks of bounded size: by the sizes of their sets
 and the shingles that no other class in question has, by a finer sketch, and by
-their sets cut to 32 bits, which lose no link. Buckets where these members are very
-many (documents that share a passage but are not alike) are first split by the
-other chunks, of which similar members share one again.
+their sets cut to 32 bits, which lose no link. Where these members are very many
+(documents that share a passage but are not alike) they too are dealt into parts, and
+each two parts meet in a block of their own, so that every pair of a bucket is compared.
 
 Defined cases: a document without words has an empty set, no links, and is its own
 component; one with fewer than four words has the whole sequence as its only
@@ -54,7 +54,7 @@ MAX_DISTANCE = 48
 #: For classes that share a bucket with others, a finer sketch: slots of 8 bits, and in how many a link may differ
 #: (at 0.8 more differ with a chance of about 3 in a million).
 SKETCH, SKETCH_DISTANCE = 512, 144
-#: Members outside a bucket's largest component that are compared directly, and members of that component in one block.
+#: Members outside a bucket's largest component, and members of that component, in one block.
 SPREAD, BLOCK = 4096, 4096
 #: Shingles hashed at a time for a signature; bits of the filter of classes whose sets are needed.
 PART, FILTER_BITS = 8192, 1 << 27
@@ -168,11 +168,6 @@ def _keyed(classes: DataFrame, carry: list[str]) -> DataFrame:
     return classes.select(F.posexplode(keys("signature")).alias("place", "key"), *carry)
 
 
-def _chunk() -> Column:
-    """A bit for the chunk that the key at ``place`` is made of."""
-    return F.expr(f"shiftleft(1, cast(place div {CHUNK_SLOTS} as int))")
-
-
 @F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((_unpacked(a) != _unpacked(b)).sum(1).astype(np.int32) if len(a) else [], dtype="int32")
@@ -269,18 +264,28 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def _across(rows: DataFrame, classes: DataFrame, spread: int | None) -> tuple[DataFrame, DataFrame]:
-    """From bucket rows (key, place, class, label, used): close pairs of different labels, and the rows of buckets in which more than ``spread`` rows are outside the largest component."""
+def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Close pairs of different labels from bucket rows (key, place, class, label).
+
+    Members outside a bucket's largest component are dealt into parts (one, if ``SPREAD`` holds them), those of it into
+    blocks. Cell (p, q) compares part p with part q, from p on, and with block q.
+    """
     by_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     by_key = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("members")).where("labels > 1")
-    by_key = by_key.select("key", F.col("most.label").alias("main"), (F.col("members") - F.col("most.n")).alias("spread"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("blocks"))
-    marked = rows.join(by_key, "key")
-    limit = F.lit(1 << 62 if spread is None else spread)
-    own = F.array(F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
-    blocks = F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = marked.where(F.col("spread") <= limit).join(classes, "class").select("key", blocks.alias("block"), "class", "place", "label", "main", "n_shingles", "n_shared", "signature", "sketch", "short")
-    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "class")
-    return dealt.mapInPandas(_pairs_in_blocks, "a long, b long").distinct(), marked.where(F.col("spread") > limit).select(rows.columns)
+    spread = F.col("members") - F.col("most.n")
+    parts = F.when(spread <= SPREAD, 1).otherwise(F.ceil(spread / max(1, SPREAD // 2)))  # a cell holds two parts
+    by_key = by_key.select("key", F.col("most.label").alias("main"), parts.cast("int").alias("parts"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("blocks"))
+    in_main = F.col("label") == F.col("main")
+    part = F.pmod(F.xxhash64("class"), F.when(in_main, F.col("blocks")).otherwise(F.col("parts")).cast("long")).cast("int")
+    marked = rows.join(by_key, "key").withColumn("part", part)
+    of_main = F.expr("transform(sequence(0, parts - 1), p -> struct(p AS p, part AS q))")
+    first = F.expr("transform(filter(sequence(0, greatest(parts, blocks) - 1), q -> q < blocks OR q >= part), q -> struct(part AS p, q AS q))")
+    second = F.expr("transform(filter(sequence(0, part), p -> p < part), p -> struct(p AS p, part AS q))")
+    cells = F.explode(F.when(in_main, of_main).otherwise(F.concat(first, second)))
+    dealt = marked.join(classes, "class").select("key", cells.alias("cell"), "part", "class", "place", "label", "main", "n_shingles", "n_shared", "signature", "sketch", "short")
+    dealt = dealt.select("key", "cell.p", "cell.q", *dealt.columns[2:])
+    dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "class")
+    return dealt.mapInPandas(_pairs_in_blocks, "a long, b long").distinct()
 
 
 def _pairs_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +295,7 @@ def _pairs_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         if not len(rest):
             continue
-        last = (rest["key"] == rest["key"].iloc[-1]) & (rest["block"] == rest["block"].iloc[-1])
+        last = (rest[["key", "p", "q"]] == rest[["key", "p", "q"]].iloc[-1]).all(axis=1)
         full, rest = rest[~last], rest[last]
         yield from _pairs(full)
     if rest is not None:
@@ -304,16 +309,19 @@ def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
     shared, places = rows["n_shared"].to_numpy(), rows["place"].to_numpy()
     short = [np.frombuffer(x, np.uint32) for x in rows["short"]]
     sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), SKETCH)
-    main, place = rows["main"].to_numpy(), np.stack([rows["key"].to_numpy(), rows["block"].to_numpy()])
-    edges = np.concatenate([[0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1, [len(ids)]])
+    main, part = rows["main"].to_numpy(), rows["part"].to_numpy()
+    cell = np.stack([rows[x].to_numpy() for x in ("key", "p", "q")])
+    edges = np.concatenate([[0], np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, [len(ids)]])
     a, b = [], []
     for lo, hi in zip(edges, edges[1:], strict=False):
-        for i in np.flatnonzero(labels[lo:hi] != main[lo:hi]) + lo:
-            j = np.arange(lo, hi)
+        p, q = cell[1:, lo]
+        in_main = labels[lo:hi] == main[lo:hi]
+        for i in np.flatnonzero(~in_main & (part[lo:hi] == p)) + lo:
+            # A pair of one part counts once, as does a pair of two parts, which meet only here.
+            j = np.flatnonzero(in_main | ((part[lo:hi] == q) & ((ids[lo:hi] > ids[i]) | (p < q)))) + lo
             most = np.minimum(shared[j], shared[i])
-            j = j[(labels[j] != labels[i]) & ((labels[j] == main[j]) | (ids[j] > ids[i])) & (100 * most >= PERCENT * (sizes[j] + sizes[i] - most))]
-            if places[i] >= 0:  # a pair counts in the first bucket that it shares
-                j = j[first_common(signatures[j], signatures[i]) == places[i]]
+            j = j[(labels[j] != labels[i]) & (100 * most >= PERCENT * (sizes[j] + sizes[i] - most))]
+            j = j[first_common(signatures[j], signatures[i]) == places[i]]  # a pair counts in the first bucket that it shares
             j = j[(sketches[j] != sketches[i]).sum(1) <= SKETCH_DISTANCE]
             # What the cut sets share is at least what the sets do, but for shingles that fell together.
             both = np.array([np.intersect1d(short[i], short[k], assume_unique=True).size + min(sizes[i] - len(short[i]), sizes[k] - len(short[k])) for k in j], np.int64)
@@ -328,7 +336,7 @@ def class_labels(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Component labels of ``classes`` (class, n_shingles, signature); classes without links are left out."""
     bucket = Window.partitionBy("key")
     keys = _keyed(classes, ["class"]).withColumn("members", F.count(F.lit(1)).over(bucket))
-    keys = checkpointed(keys.where("members > 1").select("key", "class", "members", "place", _chunk().alias("used")))
+    keys = checkpointed(keys.where("members > 1").select("key", "class", "members", "place"))
     company = keys.groupBy("class").agg(F.sum("members").alias("company"))
     led = keys.join(company, "class").select("class", F.max(F.struct("company", "class")).over(bucket)["class"].alias("lead")).where("class <> lead")
     shared = led.groupBy("lead", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -336,26 +344,13 @@ def class_labels(classes: DataFrame, docs: DataFrame) -> DataFrame:
     first = checkpointed(_close(first, classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = [checkpointed(linked(first, sets_of(_ends(first), docs)))]
     labels = components(links[0])
-    rows = _labelled(keys.select("key", "class", "place", "used"), labels)
+    rows = _labelled(keys.select("key", "class", "place"), labels)
     several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     rows = checkpointed(rows.join(several, "key", "left_semi"))
     sets = checkpointed(sets_of(rows.select("class").distinct(), docs))
     able = checkpointed(with_shared(classes, sets))
-    rows, found = rows.join(able.select("class"), "class", "left_semi"), []
-    for level in range(1, CHUNKS + 1):
-        limit = SPREAD if level < CHUNKS else None
-        pairs, mixed = _across(rows, able, limit)
-        last = level == CHUNKS or mixed.isEmpty()
-        if level == 1 and not last:  # some buckets are split, so pairs are taken wherever they meet
-            rows = rows.withColumn("place", F.lit(-1))
-            pairs, mixed = _across(rows, able, limit)
-        found.append(checkpointed(pairs))
-        if last:
-            break
-        # Split by the chunks that the bucket's key does not have yet.
-        split = _keyed(mixed.drop("place").join(able, "class"), [F.col("key").alias("outer"), "class", "label", "used"]).where(F.col("used").bitwiseAND(_chunk()) == 0)
-        rows = checkpointed(split.select(F.xxhash64("outer", "key").alias("key"), F.lit(-1).alias("place"), "class", "label", F.col("used").bitwiseOR(_chunk()).alias("used")))
-    more = reduce(DataFrame.union, found).distinct().join(first, ["a", "b"], "left_anti")
+    rows = rows.join(able.select("class"), "class", "left_semi")
+    more = checkpointed(_across(rows, able)).join(first, ["a", "b"], "left_anti")
     links.append(checkpointed(linked(more, sets)))
     return labels if links[1].isEmpty() else components(reduce(DataFrame.union, links))
 

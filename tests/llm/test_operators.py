@@ -418,6 +418,25 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(docs)
 
 
+def test_near_duplicates_that_share_one_chunk_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SPREAD", 3)
+    texts = [" ".join([*(f"w{k}x{i}" for i in range(60)), end]) for k in range(6) for end in ("one", "two")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {r["doc_id"]: r["set"] for r in neardup.with_sets(docs).select("doc_id", "set").collect()}
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16)
+    classes, in_chunks = [], neardup.CHUNKS * neardup.CHUNK_SLOTS
+    for k in range(len(texts)):  # all agree in the first chunk, none in another
+        own = common.copy()
+        own[neardup.CHUNK_SLOTS : in_chunks] = rng.integers(0, 1 << 16, in_chunks - neardup.CHUNK_SLOTS)
+        classes.append((sets[k]["class"], sets[k]["n_shingles"], bytearray(own.tobytes())))
+    found = neardup.class_labels(spark.createDataFrame(classes, "class long, n_shingles long, signature binary"), docs)
+    labels = {r["class"]: r["label"] for r in found.collect()}
+    own = [labels.get(sets[k]["class"], sets[k]["class"]) for k in range(len(texts))]
+    assert own[::2] == own[1::2]
+    assert len(set(own)) == 6
+
+
 def test_signatures_that_must_meet():
     """Any pair that differs in at most GUARANTEED of the indexed slots shares a key."""
     rng = np.random.default_rng(4)
