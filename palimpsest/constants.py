@@ -71,3 +71,5 @@ SYNONYMS = (
 )
 #: Endings and what they become; the first that leaves three letters or more holds.
 STEMS = (("ies", "y"), ("ing", ""), ("ers?", "er"), ("ed", ""), ("s", ""))
+#: Parts of speech of CJK words without content: a word of one character that has one of these is left out.
+CJK_STOP_FLAGS = frozenset("p c u uj um uv uz d dg df y z x xx v vd vshi vyou vf vx vg vi vl ag al rr rz rt".split())

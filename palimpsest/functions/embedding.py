@@ -6,7 +6,6 @@ Works without a model; any function from texts to vectors can stand in its place
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -16,28 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ..constants import SECTOR_WEIGHTS, STEMS, SYNONYMS
-from .text import TOKEN, sector_text
+from ..constants import SECTOR_WEIGHTS, SYNONYMS
+from .text import sector_text
+from .words import Known, canonical, canonical_words
 
 Embed = Callable[[list[str]], np.ndarray]
 DIM = 256
 #: Weights beside a word's own: of its letter triples, of word pairs, of places, of the second hash; words that have a place.
 TRIPLES, PAIRS, PLACES, SECOND, PLACED = 0.4, 1.4, 0.5, 0.5, 50
 
-_FIRST = {w: line[0] for line in SYNONYMS for w in line}
 _LINE = {line[0]: line for line in SYNONYMS}
-_TOKEN = re.compile(TOKEN)
-_ENDINGS = [(re.compile(f"(?:{e})$"), left) for e, left in STEMS]
-
-
-def canonical(word: str) -> str:
-    """As ``text.canonical_token``."""
-    word = word.lower()
-    if word in _FIRST or not word.isascii():
-        return _FIRST.get(word, word)
-    if len(word) > 3:
-        word = next((cut for e, left in _ENDINGS if e.search(word) and len(cut := e.sub(left, word)) >= 3), word)
-    return _FIRST.get(word, word)
 
 
 def _hash(feature: str, seed: int, factor: int, shift: int) -> int:
@@ -51,7 +38,7 @@ def _hash(feature: str, seed: int, factor: int, shift: int) -> int:
 
 
 def embed_text(text: str, dim: int = DIM, sector: str = "semantic") -> np.ndarray:
-    words = [w for w in map(canonical, _TOKEN.findall(text)) if len(w) > 1 or not w.isascii()]
+    words = canonical_words(text, Known())
     if not words:
         return np.full(dim, 1 / math.sqrt(dim), np.float32)
     scale = {s: a for s, (a, _) in SECTOR_WEIGHTS.items()}.get(sector, 1.0)

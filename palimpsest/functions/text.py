@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import STEMS, SYNONYMS
+from .words import TOKEN, Known, Segment, canonical_words, pairs
 
-TOKEN = "[A-Za-z0-9]+|[一-鿿]+"
 _CANONICAL = {w: line[0] for line in SYNONYMS for w in line}
 _LINES = {line[0]: sorted(line) for line in SYNONYMS}
 
@@ -47,9 +51,39 @@ def canonical_token(t: Column) -> Column:
     return F.coalesce(F.try_element_at(of, low), F.try_element_at(of, short), short)
 
 
-def canonical_tokens(text: Column) -> Column:
-    """All canonical tokens in order, without single ASCII characters."""
-    return F.filter(F.transform(tokens(text), canonical_token), lambda t: ~(is_ascii_word(t) & (F.length(t) <= 1)))
+def canonical_tokens(text: Column, segment: Segment = pairs) -> Column:
+    """All canonical tokens in order, without single ASCII characters; CJK runs are cut by ``segment``.
+
+    Runs on Arrow batches: a worker works out each different token once, which
+    nested lambdas would do again for every place.
+    """
+
+    @F.pandas_udf("array<string>")
+    def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Known(segment)
+        for s in batches:
+            yield pd.Series([canonical_words(t, known) for t in s], dtype=object)
+
+    return words(text)
+
+
+def matched_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Column:
+    """The number of canonical tokens, and how often each of the ``wanted`` ones (joined by blanks) occurs: a struct (length, terms)."""
+
+    @F.pandas_udf("length int, terms array<struct<term:string,tf:int>>")
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known = Known(segment)
+        for texts, wants in batches:
+            asked = {w: frozenset(w.split(" ")) for w in wants.unique()}
+            lengths, found = [], []
+            for t, w in zip(texts, wants, strict=True):
+                words = canonical_words(t, known)
+                lengths.append(len(words))
+                counts = Counter(filter(asked[w].__contains__, words))
+                found.append([{"term": k, "tf": n} for k, n in counts.items()])
+            yield pd.DataFrame({"length": pd.Series(lengths, dtype="int32"), "terms": pd.Series(found, dtype=object)})
+
+    return count(text, wanted)
 
 
 def token_set(text: Column) -> Column:
@@ -88,7 +122,7 @@ def keyword_overlap(query: Column, content: Column) -> Column:
     """Share of the query's tokens that occur anywhere in the text, as they are written; tokens with ``_`` count double."""
     weight = lambda t: F.when(F.contains(t, F.lit("_")), 2.0).otherwise(1.0)
     total = F.aggregate(query, F.lit(0.0), lambda a, t: a + weight(t))
-    found = F.aggregate(query, F.lit(0.0), lambda a, t: a + F.when(F.contains(content, t), weight(t)).otherwise(0.0))
+    found = F.aggregate(F.filter(query, lambda t: F.contains(content, t)), F.lit(0.0), lambda a, t: a + weight(t))
     return F.coalesce(found / F.nullif(total, F.lit(0.0)), F.lit(0.0))
 
 

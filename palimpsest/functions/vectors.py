@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,13 +22,18 @@ def norm(v: Column) -> Column:
     return F.sqrt(_sum(F.transform(v, lambda x: x * x)))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 if a norm is 0; null if the sizes differ."""
+def cosine(a: Column, b: Column, norms: tuple[Column, Column] | None = None) -> Column:
+    """0 if a norm is 0; null if the sizes differ. ``norms``: those of both, where they are there already."""
     a, b = doubles(a), doubles(b)
-    size = norm(a) * norm(b)
+    size = norms[0] * norms[1] if norms else norm(a) * norm(b)
     return F.when(F.size(a) != F.size(b), None).when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
+def with_norm(df: DataFrame, v: str, name: str) -> DataFrame:
+    """The vectors as doubles with their norms: once a row, before a join repeats it."""
+    return df.withColumn(v, doubles(F.col(v))).withColumn(name, norm(F.col(v)))
+
+
 def normalised(v: Column) -> Column:
     n = norm(v)
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scoring as S
 from ..functions import text as T
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, with_norm
 from .recall import ranked
 from .tables import latest
 
 
 def fusion(pairs: DataFrame, vectors: DataFrame, probes: DataFrame) -> DataFrame:
     """Weighted mean over sectors of the cosine of each pair (query_id, id); 0 where there is no vector."""
-    asked = probes.select("query_id", "primary_sector", "qv")
-    sims = pairs.select("query_id", "id").join(asked, "query_id").join(vectors.select("id", "sector", "v"), "id").select("query_id", "id", cosine(F.col("v"), F.col("qv")).alias("s"), S.sector_weight(F.col("primary_sector"), F.col("sector")).alias("w")).where("s IS NOT NULL")
+    asked = with_norm(probes.select("query_id", "primary_sector", "qv"), "qv", "nq")
+    held = with_norm(vectors.select("id", "sector", "v"), "v", "nv")
+    similarity = cosine(F.col("v"), F.col("qv"), (F.col("nv"), F.col("nq")))
+    sims = pairs.select("query_id", "id").join(asked, "query_id").join(held, "id").select("query_id", "id", similarity.alias("s"), S.sector_weight(F.col("primary_sector"), F.col("sector")).alias("w")).where("s IS NOT NULL")
     return sims.groupBy("query_id", "id").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("fusion"))
 
 
-def features(cands: DataFrame, queries: DataFrame, memories: DataFrame, vectors: DataFrame, probes: DataFrame, recall: DataFrame, as_of, waypoints: DataFrame | None = None, graph: DataFrame | None = None) -> DataFrame:
-    """All score features of candidates (query_id, id); those of other users or below the query's least salience go."""
+def features(cands: DataFrame, queries: DataFrame, memories: DataFrame, vectors: DataFrame, probes: DataFrame, recall: DataFrame, as_of, waypoints: DataFrame | None = None, graph: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """All score features of candidates (query_id, id); those of other users or below the query's least salience go.
+
+    ``docs``: the ``recall.term_index`` of the memories, which saves cutting the candidates' texts into words.
+    """
     q = queries.select("query_id", F.col("user_id").alias("query_user"), F.col("primary_sector").alias("query_sector"), F.col("tokens").alias("query_tokens"), (F.col("min_salience") if "min_salience" in queries.columns else F.lit(0.0)).alias("min_salience"))
     best = recall.groupBy("query_id", "id").agg(F.max("similarity").alias("recall_sim"))
     way = waypoints.select("query_id", "id", F.col("weight").alias("way"), "path") if waypoints is not None else cands.select("query_id", "id", F.lit(0.0).alias("way"), F.array("id").alias("path")).limit(0)
@@ -30,7 +35,12 @@ def features(cands: DataFrame, queries: DataFrame, memories: DataFrame, vectors:
     for part in (fusion(cands, vectors, probes), best, way, net):
         rows = rows.join(part, ["query_id", "id"], "left")
     zero = F.lit(0.0)
-    memory_tokens, content = T.token_set(F.col("content")), F.col("content")
+    content = F.col("content")
+    if docs is None:
+        memory_tokens = T.token_set(content)
+    else:
+        rows = rows.join(docs.select("user_id", "id", F.col("length").alias("n_words"), "terms"), ["user_id", "id"], "left")
+        memory_tokens = F.when(F.col("n_words") > 0, F.transform("terms", lambda t: t["term"])).otherwise(F.array().cast("array<string>"))
     sim = F.greatest(S.resonance(F.col("primary_sector"), F.col("query_sector")) * F.coalesce("fusion", zero), F.coalesce("recall_sim", zero))
     fine = S.penalty(F.col("query_sector"), F.col("primary_sector"))
     age = S.days(F.col("last_seen_at"), as_of)
@@ -48,7 +58,7 @@ def features(cands: DataFrame, queries: DataFrame, memories: DataFrame, vectors:
             "graph_bonus": F.least(F.lit(C.GRAPH_BONUS), F.coalesce("graph_score", zero) * C.GRAPH_BONUS),
             "path": F.coalesce("path", F.array("id")),
         }
-    ).drop("query_user", "min_salience", "fusion", "recall_sim", "way")
+    ).drop("query_user", "min_salience", "fusion", "recall_sim", "way", "n_words", "terms")
 
 
 def score(feature_rows: DataFrame) -> DataFrame:

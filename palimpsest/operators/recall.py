@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, with_norm
 
 
 def ranked(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+#: Bytes of a table that is sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, text: str) -> DataFrame:
+    """Mark a table for broadcast if it is small, by a count of its rows and the bytes of ``text``; else it is joined by shuffle."""
+    n, size = df.select(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    return F.broadcast(df) if 100 * n + (size or 0) <= BROADCAST_BYTES else df
+
+
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """Add distinct canonical tokens and, where none are given, all sectors."""
     sectors = F.array(*map(F.lit, C.SECTORS))
@@ -25,7 +35,10 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
 
 def vector_similarities(probes: DataFrame, vectors: DataFrame) -> DataFrame:
     """Cosine of each query (query_id, user_id, top_k, qv) with its user's vectors; vectors of another length have none."""
-    return probes.select("query_id", "user_id", "top_k", "qv").join(vectors.select("user_id", "id", "sector", "v"), "user_id").select("query_id", "user_id", "top_k", "id", "sector", cosine(F.col("v"), F.col("qv")).alias("similarity")).where("similarity IS NOT NULL")
+    asked = with_norm(probes.select("query_id", "user_id", "top_k", "qv"), "qv", "nq")
+    held = with_norm(vectors.select("user_id", "id", "sector", "v"), "v", "nv")
+    similarity = cosine(F.col("v"), F.col("qv"), (F.col("nv"), F.col("nq")))
+    return asked.join(held, "user_id").select("query_id", "user_id", "top_k", "id", "sector", similarity.alias("similarity")).where("similarity IS NOT NULL")
 
 
 def vector_recall(probes: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -33,24 +46,36 @@ def vector_recall(probes: DataFrame, vectors: DataFrame) -> DataFrame:
     return ranked(vector_similarities(probes, vectors), ["query_id", "sector"], F.desc("similarity"), "id").where("rank <= top_k * 3")
 
 
-def postings(memories: DataFrame) -> DataFrame:
-    """Term counts of each user's memories, with each memory's length."""
-    words = memories.select("user_id", "id", T.canonical_tokens(F.col("content")).alias("t"))
-    return words.select("user_id", "id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("user_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+def term_index(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """Memories (user_id, id) of the users who ask, with their length in words and the words asked for: length, terms.
+
+    Each text is cut into words once, and only words that some query of the user
+    has leave the row. Uses of the index that take all its columns share one exchange.
+    """
+    asked = prepare_queries(queries).select("user_id", F.explode("tokens").alias("term"))
+    wanted = small(asked.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("wanted")), "wanted")
+    counted = memories.select("user_id", "id", "content").join(wanted, "user_id").select("user_id", "id", T.matched_terms(F.col("content"), F.col("wanted")).alias("c"))
+    return counted.select("user_id", "id", "c.length", "c.terms").repartition("user_id", "id")
 
 
-def bm25_recall(queries: DataFrame, memories: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_recall(queries: DataFrame, memories: DataFrame, k1: float = 1.2, b: float = 0.75, docs: DataFrame | None = None) -> DataFrame:
     """For each query its 3 * top_k best memories of the same user that have any of its terms.
 
-    Document frequencies and the average length are the user's own; memories have one row an id.
+    Document frequencies and the average length are the user's own; memories have
+    one row an id. ``docs``: their ``term_index``, if it is there.
     """
-    index = postings(memories)
-    per_user = memories.select("user_id", F.size(T.canonical_tokens(F.col("content"))).alias("length")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     asked = prepare_queries(queries).select("query_id", "user_id", "top_k", F.explode("tokens").alias("term"))
-    df = index.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    docs = term_index(queries, memories) if docs is None else docs
+    # One row a user and term, and one without a term that counts the user's memories and their words.
+    terms = F.concat(F.transform("terms", lambda t: t["term"]), F.array(F.lit(None).cast("string")))
+    stats = docs.select("user_id", "id", "length", F.explode(terms).alias("term")).groupBy("user_id", "term").agg(F.count("id").alias("df"), F.sum("length").alias("words"))
+    of_user = Window.partitionBy("user_id")
+    total = lambda c: F.max(F.when(F.col("term").isNull(), F.col(c))).over(of_user)
+    stats = stats.withColumns({"n": total("df"), "avg_length": total("words") / total("df")}).where("term IS NOT NULL").drop("words")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scores = asked.join(index, ["user_id", "term"]).join(df, ["user_id", "term"]).join(per_user, "user_id").groupBy("query_id", "user_id", "top_k", "id").agg(F.sum(part).alias("bm25"))
+    held = docs.select("user_id", "id", "length", F.inline("terms"))
+    scores = held.join(asked, ["user_id", "term"]).join(stats, ["user_id", "term"]).groupBy("query_id", "user_id", "top_k", "id").agg(F.sum(part).alias("bm25"))
     return ranked(scores, ["query_id"], F.round("bm25", 9).desc(), "id").where("rank <= top_k * 3")
 
 
@@ -63,8 +88,10 @@ def adaptive_k(recall: DataFrame, queries: DataFrame) -> DataFrame:
 
 def session_recall(probes: DataFrame, sessions: DataFrame, ks: DataFrame) -> DataFrame:
     """Sessions (id, user_id, v, dialogue_ids) most similar to each query, up to its k."""
-    found = probes.select("query_id", "user_id", "qv").join(sessions.select("user_id", F.col("id").alias("session_id"), "dialogue_ids", "v"), "user_id").join(ks.select("query_id", "effective_k"), "query_id")
-    found = found.withColumn("similarity", cosine(F.col("v"), F.col("qv"))).where("similarity IS NOT NULL").drop("v", "qv")
+    asked = with_norm(probes.select("query_id", "user_id", "qv"), "qv", "nq").join(ks.select("query_id", "effective_k"), "query_id")
+    held = with_norm(sessions.select("user_id", F.col("id").alias("session_id"), "dialogue_ids", "v"), "v", "nv")
+    similarity = cosine(F.col("v"), F.col("qv"), (F.col("nv"), F.col("nq")))
+    found = asked.join(held, "user_id").withColumn("similarity", similarity).where("similarity IS NOT NULL").drop("v", "qv", "nv", "nq")
     return ranked(found, ["query_id"], F.desc("similarity"), "session_id").where("rank <= effective_k")
 
 

@@ -21,17 +21,17 @@ def r6(c: Column, name: str) -> Column:
 
 @query(f"SELECT doc_id, array_to_string({R.sql_tokens('text')}, ' ') AS tokens FROM documents")
 def f1_tokens(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"SELECT DISTINCT z AS token, {R.sql_stem('z')} AS stem FROM (SELECT unnest({R.sql_tokens('text')}) AS z FROM documents)")
 def f3_stems(t: Tables) -> DataFrame:
-    return t.raw("documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct().withColumn("stem", T.stem(F.col("token")))
+    return t.documents.select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct().withColumn("stem", T.stem(F.col("token")))
 
 
 @query(f"SELECT doc_id, array_to_string({R.sql_canonical_tokens('text')}, ' ') AS tokens FROM documents")
 def f4_canonical_tokens(t: Tables) -> DataFrame:
-    return t.raw("documents").select("doc_id", F.array_join(T.canonical_tokens(F.col("text")), " ").alias("tokens"))
+    return t.documents.select("doc_id", F.array_join(T.canonical_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(f"""SELECT query_id, array_to_string(list_transform(list_sort(list_distinct({R.sql_canonical_tokens('text')})), lambda z: '"' || z || '"'), ' OR ') AS q FROM m_queries""")
@@ -89,7 +89,7 @@ def f15_fingerprints(t: Tables) -> DataFrame:
 
 @query()
 def f16_hash_embeddings(t: Tables) -> DataFrame:
-    v = vectorise(t.memories.withColumn("sectors", F.array("primary_sector")))
+    v = vectorise(t.texts.withColumn("sectors", F.array("primary_sector")))
     return v.select("id", "sector", "dim", r6(V.norm(V.doubles(F.col("v"))), "norm"))
 
 
@@ -128,7 +128,7 @@ _BM25 = f"""toks AS (SELECT user_id, id, {R.sql_canonical_tokens('content')} AS
 
 @query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM bmr")
 def r2_bm25_recall(t: Tables) -> DataFrame:
-    return recall.bm25_recall(t.queries, t.memories).select("query_id", "id", r6(F.col("bm25"), "bm25"), F.col("rank").cast("long").alias("rank"))
+    return recall.bm25_recall(t.queries, t.texts).select("query_id", "id", r6(F.col("bm25"), "bm25"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_VECTOR}, {_KS} SELECT query_id, round(avg_sim, 6) AS avg_sim, effective_k FROM ks")
@@ -197,8 +197,9 @@ _FEATURES = f"""{_VECTOR}, {_KS}, {_FUSED}, {_BM25}, cand AS (SELECT query_id, i
 def scored(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored candidates by words and vectors, each query's k, and the vector recall."""
     found = recall.vector_recall(t.probes, t.vectors)
-    cands = recall.candidates(vector=found, bm25=recall.bm25_recall(t.queries, t.memories))
-    rows = ranking.features(cands, recall.prepare_queries(t.queries), t.memories, t.vectors, t.probes, found, t.as_of)
+    docs = recall.term_index(t.queries, t.texts)
+    cands = recall.candidates(vector=found, bm25=recall.bm25_recall(t.queries, t.memories, docs=docs))
+    rows = ranking.features(cands, recall.prepare_queries(t.queries), t.memories, t.vectors, t.probes, found, t.as_of, docs=docs)
     return ranking.score(rows), recall.adaptive_k(found, t.queries), found
 
 
@@ -317,7 +318,7 @@ def a9_mean_vectors(t: Tables) -> DataFrame:
 @query(f"""WITH w AS (SELECT id, unnest(range(0, len(t))) AS place, unnest(t) AS term FROM (SELECT id, {R.sql_canonical_tokens('content')} AS t FROM m_memories)), n AS (SELECT id, term, count(*) AS n, min(place) AS place FROM w GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, place) AS r FROM n) SELECT id, string_agg(term, ' ' ORDER BY r) AS keywords FROM r WHERE r <= 5 GROUP BY 1""")
 def a11_top_keywords(t: Tables) -> DataFrame:
-    return dynamics.top_keywords(t.memories, 5)
+    return dynamics.top_keywords(t.texts, 5)
 
 
 @query()

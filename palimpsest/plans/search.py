@@ -45,16 +45,17 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], as_of: Column, conf
 
     ``queries``: query_id, user_id, text, primary_sector, top_k, qv. ``tables``:
     memories and vectors, and for their paths sessions, waypoints, topics, facts,
-    fact_entities and relations.
+    fact_entities and relations; texts, if the memories' contents come dealt otherwise.
     """
     config = config or SearchConfig()
     memories, vectors = tables["memories"], tables["vectors"]
     asked = recall.prepare_queries(queries)
     paths = {"vector": recall.vector_recall(queries, vectors)}
     ks = recall.adaptive_k(paths["vector"], queries)
+    docs = recall.term_index(queries, tables.get("texts", memories))
     if config.bm25:
         # Only memories with a vector can be recalled by words.
-        paths["bm25"] = recall.bm25_recall(queries, memories.join(vectors.select("id").distinct(), "id", "left_semi"))
+        paths["bm25"] = recall.bm25_recall(queries, memories, docs=docs.join(vectors.select("id").distinct(), "id", "left_semi"))
     sessions = None
     if "sessions" in tables:
         sessions = recall.session_recall(queries, tables["sessions"], ks)
@@ -72,7 +73,7 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], as_of: Column, conf
         scores = graph.expand_graph(found, tables["topics"], tables["facts"], tables["fact_entities"], tables["relations"], memories, hops=g.hops, decay=g.decay, per_hop=g.per_hop, least_confidence=g.least_confidence, least_score=g.least_score)
         paths["graph"] = scores
     cands = recall.candidates(**paths)
-    rows = ranking.features(cands, asked, memories, vectors, queries, paths["vector"], as_of, waypoints, scores)
+    rows = ranking.features(cands, asked, memories, vectors, queries, paths["vector"], as_of, waypoints, scores, docs)
     scored = ranking.score(rows)
     if config.query_mode in ("qa", "prefer"):
         best = ranking.promote_answers(scored.select("query_id", "id", "score", "role", "pair_id"), memories)

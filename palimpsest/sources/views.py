@@ -21,6 +21,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer partitions than there are cores, dealt over the cores; larger ones stay as they are.
+
+    For tables of texts, which take much work a byte.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def sector(k: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SECTORS)), (k % 5 + 1).cast("int"))
 
@@ -43,6 +52,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """For work on whole texts."""
+        return spread(self.raw("documents"))
+
     @cached_property
     def users(self) -> DataFrame:
         c, n = self.raw("customer"), self.raw("nation")
@@ -52,8 +66,17 @@ class Tables:
 
     @cached_property
     def memories(self) -> DataFrame:
+        return self._memories(self.raw("documents"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The memories, for work on their whole contents."""
+        return self._memories(self.documents)
+
+    @staticmethod
+    def _memories(documents: DataFrame) -> DataFrame:
         hours = F.make_dt_interval(hours=(F.col("doc_id") % 720).cast("int"))
-        return self.raw("documents").select(
+        return documents.select(
             _id("d", "doc_id").alias("id"),
             _user("doc_id").alias("user_id"),
             F.lit(None).cast("string").alias("role"),

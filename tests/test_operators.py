@@ -36,8 +36,10 @@ def test_stems(spark, word, want):
 def test_canonical_tokens_like_python(spark):
     text = "Meetings and calls: the customers asked 3 questions, I like todo-lists. 会议记录 Über"
     got = one(spark, T.canonical_tokens(F.lit(text)))
-    want = [w for w in map(embedding.canonical, embedding._TOKEN.findall(text)) if len(w) > 1 or not w.isascii()]
-    assert got == want and "meeting" in got and "会议记录" in got
+    columns = one(spark, F.transform(T.cjk_tokens(F.lit(text)), T.canonical_token))
+    assert got == [w for w in columns if len(w) > 1] and "meeting" in got and got[-4:] == ["会议", "议记", "记录", "ber"]
+    flagged = one(spark, T.canonical_tokens(F.lit("我们的ok"), lambda run: [("我们", "rr"), ("的", "uj")]))
+    assert flagged == ["我们", "ok"]
     assert one(spark, T.cjk_tokens(F.lit("会议记录 ok"))) == ["会议", "议记", "记录", "ok"]
     assert one(spark, T.canonical_tokens(F.lit(None).cast("string"))) == []
     assert one(spark, T.search_document(F.lit("bugs"))) == "bug issue problem"
