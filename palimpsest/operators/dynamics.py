@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vectors as V
+from ..storage import checkpointed
 from .recall import ranked
 
 
@@ -114,14 +115,41 @@ def dedup_on_write(new: DataFrame, memories: DataFrame, vectors: DataFrame, cap:
     return new.select("id", "user_id").join(best, "id", "left")
 
 
-def create_waypoints(new: DataFrame, memories: DataFrame, cap: int = 1000, least: float = 0.0) -> DataFrame:
+def repeats_within(rows: DataFrame) -> DataFrame:
+    """Rows (id, user_id, v, created_at) that an earlier row of the user is a near-duplicate of: id, first_id.
+
+    A row repeats the nearest earlier row; ``first_id`` is where following such
+    steps ends, a row that repeats none.
+    """
+    a = V.with_norm(rows.select("user_id", "id", "created_at", "v"), "v", "n")
+    b = a.select("user_id", F.col("id").alias("before"), F.col("created_at").alias("at"), F.col("v").alias("v2"), F.col("n").alias("n2"))
+    earlier = F.struct("at", "before") < F.struct("created_at", F.col("id"))
+    sims = a.join(b, "user_id").where(earlier).select("id", "before", V.cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))).alias("s")).where(F.col("s") >= C.DUPLICATE_SIMILARITY)
+    step = checkpointed(sims.groupBy("id").agg(F.min_by("before", F.struct(-F.col("s"), "before")).alias("first_id")))
+    while True:  # each round the steps are twice as long
+        further = step.select(F.col("id").alias("first_id"), F.col("first_id").alias("next"))
+        grown = step.join(further, "first_id", "left")
+        if grown.where("next IS NOT NULL").isEmpty():
+            return step
+        step = checkpointed(grown.select("id", F.coalesce("next", "first_id").alias("first_id")))
+
+
+def create_waypoints(new: DataFrame, memories: DataFrame, cap: int = 1000, least: float = 0.0, among_new: bool = False) -> DataFrame:
     """A waypoint from each new memory (id, user_id, v) to its nearest among the user's ``cap`` latest others, or to itself.
 
-    ``memories``: id, user_id, v, created_at.
+    ``memories``: id, user_id, v, created_at. ``among_new``: the new ones have
+    created_at too and may also lead to those of them that come before by (created_at, id).
     """
-    recent = ranked(memories, ["user_id"], F.desc("created_at"), "id").where(F.col("rank") <= cap).select("user_id", F.col("id").alias("dst_id"), F.col("v").alias("v2"))
-    sims = new.select("id", "user_id", "v").join(recent, "user_id").where("id <> dst_id").select("id", "dst_id", V.cosine(F.col("v"), F.col("v2")).alias("w")).where(F.col("w") > least)
-    best = ranked(sims, ["id"], F.desc("w"), "dst_id").where("rank = 1")
+    recent = ranked(memories, ["user_id"], F.desc("created_at"), "id").where(F.col("rank") <= cap)
+    held = V.with_norm(recent.select("user_id", F.col("id").alias("dst_id"), F.col("v").alias("v2")), "v2", "n2")
+    rows = V.with_norm(new.select("id", "user_id", "v"), "v", "n")
+    near = V.cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))).alias("w")
+    sims = rows.join(held, "user_id").where("id <> dst_id").select("id", "dst_id", near)
+    if among_new:
+        others = V.with_norm(new.select("user_id", F.col("id").alias("dst_id"), F.col("created_at").alias("at"), F.col("v").alias("v2")), "v2", "n2")
+        rows = V.with_norm(new.select("id", "user_id", "created_at", "v"), "v", "n")
+        sims = sims.union(rows.join(others, "user_id").where(F.struct("at", "dst_id") < F.struct("created_at", F.col("id"))).select("id", "dst_id", near))
+    best = sims.where(F.col("w") > least).groupBy("id").agg(F.min_by(F.struct("dst_id", "w"), F.struct(-F.col("w"), "dst_id")).alias("b")).select("id", "b.*")
     return new.select("id", "user_id").join(best, "id", "left").select(F.col("id").alias("src_id"), F.coalesce("dst_id", "id").alias("dst_id"), "user_id", F.coalesce("w", F.lit(1.0)).alias("weight"))
 
 

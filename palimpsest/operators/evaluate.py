@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SECTORS
@@ -14,20 +16,39 @@ from ..functions.embedding import Embed, embedded, hash_embed
 from ..functions.scoring import penalty
 from ..functions.vectors import cosine
 from .model_stage import classify
-from .recall import ranked
+from .recall import BROADCAST_BYTES, ranked
 
 
-def read_labelled(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """Labelled texts from csv, json (an array), jsonl or parquet; ``split`` is the file's name without its ending."""
+def read_labelled(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame:
+    """Labelled texts from csv, json (an array), jsonl, parquet or arrow (IPC files or streams, which need a ``schema``); ``split`` is the file's name without its ending."""
     if fmt == "csv":
-        df = spark.read.csv(path, header=True)
+        df = spark.read.csv(path, header=True, schema=schema)
     elif fmt in ("json", "jsonl"):
-        df = spark.read.json(path, multiLine=fmt == "json")
+        df = spark.read.json(path, multiLine=fmt == "json", schema=schema)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
+    elif fmt == "arrow":
+        if schema is None:
+            raise ValueError("Arrow files need a schema")
+        split = _split(F.col("path")).alias("split")
+        return spark.read.format("binaryFile").load(path).select("content", split).mapInArrow(_arrow_rows, f"{schema}, split string")
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return df.withColumn("split", F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^./]+$", 1))
+    return df.withColumn("split", _split(F.input_file_name()))
+
+
+def _split(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+?)\.[^./]+$", 1)
+
+
+def _arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for files in batches:
+        for content, split in zip(files["content"], files["split"], strict=True):
+            data = pa.py_buffer(content.as_py())
+            reader = pa.ipc.open_file(data) if bytes(data[:6]) == b"ARROW1" else pa.ipc.open_stream(data)
+            found = (reader.get_batch(i) for i in range(reader.num_record_batches)) if hasattr(reader, "get_batch") else reader
+            for rows in found:
+                yield rows.append_column("split", pa.array([split.as_py()] * len(rows), pa.string()))
 
 
 def read_eval(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -50,13 +71,19 @@ def retrieval_metrics(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] =
 def evaluate(memories: DataFrame, queries: DataFrame, embedders: dict[str, Embed] | None = None, top_k: int = 10) -> DataFrame:
     """Retrieval metrics for each embedder over a labelled set (id, text, sector; queries with gold_ids).
 
-    The set is given to be compared with whole: queries are few and broadcast.
+    The set is given to be compared with whole, so each memory meets all queries. Queries are
+    broadcast behind a check of their size; beyond it, both sides are dealt over ``parts`` keys.
     """
+    n, size = queries.select(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-(n * 4096 + (size or 0)) // BROADCAST_BYTES))
     out = None
     for name, embed in (embedders or {"hash": hash_embed}).items():
         m = memories.select("id", F.col("sector").alias("memory_sector"), embedded(T.sector_text(F.col("sector"), F.col("text")), embed).alias("v"))
         q = queries.select(F.col("id").alias("query_id"), F.col("sector").alias("query_sector"), embedded(T.sector_text(F.col("sector"), F.col("text")), embed).alias("qv"))
-        scored = m.join(F.broadcast(q)).select("query_id", "id", (cosine(F.col("v"), F.col("qv")) * penalty(F.col("query_sector"), F.col("memory_sector"))).alias("score"))
+        # Each part of the queries meets all memories.
+        m = m.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        q = q.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        scored = m.join(F.broadcast(q) if parts == 1 else q, "part").select("query_id", "id", (cosine(F.col("v"), F.col("qv")) * penalty(F.col("query_sector"), F.col("memory_sector"))).alias("score"))
         results = ranked(scored, ["query_id"], F.desc("score"), "id").where(F.col("rank") <= top_k)
         gold = queries.select(F.col("id").alias("query_id"), F.explode("gold_ids").alias("id"))
         part = retrieval_metrics(results, gold).withColumn("backend", F.lit(name))
@@ -65,12 +92,13 @@ def evaluate(memories: DataFrame, queries: DataFrame, embedders: dict[str, Embed
 
 
 def write_eval(metrics: DataFrame, path: str) -> None:
-    """A report of few rows: JSON lines by Spark and a markdown table beside them on the driver."""
-    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/json")
-    rows = [r.asDict() for r in metrics.collect()]
-    head = metrics.columns
-    lines = [f"| {' | '.join(head)} |", f"|{'---|' * len(head)}", *[f"| {' | '.join(json.dumps(r[c]) for c in head)} |" for r in rows]]
-    Path(path, "report.md").write_text("\n".join(lines) + "\n")
+    """A report of few rows: JSON lines, and a markdown table in ``report.md``; Spark writes both, wherever ``path`` is."""
+    rows = metrics.coalesce(1)
+    rows.write.mode("overwrite").json(f"{path}/json")
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in metrics.columns]), " | "), F.lit(" |"))
+    head = metrics.sparkSession.createDataFrame([(0, f"| {' | '.join(metrics.columns)} |"), (1, f"|{'---|' * len(metrics.columns)}")], "place int, value string")
+    table = head.union(rows.select(F.lit(2), cells)).coalesce(1).sortWithinPartitions("place")
+    table.select("value").write.mode("overwrite").text(f"{path}/report.md")
 
 
 def branch_metrics(df: DataFrame) -> DataFrame:
@@ -104,15 +132,26 @@ def fit_sectors(df: DataFrame, features: int = 1 << 14):
 
 
 def score_sectors(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Add primary_pred, confidence, probabilities and labels_pred; the primary sector's label is always set."""
-    from pyspark.ml.functions import vector_to_array
+    """Add primary_pred, confidence, probabilities and labels_pred; the primary sector's label is always set.
 
+    The models are applied to batches as one matrix. (Chains of their own UDFs in
+    one stage cannot always be sent to tasks.)
+    """
     prepare, primary, branches = model
-    drop = ["tokens", "tf", "features", "rawPrediction"]
-    x = primary.transform(prepare.transform(df.withColumn("tokens", T.canonical_tokens(F.col("text")))))
-    x = x.withColumns({"primary_pred": F.col("prediction").cast("int"), "confidence": F.array_max(vector_to_array("probability"))}).drop("prediction", "probability", "rawPrediction")
-    for i, branch in enumerate(branches):
-        x = branch.transform(x).withColumn(f"p{i}", F.get(vector_to_array("probability"), F.lit(1))).drop("prediction", "probability", "rawPrediction")
-    p = [F.col(f"p{i}") for i in range(len(branches))]
-    x = x.withColumns({"probabilities": F.array(*p), "labels_pred": F.array(*[((c >= threshold) | (F.col("primary_pred") == i)).cast("int") for i, c in enumerate(p)])})
-    return x.drop(*drop, *[f"p{i}" for i in range(len(branches))])
+    of_sector, of_label = primary.coefficientMatrix.toArray(), np.stack([b.coefficients.toArray() for b in branches])
+    sector_base, label_base = primary.interceptVector.toArray(), np.array([b.intercept for b in branches])
+
+    @F.pandas_udf("primary_pred int, confidence double, probabilities array<double>, labels_pred array<int>")
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for vectors in batches:  # the parts of sparse vectors
+            rows = []
+            for at, values in zip(vectors["indices"], vectors["values"], strict=True):
+                margin = of_sector[:, at] @ values + sector_base
+                share = np.exp(margin - margin.max())
+                best = int(margin.argmax())
+                p = 1 / (1 + np.exp(-(of_label[:, at] @ values + label_base)))
+                rows.append((best, float(share[best] / share.sum()), p.tolist(), [int(x >= threshold or i == best) for i, x in enumerate(p)]))
+            yield pd.DataFrame(rows, columns=["primary_pred", "confidence", "probabilities", "labels_pred"])
+
+    x = prepare.transform(df.withColumn("tokens", T.canonical_tokens(F.col("text"))))
+    return x.withColumn("predicted", predict("features")).select(*df.columns, "predicted.*")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scoring as S
+from ..functions.convert import clamped, clamped_int
+from ..functions.text import entity_key
+from ..functions.vectors import cosine, with_norm
+from ..storage import checkpointed
 from .recall import ranked
 from .tables import page
 
@@ -65,13 +71,30 @@ def topic_memories(topics: DataFrame, memories: DataFrame, topic_id: str) -> Dat
     return memories.join(ids, "id", "left_semi")
 
 
-def entity_pairs(links: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs of entities (a < b) of one fact; ``most`` leaves out facts with more pairs, which is counted before they are made."""
+#: Entities of one fact that one task pairs with all others of the fact.
+PAIRED_AT_ONCE = 512
+
+
+def entity_counts(links: DataFrame) -> DataFrame:
+    """How many entities each fact has (n)."""
+    return links.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_pairs(links: DataFrame, most: int | None = None, at_once: int = PAIRED_AT_ONCE) -> DataFrame:
+    """Pairs of entities (a < b) of one fact; ``most`` leaves out facts with more pairs, which is counted before they are made.
+
+    A fact with more than ``at_once`` entities is dealt over several tasks: each of
+    its entities is a first end in one part and a second end in all of them.
+    """
+    links = links.select("fact_id", "canonical_id")
     if most is not None:
-        n = F.count(F.lit(1)).over(Window.partitionBy("fact_id"))
-        links = links.withColumn("__n", n).where(F.col("__n") * (F.col("__n") - 1) / 2 <= most).drop("__n")
-    a = links.select("fact_id", F.col("canonical_id").alias("a"))
-    return a.join(links.select("fact_id", F.col("canonical_id").alias("b")), "fact_id").where("a < b")
+        few = entity_counts(links).where(F.col("n") * (F.col("n") - 1) / 2 <= most)
+        links = links.join(few.select("fact_id"), "fact_id", "left_semi")
+    large = entity_counts(links).where(F.col("n") > at_once).select("fact_id", F.ceil(F.col("n") / at_once).cast("int").alias("parts"))
+    dealt = links.join(large, "fact_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = dealt.select("fact_id", F.pmod(F.xxhash64("canonical_id"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("canonical_id").alias("a"))
+    b = dealt.select("fact_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("canonical_id").alias("b"))
+    return a.join(b, ["fact_id", "part"]).where("a < b").select("fact_id", "a", "b")
 
 
 def infer_relation(text: Column, kind_a: Column, kind_b: Column) -> Column:
@@ -110,8 +133,11 @@ def walk(seeds: DataFrame, relations: DataFrame, hops: int = 1, decay: float = 0
     """Scores of the entities that bounded walks from seeds (query_id, user_id, canonical_id) reach.
 
     Walks follow relations of the user both ways, never return to their own path,
-    and each query keeps its ``per_hop`` best states a hop.
+    and each query keeps its ``per_hop`` best states a hop. Settings out of bounds
+    (hops 1 to 4, decay 0.1 to 1, confidence 0 to 1) count as the nearest bound.
     """
+    hops, decay, least_confidence = clamped_int(hops, 1, 1, 4), clamped(decay, 0.8, 0.1), clamped(least_confidence, 0.5)
+    per_hop = clamped_int(per_hop, 200)
     usable = relations.where((F.col("confidence").isNull() | (F.col("confidence") >= least_confidence)) & (F.col("source") != F.col("target")))
     gain = F.coalesce("confidence", F.lit(0.0)) * S.edge_weight(F.coalesce("edge_relation", F.lit("RELATED_TO")))
     ends = [usable.select("user_id", F.col(x).alias("node"), F.col(y).alias("to"), gain.alias("gain")) for x, y in (("source", "target"), ("target", "source"))]
@@ -130,15 +156,18 @@ def walk(seeds: DataFrame, relations: DataFrame, hops: int = 1, decay: float = 0
 def expand_graph(seeds: DataFrame, topics: DataFrame, facts: DataFrame, links: DataFrame, relations: DataFrame, memories: DataFrame, limit: int = 20, **params) -> DataFrame:
     """Memories that topics, facts and related entities lead to from seeds (query_id, user_id, id): id and score.
 
-    ``limit`` bounds the seed topics, and twice it the seed facts, of each query; both take the latest, as the tables order them.
+    ``limit`` bounds the seed topics, and twice it the seed facts, of each query; a column
+    ``budget`` of the seeds, constant in a query, takes its place. Both take the latest, as the tables order them.
     """
-    users = seeds.select("query_id", "user_id").distinct()
-    seed_topics = ranked(topics_of(topics, seeds), ["query_id"], F.desc_nulls_last("updated_at"), "topic_id").where(F.col("rank") <= limit).drop("rank")
-    seed_facts = ranked(seed_topics.select("query_id", "user_id", "topic_id").join(facts.select("user_id", "topic_id", F.col("id").alias("fact_id"), "confidence", "occurred_start"), ["user_id", "topic_id"]), ["query_id"], F.desc_nulls_last("confidence"), F.desc_nulls_last("occurred_start"), "fact_id").where(F.col("rank") <= 2 * limit)
+    budget = F.greatest(F.lit(1), F.col("budget")) if "budget" in seeds.columns else F.lit(clamped_int(limit, 20))
+    users = seeds.select("query_id", "user_id", budget.alias("budget")).distinct()
+    seeds = seeds.select("query_id", "user_id", "id")
+    seed_topics = ranked(topics_of(topics, seeds), ["query_id"], F.desc_nulls_last("updated_at"), "topic_id").join(users.select("query_id", "budget"), "query_id").where(F.col("rank") <= F.col("budget")).drop("rank")
+    seed_facts = ranked(seed_topics.select("query_id", "user_id", "topic_id", "budget").join(facts.select("user_id", "topic_id", F.col("id").alias("fact_id"), "confidence", "occurred_start"), ["user_id", "topic_id"]), ["query_id"], F.desc_nulls_last("confidence"), F.desc_nulls_last("occurred_start"), "fact_id").where(F.col("rank") <= 2 * F.col("budget"))
     start = seed_facts.join(links, "fact_id").select("query_id", "user_id", "canonical_id").distinct()
     entities = walk(start, relations, **params)
     own = facts.select("user_id", F.col("id").alias("fact_id"), "topic_id")
-    reached = entities.join(users, "query_id").join(links, "canonical_id").join(own, ["user_id", "fact_id"]).groupBy("query_id", "user_id", "topic_id").agg(F.max("score").alias("score"))
+    reached = entities.join(users.drop("budget"), "query_id").join(links, "canonical_id").join(own, ["user_id", "fact_id"]).groupBy("query_id", "user_id", "topic_id").agg(F.max("score").alias("score"))
     flat = topics.select("user_id", F.col("id").alias("topic_id"), F.explode("dialogue_ids").alias("id"))
     out = reached.join(flat, ["user_id", "topic_id"]).groupBy("query_id", "user_id", "id").agg(F.max("score").alias("score")).join(memories.select("id", "user_id"), ["id", "user_id"], "left_semi")
     return out.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", S.clamp(F.col("score")).alias("score"))
@@ -152,46 +181,98 @@ def graph_batches(memories: DataFrame, users: DataFrame, warm: int = 30, least:
     return ranked(pending, ["user_id"], "created_at", "id").where(F.col("rank") <= most)
 
 
-def canonicalise(mentions: DataFrame, canonical: DataFrame) -> DataFrame:
+def canonicalise(mentions: DataFrame, canonical: DataFrame, block: Column | None = None) -> DataFrame:
     """Canonical entity of each mention (user_id, text, entity_type, v): equal key, else the nearest one that is near enough, else a new one.
 
-    Mentions without either are grouped by their key, each key a new entity.
+    A key without an entity of its own takes the nearest entity of any of its
+    mentions. Keys that are left are grouped where their mentions are near enough to
+    one another, and each group is a new entity, named by its least key. ``block``
+    (of the mentions, constant in a key) bounds which left keys are compared; by
+    default all of a user and type are.
     """
-    from ..functions.text import entity_key
-    from ..functions.vectors import cosine
-
-    m = mentions.withColumn("key", entity_key(F.col("entity_type"), F.col("text")))
+    m = mentions.withColumn("key", entity_key(F.col("entity_type"), F.col("text"))).withColumn("block", F.col("entity_type") if block is None else block)
     c = canonical.withColumn("key", entity_key(F.col("entity_type"), F.col("name")))
     same = c.groupBy("user_id", "key").agg(F.min("id").alias("same_id"))
-    m = m.join(same, ["user_id", "key"], "left")
-    open_ = m.where("same_id IS NULL").select("user_id", "key", "v").dropDuplicates(["user_id", "key"])
-    near = open_.join(c.select("user_id", F.col("id").alias("near_id"), F.col("v").alias("v2")), "user_id").select("user_id", "key", "near_id", cosine(F.col("v"), F.col("v2")).alias("s")).where(F.col("s") >= C.CANONICAL_SIMILARITY)
-    best = ranked(near, ["user_id", "key"], F.desc("s"), "near_id").where("rank = 1").select("user_id", "key", "near_id")
-    new = F.concat(F.lit("e"), F.sha2(F.concat("user_id", F.lit("|"), "key"), 256).substr(1, 24))
-    return m.join(best, ["user_id", "key"], "left").withColumn("canonical_id", F.coalesce("same_id", "near_id", new)).withColumn("is_new", F.coalesce("same_id", "near_id").isNull()).drop("same_id", "near_id", "key")
+    open_ = with_norm(m.join(same, ["user_id", "key"], "left_anti").select("user_id", "block", "key", "v").distinct(), "v", "n")
+    held = with_norm(c.select("user_id", F.col("id").alias("near_id"), F.col("v").alias("v2")), "v2", "n2")
+    near = open_.join(held, "user_id").select("user_id", "key", "near_id", cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))).alias("s")).where(F.col("s") >= C.CANONICAL_SIMILARITY)
+    best = near.groupBy("user_id", "key").agg(F.min_by("near_id", F.struct(-F.col("s"), "near_id")).alias("near_id"))
+    left = open_.join(best, ["user_id", "key"], "left_anti")
+    other = left.select("user_id", "block", F.col("key").alias("key2"), F.col("v").alias("v2"), F.col("n").alias("n2"))
+    links = left.join(other, ["user_id", "block"]).where("key < key2").where(cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))) >= C.CANONICAL_SIMILARITY)
+    groups = least_of_group(links.select("user_id", F.col("key").alias("a"), F.col("key2").alias("b")).distinct())
+    new = F.concat(F.lit("e"), F.sha2(F.concat("user_id", F.lit("|"), F.coalesce("group", "key")), 256).substr(1, 24))
+    out = m.join(same, ["user_id", "key"], "left").join(best, ["user_id", "key"], "left").join(groups, ["user_id", "key"], "left")
+    return out.withColumn("canonical_id", F.coalesce("same_id", "near_id", new)).withColumn("is_new", F.coalesce("same_id", "near_id").isNull()).drop("same_id", "near_id", "key", "group", "block")
+
+
+def least_of_group(links: DataFrame) -> DataFrame:
+    """The least key (group) that links (user_id, a, b) lead to from each key, itself included.
+
+    Each round a key takes the least of what its neighbours and their labels know,
+    so labels travel twice as far as in the round before.
+    """
+    both = links.select("user_id", "a", "b").union(links.select("user_id", "b", "a")).distinct()
+    both = checkpointed(both)
+    labels = both.groupBy("user_id", F.col("a").alias("key")).agg(F.least(F.min("a"), F.min("b")).alias("group"))
+    while True:
+        labels = checkpointed(labels)  # each round reads the one before several times
+        known = labels.select("user_id", F.col("key").alias("b"), F.col("group").alias("g"))
+        reached = both.join(known, ["user_id", "b"]).groupBy("user_id", F.col("a").alias("key")).agg(F.min("g").alias("g"))
+        up = labels.select("user_id", F.col("key").alias("group"), F.col("group").alias("above"))
+        grown = labels.join(reached, ["user_id", "key"]).join(up, ["user_id", "group"], "left").select("user_id", "key", F.least("group", "g", "above").alias("group"))
+        if labels.join(grown.withColumnRenamed("group", "now"), ["user_id", "key"]).where("`group` <> now").isEmpty():
+            return labels
+        labels = grown
 
 
 def explore(seeds: DataFrame, links: DataFrame, facts: DataFrame, topics: DataFrame, relations: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges around canonical seeds (seed): related entities, then their facts, then the facts' topics.
+    """Nodes and edges around seeds (seed, and kind: entity, fact or topic; without it all are entities).
 
-    Each stage of a seed keeps its ``most`` first nodes; ``cut`` tells that it had more.
+    An entity leads to related entities, to its facts and to their topics; a fact to
+    its entities and its topic; a topic to its facts and to their entities. Each
+    stage of a seed keeps its ``most`` first nodes; ``cut`` tells that it had more.
     """
-    def stage(rows: DataFrame, kind: str, k: int) -> DataFrame:
-        n = F.count(F.lit(1)).over(Window.partitionBy("seed"))
-        return ranked(rows.withColumn("n", n), ["seed"], "node").where(F.col("rank") <= most).select("seed", "node", F.lit(kind).alias("kind"), F.lit(k).alias("stage"), (F.col("n") > most).alias("cut"))
+    most = clamped_int(most, 50)
+    if "kind" not in seeds.columns:
+        seeds = seeds.withColumn("kind", F.lit("entity"))
+    seeds = seeds.select("seed", F.col("kind").alias("of")).distinct()
 
+    def stage(rows: DataFrame, kind: str, k: int) -> DataFrame:
+        """The first nodes of each seed, and the stage's number; the seed itself is no new node."""
+        w = Window.partitionBy("seed", "of")
+        rows = rows.select("seed", "of", "node").where(~((F.col("of") == kind) & (F.col("seed") == F.col("node")))).distinct()
+        rows = rows.withColumns({"rank": F.row_number().over(w.orderBy("node")), "n": F.count(F.lit(1)).over(w)})
+        return rows.where(F.col("rank") <= most).select("seed", "of", "node", F.lit(kind).alias("kind"), F.lit(k).alias("stage"), (F.col("n") > most).alias("cut"))
+
+    topic_of = facts.select(F.col("id").alias("fact"), F.col("topic_id").alias("topic")).join(topics.select(F.col("id").alias("topic")), "topic", "left_semi")
+    pairs = links.select(F.col("fact_id").alias("fact"), F.col("canonical_id").alias("entity"))
     ends = relations.select(F.col("source").alias("seed"), F.col("target").alias("node"), "edge_relation").union(relations.select(F.col("target"), F.col("source"), "edge_relation"))
-    related = seeds.join(ends, "seed").select("seed", "node", "edge_relation").distinct()
-    start = seeds.select("seed", F.col("seed").alias("node"), F.lit("entity").alias("kind"), F.lit(0).alias("stage"), F.lit(False).alias("cut"))
-    entities = stage(related.select("seed", "node").where("seed <> node").distinct(), "entity", 1)
-    of_seed = seeds.join(links, seeds["seed"] == links["canonical_id"]).select("seed", F.col("fact_id").alias("node")).distinct()
-    fact_nodes = stage(of_seed, "fact", 2)
-    of_fact = fact_nodes.join(facts.select(F.col("id").alias("node"), "topic_id"), "node").join(topics.select(F.col("id").alias("topic_id")), "topic_id", "left_semi")
-    topic_nodes = stage(of_fact.select("seed", F.col("topic_id").alias("node")).distinct(), "topic", 3)
-    nodes = start.union(entities).union(fact_nodes).union(topic_nodes)
-    edges = related.join(entities.select("seed", "node"), ["seed", "node"], "left_semi").select("seed", F.col("seed").alias("a"), F.col("node").alias("b"), F.col("edge_relation").alias("label"))
-    edges = edges.union(fact_nodes.select("seed", "seed", "node", F.lit("MENTIONED_IN"))).union(of_fact.select("seed", "node", "topic_id", F.lit("IN_TOPIC")).distinct().join(topic_nodes.select("seed", F.col("node").alias("topic_id")), ["seed", "topic_id"], "left_semi").select("seed", "node", "topic_id", F.lit("IN_TOPIC")))
-    return nodes, edges
-
-
-__all__ = ["canonicalise", "entity_pairs", "entity_topics", "expand_graph", "explore", "fact_entities", "facts_filter", "graph_batches", "infer_relations", "merge_relations", "page", "propagate_max", "relations_filter", "topic_memories", "topics_of", "walk"]
+    entity, fact, topic = (seeds.where(F.col("of") == kind) for kind in ("entity", "fact", "topic"))
+
+    def named(rows: DataFrame, column: str) -> DataFrame:
+        return rows.withColumnRenamed(column, "node")
+
+    related = entity.join(ends, "seed").distinct()
+    start = seeds.select("seed", "of", F.col("seed").alias("node"), F.col("of").alias("kind"), F.lit(0).alias("stage"), F.lit(False).alias("cut"))
+    around = stage(related, "entity", 1)
+    fact_nodes = stage(named(entity.join(pairs, entity["seed"] == pairs["entity"]), "fact").select("seed", "of", "node").union(named(topic.join(topic_of, topic["seed"] == topic_of["topic"]), "fact").select("seed", "of", "node")), "fact", 2)
+    of_facts = fact_nodes.where("of = 'entity'").select("seed", "of", F.col("node").alias("fact")).union(fact.select("seed", "of", "seed")).join(topic_of, "fact")
+    topic_nodes = stage(named(of_facts, "topic"), "topic", 3)
+    in_facts = fact_nodes.where("of = 'topic'").select("seed", "of", F.col("node").alias("fact")).union(fact.select("seed", "of", "seed")).join(pairs, "fact")
+    inside = stage(named(in_facts, "entity"), "entity", 4)
+    nodes = reduce(DataFrame.union, [start, around, fact_nodes, topic_nodes, inside])
+
+    def kept(edges: DataFrame, b: DataFrame) -> DataFrame:
+        """Edges (seed, of, a, b, label) whose end is a node of the stage."""
+        return edges.join(b.select("seed", "of", F.col("node").alias("b")), ["seed", "of", "b"], "left_semi").select("seed", "of", "a", "b", "label")
+
+    edges = kept(related.select("seed", "of", F.col("seed").alias("a"), F.col("node").alias("b"), F.col("edge_relation").alias("label")), around)
+    edges = edges.union(fact_nodes.where("of = 'entity'").select("seed", "of", "seed", "node", F.lit("MENTIONED_IN")))
+    edges = edges.union(fact_nodes.where("of = 'topic'").select("seed", "of", F.col("node"), F.col("seed"), F.lit("IN_TOPIC")))
+    edges = edges.union(kept(of_facts.select("seed", "of", F.col("fact").alias("a"), F.col("topic").alias("b"), F.lit("IN_TOPIC").alias("label")), topic_nodes))
+    reached = kept(in_facts.select("seed", "of", F.col("fact").alias("a"), F.col("entity").alias("b"), F.lit("MENTIONED_IN").alias("label")), inside)
+    return nodes, edges.union(reached.select("seed", "of", F.col("b"), F.col("a"), "label")).distinct()
+
+
+__all__ = ["canonicalise", "entity_counts", "entity_pairs", "entity_topics", "expand_graph", "explore", "fact_entities", "facts_filter", "graph_batches", "infer_relations", "merge_relations", "page", "propagate_max", "relations_filter", "topic_memories", "topics_of", "walk"]

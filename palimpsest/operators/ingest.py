@@ -162,19 +162,20 @@ def ingest(docs: DataFrame, force_root: bool = False, large: int = LARGE_TOKENS,
     """Memories and waypoints of documents (id, user_id, content_type, content).
 
     Short documents are one memory. Long ones are a root, which holds a summary and
-    has no vector, and a memory for each section, with a waypoint from the root.
+    has no vector, has a decay rate of its own and is in segment 1, and a memory for each
+    section, with a waypoint from the root. Other memories get their segment later.
     """
     tokens = T.estimate_tokens(F.col("content"))
     docs = docs.withColumn("estimated_tokens", tokens)
     is_large = F.lit(force_root) | (F.col("estimated_tokens") > large)
-    none = F.lit(None).cast("string")
-    single = docs.where(~is_large).select("id", "user_id", "content", F.lit("semantic").alias("primary_sector"), F.lit(0.4).alias("salience"), F.lit("single").alias("strategy"), none.alias("root_id"), F.lit(0).alias("section_index"), F.lit(0).alias("total_sections"))
+    none, rate = F.lit(None).cast("string"), F.lit(C.DECAY_RATES["semantic"])
+    single = docs.where(~is_large).select("id", "user_id", "content", F.lit("semantic").alias("primary_sector"), F.lit(0.4).alias("salience"), F.lit("single").alias("strategy"), none.alias("root_id"), F.lit(0).alias("section_index"), F.lit(0).alias("total_sections"), rate.alias("decay_lambda"), F.lit(None).cast("int").alias("segment"))
     parts = sections(docs.where(is_large), "content", size)
     counts = parts.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     root_text = F.concat(F.lit("[Document: "), F.upper("content_type"), F.lit("]\n\n"), T.truncated(F.col("content"), summary), F.lit("\n\n[Full content split across "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" sections]"))
-    roots = docs.where(is_large).join(counts, "id", "left").select("id", "user_id", root_text.alias("content"), F.lit("reflective").alias("primary_sector"), F.lit(1.0).alias("salience"), F.lit("root").alias("strategy"), none.alias("root_id"), F.lit(-1).alias("section_index"), F.coalesce("n", F.lit(0)).alias("total_sections"))
+    roots = docs.where(is_large).join(counts, "id", "left").select("id", "user_id", root_text.alias("content"), F.lit("reflective").alias("primary_sector"), F.lit(1.0).alias("salience"), F.lit("root").alias("strategy"), none.alias("root_id"), F.lit(-1).alias("section_index"), F.coalesce("n", F.lit(0)).alias("total_sections"), F.lit(0.1).alias("decay_lambda"), F.lit(1).alias("segment"))
     child_id = F.concat("id", F.lit("#"), F.col("section_index").cast("string"))
-    children = parts.select(child_id.alias("id"), "user_id", F.col("section").alias("content"), F.lit("semantic").alias("primary_sector"), F.lit(0.4).alias("salience"), F.lit("child").alias("strategy"), F.col("id").alias("root_id"), "section_index", "total_sections")
+    children = parts.select(child_id.alias("id"), "user_id", F.col("section").alias("content"), F.lit("semantic").alias("primary_sector"), F.lit(0.4).alias("salience"), F.lit("child").alias("strategy"), F.col("id").alias("root_id"), "section_index", "total_sections", rate.alias("decay_lambda"), F.lit(None).cast("int").alias("segment"))
     links = children.select(F.col("root_id").alias("src_id"), F.col("id").alias("dst_id"), "user_id", F.lit(1.0).alias("weight"))
     return single.unionByName(roots).unionByName(children), links
 

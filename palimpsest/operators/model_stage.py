@@ -97,6 +97,26 @@ def mentions(memories: DataFrame, text: str = "content") -> DataFrame:
     return memories.select("id", "user_id", F.explode(found).alias("text")).withColumn("entity_type", F.lit("OTHER"))
 
 
+def flatten_facts(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts and entity mentions of what a model found in the memories of topics (topic_id, user_id, memory_id, facts).
+
+    ``facts`` is an array of structs (what, fact_kind, confidence, entities; more
+    fields may follow), ``entities`` an array of structs (text, entity_type).
+    Facts: id, user_id, topic_id and the fields. Mentions: fact_id, user_id, text,
+    entity_type and the place in the fact; those without text go.
+    """
+    rows = extracted.select("topic_id", "user_id", "memory_id", F.posexplode("facts").alias("at", "f"))
+    rows = rows.withColumn("id", F.concat_ws(":", F.lit("f"), "topic_id", "memory_id", F.col("at").cast("string")))
+    facts = rows.select("id", "user_id", "topic_id", "memory_id", "f.*").drop("entities")
+    mentioned = rows.select(F.col("id").alias("fact_id"), "user_id", F.posexplode("f.entities").alias("place", "e"))
+    return facts, mentioned.select("fact_id", "user_id", "e.text", "e.entity_type", "place").where(F.coalesce(F.trim("text"), F.lit("")) != "")
+
+
+def accepted_sentences(rows: DataFrame) -> DataFrame:
+    """Sentences a model gave for a sector (sector, found, text) that are not empty and that a classifier found in it."""
+    return rows.where((F.coalesce(F.trim("text"), F.lit("")) != "") & (F.col("found") == F.col("sector")))
+
+
 def accept_relations(pairs: DataFrame, gate: int = 50, least: float = 0.7) -> DataFrame:
     """Relations of pairs after rules and a model (rule, model_relation, model_confidence): rule, else a sure model, else co-occurrence.
 

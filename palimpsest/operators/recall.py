@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions.vectors import cosine, with_norm
+from ..storage import checkpointed
 
 
 def ranked(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
@@ -111,8 +112,8 @@ def expand_waypoints(seeds: DataFrame, edges: DataFrame, limit: Column | None =
     for _ in range(rounds):
         grown = front.join(links, "id").select("query_id", F.col("dst_id").alias("id"), (F.col("weight") * F.col("w") * C.WAYPOINT_DAMPING).alias("weight"), F.concat("path", F.array("dst_id")).alias("path"), "budget").where(F.col("weight") >= C.WAYPOINT_LEAST)
         grown = grown.join(known, ["query_id", "id"], "left_anti")
-        # Each round reads the last one several times: keep it.
-        grown = ranked(grown, ["query_id", "id"], F.desc("weight"), "path").where("rank = 1").drop("rank").persist()
+        # Each round reads the last one several times.
+        grown = checkpointed(ranked(grown, ["query_id", "id"], F.desc("weight"), "path").where("rank = 1").drop("rank"))
         if grown.isEmpty():
             break
         known = known.union(grown.select("query_id", "id"))

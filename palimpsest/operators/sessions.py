@@ -50,23 +50,30 @@ def active_profile(profiles: DataFrame) -> DataFrame:
     return latest(profiles.where("is_active"), ["user_id"], F.col("updated_at"), "id")
 
 
-def session_batches(memories: DataFrame, users: DataFrame, cutoff: Column, least: int = 10) -> DataFrame:
-    """For each active user with enough pending memories their dialogue, in order of time."""
-    rows = memories.where(F.col("created_at") < cutoff).join(users.where("status = 1").select(F.col("id").alias("user_id")), "user_id", "left_semi")
-    batch = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("d")).where(F.col("n") >= least)
-    return batch.select("user_id", "n", F.transform("d", lambda x: x["id"]).alias("dialogue_ids"))
+def _pending(memories: DataFrame, users: DataFrame, cutoff: Column) -> DataFrame:
+    """Memories of active users before the cutoff."""
+    return memories.where(F.col("created_at") < cutoff).join(users.where("status = 1").select(F.col("id").alias("user_id")), "user_id", "left_semi")
+
+
+def session_batches(memories: DataFrame, users: DataFrame, cutoff: Column, least: int = 10, size: int = 200) -> DataFrame:
+    """The dialogue of each active user with at least ``least`` pending memories, in order of time, cut into batches of at most ``size``."""
+    rows = _pending(memories, users, cutoff).select("user_id", "created_at", "id")
+    enough = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= least).select("user_id")
+    numbered = ranked(rows.join(enough, "user_id", "left_semi"), ["user_id"], "created_at", "id")
+    batch = numbered.groupBy("user_id", F.floor((F.col("rank") - 1) / size).cast("int").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("d"))
+    return batch.select("user_id", "batch", "n", F.transform("d", lambda x: x["id"]).alias("dialogue_ids"))
 
 
 def profile_batches(memories: DataFrame, users: DataFrame, cutoff: Column) -> DataFrame:
-    """As ``session_batches``, of any size."""
-    return session_batches(memories, users, cutoff, least=1)
+    """How many memories of each active user are pending, and since when."""
+    return _pending(memories, users, cutoff).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("since"))
 
 
 def write_sessions(batches: DataFrame, summary: Column, memories: DataFrame, embed=None) -> tuple[DataFrame, DataFrame]:
-    """Session rows of batches (user_id, dialogue_ids) with the vector of their summary, and the memories with ``session_joined`` set for those in a session."""
+    """Session rows of batches (user_id, batch, dialogue_ids) with the vector of their summary, and the memories with ``session_joined`` set for those in a session."""
     from ..functions.embedding import embedded, hash_embed
 
-    rows = batches.select(F.concat("user_id", F.lit(":"), F.xxhash64("dialogue_ids").cast("string")).alias("id"), "user_id", summary.alias("summary"), "dialogue_ids")
+    rows = batches.select(F.concat("user_id", F.lit(":"), F.xxhash64("dialogue_ids").cast("string")).alias("id"), "user_id", "batch", summary.alias("summary"), "dialogue_ids")
     rows = rows.withColumn("v", embedded(F.col("summary"), embed or hash_embed))
     return rows, mark(memories, batches.select(F.explode("dialogue_ids").alias("id")), "session_joined")
 

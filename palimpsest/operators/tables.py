@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.convert import decrypted, encrypted
 from ..functions.vectors import padded
 
 CONDITION = re.compile(r"^\s*(?:\w+\.)?(\w+)\s*(<=|>=|!=|=|<|>)\s*(.+?)\s*$")
@@ -194,3 +195,22 @@ def route_content(df: DataFrame, type_col: str) -> tuple[DataFrame, DataFrame]:
     route = F.when(t.contains("pdf"), "pdf").when(t.contains("docx") | t.contains("word"), "docx").when(t.contains("html"), "html").when(t.contains("markdown") | (t == "md"), "markdown").when(t.contains("text") | (t == "txt"), "text")
     routed = df.withColumn("route", route)
     return routed.where(F.col("route").isNotNull()), routed.where(F.col("route").isNull())
+
+
+def _with_keys(df: DataFrame, users: DataFrame) -> DataFrame:
+    """``df`` with the key of each row's user (users: id, encryption_key; one row a user) as ``__key``."""
+    return df.join(users.select(F.col("id").alias("user_id"), F.col("encryption_key").alias("__key")), "user_id", "left")
+
+
+def seal(df: DataFrame, users: DataFrame, aad: dict[str, Column]) -> DataFrame:
+    """Encrypt columns with their user's key; ``aad`` gives each column's bound data. Rows of users without a key stay as they are."""
+    keyed = _with_keys(df, users)
+    sealed = {c: F.when(F.col("__key").isNull(), F.col(c)).otherwise(encrypted(F.col(c), F.col("__key"), data)) for c, data in aad.items()}
+    return keyed.withColumns(sealed).select(df.columns)
+
+
+def unseal(df: DataFrame, users: DataFrame, aad: dict[str, Column]) -> DataFrame:
+    """Decrypt columns with their user's key; what the key does not open stays as it is."""
+    keyed = _with_keys(df, users)
+    opened = {c: F.when(F.col("__key").isNull(), F.col(c)).otherwise(decrypted(F.col(c), F.col("__key"), data)) for c, data in aad.items()}
+    return keyed.withColumns(opened).select(df.columns)

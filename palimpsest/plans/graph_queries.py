@@ -38,8 +38,8 @@ def g5_walk(t: Tables) -> DataFrame:
 
 
 _EXPAND = f"""{_EDGES}, seedm AS (SELECT query_id, user_id, unnest(['d' || substr(user_id, 2), 'd' || (CAST(substr(user_id, 2) AS BIGINT) + 20)]) AS id FROM m_queries),
- st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, topic_id) AS r FROM (SELECT DISTINCT s.query_id, s.user_id, t.id AS topic_id, t.updated_at FROM seedm s JOIN (SELECT id, user_id, updated_at, unnest(dialogue_ids) AS m FROM m_topics) t ON t.m = s.id AND t.user_id = s.user_id)) WHERE r <= 10),
- sf AS (SELECT * FROM (SELECT st.query_id, st.user_id, f.id AS fact_id, row_number() OVER (PARTITION BY st.query_id ORDER BY f.confidence DESC, f.occurred_start DESC, f.id) AS r FROM st JOIN m_facts f ON f.topic_id = st.topic_id AND f.user_id = st.user_id) WHERE r <= 20),
+ st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, topic_id) AS r FROM (SELECT DISTINCT s.query_id, s.user_id, t.id AS topic_id, t.updated_at FROM seedm s JOIN (SELECT id, user_id, updated_at, unnest(dialogue_ids) AS m FROM m_topics) t ON t.m = s.id AND t.user_id = s.user_id)) WHERE r <= 20),
+ sf AS (SELECT * FROM (SELECT st.query_id, st.user_id, f.id AS fact_id, row_number() OVER (PARTITION BY st.query_id ORDER BY f.confidence DESC, f.occurred_start DESC, f.id) AS r FROM st JOIN m_facts f ON f.topic_id = st.topic_id AND f.user_id = st.user_id) WHERE r <= 40),
  sc AS (SELECT DISTINCT sf.query_id, sf.user_id, e.canonical_id FROM sf JOIN m_fact_entities e USING (fact_id)),
  w AS (SELECT query_id, nxt AS canonical_id, max(score) AS score FROM (SELECT s.query_id, e.nxt, 0.8 + e.gain * 0.8 AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY 0.8 + e.gain * 0.8 DESC, e.nxt, [s.canonical_id, e.nxt]) AS r FROM sc s JOIN edges e ON e.user_id = s.user_id AND e.node = s.canonical_id) WHERE r <= 200 GROUP BY 1, 2),
  tp AS (SELECT w.query_id, q.user_id, f.topic_id, max(w.score) AS score FROM w JOIN m_queries q USING (query_id) JOIN m_fact_entities e ON e.canonical_id = w.canonical_id JOIN m_facts f ON f.id = e.fact_id AND f.user_id = q.user_id GROUP BY 1, 2, 3),
@@ -51,7 +51,7 @@ def g4_expand_graph(t: Tables) -> DataFrame:
     own = F.concat(F.lit("d"), F.substring("user_id", 2, 9))
     other = F.concat(F.lit("d"), (F.substring("user_id", 2, 9).cast("long") + 20).cast("string"))
     seeds = t.queries.select("query_id", "user_id", F.explode(F.array(own, other)).alias("id"))
-    return graph.expand_graph(seeds, t.topics, t.facts, t.fact_entities, t.relations, t.memories, limit=10).select("query_id", "id", r6(F.col("score"), "score"))
+    return graph.expand_graph(seeds, t.topics, t.facts, t.fact_entities, t.relations, t.memories).select("query_id", "id", r6(F.col("score"), "score"))
 
 
 @query("""SELECT user_id, a, b, fact_id, CASE WHEN contains(said, 'because') OR contains(said, 'lead to') THEN 'CAUSES' WHEN contains(said, 'before') OR contains(said, 'after') OR contains(said, 'later') OR contains(said, 'earlier') THEN 'PRECEDES' ELSE 'CO_OCCURS_WITH' END AS edge_relation
@@ -100,34 +100,67 @@ def g10_topic_memories(t: Tables) -> DataFrame:
     return graph.topic_memories(t.topics, t.memories, "t42").select("id", "content")
 
 
-@query("""SELECT id, user_id, rank FROM (SELECT id, m.user_id, row_number() OVER (PARTITION BY m.user_id ORDER BY last_seen_at, id) AS rank, count(*) OVER (PARTITION BY m.user_id) AS n FROM m_memories m WHERE user_id IN (SELECT id FROM m_users WHERE status = 1)) WHERE n >= 30 AND rank <= 40""")
+@query("""SELECT id, user_id, rank FROM (SELECT id, m.user_id, row_number() OVER (PARTITION BY m.user_id ORDER BY last_seen_at, id) AS rank, count(*) OVER (PARTITION BY m.user_id) AS n FROM m_memories m WHERE user_id IN (SELECT id FROM m_users WHERE status = 1)) WHERE n >= 30 AND rank <= 100""")
 def g1_graph_batches(t: Tables) -> DataFrame:
     rows = t.memories.withColumn("created_at", F.col("last_seen_at"))
-    return graph.graph_batches(rows, t.users, most=40).select("id", "user_id", F.col("rank").cast("long").alias("rank"))
+    return graph.graph_batches(rows, t.users).select("id", "user_id", F.col("rank").cast("long").alias("rank"))
 
 
-_CANONICALISE = f"""old AS (SELECT 'c' || id AS id, user_id, 'Name ' || CAST(substr(id, 2) AS BIGINT) // 40 AS name, v FROM m_vectors WHERE CAST(substr(id, 2) AS BIGINT) % 3 = 0), men AS (SELECT id, user_id, 'name' || CAST(substr(id, 2) AS BIGINT) // 40 AS key, v FROM m_vectors WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 0),
- same AS (SELECT user_id, lower(replace(name, ' ', '')) AS key, min(id) AS same_id FROM old GROUP BY 1, 2)"""
+@query("""SELECT id, user_id, rank FROM (SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY last_seen_at, id) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT *, salience < 0.6 AS open FROM m_memories) WHERE open AND user_id IN (SELECT id FROM m_users WHERE status = 1)) WHERE n > 10 AND n < 40""")
+def g1_cold_batches(t: Tables) -> DataFrame:
+    rows = t.memories.where("salience < 0.6").withColumn("created_at", F.col("last_seen_at"))
+    return graph.graph_batches(rows, t.users, warm=40, cold=True).select("id", "user_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_CANONICALISE} SELECT m.id, s.same_id AS canonical_id FROM men m JOIN same s USING (user_id, key)")
+_CANONICALISE = f"""old AS (SELECT 'c' || id AS id, user_id, 'Name ' || CAST(substr(id, 2) AS BIGINT) // 40 AS name, v FROM m_vectors WHERE CAST(substr(id, 2) AS BIGINT) % 3 = 0), men AS (SELECT id, user_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 7 = 1 THEN 'new' || CAST(substr(id, 2) AS BIGINT) % 600 ELSE 'name' || CAST(substr(id, 2) AS BIGINT) // 40 END AS key, v FROM m_vectors WHERE CAST(substr(id, 2) AS BIGINT) % 3 <> 0),
+ same AS (SELECT user_id, lower(replace(name, ' ', '')) AS key, min(id) AS same_id FROM old GROUP BY 1, 2), opened AS (SELECT m.user_id, m.key, m.v FROM men m LEFT JOIN same s USING (user_id, key) WHERE same_id IS NULL),
+ near AS (SELECT user_id, key, arg_min(id, (-s, id)) AS near_id FROM (SELECT o.user_id, o.key, c.id, {R.sql_cosine('o.v', 'c.v')} AS s FROM opened o JOIN old c USING (user_id)) WHERE s >= 0.85 GROUP BY 1, 2),
+ lone AS (SELECT o.* FROM opened o LEFT JOIN near n USING (user_id, key) WHERE near_id IS NULL),
+ edges AS (SELECT a.user_id, a.key AS x, b.key AS y FROM lone a JOIN lone b ON a.user_id = b.user_id AND a.key <> b.key AND {R.sql_cosine('a.v', 'b.v')} >= 0.85),
+ reached(user_id, x, y) AS (SELECT user_id, x, y FROM edges UNION SELECT r.user_id, r.x, e.y FROM reached r JOIN edges e ON e.user_id = r.user_id AND e.x = r.y),
+ grp AS (SELECT user_id, x AS key, min(y) AS least_key FROM reached GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {_CANONICALISE} SELECT m.id, coalesce(same_id, near_id, 'e' || substr(sha256(user_id || '|OTHER|' || least(key, coalesce(least_key, key))), 1, 24)) AS canonical_id, same_id IS NULL AND near_id IS NULL AS is_new
+ FROM men m LEFT JOIN same USING (user_id, key) LEFT JOIN near USING (user_id, key) LEFT JOIN grp USING (user_id, key)""")
 def g2_canonicalise(t: Tables) -> DataFrame:
-    """Mentions whose key is known; the others go by vectors or are new, which tests cover."""
     k = F.substring("id", 2, 18).cast("long")
     v = t.vectors.select("id", "user_id", "v", F.lit("OTHER").alias("entity_type"), k.alias("k"))
     name = F.concat(F.lit("Name "), F.floor(F.col("k") / 40).cast("string"))
     old = v.where("k % 3 = 0").select(F.concat(F.lit("c"), "id").alias("id"), "user_id", name.alias("name"), "entity_type", "v")
-    found = graph.canonicalise(v.where("k % 3 <> 0").select("id", "user_id", F.lower(name).alias("text"), "entity_type", "v"), old)
-    return found.join(old.select("user_id", T.clean_entity(F.col("name")).alias("key")).distinct(), (found.user_id == old.user_id) & (T.clean_entity(F.col("text")) == F.col("key")), "left_semi").select("id", "canonical_id")
+    said = F.when(F.col("k") % 7 == 1, F.concat(F.lit("New "), (F.col("k") % 600).cast("string"))).otherwise(F.lower(name))
+    mentions = v.where("k % 3 <> 0").select("id", "user_id", said.alias("text"), "entity_type", "v")
+    return graph.canonicalise(mentions, old).select("id", "canonical_id", "is_new")
+
+
+def _explored(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """From every id divisible by 50: parts and suppliers, facts of such orders, topics."""
+    seeds = t.canonical.where(F.substring("id", 2, 18).cast("long") % 50 == 0).select(F.col("id").alias("seed"), F.lit("entity").alias("kind"))
+    order = F.regexp_extract("id", r"^f(\d+)-", 1).cast("long")
+    seeds = seeds.union(t.facts.where(order % 50 == 0).select("id", F.lit("fact"))).union(t.topics.where(F.substring("id", 2, 18).cast("long") % 50 == 0).select("id", F.lit("topic")))
+    return graph.explore(seeds, t.fact_entities, t.facts, t.topics, t.relations)
+
+
+_EXPLORE = """s AS (SELECT id AS seed, 'entity' AS of_kind FROM m_canonical WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0 UNION ALL SELECT id, 'fact' FROM m_facts WHERE CAST(regexp_extract(id, '^f([0-9]+)-', 1) AS BIGINT) % 50 = 0 UNION ALL SELECT id, 'topic' FROM m_topics WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0),
+ ends AS (SELECT source AS seed, target AS node, edge_relation FROM m_relations UNION SELECT target, source, edge_relation FROM m_relations), rel AS (SELECT seed, of_kind, node, edge_relation FROM s JOIN ends USING (seed) WHERE of_kind = 'entity'),
+ tf AS (SELECT f.id AS fact, f.topic_id AS topic FROM m_facts f JOIN m_topics t ON t.id = f.topic_id),
+ n1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node) AS r, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT DISTINCT seed, of_kind, node FROM rel WHERE seed <> node)),
+ n2 AS (SELECT *, row_number() OVER (PARTITION BY seed, of_kind ORDER BY node) AS r, count(*) OVER (PARTITION BY seed, of_kind) AS n FROM (SELECT DISTINCT seed, of_kind, fact_id AS node FROM s JOIN m_fact_entities ON canonical_id = seed WHERE of_kind = 'entity' UNION ALL SELECT seed, of_kind, fact FROM s JOIN tf ON topic = seed WHERE of_kind = 'topic')),
+ ft AS (SELECT seed, of_kind, node AS fact FROM n2 WHERE r <= 50 AND of_kind = 'entity' UNION ALL SELECT seed, of_kind, seed FROM s WHERE of_kind = 'fact'), ftt AS (SELECT DISTINCT seed, of_kind, fact, topic FROM ft JOIN tf USING (fact)),
+ n3 AS (SELECT *, row_number() OVER (PARTITION BY seed, of_kind ORDER BY node) AS r, count(*) OVER (PARTITION BY seed, of_kind) AS n FROM (SELECT DISTINCT seed, of_kind, topic AS node FROM ftt)),
+ fe AS (SELECT seed, of_kind, node AS fact FROM n2 WHERE r <= 50 AND of_kind = 'topic' UNION ALL SELECT seed, of_kind, seed FROM s WHERE of_kind = 'fact'), fee AS (SELECT DISTINCT seed, of_kind, fact, canonical_id AS entity FROM fe JOIN m_fact_entities ON fact_id = fact),
+ n4 AS (SELECT *, row_number() OVER (PARTITION BY seed, of_kind ORDER BY node) AS r, count(*) OVER (PARTITION BY seed, of_kind) AS n FROM (SELECT DISTINCT seed, of_kind, entity AS node FROM fee))"""
 
 
-@query("""WITH s AS (SELECT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey < 5), ends AS (SELECT source AS seed, target AS node FROM m_relations UNION SELECT target, source FROM m_relations), e1 AS (SELECT s.seed, e.node FROM s JOIN ends e USING (seed)),
- f AS (SELECT DISTINCT s.seed, e.fact_id AS node FROM s JOIN m_fact_entities e ON e.canonical_id = s.seed), tp AS (SELECT DISTINCT f.seed, x.topic_id AS node FROM f JOIN m_facts x ON x.id = f.node JOIN m_topics t ON t.id = x.topic_id)
- SELECT seed, kind, count(*) AS n FROM (SELECT seed, seed AS node, 'entity' AS kind FROM s UNION ALL SELECT seed, node, 'entity' FROM e1 UNION ALL SELECT seed, node, 'fact' FROM f UNION ALL SELECT seed, node, 'topic' FROM tp) GROUP BY 1, 2""")
+@query(f"WITH {_EXPLORE} SELECT seed, of_kind AS of, seed AS node, of_kind AS kind, 0 AS stage, false AS cut FROM s UNION ALL SELECT seed, of_kind, node, 'entity', 1, n > 50 FROM n1 WHERE r <= 50 UNION ALL SELECT seed, of_kind, node, 'fact', 2, n > 50 FROM n2 WHERE r <= 50 UNION ALL SELECT seed, of_kind, node, 'topic', 3, n > 50 FROM n3 WHERE r <= 50 UNION ALL SELECT seed, of_kind, node, 'entity', 4, n > 50 FROM n4 WHERE r <= 50")
 def g11_explore(t: Tables) -> DataFrame:
-    seeds = t.raw("supplier").where("s_suppkey < 5").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
-    nodes, _ = graph.explore(seeds, t.fact_entities, t.facts, t.topics, t.relations, most=1 << 30)
-    return nodes.groupBy("seed", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _explored(t)[0]
+
+
+@query(f"""WITH {_EXPLORE} SELECT DISTINCT * FROM (SELECT seed, of_kind AS of, seed AS a, node AS b, edge_relation AS label FROM rel SEMI JOIN (SELECT seed, node FROM n1 WHERE r <= 50) USING (seed, node) UNION ALL SELECT seed, of_kind, seed, node, 'MENTIONED_IN' FROM n2 WHERE r <= 50 AND of_kind = 'entity' UNION ALL SELECT seed, of_kind, node, seed, 'IN_TOPIC' FROM n2 WHERE r <= 50 AND of_kind = 'topic'
+ UNION ALL SELECT x.seed, x.of_kind, fact, topic, 'IN_TOPIC' FROM ftt x JOIN n3 ON n3.seed = x.seed AND n3.of_kind = x.of_kind AND n3.node = x.topic AND r <= 50 UNION ALL SELECT x.seed, x.of_kind, entity, fact, 'MENTIONED_IN' FROM fee x JOIN n4 ON n4.seed = x.seed AND n4.of_kind = x.of_kind AND n4.node = x.entity AND r <= 50)""")
+def g11_edges(t: Tables) -> DataFrame:
+    return _explored(t)[1]
 
 
 _PAIRED = """lv AS (SELECT *, s - least(0, min(s) OVER w) AS level FROM (SELECT *, sum(CASE role WHEN 'human' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY conv_id, turn) AS s FROM m_turns) WINDOW w AS (PARTITION BY user_id ORDER BY conv_id, turn)),
@@ -169,27 +202,29 @@ def w4_active_profiles(t: Tables) -> DataFrame:
     return ses.active_profile(p).select("user_id", "id")
 
 
-@query("""SELECT user_id, count(*) AS n, string_agg(id, ',' ORDER BY last_seen_at, id) AS dialogue FROM m_memories WHERE last_seen_at < TIMESTAMP '2024-01-20 00:00:00' AND user_id IN (SELECT id FROM m_users WHERE status = 1) GROUP BY 1 HAVING count(*) >= 10""")
+_BATCHES = "pend AS (SELECT id, user_id, last_seen_at, row_number() OVER (PARTITION BY user_id ORDER BY last_seen_at, id) AS r, count(*) OVER (PARTITION BY user_id) AS total FROM m_memories WHERE last_seen_at < TIMESTAMP '2024-01-31 23:59:59' AND user_id IN (SELECT id FROM m_users WHERE status = 1))"
+
+
+def _pending(t: Tables) -> DataFrame:
+    return t.memories.withColumn("created_at", F.col("last_seen_at"))
+
+
+@query(f"WITH {_BATCHES} SELECT user_id, CAST((r - 1) // 30 AS INT) AS batch, count(*) AS n, string_agg(id, ',' ORDER BY r) AS dialogue FROM pend WHERE total >= 10 GROUP BY 1, 2")
 def x1_session_batches(t: Tables) -> DataFrame:
-    m = t.memories.withColumn("created_at", F.col("last_seen_at"))
-    return ses.session_batches(m, t.users, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("user_id", "n", F.array_join("dialogue_ids", ",").alias("dialogue"))
+    return ses.session_batches(_pending(t), t.users, tab.day_cutoff(t.as_of), size=30).select("user_id", "batch", "n", F.array_join("dialogue_ids", ",").alias("dialogue"))
 
 
-@query("SELECT user_id, count(*) AS n, min(last_seen_at) AS first FROM m_memories WHERE last_seen_at < TIMESTAMP '2024-01-03 00:00:00' AND user_id IN (SELECT id FROM m_users WHERE status = 1) GROUP BY 1")
+@query(f"WITH {_BATCHES} SELECT user_id, count(*) AS n, min(last_seen_at) AS first FROM pend GROUP BY 1")
 def x3_profile_batches(t: Tables) -> DataFrame:
-    m = t.memories.withColumn("created_at", F.col("last_seen_at"))
-    b = ses.profile_batches(m, t.users, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"))
-    first = b.select("user_id", "n", F.get("dialogue_ids", F.lit(0)).alias("id"))
-    return first.join(t.memories.select("id", "last_seen_at"), "id").select("user_id", "n", F.col("last_seen_at").alias("first"))
+    return ses.profile_batches(_pending(t), t.users, tab.day_cutoff(t.as_of)).select("user_id", "n", F.col("since").alias("first"))
 
 
-@query()
+@query(f"""WITH {_BATCHES} SELECT user_id, CAST((r - 1) // 30 AS INT) AS batch, count(*) || ' memories' AS summary, 256 AS dim, sum(count(*)) OVER (PARTITION BY user_id)::BIGINT AS joined FROM pend WHERE total >= 10 GROUP BY 1, 2""")
 def x2_write_sessions(t: Tables) -> DataFrame:
-    m = t.memories.withColumn("created_at", F.col("last_seen_at"))
-    batches = ses.session_batches(m, t.users, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    batches = ses.session_batches(_pending(t), t.users, tab.day_cutoff(t.as_of), size=30)
     rows, marked = ses.write_sessions(batches, F.format_string("%d memories", "n"), t.memories)
     joined = marked.groupBy("user_id").agg(F.sum(F.col("session_joined").cast("long")).alias("joined"))
-    return rows.join(joined, "user_id").select("user_id", "summary", F.size("v").alias("dim"), "joined")
+    return rows.join(joined, "user_id").select("user_id", "batch", "summary", F.size("v").alias("dim"), "joined")
 
 
 @query("""SELECT user_id, CAST(session_no AS BIGINT) AS session_no, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) // 1000000 <= 600 THEN 0 ELSE 1 END AS fresh FROM m_hits)) GROUP BY 1, 2""")
@@ -199,11 +234,11 @@ def b5_gap_sessions(t: Tables) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT user_id, id, tags[1] AS lang, 'src/' || tags[2] || '.py' AS path, feedback_score % 3 = 0 AS saved, last_seen_at FROM m_memories), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_seen_at DESC, id) AS r FROM m)
- SELECT user_id, 'Active in Unknown Project using ' || array_to_string(list_sort(list_distinct(list(lang))), ', ') || '. Focused on ' || array_to_string(list_sort(list_distinct(list(split_part(path, '/', 2))))[1:3], ', ') || '. (' || count(*) || ' memories, ' || CAST(sum(saved::INT) AS BIGINT) || ' saves). Last active: ' || strftime(max(last_seen_at), '%Y-%m-%d %H:%M:%S') || '.' AS summary FROM r WHERE r <= 30 GROUP BY 1""")
+ SELECT user_id, 'Active in Unknown Project using ' || array_to_string(list_sort(list_distinct(list(lang))), ', ') || '. Focused on ' || array_to_string(list_sort(list_distinct(list(split_part(path, '/', 2))))[1:3], ', ') || '. (' || count(*) || ' memories, ' || CAST(sum(saved::INT) AS BIGINT) || ' saves). Last active: ' || strftime(max(last_seen_at), '%Y-%m-%d %H:%M:%S') || '.' AS summary FROM r WHERE r <= 100 GROUP BY 1""")
 def a10_user_summaries(t: Tables) -> DataFrame:
     path = F.concat(F.lit("src\\"), F.get("tags", F.lit(1)), F.lit(".py"))
     meta = F.to_json(F.struct(F.get("tags", F.lit(0)).alias("language"), path.alias("ide_file_path"), F.when(F.col("feedback_score") % 3 == 0, "save").otherwise("open").alias("ide_event_type")))
-    return ses.user_summaries(t.memories.select("id", "user_id", F.col("last_seen_at").alias("created_at"), meta.alias("meta")), most=30)
+    return ses.user_summaries(t.memories.select("id", "user_id", F.col("last_seen_at").alias("created_at"), meta.alias("meta")))
 
 
 @query("SELECT user_id, tag, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, tag) AS r FROM (SELECT user_id, id AS tag, (CAST(substr(id, 2) AS BIGINT) * 7919) % 1000 / 1000.0::DOUBLE AS w FROM m_memories) WHERE w >= 0.5) WHERE r <= 15")
@@ -213,15 +248,22 @@ def x5_compact_tags(t: Tables) -> DataFrame:
     return ses.compact_tags(tags, "w", ses.MOST_TAGS, "tag").select("user_id", "tag", r6(F.col("w"), "w"))
 
 
-@query()
+@query("""WITH w AS (SELECT user_id, tags[2] AS name, feedback_score >= 4 AS new, max(salience) AS weight FROM m_memories GROUP BY 1, 2, 3)
+ SELECT user_id, name, weight, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, name) AS place FROM (SELECT user_id, name, coalesce(max(weight) FILTER (new), max(weight)) AS weight FROM w GROUP BY 1, 2) WHERE weight >= 0.5 QUALIFY place <= 15""")
 def x4_merge_profiles(t: Tables) -> DataFrame:
-    weight = F.col("salience")
-    tags = F.collect_list(F.struct(F.get("tags", F.lit(1)).alias("name"), weight.alias("weight")))
+    """Profiles of tags (each user's heaviest 50), merged: the newer weight of a tag holds."""
 
     def profile(rows: DataFrame) -> DataFrame:
-        return rows.orderBy("id").groupBy("user_id").agg(F.to_json(F.struct(tags.alias("tags"))).alias("profile"))
+        tags = rows.groupBy("user_id", F.get("tags", F.lit(1)).alias("name")).agg(F.max("salience").alias("weight"))
+        top = recall.ranked(tags, ["user_id"], F.desc("weight"), "name").where(F.col("rank") <= ses.MOST_ITEMS)
+        listed = F.array_sort(F.collect_list(F.struct("rank", "name", "weight")))
+        return top.groupBy("user_id").agg(F.to_json(F.struct(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["weight"].alias("weight"))).alias("tags"))).alias("profile"))
 
-    return ses.merge_profiles(profile(t.memories.where("feedback_score < 4")), profile(t.memories.where("feedback_score >= 4")))
+    merged = ses.merge_profiles(profile(t.memories.where("feedback_score < 4")), profile(t.memories.where("feedback_score >= 4")))
+    tags = F.from_json("profile", "tags array<struct<name:string,weight:double>>")["tags"]
+    rows = merged.select("user_id", F.inline(tags))
+    # Equal weights keep the order of the lists, which SQL cannot follow: by name here.
+    return recall.ranked(rows, ["user_id"], F.desc("weight"), "name", name="place").withColumn("place", F.col("place").cast("long"))
 
 
 @query()
@@ -251,6 +293,26 @@ def i3_strategies(t: Tables) -> DataFrame:
     return ingest.ingest(docs)[0].where("strategy <> 'child'").select("id", "strategy")
 
 
+_LARGE = "big AS (SELECT id, user_id, content, len(regexp_extract_all(regexp_replace(content, '[^\\x00-\\x7F]', ' ', 'g'), '[^\\x20\\x09-\\x0D]+')) + len(regexp_extract_all(content, '[^\\x00-\\x7F\\s]')) AS n FROM m_memories)"
+
+
+@query(f"WITH {_LARGE} SELECT id, user_id, primary_sector, 1.0::DOUBLE AS salience, 0.1::DOUBLE AS decay_lambda, 1 AS segment, '[Document: TEXT]' || chr(10) || chr(10) || CASE WHEN length(content) <= 200 THEN content ELSE substr(content, 1, 200) || '...' END || chr(10) || chr(10) || '[Full content split across ' AS head FROM (SELECT *, 'reflective' AS primary_sector FROM big) WHERE n > 200")
+def i4_roots(t: Tables) -> DataFrame:
+    docs = t.memories.select("id", "user_id", F.lit("text").alias("content_type"), "content")
+    roots = ingest.ingest(docs)[0].where("strategy = 'root'")
+    return roots.select("id", "user_id", "primary_sector", "salience", "decay_lambda", "segment", F.regexp_replace("content", r"\d+ sections\]\z", "").alias("head"))
+
+
+@query(f"WITH {_LARGE} SELECT id AS src_id, user_id, 1.0::DOUBLE AS weight FROM big WHERE n > 200")
+def i5_links(t: Tables) -> DataFrame:
+    """Each root has links to its sections, all of weight 1; their number is the root's own."""
+    docs = t.memories.select("id", "user_id", F.lit("text").alias("content_type"), "content")
+    memories, links = ingest.ingest(docs)
+    n = links.groupBy("src_id", "user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst_id").alias("d"), F.min("weight").alias("weight"))
+    roots = memories.where("strategy = 'root'").select(F.col("id").alias("src_id"), "total_sections")
+    return n.join(roots, "src_id").where("n = total_sections AND d = n").select("src_id", "user_id", "weight")
+
+
 @query("SELECT id, 0.4 + 0.1 * (CAST(substr(id, 2) AS BIGINT) % 3) AS salience, CASE primary_sector WHEN 'episodic' THEN 0.015 WHEN 'semantic' THEN 0.005 WHEN 'procedural' THEN 0.008 WHEN 'emotional' THEN 0.02 ELSE 0.001 END AS decay_lambda FROM m_memories")
 def i6_new_memories(t: Tables) -> DataFrame:
     k = F.substring("id", 2, 18).cast("long") % 3
@@ -298,12 +360,82 @@ def b2_accepted_topics(t: Tables) -> DataFrame:
     return model_stage.accepted_topics(t.topics, t.memories)[0].select("id", "user_id", F.array_join("dialogue_ids", ",").alias("dialogue"))
 
 
-@query()
+@query("""WITH s AS (SELECT id, user_id, string_split(content, ' ') AS w FROM m_memories), x AS (SELECT id, user_id, regexp_extract(w[i], '^[A-Z][a-z]+') AS text, w[i - 1] AS before FROM s, unnest(range(2, len(w) + 1)) AS u(i))
+ SELECT DISTINCT id, user_id, text FROM x WHERE text <> '' AND regexp_matches(before, '[a-z,]$')""")
 def b3_mentions(t: Tables) -> DataFrame:
-    """The default extraction. (SQL engines differ in the look-behind it needs.)"""
+    """The default extraction."""
     return model_stage.mentions(t.memories).select("id", "user_id", "text")
 
 
+_SAID = """x AS (SELECT t.id AS topic_id, t.user_id, m.id AS memory_id, length(m.content) AS n FROM (SELECT id, user_id, unnest(dialogue_ids) AS m FROM m_topics) t JOIN m_memories m ON m.id = t.m AND m.user_id = t.user_id WHERE m.content IS NOT NULL), y AS (SELECT DISTINCT * FROM x)"""
+
+
+def _extracted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A stand-in extractor: one fact a memory of a topic, with one or two entities by the length of the text."""
+    flat = t.topics.select(F.col("id").alias("topic_id"), "user_id", F.explode("dialogue_ids").alias("memory_id")).distinct()
+    said = flat.join(t.memories.select(F.col("id").alias("memory_id"), "user_id", "content"), ["memory_id", "user_id"]).where("content IS NOT NULL")
+    n = F.char_length("content")
+    entity = lambda k: F.struct(F.concat(F.lit("Name "), k.cast("string")).alias("text"), F.lit("OTHER").alias("entity_type"))
+    facts = F.array(F.struct(F.concat(F.lit("chars "), n.cast("string")).alias("what"), F.lit("conversation").alias("fact_kind"), (n % 10 / 10.0).alias("confidence"), F.when(n % 2 == 0, F.array(entity(n % 5), entity(n % 3 + 10))).otherwise(F.array(entity(n % 5))).alias("entities")))
+    return model_stage.flatten_facts(said.select("topic_id", "user_id", "memory_id", facts.alias("facts")))
+
+
+@query(f"WITH {_SAID} SELECT 'f:' || topic_id || ':' || memory_id || ':0' AS id, user_id, topic_id, 'chars ' || n AS what, n % 10 / 10.0::DOUBLE AS confidence FROM y")
+def b3_facts(t: Tables) -> DataFrame:
+    return _extracted(t)[0].select("id", "user_id", "topic_id", "what", "confidence")
+
+
+@query(f"WITH {_SAID} SELECT 'f:' || topic_id || ':' || memory_id || ':0' AS fact_id, user_id, 'Name ' || e AS text, CAST(p AS INT) AS place FROM (SELECT *, n % 5 AS e, 0 AS p FROM y UNION ALL SELECT *, n % 3 + 10, 1 FROM y WHERE n % 2 = 0)")
+def b3_entities(t: Tables) -> DataFrame:
+    return _extracted(t)[1].select("fact_id", "user_id", "text", "place")
+
+
+@query("SELECT id, user_id, session_id FROM (SELECT m.id, m.user_id, t.id AS session_id, row_number() OVER (PARTITION BY m.id ORDER BY t.updated_at, t.id) AS r FROM (SELECT id, user_id, updated_at, unnest(dialogue_ids) AS m FROM m_topics) t JOIN m_memories m ON m.id = t.m AND m.user_id = t.user_id) WHERE r = 1")
+def b5_one_session_each(t: Tables) -> DataFrame:
+    """Topics stand for the sessions of a model."""
+    said = t.topics.select(F.col("id").alias("session_id"), "user_id", F.col("updated_at").alias("started"), F.explode("dialogue_ids").alias("id")).join(t.memories.select("id", "user_id"), ["id", "user_id"], "left_semi")
+    return model_stage.one_session_each(said).select("id", "user_id", "session_id").distinct()
+
+
+def _said_again(rows):
+    """A stand-in model for sentences: it fails for some, and says nothing for others."""
+    n = rows["content"].str.len()
+    if (n % 5 == 0).any():
+        raise ValueError("no")
+    return (rows["content"].str.slice(0, 20).str.upper()).where(n % 3 > 0, " ").to_frame("said")
+
+
+@query("SELECT id, CASE WHEN length(content) % 5 = 0 OR length(content) % 3 = 0 OR trim(upper(substr(content, 1, 20))) = '' THEN content ELSE trim(upper(substr(content, 1, 20))) END AS text FROM m_memories WHERE content IS NOT NULL AND regexp_full_match(content, '[\\x00-\\x7F]*')")
+def b7_kept_on_failure(t: Tables) -> DataFrame:
+    """A translation keeps the text where the model failed or gave nothing. (Engines differ in upper case beyond ASCII.)"""
+    rows = t.memories.where(F.col("content").isNotNull() & F.col("content").rlike(r"\A[\x00-\x7F]*\z")).select("id", "content")
+    out = model_stage.model_stage(rows, _said_again, "said string")
+    return out.select("id", model_stage.kept_on_failure(out, "content", "said").alias("text"))
+
+
+@query("SELECT query_id, sector, 'q' || n AS text FROM (SELECT query_id, primary_sector AS sector, length(text) % 4 AS n, length(text) % 7 AS k FROM m_queries) WHERE k > 1")
+def b7_sentences(t: Tables) -> DataFrame:
+    """Sentences a model gave for a sector: those that its own check puts elsewhere, or that are empty, go."""
+    n = F.char_length("text")
+    found = F.when(n % 7 == 0, F.lit("unknown")).otherwise(F.col("primary_sector"))
+    said = F.when(n % 7 == 1, F.lit("  ")).otherwise(F.concat(F.lit("q"), (n % 4).cast("string")))
+    return model_stage.accepted_sentences(t.queries.select("query_id", F.col("primary_sector").alias("sector"), found.alias("found"), said.alias("text"))).select("query_id", "sector", "text")
+
+
+@query("SELECT count(*) AS n, CAST(sum((length(content) % 5 <> 0)::INT) AS BIGINT) AS completed, CAST(sum((length(content) % 5 = 0)::INT) AS BIGINT) AS failed FROM m_memories WHERE content IS NOT NULL")
+def a16_stage_counters(t: Tables) -> DataFrame:
+    """The counters that a run of a stage leaves behind."""
+
+    def fn(rows):
+        if (rows["content"].str.len() % 5 == 0).any():
+            raise ValueError("no")
+        return rows[["content"]].assign(n=rows["content"].str.len())[["n"]]
+
+    rows, seen = model_stage.observed(model_stage.model_stage(t.memories.where("content IS NOT NULL").select("id", "content"), fn, "n long"))
+    rows.write.format("noop").mode("overwrite").save()
+    return t.spark.createDataFrame([(seen.get["n"], seen.get["completed"], seen.get["failed"])], "n long, completed long, failed long")
+
+
 @query("""SELECT fact_id, a, b, CASE WHEN rule IS NOT NULL THEN rule WHEN n <= 50 AND mc >= 0.7 THEN mr ELSE 'CO_OCCURS_WITH' END AS edge_relation, CASE WHEN rule IS NOT NULL THEN 'RULE' WHEN n <= 50 AND mc >= 0.7 THEN 'LLM' ELSE 'FALLBACK' END AS inference_source
  FROM (SELECT x.fact_id, x.canonical_id AS a, y.canonical_id AS b, CASE WHEN length(x.canonical_id) % 3 = 0 THEN 'CAUSES' END AS rule, 'KNOWS' AS mr, length(x.fact_id || y.canonical_id) % 10 / 10.0::DOUBLE AS mc, count(*) OVER (PARTITION BY x.fact_id) AS n FROM m_fact_entities x JOIN m_fact_entities y ON x.fact_id = y.fact_id AND x.canonical_id < y.canonical_id)""")
 def b4_accept_relations(t: Tables) -> DataFrame:

@@ -77,20 +77,17 @@ def f14_decay_compressed(t: Tables) -> DataFrame:
     return t.vectors.select("id", F.posexplode(v).alias("i", "y")).select("id", F.col("i").cast("long").alias("i"), r6(F.col("y"), "x"))
 
 
-@query("""WITH RECURSIVE texts AS (SELECT doc_id, substr(text, 1, 40) AS s FROM documents),
- h AS (SELECT doc_id, s, 0 AS i, CAST(2166136261 AS BIGINT) AS h FROM texts UNION ALL SELECT doc_id, s, i + 1, (xor(h, unicode(s[i + 1])::BIGINT) * 16777619) & 4294967295 FROM h WHERE i < length(s)),
- x AS (SELECT doc_id, 0 AS k, CASE WHEN h = 0 THEN 1 ELSE h END AS x FROM h WHERE i = length(s) UNION ALL
-   SELECT doc_id, k + 1, xor(c, (c << 5) & 4294967295) FROM (SELECT doc_id, k, xor(b, b >> 17) AS c FROM (SELECT doc_id, k, xor(x, (x << 13) & 4294967295) AS b FROM x WHERE k < 32)))
- SELECT doc_id, k - 1 AS i, round((x / 4294967295.0::DOUBLE * 2 - 1) / sqrt(sum((x / 4294967295.0::DOUBLE * 2 - 1) ** 2) OVER (PARTITION BY doc_id)), 6) AS x FROM x WHERE k > 0""")
+@query()
 def f15_fingerprints(t: Tables) -> DataFrame:
-    d = t.raw("documents").select("doc_id", F.posexplode(V.fingerprint(F.substring("text", 1, 40))).alias("i", "y"))
+    """Of whole texts; a recursive query by character is out of reach for SQL here, tests compare with plain Python."""
+    d = t.documents.select("doc_id", F.posexplode(V.fingerprint(F.coalesce("text", F.lit("")))).alias("i", "y"))
     return d.select("doc_id", F.col("i").cast("long").alias("i"), r6(F.col("y"), "x"))
 
 
 @query()
 def f16_hash_embeddings(t: Tables) -> DataFrame:
     v = vectorise(t.texts.withColumn("sectors", F.array("primary_sector")))
-    return v.select("id", "sector", "dim", r6(V.norm(V.doubles(F.col("v"))), "norm"))
+    return v.select("id", "sector", "dim", "v")
 
 
 @query(f"""SELECT q AS query_sector, m AS memory_sector, {R.sql_penalty('q', 'm')} AS penalty, {R.sql_resonance('m', 'q')} AS resonance, {R.sql_sector_weight('q', 'm')} AS weight, count(*) AS n
@@ -116,9 +113,15 @@ def r1_vector_recall(t: Tables) -> DataFrame:
     return recall.vector_recall(t.probes, t.vectors).select("query_id", "id", "sector", r6(F.col("similarity"), "similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-_BM25 = f"""toks AS (SELECT user_id, id, {R.sql_canonical_tokens('content')} AS w FROM m_memories),
- terms AS (SELECT user_id, id, term, len(any_value(w)) AS length, count(*) AS tf FROM (SELECT user_id, id, w, unnest(w) AS term FROM toks) GROUP BY 1, 2, 3),
- per_user AS (SELECT user_id, count(*) AS n, avg(len(w)) AS avg_length FROM toks GROUP BY 1),
+#: The canonical tokens of each memory; each different token is worked out once.
+_TOKS = f"""raw AS MATERIALIZED (SELECT id, unnest(range(0, len(t))) AS place, unnest(t) AS z FROM (SELECT id, {R.sql_tokens('content')} AS t FROM m_memories)), canon AS MATERIALIZED (SELECT z, {R.sql_canonical('z')} AS c FROM (SELECT DISTINCT z FROM raw)),
+ toks AS MATERIALIZED (SELECT m.user_id, m.id, coalesce(x.w, []) AS w FROM m_memories m LEFT JOIN (SELECT id, list(c ORDER BY place) AS w FROM raw JOIN canon USING (z) WHERE length(c) > 1 GROUP BY 1) x USING (id))"""
+
+
+def _bm25_sql(where: str = "true") -> str:
+    return f"""{_TOKS}, held AS (SELECT * FROM toks WHERE {where}),
+ terms AS (SELECT user_id, id, term, len(any_value(w)) AS length, count(*) AS tf FROM (SELECT user_id, id, w, unnest(w) AS term FROM held) GROUP BY 1, 2, 3),
+ per_user AS (SELECT user_id, count(*) AS n, avg(len(w)) AS avg_length FROM held GROUP BY 1),
  dfs AS (SELECT user_id, term, count(*) AS df FROM terms GROUP BY 1, 2),
  asked AS (SELECT query_id, user_id, top_k, unnest(list_distinct({R.sql_canonical_tokens('text')})) AS term FROM m_queries),
  bm AS (SELECT query_id, top_k, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))) AS bm25
@@ -126,6 +129,9 @@ _BM25 = f"""toks AS (SELECT user_id, id, {R.sql_canonical_tokens('content')} AS
  bmr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, id) AS rank FROM bm) WHERE rank <= top_k * 3)"""
 
 
+_BM25 = _bm25_sql()
+
+
 @query(f"WITH {_BM25} SELECT query_id, id, round(bm25, 6) AS bm25, rank FROM bmr")
 def r2_bm25_recall(t: Tables) -> DataFrame:
     return recall.bm25_recall(t.queries, t.texts).select("query_id", "id", r6(F.col("bm25"), "bm25"), F.col("rank").cast("long").alias("rank"))
@@ -160,10 +166,25 @@ def waypoints(t: Tables) -> DataFrame:
 _WAYPOINTS = "way AS (SELECT dialogue_ids[1] AS src_id, dialogue_ids[2] AS dst_id, user_id, count(*) % 7 / 7.0::DOUBLE + 0.3 AS weight FROM m_topics WHERE dialogue_ids[1] <> dialogue_ids[2] GROUP BY 1, 2, 3)"
 
 
-@query()
+def _rounds_sql(seeds: str, budget: str | None = None) -> str:
+    """Waypoint rounds from ``seeds`` (query_id, id), one after another; ``budget`` (query_id, budget) stops a query. Ends in ``walked``."""
+    out = [f"k0 AS MATERIALIZED (SELECT DISTINCT query_id, id FROM {seeds})", "f0 AS MATERIALIZED (SELECT query_id, id, 1.0::DOUBLE AS weight, [id] AS path FROM k0)"]
+    for i in range(1, 12):
+        w, path = "f.weight * greatest(0.0, least(1.0, w.weight)) * 0.8", "list_append(f.path, w.dst_id)"
+        out.append(f"""g{i} AS MATERIALIZED (SELECT query_id, id, weight, path FROM (SELECT f.query_id, w.dst_id AS id, {w} AS weight, {path} AS path, row_number() OVER (PARTITION BY f.query_id, w.dst_id ORDER BY {w} DESC, {path}) AS r
+ FROM f{i - 1} f JOIN way w ON w.src_id = f.id LEFT JOIN k{i - 1} k ON k.query_id = f.query_id AND k.id = w.dst_id WHERE k.id IS NULL AND {w} >= 0.1) WHERE r = 1)""")
+        out.append(f"k{i} AS MATERIALIZED (SELECT * FROM k{i - 1} UNION ALL SELECT query_id, id FROM g{i})")
+        met = " UNION ALL ".join(f"SELECT query_id FROM g{j}" for j in range(1, i + 1))
+        stop = f" JOIN (SELECT query_id, count(*) AS met FROM ({met}) GROUP BY 1) USING (query_id) JOIN {budget} USING (query_id) WHERE met < budget" if budget else ""
+        out.append(f"f{i} AS MATERIALIZED (SELECT query_id, id, weight, path FROM g{i}{stop})")
+    out.append("walked AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(1, 12)) + ")")
+    return ", ".join(out)
+
+
+@query(f"WITH {_WAYPOINTS}, starts AS (SELECT query_id, probe_vec AS id FROM m_queries), {_rounds_sql('starts')} SELECT query_id, id, round(weight, 6) AS weight, len(path) AS steps FROM walked")
 def r4_expand_waypoints(t: Tables) -> DataFrame:
     seeds = t.queries.select("query_id", F.col("probe_vec").alias("id"))
-    return recall.expand_waypoints(seeds, waypoints(t)).select("query_id", "id", r6(F.col("weight"), "weight"), F.size("path").alias("steps"))
+    return recall.expand_waypoints(seeds, waypoints(t)).select("query_id", "id", r6(F.col("weight"), "weight"), F.size("path").cast("long").alias("steps"))
 
 
 @query(f"""WITH {_WAYPOINTS}, hop AS (SELECT q.query_id, w.dst_id AS id, max(least(1.0, w.weight) * 0.8) AS weight FROM m_queries q JOIN way w ON w.src_id = q.probe_vec WHERE w.dst_id <> q.probe_vec GROUP BY 1, 2)
@@ -174,7 +195,11 @@ def r4_first_waypoints(t: Tables) -> DataFrame:
     return recall.expand_waypoints(seeds, waypoints(t), F.lit(1)).select("query_id", "id", r6(F.col("weight"), "weight"))
 
 
-_FUSED = f"fused AS (SELECT query_id, id, sum(s * w) / sum(w) AS fusion FROM (SELECT p.query_id, c.id, {R.sql_cosine('v.v', 'p.qv')} AS s, {R.sql_sector_weight('p.primary_sector', 'v.sector')} AS w FROM (SELECT DISTINCT query_id, id FROM vec) c JOIN m_probes p USING (query_id) JOIN m_vectors v ON v.id = c.id) GROUP BY 1, 2)"
+def _fused_sql(cand: str) -> str:
+    return f"fused AS (SELECT query_id, id, sum(s * w) / sum(w) AS fusion FROM (SELECT p.query_id, c.id, {R.sql_cosine('v.v', 'p.qv')} AS s, {R.sql_sector_weight('p.primary_sector', 'v.sector')} AS w FROM (SELECT DISTINCT query_id, id FROM {cand}) c JOIN m_probes p USING (query_id) JOIN m_vectors v ON v.id = c.id) GROUP BY 1, 2)"
+
+
+_FUSED = _fused_sql("vec")
 
 
 @query(f"WITH {_VECTOR}, {_FUSED} SELECT query_id, id, round(fusion, 6) AS fusion FROM fused")
@@ -183,23 +208,29 @@ def a8_fusion(t: Tables) -> DataFrame:
     return ranking.fusion(pairs, t.vectors, t.probes).select("query_id", "id", r6(F.col("fusion"), "fusion"))
 
 
-_FEATURES = f"""{_VECTOR}, {_KS}, {_FUSED}, {_BM25}, cand AS (SELECT query_id, id FROM vec UNION SELECT query_id, id FROM bmr),
- qs AS (SELECT *, list_distinct({R.sql_canonical_tokens('text')}) AS toks FROM m_queries),
+def _scored_sql(way: str = "NULL", bonus: str = "0", joins: str = "", where: str = "true") -> str:
+    """Features and scores of ``cand`` (query_id, id); ``joins`` brings the weight of waypoints and the graph's bonus."""
+    return f"""qs AS (SELECT *, list_distinct({R.sql_canonical_tokens('text')}) AS toks FROM m_queries),
  feats AS (SELECT c.query_id, c.id, {R.sql_penalty('q.primary_sector', 'm.primary_sector')} AS penalty,
    greatest({R.sql_resonance('m.primary_sector', 'q.primary_sector')} * coalesce(f.fusion, 0), coalesce(b.best, 0)) * {R.sql_penalty('q.primary_sector', 'm.primary_sector')} AS sim_adjust,
-   {R.sql_overlap('q.toks', f'list_distinct({R.sql_canonical_tokens("m.content")})')} AS overlap, {R.sql_keyword('q.toks', 'm.content')} * 0.15 AS keyword, {R.sql_recency('m.last_seen_at')} AS recency,
-   {R.sql_tag_match('m.tags', 'q.toks')} AS tag, {R.sql_decayed('m.primary_sector', 'm.salience', 'm.last_seen_at')} AS salience, m.tags
-   FROM cand c JOIN qs q USING (query_id) JOIN m_memories m ON m.id = c.id AND m.user_id = q.user_id LEFT JOIN (SELECT query_id, id, max(similarity) AS best FROM vec GROUP BY 1, 2) b ON b.query_id = c.query_id AND b.id = c.id
-   LEFT JOIN fused f ON f.query_id = c.query_id AND f.id = c.id),
- scored AS (SELECT *, {R.sql_clamp('1 / (1 + exp(-(0.35 * (1 - exp(-3.0 * sim_adjust)) + 0.2 * overlap + 0.1 * recency + 0.2 * tag + keyword)))')} AS score FROM feats)"""
+   {R.sql_overlap('q.toks', 'list_distinct(mt.w)')} AS overlap, {R.sql_keyword('q.toks', 'm.content')} * 0.15 AS keyword, {R.sql_recency('m.last_seen_at')} AS recency,
+   {R.sql_tag_match('m.tags', 'q.toks')} AS tag, {R.sql_decayed('m.primary_sector', 'm.salience', 'm.last_seen_at')} AS salience, m.tags, {R.sql_clamp(f'coalesce({way}, 0)')} AS waypoint, {bonus} AS graph_bonus
+   FROM cand c JOIN qs q USING (query_id) JOIN m_memories m ON m.id = c.id AND m.user_id = q.user_id JOIN toks mt ON mt.id = c.id LEFT JOIN (SELECT query_id, id, max(similarity) AS best FROM vec GROUP BY 1, 2) b ON b.query_id = c.query_id AND b.id = c.id
+   LEFT JOIN fused f ON f.query_id = c.query_id AND f.id = c.id {joins} WHERE {where}),
+ scored AS (SELECT *, {R.sql_clamp('1 / (1 + exp(-(0.35 * (1 - exp(-3.0 * sim_adjust)) + 0.2 * overlap + 0.15 * waypoint + 0.1 * recency + 0.2 * tag + keyword))) + graph_bonus')} AS score FROM feats)"""
+
+
+_CANDIDATES = f"{_VECTOR}, {_KS}, {_FUSED}, {_BM25}, cand AS (SELECT query_id, id FROM vec UNION SELECT query_id, id FROM bmr)"
+_FEATURES = f"{_CANDIDATES}, {_scored_sql()}"
 
 
-def scored(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scored(t: Tables, **limits: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored candidates by words and vectors, each query's k, and the vector recall."""
     found = recall.vector_recall(t.probes, t.vectors)
     docs = recall.term_index(t.queries, t.texts)
     cands = recall.candidates(vector=found, bm25=recall.bm25_recall(t.queries, t.memories, docs=docs))
-    rows = ranking.features(cands, recall.prepare_queries(t.queries), t.memories, t.vectors, t.probes, found, t.as_of, docs=docs)
+    asked = recall.prepare_queries(t.queries).withColumns(limits)
+    rows = ranking.features(cands, asked, t.memories, t.vectors, t.probes, found, t.as_of, docs=docs)
     return ranking.score(rows), recall.adaptive_k(found, t.queries), found
 
 
@@ -215,20 +246,66 @@ def r9_ranked_memories(t: Tables) -> DataFrame:
     return ranking.cut(rows.withColumn("score", F.round("score", 9)), ks).select("query_id", "id", r6(F.col("score"), "score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {_FEATURES}, {_SESSIONS}, mem AS (SELECT r.query_id, r.session_id, avg(s.score) AS avg_score, count(*) AS hits, avg(s.salience) AS salience FROM (SELECT query_id, session_id, unnest(list_distinct(dialogue_ids)) AS id FROM sessr) r JOIN scored s USING (query_id, id) GROUP BY 1, 2)
- SELECT r.query_id, 'session:' || r.session_id AS id, round({R.sql_clamp('0.55 * greatest(0.0, least(1.0, similarity)) + 0.3 * coalesce(avg_score, 0) + 0.15 * coalesce(hits, 0) / len(dialogue_ids)::DOUBLE')}, 6) AS score, round(coalesce(salience, 0), 6) AS salience
- FROM sessr r LEFT JOIN mem USING (query_id, session_id)""")
+@query(f"WITH {_CANDIDATES}, {_scored_sql(where='m.salience >= 0.4')} SELECT query_id, id, round(score, 6) AS score FROM scored")
+def p8_least_salience(t: Tables) -> DataFrame:
+    """The least salience of a query holds for what is stored, not for what is left of it."""
+    return scored(t, min_salience=F.lit(0.4))[0].select("query_id", "id", r6(F.col("score"), "score"))
+
+
+_SESSION_SCORES = f"""mem AS (SELECT r.query_id, r.session_id, avg(s.score) AS avg_score, count(*) AS hits, avg(s.salience) AS salience FROM (SELECT query_id, session_id, unnest(list_distinct(dialogue_ids)) AS id FROM sessr) r JOIN scored s USING (query_id, id) GROUP BY 1, 2),
+ sess_scored AS (SELECT r.query_id, 'session:' || r.session_id AS id, {R.sql_clamp('0.55 * greatest(0.0, least(1.0, similarity)) + 0.3 * coalesce(avg_score, 0) + 0.15 * coalesce(hits, 0) / len(dialogue_ids)::DOUBLE')} AS score, coalesce(salience, 0) AS salience
+ FROM sessr r LEFT JOIN mem USING (query_id, session_id))"""
+
+
+@query(f"WITH {_FEATURES}, {_SESSIONS}, {_SESSION_SCORES} SELECT query_id, id, round(score, 6) AS score, round(salience, 6) AS salience FROM sess_scored")
 def r11_session_scores(t: Tables) -> DataFrame:
     rows, ks, _ = scored(t)
     return ranking.session_scores(recall.session_recall(t.probes, sessions(t), ks), rows).select("query_id", "id", r6(F.col("score"), "score"), r6(F.col("salience"), "salience"))
 
 
-@query()
+_ATTACHED = f"""{_FEATURES}, {_SESSIONS}, {_SESSION_SCORES}, top AS (SELECT query_id, id, score, salience FROM (SELECT s.*, effective_k, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT query_id, id, round(score, 9) AS score, salience FROM scored) s JOIN ks USING (query_id)) WHERE r <= effective_k)"""
+
+
+def _attached(t: Tables, dedup: bool) -> DataFrame:
+    rows, ks, _ = scored(t)
+    rows = rows.withColumn("score", F.round("score", 9))
+    found = recall.session_recall(t.probes, sessions(t), ks)
+    out = ranking.attach_sessions(ranking.cut(rows, ks), rows, found, dedup)
+    return out.select("query_id", "id", r6(F.col("score"), "score"), r6(F.col("salience"), "salience"))
+
+
+@query(f"WITH {_ATTACHED} SELECT query_id, id, round(score, 6) AS score, round(salience, 6) AS salience FROM (SELECT * FROM top WHERE (query_id, id) NOT IN (SELECT query_id, unnest(dialogue_ids) FROM sessr) UNION ALL SELECT * FROM sess_scored)")
+def r11_attached_sessions(t: Tables) -> DataFrame:
+    """Sessions take the place of the memories they cover."""
+    return _attached(t, True)
+
+
+@query(f"WITH {_ATTACHED} SELECT query_id, id, round(score, 6) AS score, round(salience, 6) AS salience FROM (SELECT * FROM top UNION ALL SELECT * FROM sess_scored)")
+def r11_added_sessions(t: Tables) -> DataFrame:
+    return _attached(t, False)
+
+
+_SEARCH = f"""{_VECTOR}, {_KS}, {_bm25_sql("id IN (SELECT id FROM m_vectors)")}, {_SESSIONS}, {_WAYPOINTS},
+ early AS MATERIALIZED (SELECT query_id, id, 0 AS k FROM bmr UNION ALL SELECT query_id, id, 1 FROM vec UNION ALL SELECT query_id, unnest(dialogue_ids), 2 FROM sessr), weak AS (SELECT query_id, effective_k * 2 AS budget FROM ks WHERE avg_sim < 0.55), starts AS (SELECT DISTINCT query_id, id FROM early SEMI JOIN weak USING (query_id)), {_rounds_sql("starts", "weak")},
+ before AS MATERIALIZED (SELECT * FROM early UNION ALL SELECT query_id, id, 3 FROM walked), gseed AS (SELECT DISTINCT b.query_id, q.user_id, b.id, 2 * effective_k AS budget FROM before b JOIN m_probes q USING (query_id) JOIN ks USING (query_id)),
+ gt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC NULLS LAST, topic_id) AS r FROM (SELECT DISTINCT s.query_id, s.user_id, s.budget, t.id AS topic_id, t.updated_at FROM gseed s JOIN (SELECT id, user_id, updated_at, unnest(dialogue_ids) AS m FROM m_topics) t ON t.m = s.id AND t.user_id = s.user_id)) WHERE r <= budget),
+ gf AS (SELECT * FROM (SELECT gt.query_id, gt.user_id, gt.budget, f.id AS fact_id, row_number() OVER (PARTITION BY gt.query_id ORDER BY f.confidence DESC NULLS LAST, f.occurred_start DESC NULLS LAST, f.id) AS r FROM gt JOIN m_facts f ON f.topic_id = gt.topic_id AND f.user_id = gt.user_id) WHERE r <= 2 * budget),
+ gc AS (SELECT DISTINCT query_id, user_id, canonical_id FROM gf JOIN m_fact_entities USING (fact_id)),
+ ge AS (SELECT user_id, a AS node, b AS nxt, coalesce(confidence, 0) * {R.sql_edge_weight('edge_relation')} AS gain FROM (SELECT user_id, source AS a, target AS b, edge_relation, confidence FROM m_relations UNION ALL SELECT user_id, target, source, edge_relation, confidence FROM m_relations) WHERE (confidence IS NULL OR confidence >= 0.6) AND a <> b),
+ gw AS (SELECT query_id, user_id, nxt AS canonical_id, max(score) AS score FROM (SELECT s.query_id, s.user_id, e.nxt, 0.75 + e.gain * 0.75 AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY 0.75 + e.gain * 0.75 DESC, e.nxt, [s.canonical_id, e.nxt]) AS r FROM gc s JOIN ge e ON e.user_id = s.user_id AND e.node = s.canonical_id) WHERE r <= 120 GROUP BY 1, 2, 3),
+ gp AS (SELECT query_id, w.user_id, f.topic_id, max(score) AS score FROM gw w JOIN m_fact_entities e USING (canonical_id) JOIN m_facts f ON f.id = e.fact_id AND f.user_id = w.user_id GROUP BY 1, 2, 3),
+ gm AS (SELECT query_id, t.m AS id, {R.sql_clamp('max(gp.score)')} AS score FROM gp JOIN (SELECT id, user_id, unnest(dialogue_ids) AS m FROM m_topics) t ON t.id = gp.topic_id AND t.user_id = gp.user_id JOIN m_memories x ON x.id = t.m AND x.user_id = gp.user_id GROUP BY 1, 2),
+ graph AS MATERIALIZED (SELECT * FROM gm ANTI JOIN gseed USING (query_id, id)), cand AS MATERIALIZED (SELECT query_id, id, ['bm25', 'vector', 'session', 'waypoint', 'graph'][min(k) + 1] AS source FROM (SELECT * FROM before UNION ALL SELECT query_id, id, 4 FROM graph) GROUP BY 1, 2), {_fused_sql("cand")},
+ {_scored_sql("wk.weight", "least(0.12, coalesce(g.score, 0) * 0.12)", "LEFT JOIN walked wk ON wk.query_id = c.query_id AND wk.id = c.id LEFT JOIN graph g ON g.query_id = c.query_id AND g.id = c.id")}"""
+
+
+@query(f"WITH {_SEARCH} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score, source FROM scored JOIN cand USING (query_id, id) JOIN ks USING (query_id) QUALIFY rank <= effective_k")
 def r13_search(t: Tables) -> DataFrame:
+    """All five paths of recall, to ranked results."""
     from .search import search
 
-    tables = {"memories": t.memories.withColumns({"pair_id": F.lit(None).cast("string")}), "vectors": t.vectors, "sessions": sessions(t), "waypoints": waypoints(t), "topics": t.topics, "facts": t.facts, "fact_entities": t.fact_entities, "relations": t.relations}
-    return search(t.probes, tables, t.as_of).select("query_id", "id", "rank", r6(F.col("score"), "score"), "source")
+    tables = {"memories": t.memories.withColumns({"pair_id": F.lit(None).cast("string")}), "texts": t.texts, "vectors": t.vectors, "sessions": sessions(t), "waypoints": waypoints(t), "topics": t.topics, "facts": t.facts, "fact_entities": t.fact_entities, "relations": t.relations}
+    return search(t.probes, tables, t.as_of).select("query_id", "id", F.col("rank").cast("long").alias("rank"), r6(F.col("score"), "score"), "source")
 
 
 @query(f"SELECT id, round({R.sql_decayed('primary_sector', 'salience', 'last_seen_at')}, 6) AS salience, round({R.sql_recency('last_seen_at')}, 6) AS recency, {R.sql_tier('last_seen_at', 'feedback_score', 'salience')} AS tier FROM m_memories")
@@ -252,9 +329,13 @@ def a12_decay_report(t: Tables) -> DataFrame:
     return dynamics.decay_report(dynamics.decayed(t.memories, t.as_of))
 
 
-@query()
+@query(f"""WITH {_AGED}, w AS (SELECT id, unnest(range(0, len(t))) AS place, unnest(t) AS term FROM (SELECT id, {R.sql_canonical_tokens('content')} AS t FROM aged2 WHERE factor < 0.3)), n AS (SELECT id, term, count(*) AS n, min(place) AS place FROM w GROUP BY 1, 2),
+ words AS (SELECT id, string_agg(term, ' ' ORDER BY r) AS new_summary FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, place) AS r FROM n) WHERE r <= 3 GROUP BY 1),
+ sized AS (SELECT a.id, a.factor, v.v IS NOT NULL AS held, len(v.v) AS d, least(len(v.v), greatest(64, least(1536, CAST(floor(len(v.v) * factor) AS INT)))) AS keep FROM aged2 a LEFT JOIN m_vectors v ON v.id = a.id AND v.sector = a.primary_sector WHERE a.factor < 0.7),
+ vecs AS (SELECT id, CASE WHEN factor < 0.3 THEN 32 WHEN keep < d THEN CAST(ceil(d / ceil(d / keep::DOUBLE)) AS INT) END AS new_dim FROM sized)
+ SELECT id, changed OR new_dim IS NOT NULL OR factor < 0.3 AS changed, factor < 0.3 AS fingerprinted, new_summary, new_dim FROM aged2 LEFT JOIN words USING (id) LEFT JOIN vecs USING (id)""")
 def m4_decay_updates(t: Tables) -> DataFrame:
-    memories, vectors = dynamics.apply_decay(t.memories, t.vectors, t.as_of)
+    memories, vectors = dynamics.apply_decay(t.texts, t.vectors, t.as_of)
     return memories.join(vectors.select("id", F.col("dim").alias("new_dim")), "id", "left").select("id", "changed", "fingerprinted", "new_summary", "new_dim")
 
 
@@ -289,11 +370,11 @@ def m5b_propagated(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH new AS (SELECT id || '+' AS id, user_id, v, CAST(substr(id, 2) AS BIGINT) AS k FROM m_vectors), stored AS (SELECT m.id, m.user_id, v.v, row_number() OVER (PARTITION BY m.user_id ORDER BY m.salience DESC, m.last_seen_at DESC, m.id, v.sector) AS r FROM m_memories m JOIN m_vectors v ON v.id = m.id),
- sims AS (SELECT n.id, s.id AS best_id, {R.sql_cosine('n.v', 's.v')} AS s FROM new n JOIN stored s ON s.user_id = n.user_id AND s.r <= 10), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, best_id) AS r FROM sims WHERE s >= 0.95)
+ sims AS (SELECT n.id, s.id AS best_id, {R.sql_cosine('n.v', 's.v')} AS s FROM new n JOIN stored s ON s.user_id = n.user_id AND s.r <= 100), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, best_id) AS r FROM sims WHERE s >= 0.95)
  SELECT n.id, b.best_id, round(b.s, 6) AS similarity FROM new n LEFT JOIN best b ON b.id = n.id AND b.r = 1""")
 def m6_dedup_on_write(t: Tables) -> DataFrame:
     new = t.vectors.select(F.concat("id", F.lit("+")).alias("id"), "user_id", "v")
-    return dynamics.dedup_on_write(new, t.memories, t.vectors, cap=10).select("id", "best_id", r6(F.col("similarity"), "similarity"))
+    return dynamics.dedup_on_write(new, t.memories, t.vectors).select("id", "best_id", r6(F.col("similarity"), "similarity"))
 
 
 @query("SELECT id, CAST(floor((row_number() OVER (ORDER BY last_seen_at, id) - 1) / 300) AS INT) AS segment FROM m_memories")
@@ -302,11 +383,11 @@ def m7_segments(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH mem AS (SELECT v.id, v.user_id, v.v, m.last_seen_at AS created_at FROM m_vectors v JOIN m_memories m ON m.id = v.id), recent AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS r FROM mem),
- sims AS (SELECT n.id, r.id AS dst_id, {R.sql_cosine('n.v', 'r.v')} AS w FROM mem n JOIN recent r ON r.user_id = n.user_id AND r.r <= 15 AND r.id <> n.id), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, dst_id) AS k FROM sims WHERE w > 0)
+ sims AS (SELECT n.id, r.id AS dst_id, {R.sql_cosine('n.v', 'r.v')} AS w FROM mem n JOIN recent r ON r.user_id = n.user_id AND r.r <= 1000 AND r.id <> n.id), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, dst_id) AS k FROM sims WHERE w > 0)
  SELECT n.id AS src_id, coalesce(b.dst_id, n.id) AS dst_id, n.user_id, round(coalesce(b.w, 1.0), 6) AS weight FROM mem n LEFT JOIN best b ON b.id = n.id AND b.k = 1""")
 def m8_waypoints(t: Tables) -> DataFrame:
     rows = t.vectors.select("id", "user_id", "v").join(t.memories.select("id", F.col("last_seen_at").alias("created_at")), "id")
-    return dynamics.create_waypoints(rows, rows, cap=15).select("src_id", "dst_id", "user_id", r6(F.col("weight"), "weight"))
+    return dynamics.create_waypoints(rows, rows).select("src_id", "dst_id", "user_id", r6(F.col("weight"), "weight"))
 
 
 @query("""WITH two AS (SELECT user_id AS id, unnest(range(0, 64)) AS i, unnest(CAST(v AS DOUBLE[])) AS x FROM m_vectors) SELECT id, i, round(avg(x), 6) AS x FROM two GROUP BY 1, 2""")

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.convert import clamped, clamped_int
 from ..operators import graph, ranking, recall
 
 
 @dataclass(frozen=True)
 class GraphConfig:
-    """``type``: ``precision`` and ``recall`` stand for fixed settings; only ``custom`` uses the fields."""
+    """``type``: ``precision`` and ``recall`` stand for fixed settings; only ``custom`` uses the fields, within their bounds."""
 
     type: str = "precision"
     enable: bool = True
@@ -28,7 +29,7 @@ class GraphConfig:
             return GraphConfig("custom", self.enable, 0.35, 2, 0.85, 300, 0.03)
         if self.type == "precision":
             return GraphConfig("custom", self.enable, 0.6, 1, 0.75, 120, 0.08)
-        return self
+        return GraphConfig("custom", self.enable, clamped(self.least_confidence, 0.5), clamped_int(self.hops, 1, 1, 4), clamped(self.decay, 0.8, 0.1), clamped_int(self.per_hop, 200), clamped(self.least_score, 0.05))
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], as_of: Column, conf
     scores = None
     if "topics" in tables and config.graph.enable:
         g = config.graph.settings()
-        found = recall.candidates(**paths).select("query_id", "id").join(asked.select("query_id", "user_id"), "query_id")
+        found = recall.candidates(**paths).select("query_id", "id").join(ks.select("query_id", "user_id", (F.col("effective_k") * 2).alias("budget")), "query_id")
         scores = graph.expand_graph(found, tables["topics"], tables["facts"], tables["fact_entities"], tables["relations"], memories, hops=g.hops, decay=g.decay, per_hop=g.per_hop, least_confidence=g.least_confidence, least_score=g.least_score)
         paths["graph"] = scores
     cands = recall.candidates(**paths)

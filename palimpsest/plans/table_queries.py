@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from ..functions.vectors import padded, trimmed
 from ..operators import graph, recall
 from ..operators import tables as tab
 from ..sources.views import Tables
-from .registry import query
+from ..constants import SYNONYMS
+from .registry import query, sql_canonical, sql_canonical_tokens
 
 
 @query("SELECT id, user_id, primary_sector, salience, feedback_score, last_seen_at FROM m_memories")
@@ -48,16 +51,15 @@ def s7_memory_upsert(t: Tables) -> DataFrame:
     return tab.upsert(m, new, ["id"])
 
 
-@query("SELECT id, sector, least(len(v), 48) AS dim, round(list_sum(CAST(v[1:48] AS DOUBLE[])), 5) AS total, 96 AS stored FROM m_vectors")
+@query("SELECT id, sector, least(len(v), 96) AS dim, round(list_sum(CAST(v[1:96] AS DOUBLE[])), 5) AS total, 96 AS stored FROM m_vectors")
 def s8_store_vectors(t: Tables) -> DataFrame:
-    v = t.vectors.select("id", "sector", "user_id", F.slice("v", 1, 48).alias("v"), "dim")
-    stored = tab.store_vectors(t.vectors.limit(0), v, 96)
+    stored = tab.store_vectors(t.vectors.limit(0), t.vectors, 96)
     return stored.select("id", "sector", "dim", F.round(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size("v").alias("stored"))
 
 
-@query("SELECT id, sector, len(v[1:16 + CAST(substr(id, 2) AS BIGINT) % 3]) AS n, round(CAST(v[16] AS DOUBLE), 6) AS x FROM m_vectors WHERE sector = 'semantic'")
+@query("SELECT id, sector, len(v[1:16 + CAST(substr(id, 2) AS BIGINT) % 3]) AS n, round(CAST(v[16] AS DOUBLE), 6) AS x FROM m_vectors")
 def s9_trimmed_vectors(t: Tables) -> DataFrame:
-    v = t.vectors.where("sector = 'semantic'").withColumn("v", padded(F.col("v"), 128)).withColumn("v", trimmed(F.col("v"), (F.substring("id", 2, 18).cast("long") % 3 + 16).cast("int")))
+    v = t.vectors.withColumn("v", padded(F.col("v"), 128)).withColumn("v", trimmed(F.col("v"), (F.substring("id", 2, 18).cast("long") % 3 + 16).cast("int")))
     return v.select("id", "sector", F.size("v").cast("long").alias("n"), F.round(F.get("v", F.lit(15)).cast("double"), 6).alias("x"))
 
 
@@ -73,9 +75,9 @@ def s10_merge_columns(t: Tables) -> DataFrame:
     return tab.upsert(t.canonical, new, ["id"], mode="merge", columns=["entity_type"])
 
 
-@query("SELECT id, user_id, salience FROM m_memories WHERE salience >= 0.5 AND user_id = 'u3' AND feedback_score < 7 AND primary_sector <> 'emotional'")
+@query("SELECT id, user_id, salience FROM m_memories WHERE salience >= 0.5 AND user_id <> 'u4' AND feedback_score < 7 AND primary_sector <> 'emotional'")
 def p1_conditions(t: Tables) -> DataFrame:
-    return tab.filter_conditions(t.memories, ["salience >= 0.5", "m.user_id = %s", "feedback_score < 7", "primary_sector != 'emotional'"], ["u3"]).select("id", "user_id", "salience")
+    return tab.filter_conditions(t.memories, ["salience >= 0.5", "m.user_id != %s", "feedback_score < 7", "primary_sector != 'emotional'"], ["u4"]).select("id", "user_id", "salience")
 
 
 @query("SELECT id, row_number() OVER (ORDER BY confidence DESC NULLS FIRST, n_facts NULLS LAST, id) AS place FROM (SELECT source || '>' || target || '@' || user_id AS id, confidence, n_facts FROM m_relations) ORDER BY place LIMIT 200")
@@ -115,9 +117,9 @@ def p7_topics_of(t: Tables) -> DataFrame:
     return graph.topics_of(t.topics, ids).select("query_id", "topic_id")
 
 
-@query("SELECT id, created_at FROM (SELECT id, last_seen_at AS created_at, feedback_score % 2 = 0 AS done FROM m_memories) WHERE NOT done AND created_at < TIMESTAMP '2024-01-31 23:59:59' AND hour(created_at) = 3")
+@query("SELECT id, created_at FROM (SELECT id, last_seen_at AS created_at, feedback_score % 2 = 0 AS done FROM m_memories) WHERE NOT done AND created_at < TIMESTAMP '2024-01-31 23:59:59'")
 def p9_pending(t: Tables) -> DataFrame:
-    m = t.memories.withColumns({"created_at": F.col("last_seen_at"), "fact_joined": F.col("feedback_score") % 2 == 0}).where(F.hour("last_seen_at") == 3)
+    m = t.memories.withColumns({"created_at": F.col("last_seen_at"), "fact_joined": F.col("feedback_score") % 2 == 0})
     return tab.pending(m, "fact_joined", tab.day_cutoff(t.as_of)).select("id", "created_at")
 
 
@@ -158,6 +160,12 @@ def j6_capped_pairs(t: Tables) -> DataFrame:
     return graph.entity_pairs(t.fact_entities, most=3).groupBy("fact_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+@query("SELECT fact_id, count(*) AS n FROM m_fact_entities GROUP BY 1 HAVING count(*) > 2")
+def j6_facts_with_many_entities(t: Tables) -> DataFrame:
+    """What ``entity_pairs`` would make more pairs of than allowed."""
+    return graph.entity_counts(t.fact_entities).where("n > 2")
+
+
 @query("SELECT user_id, count(*) AS n FROM m_memories WHERE salience > 0.3 GROUP BY 1")
 def a1_count_by_user(t: Tables) -> DataFrame:
     return tab.count_by_user(t.memories, ["salience > 0.3"])
@@ -221,18 +229,38 @@ def _waypoints(t: Tables) -> DataFrame:
 _SQL_WAYPOINTS = "SELECT DISTINCT dialogue_ids[1] AS src_id, dialogue_ids[2] AS dst_id, user_id FROM m_topics"
 
 
-@query(f"""SELECT 'memories' AS table_name, count(*) AS n FROM m_memories WHERE salience >= 0.2 UNION ALL SELECT 'vectors', count(*) FROM m_vectors WHERE id NOT IN (SELECT id FROM m_memories WHERE salience < 0.2)
- UNION ALL SELECT 'waypoints', count(*) FROM ({_SQL_WAYPOINTS}) WHERE src_id NOT IN (SELECT id FROM m_memories WHERE salience < 0.2) AND dst_id NOT IN (SELECT id FROM m_memories WHERE salience < 0.2)""")
+@query(f"""SELECT 'memories' AS table_name, id AS row_id FROM m_memories WHERE salience >= 0.2 UNION ALL SELECT 'vectors', id FROM m_vectors WHERE id NOT IN (SELECT id FROM m_memories WHERE salience < 0.2)
+ UNION ALL SELECT 'waypoints', src_id || '>' || dst_id || '@' || user_id FROM ({_SQL_WAYPOINTS}) WHERE src_id NOT IN (SELECT id FROM m_memories WHERE salience < 0.2) AND dst_id NOT IN (SELECT id FROM m_memories WHERE salience < 0.2)""")
 def u5_delete_cascade(t: Tables) -> DataFrame:
+    """The rows that stay in each table."""
     left = tab.delete_memories({"memories": t.memories, "vectors": t.vectors, "waypoints": _waypoints(t)}, t.memories.where("salience < 0.2"))
-    parts = [x.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")) for name, x in left.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    names = {"memories": F.col("id"), "vectors": F.col("id"), "waypoints": F.concat("src_id", F.lit(">"), "dst_id", F.lit("@"), "user_id")}
+    return reduce(DataFrame.union, [x.select(F.lit(name).alias("table_name"), names[name].alias("row_id")) for name, x in left.items()])
+
+
+def _owned(t: Tables) -> dict[str, DataFrame]:
+    """All tables that have rows of users, by the views that stand for them."""
+    links = t.fact_entities.join(t.facts.select(F.col("id").alias("fact_id"), "user_id"), "fact_id")
+    return {
+        "memories": t.memories, "vectors": t.vectors, "waypoints": _waypoints(t), "users": t.users.select(F.col("id").alias("user_id")), "sessions": t.topics, "user_profiles": t.users.where("status = 1").select(F.col("id").alias("user_id")),
+        "graph_topics": t.topics, "graph_facts": t.facts, "graph_canonical_entities": t.relations.select("user_id", F.col("source").alias("id")).distinct(), "graph_entities": links, "graph_fact_entities": links, "graph_relations": t.relations,
+    }
+
+
+_SQL_LINKS = "SELECT e.*, f.user_id FROM m_fact_entities e JOIN m_facts f ON f.id = e.fact_id"
+_SQL_OWNED = {
+    "memories": "SELECT user_id FROM m_memories", "vectors": "SELECT user_id FROM m_vectors", "waypoints": _SQL_WAYPOINTS, "users": "SELECT id AS user_id FROM m_users", "sessions": "SELECT user_id FROM m_topics", "user_profiles": "SELECT id AS user_id FROM m_users WHERE status = 1",
+    "graph_topics": "SELECT user_id FROM m_topics", "graph_facts": "SELECT user_id FROM m_facts", "graph_canonical_entities": "SELECT DISTINCT user_id, source FROM m_relations", "graph_entities": _SQL_LINKS, "graph_fact_entities": _SQL_LINKS, "graph_relations": "SELECT user_id FROM m_relations",
+}
 
 
-@query("""SELECT 'memories' AS table_name, count(*) AS n FROM m_memories WHERE user_id IN ('u1', 'u2') UNION ALL SELECT 'topics', count(*) FROM m_topics WHERE user_id IN ('u1', 'u2') UNION ALL SELECT 'facts', count(*) FROM m_facts WHERE user_id IN ('u1', 'u2')""")
+@query(" UNION ALL ".join(f"SELECT '{name}' AS table_name, CAST(sum((user_id IN ('u1', 'u2'))::INT) AS BIGINT) AS lost, CAST(sum((user_id NOT IN ('u1', 'u2'))::INT) AS BIGINT) AS stay FROM ({sql})" for name, sql in _SQL_OWNED.items()))
 def u6_clear_users(t: Tables) -> DataFrame:
+    """Rows of two users gone from all tables, and those that stay."""
     users = t.users.where(F.col("id").isin("u1", "u2")).select(F.col("id").alias("user_id"))
-    return tab.clear_users({"memories": t.memories, "topics": t.topics, "facts": t.facts}, users)[1]
+    left, lost = tab.clear_users(_owned(t), users)
+    stay = reduce(DataFrame.union, [x.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("stay")) for name, x in left.items()])
+    return lost.join(stay, "table_name").select("table_name", F.col("n").alias("lost"), "stay")
 
 
 @query("SELECT id, id IN (SELECT unnest(dialogue_ids) FROM m_topics WHERE name = '1-URGENT') AS session_joined FROM m_memories")
@@ -304,3 +332,28 @@ def f17_sector_texts(t: Tables) -> DataFrame:
 @query("SELECT id, CASE WHEN length(content) <= 200 THEN content ELSE substr(content, 1, 200) || '...' END AS summary FROM m_memories")
 def f18_truncated(t: Tables) -> DataFrame:
     return t.memories.select("id", T.truncated(F.col("content"), 200).alias("summary"))
+
+
+@query("SELECT id, user_id, content, content IS NOT NULL AND content <> '' AND user_id <> 'u7' AS sealed FROM m_memories")
+def j8_f20_encrypted_contents(t: Tables) -> DataFrame:
+    """Contents sealed with their users' keys and opened again; one user has no key."""
+    key = F.when(F.col("id") != "u7", F.base64(F.unhex(F.sha2("id", 256))))
+    users = t.users.select("id", key.alias("encryption_key")).union(t.users.where("id = 'u0'").select(F.lit("u0"), F.base64(F.unhex(F.sha2(F.lit("u0"), 256)))))
+    aad = {"content": F.to_json(F.struct("id", "user_id"))}
+    memories = t.memories.select("id", "user_id", "content")
+    sealed = tab.seal(memories, users.dropDuplicates(["id"]), aad)
+    opened = tab.unseal(sealed, users.dropDuplicates(["id"]), aad)
+    return opened.select("id", "user_id", "content").join(sealed.select("id", F.col("content").alias("stored")), "id").select("id", "user_id", "content", F.coalesce(F.col("stored") != F.col("content"), F.lit(False)).alias("sealed"))
+
+
+@query(f"SELECT query_id, array_to_string(list_sort(list_distinct(list(w))), ' ') AS doc FROM (SELECT query_id, unnest(list_append(CASE c {' '.join(f"WHEN '{line[0]}' THEN {sorted(line)}" for line in SYNONYMS)} ELSE [c] END, z)) AS w FROM (SELECT query_id, z, {sql_canonical('z')} AS c FROM (SELECT query_id, unnest({sql_canonical_tokens('text')}) AS z FROM m_queries))) GROUP BY 1")
+def f6_search_documents(t: Tables) -> DataFrame:
+    return t.queries.select("query_id", T.search_document(F.col("text")).alias("doc"))
+
+
+@query("SELECT id, array_to_string(list_filter(['intj', 'ESFP', lang, 'ENTJ', source], lambda x: upper(x) IN ('INTJ', 'ESFP', 'ENTJ')), ',') AS kept FROM (SELECT id, tags[1] AS lang, tags[2] AS source FROM m_memories)")
+def x6_known_personalities(t: Tables) -> DataFrame:
+    from ..operators.sessions import known_personalities
+
+    given = F.array(F.lit("intj"), F.lit("ESFP"), F.get("tags", F.lit(0)), F.lit("ENTJ"), F.get("tags", F.lit(1)))
+    return t.memories.select("id", F.array_join(known_personalities(given), ",").alias("kept"))

@@ -191,7 +191,7 @@ def with_views(sql: str) -> str:
                     needed.append(name)
 
     need(sql)
-    views = ",\n".join(f"{name} AS ({SQL_VIEWS[name]})" for name in needed)
+    views = ",\n".join(f"{name} AS MATERIALIZED ({SQL_VIEWS[name]})" for name in needed)
     if not views:
         return sql
     sql = sql.strip()

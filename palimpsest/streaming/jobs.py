@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dynamics
+from ..operators import dynamics, graph, model_stage
+from ..operators import sessions as user_sessions
 from ..operators import tables as tab
 
 #: How late a row may come, and the gap that ends a session.
@@ -16,12 +17,21 @@ LATENESS, GAP = "10 minutes", "30 minutes"
 
 
 def ingest_batch(new: DataFrame, memories: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One batch of new rows (id, user_id, content, primary_sector, v, created_at): the memories to insert, the boosts of those that were repeated, and waypoints of the inserted."""
-    judged = dynamics.dedup_on_write(new, memories, vectors)
-    boosts = judged.where("best_id IS NOT NULL").groupBy(F.col("best_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    inserts = new.join(judged.where("best_id IS NULL").select("id"), "id", "left_semi")
-    known = memories.join(vectors.select("id", "v"), "id").select("id", "user_id", "v", "created_at").unionByName(inserts.select("id", "user_id", "v", "created_at"))
-    return inserts, boosts, dynamics.create_waypoints(inserts, known)
+    """One batch of new rows (id, user_id, v, created_at, and more): the memories to insert, the boosts of those that were repeated, and waypoints of the inserted.
+
+    A row is compared with the stored memories, and with the rows of its user that
+    come before it in the batch by (created_at, id) and are not repetitions of stored
+    ones. A row that repeats such a row boosts it (or what that one repeats in
+    turn) and is not inserted. Waypoints lead to earlier rows and stored memories.
+    """
+    stored = dynamics.dedup_on_write(new, memories, vectors)
+    fresh = new.join(stored.where("best_id IS NULL").select("id"), "id", "left_semi")
+    repeats = dynamics.repeats_within(fresh)
+    inserts = fresh.join(repeats.select("id"), "id", "left_anti")
+    boosted = stored.where("best_id IS NOT NULL").select(F.col("best_id").alias("id")).union(repeats.select("first_id"))
+    boosts = boosted.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    known = memories.join(vectors.select("id", "v"), "id").select("id", "user_id", "v", "created_at")
+    return inserts, boosts, dynamics.create_waypoints(inserts, known, among_new=True)
 
 
 def stream_ingest(source: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], sink: Callable[[int, DataFrame, DataFrame, DataFrame], None], checkpoint: str) -> StreamingQuery:
@@ -73,3 +83,35 @@ def decay_job(memories: DataFrame, vectors: DataFrame, as_of, ratio: float = 0.0
     aged, changed = dynamics.apply_decay(sample, vectors, as_of)
     update = aged.where("changed").select("id", F.col("new_salience").alias("salience"))
     return tab.upsert(memories, update, ["id"], mode="merge", columns=["salience"]).select(memories.columns), changed, dynamics.decay_report(aged)
+
+
+def graph_job(memories: DataFrame, users: DataFrame, extract: Callable[[DataFrame], DataFrame], canonical: DataFrame, vectorise: Callable[[DataFrame], DataFrame], cold: bool = False) -> dict[str, DataFrame]:
+    """One run of the periodic graph build over the pending memories of users that have enough of them.
+
+    ``extract`` is the model: it turns the batch into rows (topic_id, user_id,
+    memory_id, facts); ``vectorise`` adds v to mentions. Gives facts, mentions,
+    links to canonical entities, and the memories with ``fact_joined`` set for the batch.
+    """
+    batch = graph.graph_batches(memories.where(~F.coalesce(F.col("fact_joined"), F.lit(False))), users, cold=cold)
+    facts, mentions = model_stage.flatten_facts(extract(batch))
+    named = graph.canonicalise(vectorise(mentions), canonical)
+    links = named.select("fact_id", "canonical_id", "user_id").distinct()
+    return {"facts": facts, "mentions": named, "links": links, "memories": tab.mark(memories, batch.select("id"), "fact_joined")}
+
+
+def session_job(memories: DataFrame, users: DataFrame, as_of, summarise, size: int = 200) -> tuple[DataFrame, DataFrame]:
+    """One daily run of sessions over the memories before today that are in none: session rows, and the memories marked."""
+    open_ = memories.where(~F.coalesce(F.col("session_joined"), F.lit(False)))
+    return user_sessions.write_sessions(user_sessions.session_batches(open_, users, tab.day_cutoff(as_of), size=size), summarise, memories)
+
+
+def profile_job(memories: DataFrame, users: DataFrame, profiles: DataFrame, as_of, extract: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """One daily run of profiles: ``extract`` gives (user_id, profile as JSON) of the pending memories, which is merged into the active profile.
+
+    Gives the profiles (user_id, profile) that become active, and the memories marked.
+    """
+    open_ = memories.where(~F.coalesce(F.col("profile_joined"), F.lit(False)) & (F.col("created_at") < tab.day_cutoff(as_of)))
+    open_ = open_.join(users.where("status = 1").select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    found = extract(open_)
+    old = user_sessions.active_profile(profiles).select("user_id", "profile").join(found.select("user_id"), "user_id", "left_semi")
+    return user_sessions.merge_profiles(old, found), tab.mark(memories, open_.select("id"), "profile_joined")

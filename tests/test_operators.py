@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,7 +271,8 @@ def test_evaluation_files(spark, tmp_path):
     report = evaluate.evaluate(m, q)
     assert report.first()["mrr"] == 1.0
     evaluate.write_eval(report, str(tmp_path / "out"))
-    assert "| mrr |" in (tmp_path / "out/report.md").read_text()
+    report = [r["value"] for r in spark.read.text(str(tmp_path / "out/report.md")).collect()]
+    assert report[0].startswith("| n_queries |") and "| mrr |" in report[0] and set(report[1]) == {"|", "-"} and "| 1.0 |" in report[2]
     path.write_text(json.dumps({"memories": memories, "queries": [{"id": "q", "text": "x", "sector": "semantic", "gold_ids": ["lost"]}]}))
     with pytest.raises(ValueError):
         evaluate.read_eval(spark, str(path))
@@ -283,6 +285,61 @@ def test_labelled_files(spark, tmp_path):
     assert evaluate.read_labelled(spark, str(tmp_path / "train.csv"), "csv").first()["split"] == "train"
     assert evaluate.read_labelled(spark, str(tmp_path / "train.json"), "json").count() == 2
     assert evaluate.read_labelled(spark, str(tmp_path / "test.jsonl"), "jsonl").first()["split"] == "test"
+    rows = pa.table({"text": ["a", "b"], "primary": [1, 2]})
+    for name, new in (("dev", pa.ipc.new_file), ("stream", pa.ipc.new_stream)):
+        with new(str(tmp_path / f"{name}.arrow"), rows.schema) as f:
+            f.write_table(rows)
+        got = evaluate.read_labelled(spark, str(tmp_path / f"{name}.arrow"), "arrow", "text string, primary long").collect()
+        assert [tuple(r) for r in got] == [("a", 1, name), ("b", 2, name)]
+
+
+def test_fingerprints_of_whole_texts(spark):
+    def plain(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        x, out = h or 1, []
+        for _ in range(32):
+            x ^= x << 13 & 0xFFFFFFFF
+            x ^= x >> 17
+            x ^= x << 5 & 0xFFFFFFFF
+            out.append(x / 0xFFFFFFFF * 2 - 1)
+        return np.array(out) / np.linalg.norm(out)
+
+    for text in ("a", "memory " * 30, "é漢字 mixed", "same beginning, other end 1", "same beginning, other end 2"):
+        assert np.allclose(one(spark, V.fingerprint(F.lit(text))), plain(text))
+
+
+def test_pairs_of_large_facts_are_dealt(spark):
+    links = spark.createDataFrame([("f", f"e{i:03d}") for i in range(50)] + [("g", "a"), ("g", "b"), ("h", "x")], "fact_id string, canonical_id string")
+    want = {("f", f"e{i:03d}", f"e{j:03d}") for j in range(50) for i in range(j)} | {("g", "a", "b")}
+    for at_once in (3, 512):
+        got = graph.entity_pairs(links, at_once=at_once).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert [tuple(r) for r in graph.entity_pairs(links, most=5).collect()] == [("g", "a", "b")]
+
+
+def test_settings_out_of_bounds(spark):
+    rel = spark.createDataFrame([("u", chr(97 + i), chr(98 + i), "SAME_AS", 1.0) for i in range(6)], "user_id string, source string, target string, edge_relation string, confidence double")
+    seeds = spark.createDataFrame([("q", "u", "a")], "query_id string, user_id string, canonical_id string")
+    assert {r["canonical_id"] for r in graph.walk(seeds, rel, hops=99).collect()} == {"b", "c", "d", "e"}
+    assert graph.walk(seeds, rel, least_confidence=9.9).count() == 1 and graph.walk(seeds, rel, decay=-3.0, least_score=0.0).first()["score"] == pytest.approx(0.2)
+    assert GraphConfig("custom", hops=99, decay=9.0, least_confidence=None).settings() == GraphConfig("custom", hops=4, decay=1.0, least_confidence=0.5)
+
+
+def test_new_entities_are_grouped(spark):
+    old = spark.createDataFrame([("c1", "u", "Paris", "LOCATION", [0.0, 1.0, 0.0])], "id string, user_id string, name string, entity_type string, v array<double>")
+    new = spark.createDataFrame([("u", x, "LOCATION", v) for x, v in (("Oslo", [1.0, 0.0, 0.0]), ("Oslo city", [0.9, 0.0, 0.3]), ("city of Oslo", [0.75, 0.0, 0.62]), ("Bergen", [-1.0, 0.0, 0.1]), ("Lutetia", [1.0, -1.0, 0.0]), ("lutetia", [0.0, 1.0, 0.1]))], "user_id string, text string, entity_type string, v array<double>")
+    got = {r["text"]: (r["canonical_id"], r["is_new"]) for r in graph.canonicalise(new, old).collect()}
+    assert got["Oslo"] == got["Oslo city"] == got["city of Oslo"] != got["Bergen"]
+    assert got["Lutetia"] == got["lutetia"] == ("c1", False)  # any mention of the key may be near
+
+
+def test_repeats_in_a_batch(spark):
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    new = spark.createDataFrame([("a", "u", [1.0, 0.0]), ("b", "u", [1.0, 0.1]), ("c", "u", [1.0, 0.4]), ("d", "u", [0.0, 1.0]), ("e", "v", [1.0, 0.0])], "id string, user_id string, v array<double>").withColumn("created_at", at)
+    got = {r["id"]: r["first_id"] for r in dynamics.repeats_within(new).collect()}
+    assert got == {"b": "a", "c": "a"}  # c is near b alone, which repeats a
 
 
 def test_sector_classifier(spark):

@@ -47,7 +47,7 @@ def test_like_sql(name, spark, db):
     assert canonical(got.columns, got.collect()) == canonical(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"e3_sector_classifier"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark):
     df = QUERIES[name](spark, SF)
     assert len(df.collect()) > 0
