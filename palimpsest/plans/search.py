@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.convert import clamped, clamped_int
 from ..operators import graph, ranking, recall
+from ..storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -51,15 +52,16 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], as_of: Column, conf
     config = config or SearchConfig()
     memories, vectors = tables["memories"], tables["vectors"]
     asked = recall.prepare_queries(queries)
-    paths = {"vector": recall.vector_recall(queries, vectors)}
+    # What each path finds is small and read by all that follow: it is worked out once.
+    paths = {"vector": checkpointed(recall.vector_recall(queries, vectors))}
     ks = recall.adaptive_k(paths["vector"], queries)
-    docs = recall.term_index(queries, tables.get("texts", memories))
+    docs = checkpointed(recall.term_index(queries, tables.get("texts", memories)))
     if config.bm25:
         # Only memories with a vector can be recalled by words.
-        paths["bm25"] = recall.bm25_recall(queries, memories, docs=docs.join(vectors.select("id").distinct(), "id", "left_semi"))
+        paths["bm25"] = checkpointed(recall.bm25_recall(queries, memories, docs=docs.join(vectors.select("id").distinct(), "id", "left_semi")))
     sessions = None
     if "sessions" in tables:
-        sessions = recall.session_recall(queries, tables["sessions"], ks)
+        sessions = checkpointed(recall.session_recall(queries, tables["sessions"], ks))
         paths["session"] = sessions.select("query_id", F.explode("dialogue_ids").alias("id"))
     seeds = recall.candidates(**paths).select("query_id", "id")
     waypoints = None
@@ -71,7 +73,8 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], as_of: Column, conf
     if "topics" in tables and config.graph.enable:
         g = config.graph.settings()
         found = recall.candidates(**paths).select("query_id", "id").join(ks.select("query_id", "user_id", (F.col("effective_k") * 2).alias("budget")), "query_id")
-        scores = graph.expand_graph(found, tables["topics"], tables["facts"], tables["fact_entities"], tables["relations"], memories, hops=g.hops, decay=g.decay, per_hop=g.per_hop, least_confidence=g.least_confidence, least_score=g.least_score)
+        scores = graph.expand_graph(checkpointed(found), tables["topics"], tables["facts"], tables["fact_entities"], tables["relations"], memories, hops=g.hops, decay=g.decay, per_hop=g.per_hop, least_confidence=g.least_confidence, least_score=g.least_score)
+        scores = checkpointed(scores)
         paths["graph"] = scores
     cands = recall.candidates(**paths)
     rows = ranking.features(cands, asked, memories, vectors, queries, paths["vector"], as_of, waypoints, scores, docs)
