@@ -4,47 +4,81 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed, shared_folder
+
 #: Texts handed to numpy at a time, in characters; one longer text is a slice of its own.
 SLICE_CHARS = 1_000_000
 
+__all__ = ["BitFilter", "Kept", "WordHashes", "checkpointed", "fresh", "shared_folder", "slices", "table", "utf8_bytes"]
+
+
+class Kept:
+    """Tables of a step in the shared folder: columns compressed, sizes known. They are removed as soon as ``drop`` says so, or when the program ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+        atexit.register(self.drop)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Cut the lineage with a table."""
+        path = f"{shared_folder(self.spark)}/palimpsest-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            with contextlib.suppress(Exception):  # the session may be over
+                jvm = self.spark.sparkContext._jvm
+                at = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words already met."""
+
+    MOST = 100_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def trim(self) -> None:
+        """Start anew once the table is large; called between texts."""
+        if len(self) > self.MOST:
+            self.clear()
+
+
+class BitFilter:
+    """Which 64-bit numbers may be among a set: one bit for each remainder, in a bounded number of bytes. It never denies a member."""
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, bits: int, shared) -> None:
+        self.bits, self.shared = bits, shared
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> BitFilter:
+        """Of the numbers of a column, sent to all tasks."""
+        bits = min(cls.MOST_BITS, 1 << max(15, (16 * df.count()).bit_length()))
+        bit = F.pmod(F.col(column), F.lit(bits)) + 1
+        rows = df.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+        mask = np.zeros(bits // 8, np.uint8)
+        for r in rows:
+            mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+        return cls(bits, df.sparkSession.sparkContext.broadcast(mask))
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
-
-    The folder is only chosen here when the session names none (tests).
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-ckpt-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder: columns compressed, sizes known. The folder is removed when the program ends."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.conf.get("palimpsest.stored.dir", None) or tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("palimpsest.stored.dir", where)
-    path = f"{where.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be over
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.mod(numbers, self.bits)
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

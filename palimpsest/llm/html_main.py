@@ -1,8 +1,10 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
 A page is cut into tags and text by one pass of a regular expression and built
-into a tree of its block elements. Each node has features of its subtree (text,
-link and tag density), its attribute tokens, its depth and its siblings. Gradient
+into a tree of its block elements; text that stands in the body beside elements is
+a node of its own. Each node has features of its subtree (text, link and tag
+density), its attribute tokens, its depth and its siblings. Attribute tokens are
+hashed; what a bucket tells for or against is learned. Gradient
 boosted trees give the probability that a node is part of the article. The
 decoding picks the likeliest labels of all nodes under the condition that nothing
 below a dropped node is kept, by one pass from the leaves to the root.
@@ -14,8 +16,11 @@ menus, notices, adverts, sidebars, forms, reader comments and footers.
 
 Defined cases: null or empty html gives the empty text; text outside any tag
 belongs to the body; unknown character references stay as they are; a tag that is
-never closed ends with its parent; one without its ``>`` is text. Every row gives
-one output row.
+never closed ends with its parent; one without its ``>`` is text; scripts and styles
+that are never closed go on to the page's end, other hidden elements without an end
+are passed over. Every row gives one output row, whatever ids repeat or are null; an
+empty table gives an empty result; long pages are read whole. Other columns stay, and
+a column of the output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +37,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_PAGES = 150
-#: Characters of a sampled page that the training sample takes; pages themselves are always read whole.
-FIT_CHARS = 200_000
-LAYOUTS = 3
-TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
+LAYOUTS = 8
+TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
 
 # Elements by the part they play.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input link meta base col area source track embed param".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input link meta base col area source track embed param object svg noscript template iframe".split())
 VOID = frozenset("br img input link meta base col area source track embed param wbr hr".split())
 SILENT = frozenset("head title".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body article section div main nav aside footer header form td th select".split())
 GROUPS = ("nav", "header", "footer", "aside", "form fieldset button select option label dialog menu", "article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption", "body html")
-# Words in class, id and role that name a part of a page.
-BAD = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog disclaimer disqus feedback footer form header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related reply replies search share sharing shop sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar trending widget widgets contentinfo complementary alert cta".split())
-GOOD = frozenset("article articlebody body content entry main page post story text prose".split())
+#: Buckets of hashed attribute tokens, and how much one can tell for or against (a log ratio).
+BUCKETS, MOST_SAID = 1 << 14, 3.0
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<hidden>noscript|template|iframe|svg|object)\b[^>]*>.*?</(?P=hidden)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^<>]*>|<[!?][^>]*>",
     re.S | re.I,
@@ -57,7 +61,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TRUTH = re.compile(r"\bdata-part=(\w+)")
 PART = re.compile(r"[a-z]+")
-FEATURES = len(GROUPS) + 25
+FEATURES = len(GROUPS) + 27
 
 
 class Node:
@@ -81,7 +85,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             text = html.unescape("".join(run))
             run.clear()
             if text and not text.isspace() and not silent:
-                runs.append((stack[-1], " ".join(text.split())))
+                k = stack[-1]
+                if k == 0:  # beside elements: a node without a tag
+                    nodes.append(Node("", 0, 1, nodes[0].children))
+                    nodes[0].children += 1
+                    k = len(nodes) - 1
+                    nodes[k].link, nodes[0].link = nodes[0].link, 0
+                runs.append((k, " ".join(text.split())))
 
     def write(text: str) -> None:
         run.append(text)
@@ -156,8 +166,22 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 
 
-def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
-    """One row a node."""
+def bucket_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % BUCKETS
+
+
+def said_by_tokens(parsed: list[tuple[list[Node], list[bool]]]) -> np.ndarray:
+    """What each bucket of attribute tokens tells: the log ratio of kept to dropped nodes that have it."""
+    kept, dropped = np.ones(BUCKETS), np.ones(BUCKETS)
+    for nodes, label in parsed:
+        for x, keep in zip(nodes, label, strict=True):
+            for t in x.attributes:
+                (kept if keep else dropped)[bucket_of(t)] += 1
+    return np.clip(np.log(kept / dropped), -MOST_SAID, MOST_SAID)
+
+
+def features(nodes: list[Node], runs: list[tuple[int, str]], said: np.ndarray) -> np.ndarray:
+    """One row a node; ``said``: what the buckets of attribute tokens tell."""
     n = len(nodes)
     own, link, words, punctuation, digits, pieces, longest = ([0] * n for _ in range(7))
     start = [0] * n
@@ -166,10 +190,10 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
         own[k] += len(text)
         words[k] += text.count(" ") + 1
         punctuation[k] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
-        digits[k] += sum(map(text.count, "0123456789")) if len(text) < 200 else 0
+        digits[k] += sum(map(text.count, "0123456789"))
         pieces[k] += 1
         longest[k] = max(longest[k], len(text))
-    size, tags, heads, controls, bad, good = list(own), [1] * n, [0] * n, [x.controls for x in nodes], [0] * n, [0] * n
+    size, tags, heads, controls, bad, good = list(own), [1] * n, [0] * n, [x.controls for x in nodes], [0.0] * n, [0.0] * n
     paragraphs = [0] * n
     same: dict[tuple[int, str], int] = {}
     for k, x in enumerate(nodes):
@@ -179,7 +203,9 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
         heads[k] = x.tag in ("h1", "h2", "h3")
         paragraphs[k] = x.tag == "p"
         controls[k] += x.tag in ("button", "select", "form", "label")
-        bad[k], good[k] = len(BAD.intersection(x.attributes)), len(GOOD.intersection(x.attributes))
+        if x.attributes:
+            told = [said[bucket_of(t)] for t in x.attributes]
+            bad[k], good[k] = min(0.0, *told), max(0.0, *told)
         same[x.parent, x.tag] = same.get((x.parent, x.tag), 0) + 1
     for k in range(n - 1, 0, -1):
         p = nodes[k].parent
@@ -187,7 +213,7 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
             sums[p] += sums[k]
         longest[p] = max(longest[p], longest[k])
     out = np.zeros((n, FEATURES))
-    above_bad, above_good = [0] * n, [0] * n
+    above_bad, above_good, in_part, in_main = [0.0] * n, [0.0] * n, [0] * n, [0] * n
     base = len(GROUPS)
     for k, x in enumerate(nodes):
         group = _GROUP.get(x.tag)
@@ -195,11 +221,13 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
             out[k, group] = 1
         p = max(x.parent, 0)
         up = nodes[p]
-        above_bad[k] = above_bad[p] + (bad[p] > 0 or up.tag in ("nav", "footer", "aside", "form", "header")) if k else 0
-        above_good[k] = above_good[p] + (good[p] > 0 or up.tag in ("article", "main")) if k else 0
+        if k:
+            above_bad[k], above_good[k] = min(above_bad[p], bad[p]), max(above_good[p], good[p])
+            in_part[k] = in_part[p] + (up.tag in ("nav", "footer", "aside", "form", "header"))
+            in_main[k] = in_main[p] + (up.tag in ("article", "main"))
         s = size[k] or 1
         out[k, base:] = (
-            bad[k], good[k], above_bad[k], above_good[k], bad[p], good[p],
+            bad[k], good[k], above_bad[k], above_good[k], bad[p], good[p], in_part[k], in_main[k],
             x.depth, math.log1p(size[k]), math.log1p(words[k]), min(1.0, link[k] / s), size[k] / (total or 1),
             s / (pieces[k] or 1), math.log1p(longest[k]), punctuation[k] / s, digits[k] / s, s / tags[k], x.children,
             (x.place + 1) / (up.children or 1), same[x.parent, x.tag] / (up.children or 1), up.children, start[k] / (total or 1),
@@ -209,9 +237,10 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> np.ndarray:
 
 
 class Trees:
-    """Gradient boosted trees for a yes-or-no label, on binned features."""
+    """Gradient boosted trees for a yes-or-no label, on binned features; ``said`` goes with them."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, said: np.ndarray) -> None:
+        self.said = said
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         binned = self._bins(x)
         self.base = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
@@ -285,16 +314,32 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> list[bool]:
 
 def main_texts(model: Trees, pages: list[str | None]) -> list[str]:
     parsed = [parse(p or "") for p in pages]
-    odds = model.log_odds(np.concatenate([features(*p) for p in parsed])) if parsed else np.zeros(0)
+    odds = model.log_odds(np.concatenate([features(*p, model.said) for p in parsed])) if parsed else np.zeros(0)
     out, at = [], 0
     for nodes, runs in parsed:
         keep = decode(nodes, odds[at : at + len(nodes)])
         at += len(nodes)
-        # Bare text of the body counts only if no element has any.
-        out.append("\n".join([text for k, text in runs if k and keep[k]] or [text for k, text in runs if not k]))
+        out.append("\n".join(text for k, text in runs if keep[k]))
     return out
 
 
+# Names that the parts of pages commonly go by, for the layouts that are fitted on.
+NAMES = {
+    "menu": "nav menu navbar main-navigation site-nav topbar breadcrumb breadcrumbs pagination pager toolbar skip-link".split(),
+    "head": "site-header masthead header banner branding top".split(),
+    "notice": "cookie-notice cookie-banner consent notice alert popup modal dialog disclaimer gdpr".split(),
+    "advert": "ad ads advert ad-slot sponsored sponsor promo banner-ad advertisement ad-bottom cta teaser shop".split(),
+    "form": "search login searchform newsletter subscribe signup feedback contact-form".split(),
+    "foot": "footer site-footer legal contentinfo colophon copyright imprint".split(),
+    "side": "sidebar widget widget-area related recommended trending secondary complementary more-stories popular".split(),
+    "comments": "comments comment-list replies disqus respond responses discussion comments-area".split(),
+    "comment": "comment reply comment-body response post-comment".split(),
+    "share": "share social tags sharing social-links meta-links tag-list".split(),
+    "article": "post content article-body entry-content story post-text article entry body-text prose main-content text hentry single".split(),
+    "wrap": "wrap page container site wrapper layout".split(),
+}
+
+
 def _laid_out(blocks: list[str], rng: np.random.Generator) -> str:
     """A page around the given blocks, with ``data-part`` on what is kept and what is not."""
     words = " ".join(blocks).split() or ["text"]
@@ -310,6 +355,8 @@ def _laid_out(blocks: list[str], rng: np.random.Generator) -> str:
         return "".join(f'<li><a href="/{i}">{some(1, 4)}</a></li>' for i in range(n))
 
     def part(tag: str, inner: str, name: str = "") -> str:
+        if rng.random() < 0.15:  # a name that tells nothing
+            name = f"{pick('box', 'block', 'row', 'col', 'c', 'm', 'region', 'wrapper')}-{int(rng.integers(100))}"
         attribute = f' {pick("class", "id")}="{name}"' if name else ""
         return f"<{tag}{attribute} data-part=drop>{inner}</{tag}>"
 
@@ -317,24 +364,26 @@ def _laid_out(blocks: list[str], rng: np.random.Generator) -> str:
         return f"<h3>{some(1, 4)}</h3><ul>{links(int(rng.integers(2, 9)))}</ul>"
 
     front = [
-        lambda: part("nav", f"<ul>{links(int(rng.integers(3, 10)))}</ul>", pick("", "", "menu")),
-        lambda: part("div", f"<ul>{links(int(rng.integers(3, 10)))}</ul>", pick("nav", "menu", "navbar", "main-navigation", "x1")),
-        lambda: part("header", f"<div>{some(1, 4)}</div><ul>{links(4)}</ul>", pick("", "site-header")),
-        lambda: part("header", f"<h1>{some(1, 4)}</h1><p>{some(2, 9)}</p>", pick("", "masthead")),
-        lambda: part("div", f"<p>{some(4, 40)}</p><button>{some(1, 3)}</button>", pick("cookie-notice", "cookie-banner", "consent", "notice", "alert")),
-        lambda: part("div", some(3, 30), pick("ad", "ads", "advert", "ad-slot", "sponsored", "promo", "banner")),
-        lambda: part("form", f"<label>{some(1, 3)}</label><input name=q><button>{some(1, 2)}</button>", pick("", "search")),
+        lambda: part("nav", f"<ul>{links(int(rng.integers(3, 10)))}</ul>", pick("", *NAMES["menu"][:2])),
+        lambda: part("div", f"<ul>{links(int(rng.integers(3, 10)))}</ul>", pick(*NAMES["menu"])),
+        lambda: part("header", f"<div>{some(1, 4)}</div><ul>{links(4)}</ul>", pick("", *NAMES["head"])),
+        lambda: part("header", f"<h1>{some(1, 4)}</h1><p>{some(2, 9)}</p>", pick("", *NAMES["head"])),
+        lambda: part("div", f"<p>{some(4, 40)}</p><button>{some(1, 3)}</button>", pick(*NAMES["notice"])),
+        lambda: part("div", some(3, 30), pick(*NAMES["advert"])),
+        lambda: part("form", f"<label>{some(1, 3)}</label><input name=q><button>{some(1, 2)}</button>", pick("", *NAMES["form"])),
     ]
+    front.append(lambda: part(pick("nav", "nav", "div"), " ".join(f'<a href="/{i}">{some(1, 3)}</a>' for i in range(int(rng.integers(1, 8)))), pick(*NAMES["menu"]) if rng.random() < 0.6 else "links"))
+    front.append(lambda: part("nav", " | ".join(f'<a href="/{i}">{some(1, 2)}</a>' for i in range(int(rng.integers(1, 6))))))
     back = [
-        lambda: part("footer", f"<p>&copy; {some(2, 12)}</p>", pick("", "site-footer")),
+        lambda: part("footer", f"<p>&copy; {some(2, 12)}</p>", pick("", *NAMES["foot"])),
         lambda: part("footer", f"&copy; {some(1, 4)} &middot; {some(2, 14)}"),
-        lambda: part("div", f"<p>&copy; {some(1, 9)}</p><ul>{links(3)}</ul>", pick("footer", "legal", "contentinfo")),
-        lambda: part(pick("aside", "div"), listing(), pick("sidebar", "widget", "related", "recommended", "trending")),
-        lambda: part("aside", pick(listing(), f"<p>{some(4, 60)}</p>", f"<h3>{some(1, 4)}</h3><p>{some(4, 30)}</p>"), pick("", "sidebar", "promo")),
-        lambda: part(pick("section", "div"), f"<h3>{some(1, 2)}</h3>" + "".join(f'<{pick("div", "article", "li")} class="comment"><b>{some(1, 2)}</b><p>{some(3, 60)}</p></div>' for _ in range(int(rng.integers(1, 5)))), pick("comments", "comment-list", "replies", "disqus")),
-        lambda: part("div", f"<p>{some(2, 10)}</p><form><input><button>{some(1, 2)}</button></form>", pick("newsletter", "subscribe", "signup")),
-        lambda: part("div", "".join(f'<a href="/s">{some(1, 2)}</a> ' for _ in range(4)), pick("share", "social", "tags", "breadcrumb")),
-        lambda: part("div", some(3, 30), pick("ad", "advert", "ad-bottom", "sponsored")),
+        lambda: part("div", f"<p>&copy; {some(1, 9)}</p><ul>{links(3)}</ul>", pick(*NAMES["foot"])),
+        lambda: part(pick("aside", "div"), listing(), pick(*NAMES["side"])),
+        lambda: part("aside", pick(listing(), f"<p>{some(4, 60)}</p>", f"<h3>{some(1, 4)}</h3><p>{some(4, 30)}</p>"), pick("", *NAMES["side"])),
+        lambda: part(pick("section", "div"), f"<h3>{some(1, 2)}</h3>" + "".join(f'<{pick("div", "article", "li")} class="{pick(*NAMES["comment"])}"><b>{some(1, 2)}</b><p>{some(3, 60)}</p></div>' for _ in range(int(rng.integers(1, 5)))), pick(*NAMES["comments"])),
+        lambda: part("div", f"<p>{some(2, 10)}</p><form><input><button>{some(1, 2)}</button></form>", pick(*NAMES["form"])),
+        lambda: part("div", "".join(f'<a href="/s">{some(1, 2)}</a> ' for _ in range(4)), pick(*NAMES["share"])),
+        lambda: part("div", some(3, 30), pick(*NAMES["advert"])),
     ]
     title = html.escape(blocks[0][:60]) if blocks else some(2, 8)
     body = [f"<h1>{title}</h1>"]
@@ -353,36 +402,53 @@ def _laid_out(blocks: list[str], rng: np.random.Generator) -> str:
         else:
             body.append(f"<pre>{text}</pre>")
         if rng.random() < 0.05:
-            body.append(part(pick("div", "aside"), some(3, 25), pick("ad", "promo", "related", "newsletter", "share")))
-    tag, name = [("article", ""), ("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("div", "article-body"), ("div", "entry-content"), ("section", "story"), ("div", "post-text")][int(rng.integers(9))]
-    article = f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-part=keep>{"".join(body)}</{tag}>'
-    if rng.random() < 0.4:
-        article = f'<{pick("div", "main", "div")} {pick("", "class=wrap", "id=page")} data-part=keep>{article}{"".join(f() for f in rng.permuted(np.array(back, object))[: int(rng.integers(0, 2))])}</div>'
+            body.append(part(pick("div", "aside"), some(3, 25), pick(*(NAMES["advert"] + NAMES["share"] + NAMES["side"]))))
     before = "".join(f() for f in rng.permuted(np.array(front, object))[: int(rng.integers(1, 5))])
     after = "".join(f() for f in rng.permuted(np.array(back, object))[: int(rng.integers(1, 5))])
+    if rng.random() < 0.15:  # no element around the article, and some of its blocks without one
+        loose = [html.escape(b) if rng.random() < 0.4 and form.startswith("<p") else form for b, form in zip([title, *blocks], body, strict=False)] if len(body) == len(blocks) + 1 else body
+        if rng.random() < 0.6:
+            loose.insert(0, some(1, 6))
+        return f"<html><body>{pick(before, '')}{'<hr>'.join(loose)}{pick(after, '')}</body></html>"
+    tag, name = pick("article", "article", "main", "div", "div", "section"), pick("", "", *NAMES["article"])
+    if tag == "div" and not name:
+        name = pick(*NAMES["article"])
+    article = f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-part=keep>{"".join(body)}</{tag}>'
+    if rng.random() < 0.4:
+        article = f'<{pick("div", "main", "div")} {pick("", f"class={pick(*NAMES['wrap'])}", f"id={pick(*NAMES['wrap'])}")} data-part=keep>{article}{"".join(f() for f in rng.permuted(np.array(back, object))[: int(rng.integers(0, 2))])}</div>'
     return f"<html><body>{before}{article}{after}</body></html>"
 
 
+def labels_of(nodes: list[Node]) -> list[bool]:
+    """Whether each node is kept, by the ``data-part`` of itself or of what is nearest above it."""
+    label = [True] * len(nodes)
+    for k in range(1, len(nodes)):
+        label[k] = label[nodes[k].parent] if nodes[k].truth is None else nodes[k].truth == "keep"
+    return label
+
+
+def fit_layouts(laid_out: list[str]) -> Trees:
+    """Fit on pages with ``data-part`` on their parts. Tokens learn from one half of them, the trees from the other."""
+    parsed = [(*parsed, labels_of(parsed[0])) for parsed in map(parse, laid_out)]
+    said = said_by_tokens([(nodes, label) for nodes, _, label in parsed[::2]])
+    rows = parsed[1::2] or parsed
+    return Trees(np.concatenate([features(nodes, runs, said)[1:] for nodes, runs, _ in rows]), np.concatenate([label[1:] for _, _, label in rows]).astype(float), said)
+
+
 def fit(pages: DataFrame) -> Trees:
     """Fit on layouts of the text of at most about ``FIT_PAGES`` pages."""
     rows = pages.select("page_id", "html").where(F.col("html").isNotNull())
     n = rows.count()
     if n > FIT_PAGES:
         rows = rows.where(F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(1 << 30)) < int(FIT_PAGES / n * (1 << 30)))
-    sample = [r[0] for r in rows.select(F.substring("html", 1, FIT_CHARS)).orderBy(F.xxhash64("page_id", "html")).limit(2 * FIT_PAGES).collect()]
+    sample = [r[0] for r in rows.orderBy(F.xxhash64("page_id", "html")).limit(2 * FIT_PAGES).select("html").collect()]
     rng = np.random.default_rng(11)
-    x, y = [], []
+    laid_out = []
     for page in sample or ["<p>text</p>"]:
         blocks = [t for _, t in parse(page)[1]]
         blocks = [b for b in blocks if len(b) > 40] or blocks
-        for _ in range(LAYOUTS):
-            nodes, runs = parse(_laid_out(blocks, rng))
-            label = [True] * len(nodes)
-            for k in range(1, len(nodes)):
-                label[k] = label[nodes[k].parent] if nodes[k].truth is None else nodes[k].truth == "keep"
-            x.append(features(nodes, runs)[1:])
-            y += label[1:]
-    return Trees(np.concatenate(x), np.array(y, float))
+        laid_out += [_laid_out(blocks, rng) for _ in range(LAYOUTS)]
+    return fit_layouts(laid_out)
 
 
 def with_main_text(pages: DataFrame, model: Trees, page: str = "html", out: str = "main_text") -> DataFrame:

@@ -2,9 +2,9 @@
 
 Two generative models of hashed n-grams (tokens and pairs of tokens, in
 ``BUCKETS`` buckets) are counted: one over all documents, one over the target
-documents, those labelled good and not toxic. A document's log weight is the mean
-over its n-grams of the log ratio of the two, times ``LENGTH``: the log importance
-weight of a stretch of that many n-grams like it, whatever its own length. Adding
+documents, those labelled good and not toxic. A document's log importance weight is
+the sum over its n-grams of the log ratio of the two. (``length`` gives instead that
+of a stretch of so many n-grams like its own, whatever its length.) Adding
 Gumbel noise and taking the k largest keys samples k documents without
 replacement in proportion to their weights. The k-th key is found by counting
 keys in buckets and refining the one it lies in; nothing is sorted.
@@ -14,8 +14,10 @@ The counts of all documents cover every row. The target model takes at most abou
 the labelled sample). The noise is a function of the id, so reruns agree.
 
 Defined cases: a text that is null or has no token has weight 0 (ratio 1); rows
-with equal ids have equal noise; keys equal to the k-th are all taken; without
-target rows all weights are 0.
+with equal ids have equal noise, null ids that of the empty id; keys equal to the
+k-th are all taken; without target rows all weights are 0; an empty table gives an
+empty result. Long texts are read whole, in slices. Other columns stay, and a column
+of the output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -33,12 +35,11 @@ from .common import checkpointed, slices
 from .mixing import hash_of
 
 BUCKETS = 1 << 14
-LENGTH = 64
 MAX_TARGETS = 20_000
 #: Share of the documents that are sampled.
 SHARE = 0.5
 #: Keys are counted as whole numbers of this size, after a shift that makes them positive.
-STEP, SHIFT = 1e-9, 1e6
+STEP, SHIFT = 1e-8, 4e9
 KEY_BITS, LEVEL_BITS = 60, 12
 CACHED_WORDS = 100_000
 
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def with_weights(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: str = "weight") -> DataFrame:
+def with_weights(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: str = "weight", length: int | None = None) -> DataFrame:
     """Add a struct (n_grams, log_weight) to every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
@@ -110,7 +111,7 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: s
                 found, sizes = buckets_of(part, hashes)
                 sums = np.bincount(np.repeat(np.arange(len(part)), sizes), shared.value[found], len(part))
                 n.append(sizes)
-                w.append(LENGTH * sums / np.maximum(sizes, 1))
+                w.append(sums if length is None else length * sums / np.maximum(sizes, 1))
             yield pd.DataFrame({"n_grams": np.concatenate(n), "log_weight": np.concatenate(w)})
 
     return docs.withColumn(out, weigh(F.col(text)))
@@ -134,9 +135,9 @@ def kth_largest(keys: DataFrame, k: int) -> int:
     return prefix
 
 
-def importance_report(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
+def importance_report(docs: DataFrame, labels: DataFrame, share: float = SHARE, length: int | None = None) -> DataFrame:
     """Per row: doc_id, n_grams, log_weight, gumbel_key, selected."""
-    weighed = with_weights(docs.select("doc_id", "text"), fit(docs, labels))
+    weighed = with_weights(docs.select("doc_id", "text"), fit(docs, labels), length=length)
     scored = weighed.select("doc_id", "weight.*").withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id")))
     scored = checkpointed(scored.withColumn("key", ((F.col("gumbel_key") + SHIFT) / STEP).cast("long")))
     k = round(share * scored.count())

@@ -5,14 +5,18 @@ character n-grams of 5 letters down to 1. A known word scores by its own
 frequencies; an unseen word by the longest order of n-grams of which it has a
 known one. A text's score in a language is the sum over its words.
 
-Learning takes labelled rows whose ``crc32(doc_id as text) mod 4`` is not 2, at
-most about ``MAX_DOCS`` of them, drawn by a hash of the id (the documented bound
-of the training sample), and keeps the ``MAX_WORDS`` and ``MAX_GRAMS`` most
-frequent entries. Prediction reads the text alone.
+Learning takes labelled rows whose ``crc32(doc_id as text) mod 4`` is not 2: of each
+language at most about ``max_docs`` of them, drawn by a hash of the id (the
+documented bound of the training sample), and of each language the
+``max_entries`` most frequent words and n-grams. Both are parameters; None keeps
+all. A language with few rows is learned beside one with most of them.
+Prediction reads the text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
-is every text if nothing was learned. Ties go to the first language by name. A
-row with a null id is neither learned from nor held out.
+is every text if nothing was learned (an empty table, or none with a label). Ties
+go to the first language by name. A row with a null id is neither learned from nor
+held out; equal rows count and are judged each. Other columns stay, and a column of
+the output's name is replaced by it. Texts are read whole, in slices.
 """
 
 from __future__ import annotations
@@ -23,14 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpointed, slices
 
-MAX_DOCS = 20_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+#: Of each language: rows learned from, and words as well as n-grams kept.
+MAX_DOCS, MAX_ENTRIES = 5_000, 15_000
 #: A word or n-gram met less often is not known.
 MIN_COUNT = 2
 #: Frequency of what a language does not have; the same for languages with few rows and with many.
@@ -105,7 +108,7 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
     """lang_pred and score of each text."""
     model = rows.model
     found = [words_of(t) for t in texts]
-    found = [w if any(map(str.isalpha, w)) else [] for w in found]
+    found = [w if any(map(str.isalpha, w)) or any(c.isalpha() for x in w for c in x) else [] for w in found]
     pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     full = [i for i, w in enumerate(found) if w]
     if full and model.langs:
@@ -121,12 +124,14 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
     return pd.DataFrame({"lang_pred": pred, "score": np.clip(score, 0, 1)})
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | None = MAX_ENTRIES) -> Model:
     """Learn from labelled, not held-out rows of ``docs`` (doc_id, text, lang)."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
+    sizes = rows.groupBy("lang").count().collect()  # one row a language
+    langs = sorted(r["lang"] for r in sizes)
+    if max_docs is not None and any(r["count"] > max_docs for r in sizes):
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1 << 30, max_docs * (1 << 30) // r["count"]))])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,12 +152,13 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
                 yield pd.DataFrame({"lang": lang, "entry": list(c), "n": list(c.values())})
 
     schema = "lang string, entry string, n long"
-    words = rows.select("lang", "text").mapInPandas(count, schema).groupBy("lang", "entry").agg(F.sum("n").alias("n")).persist()
+    words = checkpointed(rows.select("lang", "text").mapInPandas(count, schema).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
     grams = words.mapInPandas(cut, schema).groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    top = [x.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "lang", "entry").limit(most).toPandas() for x, most in ((words, MAX_WORDS), (grams, MAX_GRAMS))]
-    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    words.unpersist()
-    return Model(langs, *top)
+    top = [x.where(F.col("n") >= MIN_COUNT) for x in (words, grams)]
+    if max_entries is not None:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry"))
+        top = [x.withColumn("rank", rank).where(F.col("rank") <= max_entries).drop("rank") for x in top]
+    return Model(langs, *[x.toPandas() for x in top])
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
@@ -171,5 +177,5 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
 
 def language_report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
-    model = fit(docs)
-    return with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+    model, docs = fit(docs), docs.select("doc_id", "text")
+    return with_language(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")

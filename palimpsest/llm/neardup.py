@@ -5,11 +5,12 @@ a class at once. A class has a signature of ``SLOTS`` minima, ``BITS`` bits each
 the first ``CHUNKS * CHUNK_SLOTS`` slots are split into chunks. Two signatures
 that differ in at most ``GUARANTEED`` of these slots have, by pigeonhole, a chunk
 with at most one error, and each chunk is indexed once for every slot that may be
-wrong, so such pairs always meet in a bucket. (At a similarity of 0.8, which is
-the threshold, a pair misses all buckets with a chance of about 2 in 100 000;
-above it, less.) Pairs whose signatures differ in more than ``MAX_DISTANCE`` of
-all slots are dropped (at 0.8 a chance of about 1 in a million); the rest is
-decided by exact intersection of the shingle sets.
+wrong, so such pairs always meet in a bucket: ``GUARANTEED`` is the threshold of the join.
+(A pair that is just similar enough, at 0.8, is beyond it and in no bucket with a
+chance of about 2 in 100 000; above 0.8, less.) What meets is decided by exact
+intersection of the shingle sets. Before that, pairs go that differ in more than
+``MAX_DISTANCE`` slots of the whole signature, or in more than ``SKETCH_DISTANCE`` of a
+finer sketch: at 0.8 a chance of less than one in 10^11. ``exact`` leaves both out.
 
 No bucket is expanded into all its pairs. First each class is compared with one
 other: of the members that lead its buckets (those in the largest company, as the
@@ -25,8 +26,13 @@ each two parts meet in a block of their own, so that every pair of a bucket is c
 Defined cases: a document without words has an empty set, no links, and is its own
 component; one with fewer than four words has the whole sequence as its only
 shingle; each row is judged by its own text, whatever ids repeat; a null id is
-never the smallest, and kept if its component has no other. Classes and shingles
-are known by 64-bit hashes.
+never the smallest, and kept if its component has no other; an empty table gives an
+empty result; long texts are read whole; other columns stay with the rows that are
+kept, whatever their names. Classes and shingles are known by 64-bit hashes.
+
+Each text is cut into shingles once; the sets are kept as a table until the links are
+decided. Joins on what many pairs share (a bucket, or the original of many copies)
+deal its rows over parts.
 """
 
 from __future__ import annotations
@@ -41,8 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import fresh, slices
-from .common import stored as checkpointed
+from .common import BitFilter, Kept, WordHashes, fresh, slices
 
 SHINGLE = 4
 #: Links are pairs with 100 * intersection >= PERCENT * union.
@@ -50,15 +55,15 @@ PERCENT = 80
 SLOTS, BITS = 128, 16
 CHUNKS, CHUNK_SLOTS = 8, 5
 GUARANTEED = 2 * CHUNKS - 1
-MAX_DISTANCE = 48
-#: For classes that share a bucket with others, a finer sketch: slots of 8 bits, and in how many a link may differ
-#: (at 0.8 more differ with a chance of about 3 in a million).
-SKETCH, SKETCH_DISTANCE = 512, 144
+MAX_DISTANCE = 64
+#: For classes that share a bucket with others, a finer sketch: slots of 8 bits, and in how many a link may differ.
+SKETCH, SKETCH_DISTANCE = 512, 170
 #: Members outside a bucket's largest component, and members of that component, in one block.
-SPREAD, BLOCK = 4096, 4096
-#: Shingles hashed at a time for a signature; bits of the filter of classes whose sets are needed.
-PART, FILTER_BITS = 8192, 1 << 27
-CACHED_WORDS = 100_000
+SPREAD, BLOCK = 1024, 1024
+#: Rows of one key that a task joins.
+HOT = 2048
+#: Shingles hashed at a time for a signature.
+PART = 8192
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,12 +71,6 @@ _TERMS = _random.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _ODD
     return h ^ (h >> np.uint64(29))
@@ -93,8 +92,7 @@ def shingle_sets(texts: list[str | None], hashes: WordHashes, size: int = SHINGL
             for k in range(width):
                 h = _mixed(h + own[k : k + n])
             out.append(np.unique(h))
-        if len(hashes) > CACHED_WORDS:
-            hashes.clear()
+        hashes.trim()
     return out
 
 
@@ -142,17 +140,17 @@ def _unpacked(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), SLOTS)
 
 
-def with_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``class`` (hash of the set, null if it is empty), ``n_shingles`` and ``signature``."""
+def with_sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add a struct ``set``: ``class`` (hash of the set, null if it is empty), n_shingles, signature and the shingles."""
 
-    @F.pandas_udf("class long, n_shingles long, signature binary")
+    @F.pandas_udf("class long, n_shingles long, signature binary, shingles array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for s in batches:
             rows = []
-            for part in slices([t or "" for t in s]):  # only signatures are kept, not sets
-                rows += [(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63), len(x), signature(x).tobytes()) if len(x) else (None, 0, None) for x in shingle_sets(part, hashes)]
-            yield pd.DataFrame({"class": pd.array([r[0] for r in rows], dtype="Int64"), "n_shingles": [r[1] for r in rows], "signature": [r[2] for r in rows]})
+            for part in slices([t or "" for t in s]):
+                rows += [(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63), len(x), signature(x).tobytes(), x.view(np.int64)) if len(x) else (None, 0, None, None) for x in shingle_sets(part, hashes)]
+            yield pd.DataFrame({"class": pd.array([r[0] for r in rows], dtype="Int64"), "n_shingles": [r[1] for r in rows], "signature": [r[2] for r in rows], "shingles": pd.Series([r[3] for r in rows], dtype=object)})
 
     return docs.withColumn("set", sign(F.col(text)))
 
@@ -178,41 +176,34 @@ def _comparable(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures can belong to a link."""
+def _dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a ``key``. Rows of a key with more than ``HOT`` of them are dealt over parts by ``by``."""
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts.cast("long")).cast("int")).drop("__parts")
+    repeated = side.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(repeated, [key, "__part"]).drop("__part")
+
+
+def _close(pairs: DataFrame, classes: DataFrame, exact: bool) -> DataFrame:
+    """Pairs (a, b) whose sizes and signatures can belong to a link; many pairs may have the same a."""
     a, b = (classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_comparable(F.col("na"), F.col("nb"))).where(_distance("sa", "sb") <= MAX_DISTANCE).select("a", "b")
+    both = _dealt_join(pairs.join(b, "b"), a, "a", "b").where(_comparable(F.col("na"), F.col("nb")))
+    return (both if exact else both.where(_distance("sa", "sb") <= MAX_DISTANCE)).select("a", "b")
 
 
-def sets_of(classes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Shingle sets (class, shingles) of ``classes`` (class), built again from the texts.
+def sets_of(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Shingle sets (class, shingles) of ``classes`` (class), one row a class.
 
-    A filter of bounded size, one bit for each hash, keeps most other sets from being shuffled.
+    A filter of bounded size keeps most other sets from being shuffled.
     """
-    spark = docs.sparkSession
-    n = classes.count()
-    bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
-    bit = F.pmod(F.col("class"), F.lit(bits)) + 1
-    rows = classes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    mask = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    shared = spark.sparkContext.broadcast(mask)
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen, mask = WordHashes(), set(), shared.value
-        for batch in batches:
-            for part in slices([t or "" for t in batch[text]]):
-                rows = []
-                for x in shingle_sets(part, hashes):
-                    c = xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63)
-                    if len(x) and c not in seen and mask[c % bits >> 3] >> (c & 7) & 1:
-                        seen.add(c)
-                        rows.append((c, x.view(np.int64)))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["class", "shingles"])
-
-    found = docs.select(text).mapInPandas(sets, "class long, shingles array<long>").dropDuplicates(["class"])
+    wanted = BitFilter.of(classes, "class")
+
+    @F.pandas_udf("boolean")
+    def may_be(c: pd.Series) -> pd.Series:
+        return pd.Series(wanted.has(c.to_numpy(np.int64)))
+
+    found = members.where("class IS NOT NULL").select("class", "shingles").where(may_be("class")).dropDuplicates(["class"])
     return found.join(classes, "class", "left_semi")
 
 
@@ -220,7 +211,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that are links, by their full sets."""
     a, b = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
+    return _dealt_join(_dealt_join(pairs, b, "b", "a"), a, "a", "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
 
 
 def with_shared(classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,13 +229,13 @@ def with_shared(classes: DataFrame, sets: DataFrame) -> DataFrame:
     return out.withColumn("n_shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("n_shared") * 100 >= F.col("n_shingles") * PERCENT)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, kept: Kept) -> DataFrame:
     """Label the nodes of ``links`` (a, b) with the least node of their component: alternating large and small stars."""
 
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = kept.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while (now := state(edges)) != before:
         before = now
@@ -255,7 +246,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and its lower neighbours are hung on the least of these.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         lower = edges.join(least, "u")
-        edges = checkpointed(lower.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = kept.table(lower.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     return edges.select(F.col("u").alias("class"), F.col("v").alias("label"))
 
 
@@ -264,7 +255,7 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, classes: DataFrame, exact: bool = False) -> DataFrame:
     """Close pairs of different labels from bucket rows (key, place, class, label).
 
     Members outside a bucket's largest component are dealt into parts (one, if ``SPREAD`` holds them), those of it into
@@ -277,7 +268,7 @@ def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
     by_key = by_key.select("key", F.col("most.label").alias("main"), parts.cast("int").alias("parts"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("blocks"))
     in_main = F.col("label") == F.col("main")
     part = F.pmod(F.xxhash64("class"), F.when(in_main, F.col("blocks")).otherwise(F.col("parts")).cast("long")).cast("int")
-    marked = rows.join(by_key, "key").withColumn("part", part)
+    marked = _dealt_join(rows, by_key, "key", "class").withColumn("part", part)
     of_main = F.expr("transform(sequence(0, parts - 1), p -> struct(p AS p, part AS q))")
     first = F.expr("transform(filter(sequence(0, greatest(parts, blocks) - 1), q -> q < blocks OR q >= part), q -> struct(part AS p, q AS q))")
     second = F.expr("transform(filter(sequence(0, part), p -> p < part), p -> struct(p AS p, part AS q))")
@@ -285,10 +276,10 @@ def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = marked.join(classes, "class").select("key", cells.alias("cell"), "part", "class", "place", "label", "main", "n_shingles", "n_shared", "signature", "sketch", "short")
     dealt = dealt.select("key", "cell.p", "cell.q", *dealt.columns[2:])
     dealt = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "class")
-    return dealt.mapInPandas(_pairs_in_blocks, "a long, b long").distinct()
+    return dealt.mapInPandas(lambda batches: _pairs_in_blocks(batches, exact), "a long, b long").distinct()
 
 
-def _pairs_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pairs_in_blocks(batches: Iterator[pd.DataFrame], exact: bool) -> Iterator[pd.DataFrame]:
     """Rows come sorted by block; a block's rows are few (``BLOCK`` and ``SPREAD``) and may run over batches."""
     rest = None
     for batch in batches:
@@ -297,12 +288,12 @@ def _pairs_in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         last = (rest[["key", "p", "q"]] == rest[["key", "p", "q"]].iloc[-1]).all(axis=1)
         full, rest = rest[~last], rest[last]
-        yield from _pairs(full)
+        yield from _pairs(full, exact)
     if rest is not None:
-        yield from _pairs(rest)
+        yield from _pairs(rest, exact)
 
 
-def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _pairs(rows: pd.DataFrame, exact: bool) -> Iterator[pd.DataFrame]:
     if not len(rows):
         return
     signatures, ids, labels, sizes = _unpacked(rows["signature"]), rows["class"].to_numpy(), rows["label"].to_numpy(), rows["n_shingles"].to_numpy()
@@ -322,7 +313,8 @@ def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             most = np.minimum(shared[j], shared[i])
             j = j[(labels[j] != labels[i]) & (100 * most >= PERCENT * (sizes[j] + sizes[i] - most))]
             j = j[first_common(signatures[j], signatures[i]) == places[i]]  # a pair counts in the first bucket that it shares
-            j = j[(sketches[j] != sketches[i]).sum(1) <= SKETCH_DISTANCE]
+            if not exact:
+                j = j[(sketches[j] != sketches[i]).sum(1) <= SKETCH_DISTANCE]
             # What the cut sets share is at least what the sets do, but for shingles that fell together.
             both = np.array([np.intersect1d(short[i], short[k], assume_unique=True).size + min(sizes[i] - len(short[i]), sizes[k] - len(short[k])) for k in j], np.int64)
             j = j[100 * both >= PERCENT * (sizes[j] + sizes[i] - both)]
@@ -332,42 +324,50 @@ def _pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
 
-def class_labels(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Component labels of ``classes`` (class, n_shingles, signature); classes without links are left out."""
-    bucket = Window.partitionBy("key")
-    keys = _keyed(classes, ["class"]).withColumn("members", F.count(F.lit(1)).over(bucket))
-    keys = checkpointed(keys.where("members > 1").select("key", "class", "members", "place"))
+def class_labels(classes: DataFrame, members: DataFrame, kept: Kept, exact: bool = False) -> DataFrame:
+    """Component labels of ``classes`` (class, n_shingles, signature); classes without links are left out. ``members`` has their sets (class, shingles)."""
+    keys = _keyed(classes, ["class"])
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    keys = kept.table(_dealt_join(keys, sizes, "key", "class").select("key", "class", "members", "place"))
     company = keys.groupBy("class").agg(F.sum("members").alias("company"))
-    led = keys.join(company, "class").select("class", F.max(F.struct("company", "class")).over(bucket)["class"].alias("lead")).where("class <> lead")
-    shared = led.groupBy("lead", "class").agg(F.count(F.lit(1)).alias("n"))
+    led = keys.select("key", "class").join(company, "class")
+    leads = led.groupBy("key").agg(F.max(F.struct("company", "class")).alias("lead")).select("key", F.col("lead.class").alias("lead"))
+    shared = _dealt_join(led.select("key", "class"), leads, "key", "class").where("class <> lead").groupBy("lead", "class").agg(F.count(F.lit(1)).alias("n"))
     first = shared.groupBy(F.col("class").alias("b")).agg(F.max(F.struct("n", F.col("lead").alias("a"))).alias("best")).select("best.a", "b")
-    first = checkpointed(_close(first, classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = [checkpointed(linked(first, sets_of(_ends(first), docs)))]
-    labels = components(links[0])
+    # Two that are each other's choice are one pair; which end is shared by many does not change.
+    first = kept.table(_close(first, classes, exact).groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b"))
+    links = [kept.table(linked(first, sets_of(_ends(first), members)))]
+    labels = components(links[0], kept)
     rows = _labelled(keys.select("key", "class", "place"), labels)
     several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rows = checkpointed(rows.join(several, "key", "left_semi"))
-    sets = checkpointed(sets_of(rows.select("class").distinct(), docs))
-    able = checkpointed(with_shared(classes, sets))
+    rows = kept.table(_dealt_join(rows, several, "key", "class"))
+    sets = kept.table(sets_of(rows.select("class").distinct(), members))
+    able = kept.table(with_shared(classes, sets))
     rows = rows.join(able.select("class"), "class", "left_semi")
-    more = checkpointed(_across(rows, able)).join(first, ["a", "b"], "left_anti")
-    links.append(checkpointed(linked(more, sets)))
-    return labels if links[1].isEmpty() else components(reduce(DataFrame.union, links))
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = kept.table(_across(rows, able, exact)).join(done, ["a", "b"], "left_anti")
+    links.append(kept.table(linked(more, sets)))
+    return labels if links[1].isEmpty() else components(reduce(DataFrame.union, links), kept)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
 
 
-def with_components(docs: DataFrame) -> DataFrame:
+def with_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash, class, n_shingles, label (of the component) and component_id."""
-    members = checkpointed(with_sets(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "set.*"))
-    classes = checkpointed(members.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")))
-    labels = class_labels(classes.drop("least"), docs)
+    kept, work = Kept(docs.sparkSession), Kept(docs.sparkSession)
+    signed = work.table(with_sets(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "set.*"))
+    members = signed.select("doc_id", "text_hash", "class", "n_shingles")
+    classes = work.table(signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")))
+    labels = class_labels(classes.drop("least"), signed, work, exact)
     by_class = _labelled(classes.select("class", "least"), labels)
     by_label = by_class.groupBy("label").agg(F.min("least").alias("component_id"))
     named = by_class.join(by_label, "label").select("class", "label", "component_id")
-    return members.drop("signature").join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    found = members.join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    found = kept.table(found.select("doc_id", "text_hash", "class", "n_shingles", "label", "component_id"))
+    work.drop()
+    return found
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -382,9 +382,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r")).select("r.*")
     no_id, doc_id, text_hash, row = (fresh(docs, f"near_{x}") for x in ("no_id", "id", "text", "row"))
     key = [F.col(no_id), F.col(doc_id), F.col(text_hash)]
-    kept = first.select(F.col("no_id").alias(no_id), F.coalesce("doc_id", F.lit(0)).alias(doc_id), F.col("text_hash").alias(text_hash))
+    kept = first.select(F.col("no_id").alias(no_id), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(doc_id), F.col("text_hash").alias(text_hash))
     words = F.length(F.trim(F.translate(F.col("text"), "\t\n\x0b\x0c\r", "     "))) > 0
-    keyed = docs.withColumns({no_id: F.col("doc_id").isNull(), doc_id: F.coalesce("doc_id", F.lit(0)), text_hash: F.xxhash64("text")})
+    keyed = docs.withColumns({no_id: F.col("doc_id").isNull(), doc_id: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_hash: F.xxhash64("text")})
     chosen = keyed.where(words).join(kept, [no_id, doc_id, text_hash])
     chosen = chosen.withColumn(row, F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).where(F.col(row) == 1)
     return chosen.select(docs.columns).union(docs.where(~F.coalesce(words, F.lit(False))))

@@ -10,8 +10,9 @@ group of copies is cut inside. Then rows are exchanged once, to pieces of a shar
 that are numbered from the row counts of the same histogram.
 
 Defined cases: null text has size 1 (no bytes, plus one), CRC 0 and a key of its
-own; rows with equal ids and texts share a key and stay together; an empty table
-gives an empty result.
+own; rows with equal ids and texts share a key and stay together; null ids are an
+id; an empty table gives an empty result; long texts count whole. Columns of the
+input that are named like a new one stay, with ``_`` behind their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fresh, utf8_bytes
 
 SHARDS = 8
+NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 ID_BITS = 24
 FIRST_SHIFT, SHIFTS = 48, (40, 32, 24, 16, 8, 0)
 #: How far a cut may miss its place, in parts of a shard: at a boundary between texts, and of single documents.
@@ -125,8 +127,14 @@ def _piece(cuts: Cuts):
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add size, text_crc32, law, shard, slot and grown_shard to every row of ``docs`` (doc_id, text)."""
-    clash = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in clash])
+    taken = {c.lower() for c in docs.columns} | set(NEW)
+    for c in docs.columns:
+        if c.lower() in NEW:
+            name = c
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            docs = docs.withColumnRenamed(c, name)
     text, doc_id = docs["text"], docs["doc_id"]
     keyed = docs.withColumns({"size": size_of(text), "text_crc32": F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long"), "shard": key_of(text, doc_id)})
     return numbered(keyed, shards, docs.columns)
@@ -135,17 +143,18 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def numbered(keyed: DataFrame, shards: int, keep: list[str]) -> DataFrame:
     """Exchange rows once; ``keyed`` has size, text_crc32 and, as ``shard``, the key."""
     cuts = find_cuts(checkpointed(keyed.select(F.col("shard").alias("key"), "size")), shards)
-    piece = fresh(keyed, "piece")
+    piece, offset = fresh(keyed, "piece"), fresh(keyed, "offset")
     order = Window.partitionBy(piece).orderBy("shard", "doc_id", "text_crc32", "size")
     rows = keyed.withColumn(piece, _piece(cuts)(F.col("shard"))).withColumn("slot", F.row_number().over(order))
-    offset = F.element_at(F.array(*map(F.lit, cuts.offsets())), F.col(piece) + 1)
-    return rows.select(
+    # One row a piece; pieces have millions of rows, so these are few.
+    offsets = keyed.sparkSession.createDataFrame(list(enumerate(cuts.offsets())), f"{piece} int, {offset} long")
+    return rows.join(F.broadcast(offsets), piece).select(
         *keep,
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         F.floor(F.col(piece) / cuts.pieces).cast("int").alias("shard"),
-        (offset + F.col("slot") - 1).cast("long").alias("slot"),
+        (F.col(offset) + F.col("slot") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

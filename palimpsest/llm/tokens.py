@@ -9,13 +9,15 @@ emitted tokens, so the counts along a word add up to its token count. States are
 made when first reached (the full automaton is far larger than what texts visit).
 
 A text is cut into chunks of fixed length, each chunk gives a state map, and maps
-compose associatively, so a document's count is a prefix scan over its chunks. A
-map is kept in closed form: white space takes every state to the start state, so
+compose associatively, so a document's count is the last of a parallel prefix scan
+over its chunks (the other prefixes are not asked for, and not made). A map is kept in closed form: white space takes every state to the start state, so
 only a chunk's head (before its first white space) depends on the state the chunk
 is entered in, and only its tail decides the state it is left in.
 
 Defined cases: null text counts as the empty text (0 tokens); special strings are
-one token each; every input row gives one output row, repeated ids included.
+one token each; every input row gives one output row, repeated and null ids
+included; an empty table gives an empty result; long texts are read whole. Other
+columns stay, and a column of the output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, utf8_bytes
 
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS = 1 << 12
 #: Words and states kept by a worker; beyond that the tables are emptied and filled anew.
 MAX_WORDS = 300_000
 MAX_STATES = 150_000
@@ -235,21 +237,17 @@ class Counter:
             return StateMap(True, a.head, a.emitted, a.tail + b.head)
         return StateMap(True, a.head, a.emitted + self._of(a.tail + b.head) + b.emitted, b.tail)
 
-    def scan(self, maps: list[StateMap]) -> list[StateMap]:
-        """Inclusive prefix scan in a logarithmic number of rounds of pairwise compositions."""
-        if len(maps) < 2:
-            return maps
-        pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
-        out = [maps[0]]
-        for i in range(1, len(maps)):
-            out.append(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]))
-        return out
+    def whole(self, maps: list[StateMap]) -> StateMap | None:
+        """The map of all chunks in a logarithmic number of rounds: in each, neighbours are composed side by side."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0] if maps else None
 
     def _plain(self, text: str) -> int:
         text = self.normal(text)
         cut = range(0, len(text), self.chunk_chars)
-        maps = self.scan([self.chunk_map(text[i : i + self.chunk_chars]) for i in cut])
-        return self._of(maps[-1].head) + maps[-1].emitted + self._of(maps[-1].tail) if maps else 0
+        m = self.whole([self.chunk_map(text[i : i + self.chunk_chars]) for i in cut])
+        return self._of(m.head) + m.emitted + self._of(m.tail) if m else 0
 
     def count(self, text: str | None) -> int:
         if not text:
