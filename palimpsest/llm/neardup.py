@@ -42,6 +42,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,8 +63,12 @@ SKETCH, SKETCH_DISTANCE = 512, 170
 SPREAD, BLOCK = 1024, 1024
 #: Rows of one key that a task joins.
 HOT = 2048
+#: Keys with so many rows that are sent to every task.
+BROADCAST_ROWS = 200_000
 #: Shingles hashed at a time for a signature.
 PART = 8192
+#: Sets sketched at a time.
+SKETCHED = 512
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,18 +146,25 @@ def _unpacked(column: pd.Series) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add a struct ``set``: ``class`` (hash of the set, null if it is empty), n_shingles, signature and the shingles."""
+    """The columns of ``docs`` without the text, and ``class`` (hash of the set, null if it is empty), n_shingles, signature and shingles."""
+    others = [c for c in docs.columns if c != text]
 
-    @F.pandas_udf("class long, n_shingles long, signature binary, shingles array<long>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for s in batches:
-            rows = []
-            for part in slices([t or "" for t in s]):
-                rows += [(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63), len(x), signature(x).tobytes(), x.view(np.int64)) if len(x) else (None, 0, None, None) for x in shingle_sets(part, hashes)]
-            yield pd.DataFrame({"class": pd.array([r[0] for r in rows], dtype="Int64"), "n_shingles": [r[1] for r in rows], "signature": [r[2] for r in rows], "shingles": pd.Series([r[3] for r in rows], dtype=object)})
-
-    return docs.withColumn("set", sign(F.col(text)))
+        for batch in batches:
+            rest, at = batch.select(others), 0
+            for part in slices([t or "" for t in batch.column(text).to_pylist()]):
+                sets = shingle_sets(part, hashes)
+                sizes = np.array([len(x) for x in sets], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                classes = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in sets], pa.int64())
+                signatures = pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary())
+                shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*rest.slice(at, len(part)).columns, classes, pa.array(sizes), signatures, shingles], [*others, "class", "n_shingles", "signature", "shingles"])
+                at += len(part)
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
+    return docs.mapInArrow(sign, ", ".join([*kinds, "class long", "n_shingles long", "signature binary", "shingles array<long>"]))
 
 
 def _keyed(classes: DataFrame, carry: list[str]) -> DataFrame:
@@ -176,19 +188,28 @@ def _comparable(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` with the columns of ``side``, which has one row a ``key``. Rows of a key with more than ``HOT`` of them are dealt over parts by ``by``."""
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts"))
+def _hot(counts: DataFrame, key: str, kept: Kept) -> DataFrame:
+    """Of ``counts`` (key, n) the keys with more than ``HOT`` rows, and how many parts these are dealt over."""
+    return kept.table(counts.where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("__parts")))
+
+
+def _dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a ``key``. Rows of ``hot`` keys are dealt over parts by ``by``."""
+    n = hot.count()
+    if not n:
+        return rows.join(side, key)
+    hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
     parts = F.coalesce("__parts", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts.cast("long")).cast("int")).drop("__parts")
     repeated = side.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     return dealt.join(repeated, [key, "__part"]).drop("__part")
 
 
-def _close(pairs: DataFrame, classes: DataFrame, exact: bool) -> DataFrame:
+def _close(pairs: DataFrame, classes: DataFrame, exact: bool, kept: Kept) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures can belong to a link; many pairs may have the same a."""
     a, b = (classes.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
-    both = _dealt_join(pairs.join(b, "b"), a, "a", "b").where(_comparable(F.col("na"), F.col("nb")))
+    hot = _hot(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", kept)
+    both = _dealt_join(pairs.join(b, "b"), a, "a", "b", hot).where(_comparable(F.col("na"), F.col("nb")))
     return (both if exact else both.where(_distance("sa", "sb") <= MAX_DISTANCE)).select("a", "b")
 
 
@@ -207,25 +228,30 @@ def sets_of(classes: DataFrame, members: DataFrame) -> DataFrame:
     return found.join(classes, "class", "left_semi")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, kept: Kept) -> DataFrame:
     """Those of ``pairs`` (a, b: classes) that are links, by their full sets."""
     a, b = (sets.select(F.col("class").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return _dealt_join(_dealt_join(pairs, b, "b", "a"), a, "a", "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
+    hot = {x: _hot(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")), x, kept) for x in "ab"}
+    return _dealt_join(_dealt_join(pairs, b, "b", "a", hot["b"]), a, "a", "b", hot["a"]).where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b")
 
 
 def with_shared(classes: DataFrame, sets: DataFrame) -> DataFrame:
     """Add ``n_shared``, the shingles of a class that another of the given sets has too, its sketch, and ``short``, its set cut to 32 bits. Classes that cannot be in a link go."""
 
-    @F.pandas_udf("sketch binary, short binary")
-    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            sets = [np.asarray(x, np.int64).view(np.uint64) for x in s]
-            yield pd.DataFrame({"sketch": [sketch(x).tobytes() for x in sets], "short": [np.unique(x.astype(np.uint32)).tobytes() for x in sets]})
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SKETCHED):
+                part = batch.slice(at, SKETCHED)
+                found = [np.asarray(x.values).view(np.uint64) for x in part.column("shingles")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("class"), pa.array([sketch(x).tobytes() for x in found], pa.binary()), pa.array([np.unique(x.astype(np.uint32)).tobytes() for x in found], pa.binary())],
+                    ["class", "sketch", "short"],
+                )
 
     alone = sets.select("class", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("class")).where("n = 1")
     n = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    out = classes.join(sets.select("class", sketched("shingles").alias("cut")).select("class", "cut.*"), "class").join(n, "class", "left")
+    out = classes.join(sets.select("class", "shingles").mapInArrow(sketched, "class long, sketch binary, short binary"), "class").join(n, "class", "left")
     return out.withColumn("n_shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone").where(F.col("n_shared") * 100 >= F.col("n_shingles") * PERCENT)
 
 
@@ -255,7 +281,7 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def _across(rows: DataFrame, classes: DataFrame, exact: bool = False) -> DataFrame:
+def _across(rows: DataFrame, classes: DataFrame, hot: DataFrame, exact: bool = False) -> DataFrame:
     """Close pairs of different labels from bucket rows (key, place, class, label).
 
     Members outside a bucket's largest component are dealt into parts (one, if ``SPREAD`` holds them), those of it into
@@ -268,7 +294,7 @@ def _across(rows: DataFrame, classes: DataFrame, exact: bool = False) -> DataFra
     by_key = by_key.select("key", F.col("most.label").alias("main"), parts.cast("int").alias("parts"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("blocks"))
     in_main = F.col("label") == F.col("main")
     part = F.pmod(F.xxhash64("class"), F.when(in_main, F.col("blocks")).otherwise(F.col("parts")).cast("long")).cast("int")
-    marked = _dealt_join(rows, by_key, "key", "class").withColumn("part", part)
+    marked = _dealt_join(rows, by_key, "key", "class", hot).withColumn("part", part)
     of_main = F.expr("transform(sequence(0, parts - 1), p -> struct(p AS p, part AS q))")
     first = F.expr("transform(filter(sequence(0, greatest(parts, blocks) - 1), q -> q < blocks OR q >= part), q -> struct(part AS p, q AS q))")
     second = F.expr("transform(filter(sequence(0, part), p -> p < part), p -> struct(p AS p, part AS q))")
@@ -327,26 +353,28 @@ def _pairs(rows: pd.DataFrame, exact: bool) -> Iterator[pd.DataFrame]:
 def class_labels(classes: DataFrame, members: DataFrame, kept: Kept, exact: bool = False) -> DataFrame:
     """Component labels of ``classes`` (class, n_shingles, signature); classes without links are left out. ``members`` has their sets (class, shingles)."""
     keys = _keyed(classes, ["class"])
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    keys = kept.table(_dealt_join(keys, sizes, "key", "class").select("key", "class", "members", "place"))
+    sizes = kept.table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    hot = _hot(sizes.withColumnRenamed("members", "n"), "key", kept)
+    keys = kept.table(_dealt_join(keys, sizes, "key", "class", hot).select("key", "class", "members", "place"))
     company = keys.groupBy("class").agg(F.sum("members").alias("company"))
     led = keys.select("key", "class").join(company, "class")
     leads = led.groupBy("key").agg(F.max(F.struct("company", "class")).alias("lead")).select("key", F.col("lead.class").alias("lead"))
-    shared = _dealt_join(led.select("key", "class"), leads, "key", "class").where("class <> lead").groupBy("lead", "class").agg(F.count(F.lit(1)).alias("n"))
+    shared = _dealt_join(led.select("key", "class"), leads, "key", "class", hot).where("class <> lead").groupBy("lead", "class").agg(F.count(F.lit(1)).alias("n"))
     first = shared.groupBy(F.col("class").alias("b")).agg(F.max(F.struct("n", F.col("lead").alias("a"))).alias("best")).select("best.a", "b")
+    first = kept.table(first)
     # Two that are each other's choice are one pair; which end is shared by many does not change.
-    first = kept.table(_close(first, classes, exact).groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b"))
-    links = [kept.table(linked(first, sets_of(_ends(first), members)))]
+    first = kept.table(_close(first, classes, exact, kept).groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b")).select("a", "b"))
+    links = [kept.table(linked(first, sets_of(_ends(first), members), kept))]
     labels = components(links[0], kept)
     rows = _labelled(keys.select("key", "class", "place"), labels)
     several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    rows = kept.table(_dealt_join(rows, several, "key", "class"))
+    rows = kept.table(_dealt_join(rows, several, "key", "class", hot))
     sets = kept.table(sets_of(rows.select("class").distinct(), members))
     able = kept.table(with_shared(classes, sets))
     rows = rows.join(able.select("class"), "class", "left_semi")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = kept.table(_across(rows, able, exact)).join(done, ["a", "b"], "left_anti")
-    links.append(kept.table(linked(more, sets)))
+    more = kept.table(_across(rows, able, hot, exact)).join(done, ["a", "b"], "left_anti")
+    links.append(kept.table(linked(more, sets, kept)))
     return labels if links[1].isEmpty() else components(reduce(DataFrame.union, links), kept)
 
 
@@ -357,7 +385,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def with_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash, class, n_shingles, label (of the component) and component_id."""
     kept, work = Kept(docs.sparkSession), Kept(docs.sparkSession)
-    signed = work.table(with_sets(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "set.*"))
+    signed = work.table(with_sets(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")))
     members = signed.select("doc_id", "text_hash", "class", "n_shingles")
     classes = work.table(signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")))
     labels = class_labels(classes.drop("least"), signed, work, exact)

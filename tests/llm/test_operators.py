@@ -629,7 +629,7 @@ def test_near_duplicates_that_share_one_chunk_of_a_large_bucket(spark, monkeypat
     monkeypatch.setattr(neardup, "SPREAD", 3)
     texts = [" ".join([*(f"w{k}x{i}" for i in range(60)), end]) for k in range(6) for end in ("one", "two")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = {r["doc_id"]: r["set"] for r in neardup.with_sets(docs).select("doc_id", "set").collect()}
+    sets = {r["doc_id"]: r for r in neardup.with_sets(docs).collect()}
     rng = np.random.default_rng(5)
     common = rng.integers(0, 1 << 16, neardup.SLOTS).astype(np.uint16)
     classes, in_chunks = [], neardup.CHUNKS * neardup.CHUNK_SLOTS
@@ -637,7 +637,7 @@ def test_near_duplicates_that_share_one_chunk_of_a_large_bucket(spark, monkeypat
         own = common.copy()
         own[neardup.CHUNK_SLOTS : in_chunks] = rng.integers(0, 1 << 16, in_chunks - neardup.CHUNK_SLOTS)
         classes.append((sets[k]["class"], sets[k]["n_shingles"], bytearray(own.tobytes())))
-    members = neardup.with_sets(docs).select("set.*")
+    members = neardup.with_sets(docs)
     found = neardup.class_labels(spark.createDataFrame(classes, "class long, n_shingles long, signature binary"), members, neardup.Kept(spark))
     labels = {r["class"]: r["label"] for r in found.collect()}
     own = [labels.get(sets[k]["class"], sets[k]["class"]) for k in range(len(texts))]
