@@ -146,21 +146,26 @@ def _unpacked(column: pd.Series) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` without the text, and ``class`` (hash of the set, null if it is empty), n_shingles, signature and shingles."""
+    """The columns of ``docs`` without the text, and ``class`` (hash of the set, null if it is empty), n_shingles, signature and shingles.
+
+    A task gives the shingles of each class once, and null for its other rows.
+    """
     others = [c for c in docs.columns if c != text]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             rest, at = batch.select(others), 0
             for part in slices([t or "" for t in batch.column(text).to_pylist()]):
                 sets = shingle_sets(part, hashes)
-                sizes = np.array([len(x) for x in sets], np.int64)
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                classes = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in sets], pa.int64())
+                sizes = pa.array([len(x) for x in sets], pa.int64())
                 signatures = pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary())
-                shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*rest.slice(at, len(part)).columns, classes, pa.array(sizes), signatures, shingles], [*others, "class", "n_shingles", "signature", "shingles"])
+                classes = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None for x in sets]
+                given = [x if c is not None and not (c in seen or seen.add(c)) else None for c, x in zip(classes, sets, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in given])])
+                values = np.concatenate([x for x in given if x is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
+                shingles = pa.ListArray.from_arrays(pa.array([None if x is None else int(e) for x, e in zip(given, ends, strict=False)] + [int(ends[-1])], pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([*rest.slice(at, len(part)).columns, pa.array(classes, pa.int64()), sizes, signatures, shingles], [*others, "class", "n_shingles", "signature", "shingles"])
                 at += len(part)
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
@@ -224,7 +229,7 @@ def sets_of(classes: DataFrame, members: DataFrame) -> DataFrame:
     def may_be(c: pd.Series) -> pd.Series:
         return pd.Series(wanted.has(c.to_numpy(np.int64)))
 
-    found = members.where("class IS NOT NULL").select("class", "shingles").where(may_be("class")).dropDuplicates(["class"])
+    found = members.where("shingles IS NOT NULL").select("class", "shingles").where(may_be("class")).dropDuplicates(["class"])
     return found.join(classes, "class", "left_semi")
 
 
