@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..storage import checkpointed, shared_folder
 
 #: Texts handed to numpy at a time, in characters; one longer text is a slice of its own.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 250_000
 
 __all__ = ["BitFilter", "Kept", "WordHashes", "checkpointed", "fresh", "shared_folder", "slices", "table", "utf8_bytes"]
 
@@ -45,7 +45,7 @@ class Kept:
 class WordHashes(dict):
     """64-bit hashes of words already met."""
 
-    MOST = 100_000
+    MOST = 50_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -99,7 +99,7 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def slices(texts: list[str]) -> Iterator[list[str]]:
+def slices(texts: Iterable[str]) -> Iterator[list[str]]:
     """Cut a batch into runs of at most ``SLICE_CHARS`` characters, so that memory is bounded by the longest text."""
     run: list[str] = []
     size = 0

@@ -42,7 +42,7 @@ ORDERS = (5, 4, 3, 2, 1)
 #: Words counted for the score: the posterior of this many words like the text's mean word.
 SCORE_WORDS = 12
 #: Words whose score a worker keeps; then the table is emptied.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 40_000
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")

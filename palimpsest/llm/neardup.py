@@ -67,7 +67,7 @@ HOT = 2048
 BROADCAST_ROWS = 200_000
 #: Shingles hashed at a time for a signature.
 PART = 8192
-#: Sets sketched at a time.
+#: Texts unpacked and sets sketched at a time.
 SKETCHED = 512
 
 _random = np.random.default_rng(20240229)
@@ -156,7 +156,8 @@ def with_sets(docs: DataFrame, text: str = "text") -> DataFrame:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             rest, at = batch.select(others), 0
-            for part in slices([t or "" for t in batch.column(text).to_pylist()]):
+            texts = (t or "" for k in range(0, len(batch), SKETCHED) for t in batch.column(text).slice(k, SKETCHED).to_pylist())
+            for part in slices(texts):
                 sets = shingle_sets(part, hashes)
                 sizes = pa.array([len(x) for x in sets], pa.int64())
                 signatures = pa.array([signature(x).tobytes() if len(x) else None for x in sets], pa.binary())
