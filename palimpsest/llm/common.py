@@ -16,8 +16,10 @@ from ..storage import checkpointed, shared_folder
 
 #: Texts handed to numpy at a time, in characters; one longer text is a slice of its own.
 SLICE_CHARS = 250_000
+#: Bytes of rows that Spark hands to a Python worker at a time, in a session that names no bound of its own.
+BATCH_BYTES = "4m"
 
-__all__ = ["BitFilter", "Kept", "WordHashes", "checkpointed", "fresh", "shared_folder", "slices", "table", "utf8_bytes"]
+__all__ = ["BitFilter", "Kept", "WordHashes", "bounded", "checkpointed", "fresh", "shared_folder", "slices", "table", "utf8_bytes"]
 
 
 class Kept:
@@ -85,6 +87,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` as it is, in a session that hands rows to Python in batches of bounded bytes and not of 10 000 rows of any length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever case is used."""
     taken = {c.lower() for c in df.columns}

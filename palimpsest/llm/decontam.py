@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import BitFilter, Kept, WordHashes, fresh, slices
+from .common import BitFilter, Kept, WordHashes, bounded, fresh, slices
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least one in so many.
@@ -235,7 +235,7 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
             hashes.trim()
 
     tests = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where(F.col("text").isNotNull())
-    return tests.mapInPandas(cut, "item_id string, terms array<long>").groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return bounded(tests).mapInPandas(cut, "item_id string, terms array<long>").groupBy("terms").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def build_index(texts: DataFrame, wanted: BitFilter) -> DataFrame:
@@ -251,7 +251,7 @@ def build_index(texts: DataFrame, wanted: BitFilter) -> DataFrame:
                 if len(segment.positions):
                     yield pd.DataFrame([segment.row()], columns=[c.split()[0] for c in SEGMENT.split(", ")])
 
-    return texts.mapInPandas(build, SEGMENT)
+    return bounded(texts).mapInPandas(build, SEGMENT)
 
 
 def list_lengths(index: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 FIT_PAGES = 150
 LAYOUTS = 8
 TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
@@ -459,7 +461,7 @@ def with_main_text(pages: DataFrame, model: Trees, page: str = "html", out: str
         for s in batches:
             yield pd.Series([t for i in range(0, len(s), 64) for t in main_texts(shared.value, list(s.iloc[i : i + 64]))], dtype=object)
 
-    return pages.withColumn(out, extract(F.col(page)))
+    return bounded(pages).withColumn(out, extract(F.col(page)))
 
 
 def main_text_report(pages: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import bounded, checkpointed, slices
 from .mixing import hash_of
 
 BUCKETS = 1 << 14
@@ -80,7 +80,7 @@ def gram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pd.DataFrame({"bucket": full.astype(np.int32), "n": total[full]})
 
     out = np.zeros(BUCKETS)
-    for r in docs.select(text).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in bounded(docs).select(text).mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -114,7 +114,7 @@ def with_weights(docs: DataFrame, ratios: np.ndarray, text: str = "text", out: s
                 w.append(sums if length is None else length * sums / np.maximum(sizes, 1))
             yield pd.DataFrame({"n_grams": np.concatenate(n), "log_weight": np.concatenate(w)})
 
-    return docs.withColumn(out, weigh(F.col(text)))
+    return bounded(docs).withColumn(out, weigh(F.col(text)))
 
 
 def gumbel(doc_id: Column) -> Column:

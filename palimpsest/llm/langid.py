@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices
+from .common import bounded, checkpointed, slices
 
 #: Of each language: rows learned from, and words as well as n-grams kept.
 MAX_DOCS, MAX_ENTRIES = 5_000, 15_000
@@ -124,9 +124,16 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
     return pd.DataFrame({"lang_pred": pred, "score": np.clip(score, 0, 1)})
 
 
+def _emptied(found: dict[str, Counter[str]]) -> Iterator[pd.DataFrame]:
+    """The counts as rows; none stay in ``found``."""
+    for lang, c in found.items():
+        yield pd.DataFrame({"lang": lang, "entry": list(c), "n": list(c.values())})
+    found.clear()
+
+
 def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | None = MAX_ENTRIES) -> Model:
     """Learn from labelled, not held-out rows of ``docs`` (doc_id, text, lang)."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = bounded(docs).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").count().collect()  # one row a language
     langs = sorted(r["lang"] for r in sizes)
     if max_docs is not None and any(r["count"] > max_docs for r in sizes):
@@ -134,12 +141,15 @@ def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | Non
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, Counter[str]] = {}
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                c: Counter[str] = Counter()
+                c = found.setdefault(lang, Counter())
                 for t in texts:
                     c.update(words_of(t))
-                yield pd.DataFrame({"lang": lang, "entry": list(c), "n": list(c.values())})
+            if sum(map(len, found.values())) > CACHED_WORDS:
+                yield from _emptied(found)
+        yield from _emptied(found)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -172,7 +182,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
             parts = [predict(rows, x) for x in slices([t or "" for t in s])]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
 
-    return docs.withColumn(out, language(F.col(text)))
+    return bounded(docs).withColumn(out, language(F.col(text)))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

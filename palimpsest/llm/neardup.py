@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import BitFilter, Kept, WordHashes, fresh, slices
+from .common import BitFilter, Kept, WordHashes, bounded, fresh, slices
 
 SHINGLE = 4
 #: Links are pairs with 100 * intersection >= PERCENT * union.
@@ -170,7 +170,7 @@ def with_sets(docs: DataFrame, text: str = "text") -> DataFrame:
                 at += len(part)
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]
-    return docs.mapInArrow(sign, ", ".join([*kinds, "class long", "n_shingles long", "signature binary", "shingles array<long>"]))
+    return bounded(docs).mapInArrow(sign, ", ".join([*kinds, "class long", "n_shingles long", "signature binary", "shingles array<long>"]))
 
 
 def _keyed(classes: DataFrame, carry: list[str]) -> DataFrame:

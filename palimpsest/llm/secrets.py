@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bounded, checkpointed
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -236,7 +236,7 @@ def with_secrets(docs: DataFrame, words: Words | None = None, text: str = "text"
                 rows.append((*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(found)))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.withColumn(out, scan(F.col(text)))
+    return bounded(docs).withColumn(out, scan(F.col(text)))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

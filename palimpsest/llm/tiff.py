@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 # Fixed values of the format: tag numbers, compression codes, and bytes of the field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
@@ -302,7 +304,7 @@ def pages(df: DataFrame, media: str) -> DataFrame:
         for s in batches:
             yield pd.Series([list(rows(m)) for m in s], dtype=object)
 
-    return df.withColumn("tiff_page", F.explode(walk(F.col(media)))).drop(media)
+    return bounded(df).withColumn("tiff_page", F.explode(walk(F.col(media)))).drop(media)
 
 
 def describe(pages: list[np.ndarray]) -> str:
@@ -335,4 +337,4 @@ def media_report(docs: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([stored(t) for t in s], columns=names)
 
-    return docs.select("doc_id", report(F.col("text")).alias("m")).select("doc_id", "m.*")
+    return bounded(docs).select("doc_id", report(F.col("text")).alias("m")).select("doc_id", "m.*")

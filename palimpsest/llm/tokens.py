@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, utf8_bytes
+from .common import bounded, fresh, utf8_bytes
 
 CHUNK_CHARS = 1 << 12
 #: Words and states kept by a worker; beyond that the tables are emptied and filled anew.
@@ -278,7 +278,7 @@ def with_token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text",
         for s in batches:
             yield pd.Series([counter.count(t) for t in s], dtype="int64")
 
-    return docs.withColumn(out, counts(F.col(text)))
+    return bounded(docs).withColumn(out, counts(F.col(text)))
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
