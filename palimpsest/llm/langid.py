@@ -41,7 +41,7 @@ FLOOR = 1e-7
 ORDERS = (5, 4, 3, 2, 1)
 #: Words counted for the score: the posterior of this many words like the text's mean word.
 SCORE_WORDS = 12
-#: Words whose score a worker keeps; then the table is emptied.
+#: Unseen words whose score a worker keeps; then they are forgotten.
 CACHED_WORDS = 40_000
 UNKNOWN = "und"
 
@@ -83,18 +83,19 @@ class Model:
     def word(self, word: str) -> np.ndarray:
         if (k := self.words.get(word)) is not None:
             return self.word_logs[k]
+        marked, row = f"<{word}>", self.grams.get
         for order in ORDERS:
-            if known := [k for g in grams_of(word, order) if (k := self.grams.get(g)) is not None]:
-                return self.gram_logs[known].mean(0)
+            if known := [k for i in range(len(marked) - order + 1) if (k := row(marked[i : i + order])) is not None]:
+                return np.add.reduce(self.gram_logs[known]) / np.float32(len(known))
         return np.zeros(len(self.langs), np.float32)
 
 
 class Rows(dict):
-    """Row numbers of words in a table of scores that grows as new words are met."""
+    """Row numbers of words in a table of scores: the known words, then unseen ones as they are met."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.scores = model, np.zeros((1024, len(model.langs)), np.float32)
+        super().__init__(model.words)
+        self.model, self.scores = model, np.concatenate([model.word_logs, np.zeros((1024, len(model.langs)), np.float32)])
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
@@ -103,6 +104,12 @@ class Rows(dict):
         self.scores[k] = self.model.word(word)
         return k
 
+    def trim(self) -> None:
+        """Forget the unseen words once they are many; called between texts."""
+        if len(self) > len(self.model.words) + CACHED_WORDS:
+            self.clear()
+            self.update(self.model.words)
+
 
 def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
     """lang_pred and score of each text."""
@@ -119,8 +126,7 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
         mean = total / sizes[:, None] * np.minimum(sizes, SCORE_WORDS)[:, None]
         pred[full] = np.array(model.langs, object)[best]
         score[full] = 1 / np.exp(mean - mean[np.arange(len(full)), best][:, None]).sum(1)
-    if len(rows) > CACHED_WORDS:
-        rows.clear()
+    rows.trim()
     return pd.DataFrame({"lang_pred": pred, "score": np.clip(score, 0, 1)})
 
 
