@@ -66,7 +66,7 @@ HOT = 2048
 #: Keys with so many rows that are sent to every task.
 BROADCAST_ROWS = 200_000
 #: Shingles hashed at a time for a signature.
-PART = 8192
+PART = 1024
 #: Texts unpacked and sets sketched at a time.
 SKETCHED = 512
 
