@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, importance, langid, mixing, neardup, secrets, sharding, tiff, tokens
+from . import decontam, fim, html_main, importance, langid, mixing, neardup, secrets, sharding, spelling, tiff, tokens, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,27 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
+#: Sites (host, path, verdict) and patterns (pattern, verdict) of the URL filter.
+SITES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+PATTERNS = [
+    ("||ads.", "block"), ("/adserver/", "block"), ("-pills.", "block"), ("casino", "block"), ("/login^", "block"), ("/cart^", "block"), ("/print/", "block"),
+    ("^sessionid=", "block"), ("^replytocom=", "block"), (".exe|", "block"), (".zip|", "block"), ("||blog.*^page=", "block"), ("||docs.", "allow"), ("^utm_source=feed|", "allow"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judged(pages, url_rules.rule_table(spark, SITES, url_rules.SITE_COLUMNS), url_rules.rule_table(spark, PATTERNS, url_rules.PATTERN_COLUMNS)).select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_language": op2_language,
@@ -64,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling": op12_spelling,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,5 +156,42 @@ reached(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JO
 least_one AS (SELECT a AS doc_id, min(b) AS b FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_one l USING (doc_id)
+""",
+    # Units as a list, cut by rank; the rebuilt text of a sound output is the text.
+    "op11_fill_in_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(w) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+cuts AS (
+  SELECT *, array_to_string(w[1 : least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(w[greatest(a, b) + 1 : n], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cuts
+""",
+    # Every rule on every URL.
+    "op13_url_filter": r"""
+WITH places AS (
+  SELECT row_number() OVER () AS k, page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+sites(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+patterns(pattern, v, re) AS (VALUES
+  ('||ads.', 'block', '^[a-z0-9+.-]*://([^/?#]*[.])?ads[.]'), ('/adserver/', 'block', '/adserver/'), ('-pills.', 'block', '-pills[.]'), ('casino', 'block', 'casino'),
+  ('/login^', 'block', '/login([^a-z0-9_.%-]|\z)'), ('/cart^', 'block', '/cart([^a-z0-9_.%-]|\z)'), ('/print/', 'block', '/print/'), ('^sessionid=', 'block', '[^a-z0-9_.%-]sessionid='),
+  ('^replytocom=', 'block', '[^a-z0-9_.%-]replytocom='), ('.exe|', 'block', '[.]exe\z'), ('.zip|', 'block', '[.]zip\z'), ('||blog.*^page=', 'block', '(?s)^[a-z0-9+.-]*://([^/?#]*[.])?blog[.].*[^a-z0-9_.%-]page='),
+  ('||docs.', 'allow', '^[a-z0-9+.-]*://([^/?#]*[.])?docs[.]'), ('^utm_source=feed|', 'allow', '[^a-z0-9_.%-]utm_source=feed\z')),
+by_site AS (
+  SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM places, sites WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY k),
+by_pattern AS (
+  SELECT k, min(CASE WHEN v = 'allow' THEN pattern END) AS yes, min(CASE WHEN v = 'block' THEN pattern END) AS no FROM places, patterns WHERE regexp_matches(u, re) GROUP BY k)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN coalesce(yes, no) END AS pattern, coalesce(s.v, CASE WHEN yes IS NULL AND no IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM places LEFT JOIN by_site s USING (k) LEFT JOIN by_pattern USING (k)
 """,
 }
