@@ -18,6 +18,8 @@ from ..storage import checkpointed, shared_folder
 SLICE_CHARS = 250_000
 #: Bytes of rows that Spark hands to a Python worker at a time, in a session that names no bound of its own.
 BATCH_BYTES = "4m"
+#: Bytes of a row group of a table of hashes.
+HASH_GROUP = 16 << 20
 
 __all__ = ["BitFilter", "Kept", "WordHashes", "bounded", "checkpointed", "fresh", "shared_folder", "slices", "table", "utf8_bytes"]
 
@@ -29,10 +31,11 @@ class Kept:
         self.spark, self.paths = spark, []
         atexit.register(self.drop)
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """Cut the lineage with a table."""
+    def table(self, df: DataFrame, hashes: bool = False) -> DataFrame:
+        """Cut the lineage with a table. ``hashes`` says that rows are wide and mostly hashes: small row groups, and no compression, which has large buffers outside the heap and nothing to gain."""
         path = f"{shared_folder(self.spark)}/palimpsest-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        write = df.write.option("compression", "none").option("parquet.block.size", HASH_GROUP) if hashes else df.write
+        write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

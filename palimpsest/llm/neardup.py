@@ -375,8 +375,8 @@ def class_labels(classes: DataFrame, members: DataFrame, kept: Kept, exact: bool
     rows = _labelled(keys.select("key", "class", "place"), labels)
     several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     rows = kept.table(_dealt_join(rows, several, "key", "class", hot))
-    sets = kept.table(sets_of(rows.select("class").distinct(), members))
-    able = kept.table(with_shared(classes, sets))
+    sets = kept.table(sets_of(rows.select("class").distinct(), members), hashes=True)
+    able = kept.table(with_shared(classes, sets), hashes=True)
     rows = rows.join(able.select("class"), "class", "left_semi")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = kept.table(_across(rows, able, hot, exact)).join(done, ["a", "b"], "left_anti")
@@ -391,7 +391,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def with_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash, class, n_shingles, label (of the component) and component_id."""
     kept, work = Kept(docs.sparkSession), Kept(docs.sparkSession)
-    signed = work.table(with_sets(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")))
+    signed = work.table(with_sets(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")), hashes=True)
     members = signed.select("doc_id", "text_hash", "class", "n_shingles")
     classes = work.table(signed.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")))
     labels = class_labels(classes.drop("least"), signed, work, exact)
