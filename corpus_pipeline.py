@@ -16,10 +16,15 @@ from palimpsest.llm.common import checkpointed, fresh, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A document whose language scores less is rejected: a text of its words could as well be of several languages.
+LEAST_SCORE = 0.4
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be told; those without a letter go."""
+    """Documents in a learned language. Those without a letter go, and those that are as likely in several; a null ``lang`` is filled in."""
     found = fresh(docs, "language")
-    return langid.with_language(docs, langid.fit(docs), out=found).where(F.col(found)["lang_pred"] != langid.UNKNOWN).select(docs.columns)
+    known = langid.with_language(docs, langid.fit(docs), out=found).where((F.col(f"{found}.lang_pred") != langid.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", f"{found}.lang_pred")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
