@@ -14,7 +14,8 @@ from .tables import latest, mark
 
 # Limits of a compact profile, and what names an item of a list.
 DEEPEST, MOST_KEYS, MOST_ITEMS, MOST_HABITS, MOST_TAGS, LEAST_CONFIDENCE = 6, 60, 50, 10, 15, 0.5
-IDENTITY = ("id", "key", "name", "title", "label", "habit", "tag", "value")
+IDENTITY = ("id", "key", "name", "code", "type", "label")
+IDENTITY_BY_PATH = {"tags": ("name",), "preferences.habits": ("name",), "demographic.extra.*": ("id", "key", "name", "code", "label")}
 PERSONALITIES = ("INTJ", "INTP", "ENTJ", "ENTP", "INFJ", "INFP", "ENFJ", "ENFP", "ISTJ", "ISFJ", "ESTJ", "ESFJ", "ISTP", "ISFP", "ESTP", "ESFP")
 
 
@@ -106,45 +107,70 @@ def known_personalities(values: Column) -> Column:
     return F.filter(values, lambda v: F.upper(v).isin(*PERSONALITIES))
 
 
-def _name(item: object) -> str | None:
-    """What two items of a list must share to be one."""
-    if isinstance(item, dict):
-        for key in IDENTITY:
-            v = item.get(key)
-            if isinstance(v, str) and v.strip():
-                return f"{key}={v.strip().lower()}"
-            if isinstance(v, (int, float)):
-                return f"{key}={v}"
-        return None
-    return None
-
-
-def merge(old: object, new: object) -> object:
-    """Objects key by key, lists item by item; otherwise the new value, unless it is null."""
-    if new is None or old is None:
-        return old if new is None else new
-    if isinstance(old, dict) and isinstance(new, dict):
-        return {k: merge(old.get(k), new.get(k)) for k in [*old, *(k for k in new if k not in old)]}
-    if isinstance(old, list) and isinstance(new, list):
-        items: dict[str, object] = {}
-        for x in [*old, *new]:
-            name = _name(x)
-            key = name or (x.strip().lower() if isinstance(x, str) else json.dumps(x, sort_keys=True))
-            items[key] = merge(items.get(key), x) if name else items.get(key, x)
-        return list(items.values())
-    return new
-
-
-def _compact(value: object, depth: int = 0) -> object:
-    """Without empty parts, and within limits of depth, keys and items."""
-    if depth >= DEEPEST:
-        return None
-    if isinstance(value, dict):
-        full = [(k, x) for k, v in value.items() if (x := _compact(v, depth + 1)) not in (None, "", [], {})]
-        return dict(full[:MOST_KEYS])
-    if isinstance(value, list):
-        return merge([], [x for v in value if (x := _compact(v, depth + 1)) not in (None, "", [], {})])[:MOST_ITEMS]
-    return value.strip() and value if isinstance(value, str) else value
+class Profiles:
+    """Merging and compacting of profile objects; ``by_path`` says which keys name the items of which lists.
+
+    A path is the keys that lead to a list, joined by dots, whatever lists they pass
+    through; one that ends in ``.*`` stands for all paths that begin with what is before it. A
+    path that is spelled out goes before one with ``.*``, and the longer of these first.
+    """
+
+    def __init__(self, by_path: dict[str, tuple[str, ...]] | None = None, default: tuple[str, ...] = IDENTITY) -> None:
+        table = IDENTITY_BY_PATH if by_path is None else by_path
+        self.default = default
+        self.exact = {p: keys for p, keys in table.items() if not p.endswith(".*")}
+        self.starts = sorted(((p[:-2], keys) for p, keys in table.items() if p.endswith(".*")), key=lambda x: -len(x[0]))
+
+    @staticmethod
+    def below(path: str, key: str) -> str:
+        return f"{path}.{key}" if path else key
+
+    def keys(self, path: str) -> tuple[str, ...]:
+        if path in self.exact:
+            return self.exact[path]
+        return next((keys for start, keys in self.starts if path.startswith(start)), self.default)
+
+    def name(self, item: object, path: str) -> tuple:
+        """Items of a list with the same name are one: objects that share an identity, or else equal values."""
+        if isinstance(item, dict):
+            for key in self.keys(path):
+                v = item.get(key)
+                if isinstance(v, (int, float)) or (isinstance(v, str) and v.strip()):
+                    return "object", key, str(v).strip().lower() if isinstance(v, str) else str(v)
+        return "value", item.strip().lower() if isinstance(item, str) else json.dumps(item, sort_keys=True)
+
+    def merge(self, old: object, new: object, path: str = "") -> object:
+        """Objects key by key, lists item by item; otherwise the new value, unless it is null."""
+        if new is None or old is None:
+            return old if new is None else new
+        if isinstance(old, dict) and isinstance(new, dict):
+            return {k: self.merge(old.get(k), new.get(k), self.below(path, k)) for k in [*old, *(k for k in new if k not in old)]}
+        if isinstance(old, list) and isinstance(new, list):
+            return self.union([*old, *new], path)
+        return new
+
+    def union(self, items: list, path: str) -> list:
+        out: dict[tuple, object] = {}
+        for x in items:
+            name = self.name(x, path)
+            out[name] = self.merge(out.get(name), x, path) if name[0] == "object" else out.get(name, x)
+        return list(out.values())
+
+    def trimmed(self, value: object, depth: int = 0, path: str = "") -> object:
+        """Without empty parts, and within limits of depth, keys and items."""
+        if depth >= DEEPEST:
+            return None
+        if isinstance(value, dict):
+            full = [(k, x) for k, v in value.items() if (x := self.trimmed(v, depth + 1, self.below(path, k))) not in (None, "", [], {})]
+            return dict(full[:MOST_KEYS])
+        if isinstance(value, list):
+            return self.union([x for v in value if (x := self.trimmed(v, depth + 1, path)) not in (None, "", [], {})], path)[:MOST_ITEMS]
+        return value.strip() and value if isinstance(value, str) else value
+
+    def compact(self, profile: dict) -> dict:
+        out = self.trimmed(profile)
+        preferences = out.get("preferences") if isinstance(out.get("preferences"), dict) else {}
+        return out | {"preferences": preferences | {"habits": _best(preferences.get("habits"), "confidence", MOST_HABITS)}, "tags": _best(out.get("tags"), "weight", MOST_TAGS)}
 
 
 def _best(items: object, key: str, most: int) -> list:
@@ -158,12 +184,6 @@ def _best(items: object, key: str, most: int) -> list:
     return sorted(rows, key=weight, reverse=True)[:most]
 
 
-def compact(profile: dict) -> dict:
-    out = _compact(profile)
-    preferences = out.get("preferences") if isinstance(out.get("preferences"), dict) else {}
-    return out | {"preferences": preferences | {"habits": _best(preferences.get("habits"), "confidence", MOST_HABITS)}, "tags": _best(out.get("tags"), "weight", MOST_TAGS)}
-
-
 def _object(text: object) -> dict:
     try:
         value = json.loads(text) if isinstance(text, str) else {}
@@ -172,14 +192,15 @@ def _object(text: object) -> dict:
     return value if isinstance(value, dict) else {}
 
 
-def merge_profiles(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Profiles (user_id, profile as JSON) of both, merged and made compact; each side has one row a user."""
+def merge_profiles(old: DataFrame, new: DataFrame, by_path: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Profiles (user_id, profile as JSON) of both, merged and made compact; each side has one row a user. ``by_path``: other identity keys than ``IDENTITY_BY_PATH``."""
+    profiles = Profiles(by_path)
     both = old.select("user_id", F.col("profile").alias("old")).join(new.select("user_id", F.col("profile").alias("new")), "user_id", "full")
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([json.dumps(compact(merge(_object(x), _object(y))), ensure_ascii=False, sort_keys=True) for x, y in zip(a, b, strict=True)], dtype=object)
+            yield pd.Series([json.dumps(profiles.compact(profiles.merge(_object(x), _object(y))), ensure_ascii=False, sort_keys=True) for x, y in zip(a, b, strict=True)], dtype=object)
 
     return both.select("user_id", run("old", "new").alias("profile"))
 

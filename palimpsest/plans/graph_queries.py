@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import SECTORS
+from ..functions import sealing
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import evaluate, graph, ingest, model_stage, recall
 from ..operators import sessions as ses
 from ..operators import tables as tab
 from ..sources.views import Tables
+from ..storage import checkpointed
 from . import registry as R
 from .memory_queries import r6
 from .registry import query
@@ -251,11 +253,11 @@ def x5_compact_tags(t: Tables) -> DataFrame:
 @query("""WITH w AS (SELECT user_id, tags[2] AS name, feedback_score >= 4 AS new, max(salience) AS weight FROM m_memories GROUP BY 1, 2, 3)
  SELECT user_id, name, weight, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, name) AS place FROM (SELECT user_id, name, coalesce(max(weight) FILTER (new), max(weight)) AS weight FROM w GROUP BY 1, 2) WHERE weight >= 0.5 QUALIFY place <= 15""")
 def x4_merge_profiles(t: Tables) -> DataFrame:
-    """Profiles of tags (each user's heaviest 50), merged: the newer weight of a tag holds."""
+    """Profiles of tags, merged: the newer weight of a tag holds."""
 
     def profile(rows: DataFrame) -> DataFrame:
         tags = rows.groupBy("user_id", F.get("tags", F.lit(1)).alias("name")).agg(F.max("salience").alias("weight"))
-        top = recall.ranked(tags, ["user_id"], F.desc("weight"), "name").where(F.col("rank") <= ses.MOST_ITEMS)
+        top = recall.ranked(tags, ["user_id"], F.desc("weight"), "name")
         listed = F.array_sort(F.collect_list(F.struct("rank", "name", "weight")))
         return top.groupBy("user_id").agg(F.to_json(F.struct(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["weight"].alias("weight"))).alias("tags"))).alias("profile"))
 
@@ -266,6 +268,55 @@ def x4_merge_profiles(t: Tables) -> DataFrame:
     return recall.ranked(rows, ["user_id"], F.desc("weight"), "name", name="place").withColumn("place", F.col("place").cast("long"))
 
 
+@query("""WITH side AS (SELECT user_id, feedback_score >= 4 AS new, tags[2] AS source, tags[1] AS lang, salience, CAST(substr(id, 2) AS BIGINT) AS k FROM m_memories),
+ items AS (SELECT user_id, new, 'pets' AS list, 'code' AS by_key, lang AS name, max(salience) AS weight FROM side GROUP BY ALL
+   UNION ALL SELECT user_id, new, 'items', 'type', lang, max(salience) FROM side GROUP BY ALL
+   UNION ALL SELECT user_id, new, 'tags', 'name', source, max(salience) FROM side GROUP BY ALL)
+ SELECT user_id, list, name, CAST(1 AS BIGINT) AS n, weight FROM (SELECT user_id, list, name, coalesce(max(weight) FILTER (new), max(weight)) AS weight FROM items GROUP BY user_id, list, name)
+   WHERE list <> 'tags' OR weight >= 0.5
+   QUALIFY list <> 'tags' OR row_number() OVER (PARTITION BY user_id, list ORDER BY weight DESC, name) <= 15""")
+def x4_merge_by_path(t: Tables) -> DataFrame:
+    """Lists whose items go by different keys: tags by name though their ids differ, items by type, and below ``demographic.extra`` by code though all share a type."""
+
+    def profile(rows: DataFrame, side: str) -> DataFrame:
+        def listed(name: str, key: Column, *more: Column) -> DataFrame:
+            each = rows.groupBy("user_id", key.alias("k")).agg(F.max("salience").alias("weight"))
+            return each.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "k"))), lambda x: F.struct(*[m(x["k"]) for m in more], (-x["w"]).alias("weight"))).alias(name))
+
+        lang, source = F.get("tags", F.lit(0)), F.get("tags", F.lit(1))
+        tags = listed("tags", source, lambda k: k.alias("name"), lambda k: F.concat(F.lit(side), k).alias("id"))
+        pets = listed("pets", lang, lambda k: k.alias("code"), lambda k: F.lit("pet").alias("type"))
+        items = listed("items", lang, lambda k: k.alias("type"), lambda k: F.lit(side).alias("title"))
+        made = F.struct("tags", F.struct(F.struct("pets").alias("extra")).alias("demographic"), F.struct("items").alias("attributes"))
+        return tags.join(pets, "user_id").join(items, "user_id").select("user_id", F.to_json(made).alias("profile"))
+
+    merged = ses.merge_profiles(profile(t.memories.where("feedback_score < 4"), "old"), profile(t.memories.where("feedback_score >= 4"), "new"))
+    item = "array<struct<name:string,code:string,type:string,weight:double>>"
+    read = merged.select("user_id", F.from_json("profile", f"tags {item}, demographic struct<extra:struct<pets:{item}>>, attributes struct<items:{item}>").alias("p"))
+    lists = {"tags": (F.col("p.tags"), "name"), "pets": (F.col("p.demographic.extra.pets"), "code"), "items": (F.col("p.attributes.items"), "type")}
+    rows = [read.select("user_id", F.lit(name).alias("list"), F.explode(c).alias("x")).select("user_id", "list", F.col(f"x.{key}").alias("name"), "x.weight") for name, (c, key) in lists.items()]
+    return rows[0].union(rows[1]).union(rows[2]).groupBy("user_id", "list", "name").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"))
+
+
+@query("""SELECT id, path, value, value <> '' AS sealed FROM (
+ SELECT id, 'demographic.city' AS path, tags[1] AS value FROM m_memories UNION ALL SELECT id, 'tags[0].name', tags[2] FROM m_memories UNION ALL SELECT id, 'tags[1].name', '' FROM m_memories
+ UNION ALL SELECT id, 'attributes.said[0]', coalesce(content, '') FROM m_memories UNION ALL SELECT id, 'attributes.said[2][0]', primary_sector FROM m_memories) WHERE value IS NOT NULL""")
+def f20_sealed_profiles(t: Tables) -> DataFrame:
+    """Profiles whose texts are sealed and opened again: every path, what it held, and whether it was sealed in between."""
+    city, name = F.get("tags", F.lit(0)), F.get("tags", F.lit(1))
+    tag = lambda text: F.struct(text.alias("name"), F.col("salience").alias("weight"))
+    regular = F.to_json(F.struct(F.struct(city.alias("city"), F.lit(30).alias("age")).alias("demographic"), F.array(tag(name), tag(F.lit(""))).alias("tags")))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+    made = F.concat(F.regexp_replace(regular, r"\}$", ""), F.lit(',"attributes":{"said":['), quoted(F.coalesce("content", F.lit(""))), F.lit(",1,["), quoted(F.col("primary_sector")), F.lit(",2]]}}"))
+    key = F.base64(F.unhex(F.sha2("user_id", 256)))
+    bound = F.create_map(F.lit("id"), F.col("id"), F.lit("user_id"), F.col("user_id"), F.lit("field"), F.lit("profile"))
+    rows = t.memories.select("id", "user_id", made.alias("profile"), key.alias("key"), bound.alias("bound"))
+    shut = checkpointed(rows.withColumn("shut", sealing.sealed_json(F.col("profile"), F.col("key"), F.col("bound"))))
+    back = shut.withColumn("back", sealing.opened_json(F.col("shut"), F.col("key"), F.col("bound")))
+    pairs = back.select("id", F.arrays_zip(sealing.leaves(F.col("back"), F.col("bound")).alias("b"), sealing.leaves(F.col("shut"), F.col("bound")).alias("s")).alias("z"))
+    return pairs.select("id", F.explode("z").alias("z")).select("id", F.col("z.b.path").alias("path"), F.col("z.b.text").alias("value"), F.col("z.s.text").startswith(sealing.SEALED).alias("sealed"))
+
+
 @query()
 def s4_html_to_text(t: Tables) -> DataFrame:
     return ingest.html_to_text(t.raw("pages"), "html").select("page_id", "text", "method", "original_length")

@@ -9,7 +9,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.embedding import vectorise
-from ..operators import dynamics, ranking, recall
+from ..operators import dynamics, neighbours, ranking, recall
 from ..sources.views import Tables
 from . import registry as R
 from .registry import query
@@ -113,6 +113,24 @@ def r1_vector_recall(t: Tables) -> DataFrame:
     return recall.vector_recall(t.probes, t.vectors).select("query_id", "id", "sector", r6(F.col("similarity"), "similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_VECTOR} SELECT query_id, id, sector, round(similarity, 6) AS similarity, rank FROM vec")
+def j9_projection_recall(t: Tables) -> DataFrame:
+    """The recall of ``r1`` by random projections; equal to it where a user's sector has few enough vectors for the probes to take all."""
+    return neighbours.near_recall(t.probes, t.vectors).select("query_id", "id", "sector", r6(F.col("similarity"), "similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def j9_measured_recall(t: Tables) -> DataFrame:
+    """For every vector whose id is divisible by 50, among all vectors of all users: how many of the 15 nearest the index finds, and of how many it compares."""
+    everyone = t.vectors.select(F.lit("all").alias("user_id"), F.lit("all").alias("sector"), "id", "v")
+    probes = everyone.where(F.substring("id", 2, 18).cast("long") % 50 == 0).select(F.col("id").alias("query_id"), "user_id", F.lit(5).alias("top_k"), F.col("v").alias("qv"))
+    by = neighbours.Projections()
+    compared = neighbours.candidates(probes, neighbours.index(everyone, by), by).groupBy("query_id").agg(F.count(F.lit(1)).alias("compared"))
+    found, wanted = (x.select("query_id", "id") for x in (neighbours.near_recall(probes, everyone, by), recall.vector_recall(probes, everyone)))
+    hits = wanted.join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+    return hits.join(compared, "query_id")
+
+
 #: The canonical tokens of each memory; each different token is worked out once.
 _TOKS = f"""raw AS MATERIALIZED (SELECT id, unnest(range(0, len(t))) AS place, unnest(t) AS z FROM (SELECT id, {R.sql_tokens('content')} AS t FROM m_memories)), canon AS MATERIALIZED (SELECT z, {R.sql_canonical('z')} AS c FROM (SELECT DISTINCT z FROM raw)),
  toks AS MATERIALIZED (SELECT m.user_id, m.id, coalesce(x.w, []) AS w FROM m_memories m LEFT JOIN (SELECT id, list(c ORDER BY place) AS w FROM raw JOIN canon USING (z) WHERE length(c) > 1 GROUP BY 1) x USING (id))"""
