@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,7 +156,9 @@ def create_waypoints(new: DataFrame, memories: DataFrame, cap: int = 1000, least
 
 
 def mean_vectors(vectors: DataFrame) -> DataFrame:
-    """The mean of a memory's vectors over its sectors, and its short form of 128 elements."""
-    flat = vectors.select("id", F.posexplode(V.doubles(F.col("v"))).alias("k", "x")).groupBy("id", "k").agg(F.avg("x").alias("x"))
-    mean = flat.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("mean_vec"))
+    """The mean of a memory's vectors over its sectors, and its short form of 128 elements.
+
+    The vectors of one memory have one length; null vectors do not count. Sums are merged in tasks before the shuffle, a vector a memory.
+    """
+    mean = vectors.where("v IS NOT NULL").groupBy("id").agg(Summarizer.mean(array_to_vector(V.doubles(F.col("v")))).alias("m")).select("id", vector_to_array("m").alias("mean_vec"))
     return mean.withColumn("mean_dim", F.size("mean_vec")).withColumn("compressed_vec", V.bucket_compressed(F.col("mean_vec"), 128))

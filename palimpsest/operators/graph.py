@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from .. import constants as C
 from ..functions import scoring as S
 from ..functions.convert import clamped, clamped_int
 from ..functions.text import entity_key
-from ..functions.vectors import cosine, with_norm
+from ..functions.vectors import cosine, doubles, with_norm
 from ..storage import checkpointed
 from .recall import ranked
 from .tables import page
@@ -35,8 +39,17 @@ def facts_filter(facts: DataFrame, topic_id: str | None = None, kind: str | None
     return facts
 
 
-def relations_filter(relations: DataFrame, entity: str | None = None, kinds: list[str] | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
-    """Relations with the entity at either end; ``other`` is the end that it is not."""
+def relations_filter(relations: DataFrame, entity: str | None = None, kinds: list[str] | None = None, low: float | None = None, high: float | None = None, related: str | None = None, sources: list[str] | None = None, fact: str | None = None) -> DataFrame:
+    """Relations with the entity at either end; ``other`` is the end that it is not.
+
+    ``related`` names a second entity at either end, ``sources`` are the inference sources allowed, ``fact`` is among the evidence.
+    """
+    if related is not None:
+        relations = relations.where((F.col("source") == related) | (F.col("target") == related))
+    if sources:
+        relations = relations.where(F.col("inference_source").isin(sources))
+    if fact is not None:
+        relations = relations.where(F.array_contains("evidence", fact))
     if entity is not None:
         relations = relations.where((F.col("source") == entity) | (F.col("target") == entity)).withColumn("other", F.when(F.col("source") == entity, F.col("target")).otherwise(F.col("source")))
     if kinds:
@@ -206,6 +219,63 @@ def canonicalise(mentions: DataFrame, canonical: DataFrame, block: Column | None
     return out.withColumn("canonical_id", F.coalesce("same_id", "near_id", new)).withColumn("is_new", F.coalesce("same_id", "near_id").isNull()).drop("same_id", "near_id", "key", "group", "block")
 
 
+def canonicalise_in_order(mentions: DataFrame, canonical: DataFrame, order: list[str]) -> DataFrame:
+    """Like ``canonicalise``, but one mention after the other in ``order``, which is total within a user: each may join an entity that an earlier one began.
+
+    A mention takes the entity of its key, stored or begun; else the most similar of all
+    that are similar enough, the stored before those begun and the earlier of these on a
+    tie; else it begins one. What is stored is joined as a table; only mentions that no stored key names
+    are walked, a user's in one task, row by row: it keeps the vectors of the entities that the
+    user has begun, not the mentions. Null vectors are like nothing.
+    """
+    m = mentions.withColumn("key", entity_key(F.col("entity_type"), F.col("text"))).withColumn("v", doubles(F.col("v")))
+    c = canonical.withColumn("key", entity_key(F.col("entity_type"), F.col("name")))
+    same = c.groupBy("user_id", "key").agg(F.min("id").alias("same_id"))
+    named = m.join(same, ["user_id", "key"], "left")
+    held = with_norm(c.where("v IS NOT NULL").select("user_id", F.col("id").alias("near_id"), F.col("v").alias("v2")), "v2", "n2")
+    asked = with_norm(named.where("same_id IS NULL AND v IS NOT NULL").select("user_id", "v").distinct(), "v", "n")
+    near = asked.join(held, "user_id").select("user_id", "v", "near_id", cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))).alias("s")).where(F.col("s") >= C.CANONICAL_SIMILARITY)
+    best = near.groupBy("user_id", "v").agg(F.min(F.struct((-F.col("s")).alias("rank"), "near_id")).alias("best")).select("user_id", "v", "best.near_id", (-F.col("best.rank")).alias("near_s"))
+    stored = named.where("same_id IS NOT NULL").select(*mentions.columns, F.col("same_id").alias("canonical_id"), F.lit(False).alias("is_new"))
+    open_ = named.where("same_id IS NULL").drop("same_id").join(best, ["user_id", "v"], "left")
+
+    columns = mentions.columns
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, by_key, begun, ids, n = None, {}, np.zeros((0, 0)), [], 0
+        for batch in batches:
+            out, new = [], []
+            for r in batch.itertuples():
+                if r.user_id != user:
+                    user, by_key, begun, ids, n = r.user_id, {}, np.zeros((0, 0)), [], 0
+                v = None if r.v is None else np.asarray(r.v, np.float64)
+                length = 0.0 if v is None else float(np.linalg.norm(v))
+                unit = v / length if length else None
+                found, fresh = by_key.get(r.key), True
+                if found is None:
+                    found, s, fresh = r.near_id if isinstance(r.near_id, str) else None, r.near_s if isinstance(r.near_id, str) else -1.0, False
+                    if unit is not None and n and begun.shape[1] == len(unit):
+                        like = begun[:n] @ unit
+                        k = int(like.argmax())
+                        if like[k] >= C.CANONICAL_SIMILARITY and like[k] > s:
+                            found, fresh = ids[k], True
+                if found is None:
+                    found, fresh = "e" + hashlib.sha256(f"{user}|{r.key}".encode()).hexdigest()[:24], True
+                    by_key[r.key] = found
+                    if unit is not None and (not n or begun.shape[1] == len(unit)):
+                        if n == len(begun):
+                            begun = np.concatenate([begun.reshape(n, len(unit)), np.zeros((max(64, n), len(unit)))])
+                        begun[n], n = unit, n + 1
+                        ids.append(found)
+                out.append(found)
+                new.append(fresh)
+            yield batch[columns].assign(canonical_id=out, is_new=new)
+
+    kinds = ", ".join(f"`{x}` {m.schema[x].dataType.simpleString()}" for x in mentions.columns)
+    walked = open_.repartition("user_id").sortWithinPartitions("user_id", *order).mapInPandas(walk, f"{kinds}, canonical_id string, is_new boolean")
+    return stored.unionByName(walked)
+
+
 def least_of_group(links: DataFrame) -> DataFrame:
     """The least key (group) that links (user_id, a, b) lead to from each key, itself included.
 

@@ -126,13 +126,24 @@ _CANONICALISE = f"""old AS (SELECT 'c' || id AS id, user_id, 'Name ' || CAST(sub
 @query(f"""WITH RECURSIVE {_CANONICALISE} SELECT m.id, coalesce(same_id, near_id, 'e' || substr(sha256(user_id || '|OTHER|' || least(key, coalesce(least_key, key))), 1, 24)) AS canonical_id, same_id IS NULL AND near_id IS NULL AS is_new
  FROM men m LEFT JOIN same USING (user_id, key) LEFT JOIN near USING (user_id, key) LEFT JOIN grp USING (user_id, key)""")
 def g2_canonicalise(t: Tables) -> DataFrame:
+    return graph.canonicalise(*_mentions(t)).select("id", "canonical_id", "is_new")
+
+
+@query()
+def g2_canonicalise_in_order(t: Tables) -> DataFrame:
+    """The same mentions one after the other, by id."""
+    mentions, stored = _mentions(t)
+    return graph.canonicalise_in_order(mentions.withColumn("place", F.substring("id", 2, 18).cast("long")), stored, ["place"]).select("id", "canonical_id", "is_new")
+
+
+def _mentions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Mentions and stored entities: vectors by id, with names that some share."""
     k = F.substring("id", 2, 18).cast("long")
     v = t.vectors.select("id", "user_id", "v", F.lit("OTHER").alias("entity_type"), k.alias("k"))
     name = F.concat(F.lit("Name "), F.floor(F.col("k") / 40).cast("string"))
     old = v.where("k % 3 = 0").select(F.concat(F.lit("c"), "id").alias("id"), "user_id", name.alias("name"), "entity_type", "v")
     said = F.when(F.col("k") % 7 == 1, F.concat(F.lit("New "), (F.col("k") % 600).cast("string"))).otherwise(F.lower(name))
-    mentions = v.where("k % 3 <> 0").select("id", "user_id", said.alias("text"), "entity_type", "v")
-    return graph.canonicalise(mentions, old).select("id", "canonical_id", "is_new")
+    return v.where("k % 3 <> 0").select("id", "user_id", said.alias("text"), "entity_type", "v"), old
 
 
 def _explored(t: Tables) -> tuple[DataFrame, DataFrame]:

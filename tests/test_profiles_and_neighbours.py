@@ -140,3 +140,58 @@ def test_measured_recall(spark, sf):
 
     rows = QUERIES["j9_measured_recall"](spark, sf).collect()
     assert len(rows) > 3 and sum(r["found"] for r in rows) >= 0.95 * sum(r["wanted"] for r in rows)
+
+
+def walked(mentions, stored):
+    """Mentions (id, user, key, v) in order, by plain Python; stored: (id, user, key, v)."""
+    import hashlib
+
+    def like(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    out, begun = {}, []
+    for i, user, key, v in mentions:
+        same = sorted(e for e, u, k, _ in stored if (u, k) == (user, key)) or [e for e, u, k, _ in begun if (u, k) == (user, key)]
+        if same:
+            out[i] = same[0]
+            continue
+        near = [(-like(v, w), 0, e) for e, u, _, w in stored if u == user and v is not None and w is not None]
+        near += [(-like(v, w), 1 + n, e) for n, (e, u, _, w) in enumerate(begun) if u == user and v is not None and w is not None]
+        best = min(near, default=(0, 0, None))
+        if best[0] <= -0.85:
+            out[i] = best[2]
+        else:
+            out[i] = "e" + hashlib.sha256(f"{user}|{key}".encode()).hexdigest()[:24]
+            begun.append((out[i], user, key, v))
+    return out
+
+
+def test_entities_in_order_like_plain_python(spark):
+    from palimpsest.operators import graph
+
+    rand = np.random.default_rng(8)
+    centres = rand.standard_normal((12, 6))
+    rows = []
+    for i in range(400):
+        v = centres[rand.integers(12)] + 0.35 * rand.standard_normal(6)
+        rows.append((i, f"u{rand.integers(3)}", f"N {rand.integers(150)}", "person", None if i % 41 == 0 else [float(x) for x in (v if i % 53 else v * 0)]))
+    old = [(f"c{i}", f"u{i % 3}", f"n{i * 7}", "PERSON", None if i == 4 else [float(x) for x in centres[i % 5]]) for i in range(9)]
+    mentions = spark.createDataFrame(rows, "id long, user_id string, text string, entity_type string, v array<double>").repartition(5)
+    stored = spark.createDataFrame(old, "id string, user_id string, name string, entity_type string, v array<double>")
+    got = graph.canonicalise_in_order(mentions, stored, ["id"]).collect()
+    want = walked([(i, u, "PERSON|" + t.replace(" ", "").lower(), v) for i, u, t, _, v in rows], [(i, u, "PERSON|" + t, v) for i, u, t, _, v in old])
+    assert {r["id"]: r["canonical_id"] for r in got} == want
+    assert {r["is_new"] for r in got if r["canonical_id"].startswith("e")} == {True} and {r["is_new"] for r in got if r["canonical_id"].startswith("c")} == {False}
+    assert graph.canonicalise_in_order(mentions, stored.limit(0), ["id"]).count() == 400 and graph.canonicalise_in_order(mentions.limit(0), stored, ["id"]).count() == 0
+
+
+def test_relations_by_other_end_source_and_evidence(spark):
+    from palimpsest.operators import graph
+
+    rows = [("a", "b", "R", 1.0, "RULE", ["f1", "f2"]), ("c", "a", "R", 0.5, "FALLBACK", ["f2"]), ("b", "c", "S", 0.2, "RULE", None), ("a", "a", "S", None, None, ["f1"])]
+    df = spark.createDataFrame(rows, "source string, target string, edge_relation string, confidence double, inference_source string, evidence array<string>")
+    ends = lambda **kw: sorted((r["source"], r["target"]) for r in graph.relations_filter(df, **kw).collect())
+    assert ends(entity="a", related="b") == [("a", "b")] and ends(related="c") == [("b", "c"), ("c", "a")]
+    assert ends(sources=["RULE"]) == [("a", "b"), ("b", "c")] and ends(fact="f2") == [("a", "b"), ("c", "a")]
+    assert ends(entity="a", fact="f2", sources=["FALLBACK", "RULE"], related="c") == [("c", "a")] and ends(fact="f1", low=0.1) == [("a", "b")]
