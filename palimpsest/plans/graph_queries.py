@@ -9,7 +9,7 @@ from ..constants import SECTORS
 from ..functions import sealing
 from ..functions import text as T
 from ..functions.vectors import cosine
-from ..operators import evaluate, graph, ingest, model_stage, recall
+from ..operators import evaluate, graph, ingest, model_stage, recall, table_functions
 from ..operators import sessions as ses
 from ..operators import tables as tab
 from ..sources.views import Tables
@@ -343,6 +343,18 @@ def i2_sections(t: Tables) -> DataFrame:
     return ingest.sections(t.raw("documents").select("doc_id", "text"), "text", 400).select("doc_id", "section_index", "total_sections", "section")
 
 
+@query()
+def i1_chunks_by_sql(t: Tables) -> DataFrame:
+    """The chunks of ``i1``, from SQL."""
+    return table_functions.register(t.spark).sql("SELECT d.doc_id, c.chunk_index, c.start, c.`end`, c.tokens, c.chunk FROM {docs} d, LATERAL chunk_text(d.text, target => 128) c", docs=t.raw("documents"))
+
+
+@query()
+def i2_sections_by_sql(t: Tables) -> DataFrame:
+    """The sections of ``i2``, from SQL."""
+    return table_functions.register(t.spark).sql("SELECT d.doc_id, s.section_index, s.total_sections, s.section FROM {docs} d, LATERAL section_text(d.text, 400) s", docs=t.raw("documents"))
+
+
 @query()
 def i3_ingest(t: Tables) -> DataFrame:
     docs = t.memories.select("id", "user_id", F.lit("text").alias("content_type"), "content")

@@ -195,3 +195,20 @@ def test_relations_by_other_end_source_and_evidence(spark):
     assert ends(entity="a", related="b") == [("a", "b")] and ends(related="c") == [("b", "c"), ("c", "a")]
     assert ends(sources=["RULE"]) == [("a", "b"), ("b", "c")] and ends(fact="f2") == [("a", "b"), ("c", "a")]
     assert ends(entity="a", fact="f2", sources=["FALLBACK", "RULE"], related="c") == [("c", "a")] and ends(fact="f1", low=0.1) == [("a", "b")]
+
+
+@pytest.mark.parametrize(("by_sql", "plain"), [("i1_chunks_by_sql", "i1_chunks"), ("i2_sections_by_sql", "i2_sections")])
+def test_table_functions_give_the_same_rows(spark, sf, by_sql, plain):
+    from palimpsest.plans.all_queries import QUERIES
+
+    a, b = QUERIES[by_sql](spark, sf), QUERIES[plain](spark, sf)
+    assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_table_functions_in_sql(spark):
+    from palimpsest.operators import table_functions
+
+    table_functions.register(spark)
+    got = spark.sql("SELECT id, section_index, section FROM VALUES (1, 'aa. bb.'), (2, NULL) AS t(id, x), LATERAL section_text(x, 4) ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "aa."), (1, 1, "bb."), (2, 0, "")]
+    assert [tuple(r) for r in spark.sql("SELECT chunk, start, `end` FROM chunk_text('one two')").collect()] == [("one two", 0, 7)]
