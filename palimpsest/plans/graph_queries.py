@@ -15,7 +15,7 @@ from ..operators import tables as tab
 from ..sources.views import Tables
 from ..storage import checkpointed
 from . import registry as R
-from .memory_queries import r6
+from .memory_queries import _BM25, r6
 from .registry import query
 
 
@@ -413,10 +413,14 @@ def i8_essence(t: Tables) -> DataFrame:
 _SCORES = "[k * 13 % 101, k * 29 % 101, k * 53 % 101, k * 71 % 101, k * 97 % 23]"
 
 
-@query(f"""WITH s AS (SELECT doc_id, unnest({_SCORES}) AS score, unnest(range(0, 5)) AS i FROM (SELECT doc_id, doc_id AS k FROM documents)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM s), b AS (SELECT doc_id, max(CASE r WHEN 1 THEN score END) AS top, max(CASE r WHEN 2 THEN score END) AS second, max(CASE r WHEN 1 THEN i END) AS best FROM r GROUP BY 1),
+#: Sectors of each document by its stand-in scores.
+_CLASSIFIED = f"""WITH s AS (SELECT doc_id, unnest({_SCORES}) AS score, unnest(range(0, 5)) AS i FROM (SELECT doc_id, doc_id AS k FROM documents)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM s), b AS (SELECT doc_id, max(CASE r WHEN 1 THEN score END) AS top, max(CASE r WHEN 2 THEN score END) AS second, max(CASE r WHEN 1 THEN i END) AS best FROM r GROUP BY 1),
  p AS (SELECT *, CASE WHEN top < 20 THEN 'semantic' ELSE ['episodic','semantic','procedural','emotional','reflective'][best + 1] END AS primary_sector FROM b)
  SELECT p.doc_id, primary_sector, coalesce(string_agg(['episodic','semantic','procedural','emotional','reflective'][r.i + 1], ',' ORDER BY r.r) FILTER (r.r > 1 AND r.score >= greatest(30.0, 0.4 * top) AND ['episodic','semantic','procedural','emotional','reflective'][r.i + 1] <> primary_sector), '') AS additional,
- CASE WHEN top <= 0 THEN 0.2 WHEN top < 20 THEN 0.3 ELSE round(least(1.0, (top - second) / 100.0::DOUBLE + 0.5), 2) END AS confidence FROM p JOIN r USING (doc_id) GROUP BY p.doc_id, primary_sector, top, second""")
+ CASE WHEN top <= 0 THEN 0.2 WHEN top < 20 THEN 0.3 ELSE round(least(1.0, (top - second) / 100.0::DOUBLE + 0.5), 2) END AS confidence FROM p JOIN r USING (doc_id) GROUP BY p.doc_id, primary_sector, top, second"""
+
+
+@query(_CLASSIFIED)
 def b1_classify(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     scores = F.array(*[(k * a % m).cast("double") for a, m in ((13, 101), (29, 101), (53, 101), (71, 101), (97, 23))])
@@ -556,7 +560,8 @@ def a13_branch_metrics(t: Tables) -> DataFrame:
     return m.select("n", *[r6(F.col(c), c) for c in m.columns[1:]])
 
 
-@query()
+@query(f"""WITH c AS ({_CLASSIFIED}), first AS (SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+ SELECT doc_id AS place, primary_sector AS "primary", list_transform(['episodic', 'semantic', 'procedural', 'emotional', 'reflective'], lambda x: CAST(x = primary_sector OR list_contains(string_split(additional, ','), x) AS INT)) AS labels FROM c JOIN first USING (doc_id)""")
 def e1_label_texts(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     scores = F.array(*[(k * a % m).cast("double") for a, m in ((13, 101), (29, 101), (53, 101), (71, 101), (97, 23))])
@@ -572,7 +577,9 @@ def e3_sector_classifier(t: Tables) -> DataFrame:
     return evaluate.score_sectors(evaluate.fit_sectors(train, features=1 << 12), t.raw("documents").select("doc_id", "text")).select("doc_id", "primary_pred", r6(F.col("confidence"), "confidence"))
 
 
-@query()
+@query(f"""WITH lastq AS (SELECT 'c' || conv_id AS query_id, user_id, content AS text, 3 AS top_k FROM m_turns WHERE role = 'human' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1), {_BM25.replace('FROM m_queries', 'FROM lastq')},
+ told AS (SELECT query_id, string_agg('- ' || content, chr(10) ORDER BY rank) AS context FROM bmr JOIN m_memories USING (id) WHERE rank <= 3 GROUP BY 1)
+ SELECT query_id, text, context FROM lastq LEFT JOIN told USING (query_id)""")
 def r14_augmented_conversations(t: Tables) -> DataFrame:
     """The last question of each conversation with its three best memories by words."""
     from .search import augment_conversations
