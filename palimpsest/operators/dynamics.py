@@ -15,18 +15,29 @@ from ..storage import checkpointed
 from .recall import ranked
 
 
-def assign_segments(memories: DataFrame, size: int = 10_000, buckets: int = 1024) -> DataFrame:
+#: Rows of one hour that one task numbers.
+HOT_HOUR = 1_000_000
+
+
+def assign_segments(memories: DataFrame, size: int = 10_000, hot: int = HOT_HOUR) -> DataFrame:
     """Segment numbers in order of creation: ``size`` rows each.
 
-    The global row number comes from row numbers inside hash-free ranges of time
-    and the row counts of earlier ranges, so no task numbers all rows.
+    The global row number comes from row numbers inside ranges of time and the row
+    counts of earlier ranges, so no task numbers all rows. A range is an hour; hours of more than ``hot``
+    rows are divided further, in the order of creation and id, so rows of one time are divided too.
     """
-    hour = F.date_trunc("HOUR", F.col("created_at"))
-    counts = memories.groupBy(hour.alias("__hour")).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__hour", (F.sum("__n").over(Window.orderBy("__hour")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__hour").orderBy("created_at", "id"))
-    numbered = memories.withColumn("__hour", hour).withColumn("__place", place).join(before, "__hour")
-    return numbered.withColumn("segment", F.floor((F.col("__before") + F.col("__place") - 1) / size).cast("int")).drop("__hour", "__place", "__before")
+    rows = memories.withColumn("__hour", F.date_trunc("HOUR", F.col("created_at"))).withColumn("__part", F.lit(0))
+    large = rows.groupBy("__hour").agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > hot) & F.col("__hour").isNotNull())
+    if total := large.agg(F.sum("__n")).first()[0]:
+        hours = F.broadcast(large.select("__hour"))  # at most a row for each ``hot`` rows
+        # What a range partition holds depends on a sample, so it is written before it is counted.
+        dealt = checkpointed(rows.join(hours, "__hour", "left_semi").repartitionByRange(-(-total // hot), "created_at", "id").withColumn("__part", F.spark_partition_id()))
+        rows = rows.join(hours, "__hour", "left_anti").unionByName(dealt)
+    counts = rows.groupBy("__hour", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__hour", "__part", (F.sum("__n").over(Window.orderBy("__hour", "__part")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__hour", "__part").orderBy("created_at", "id"))
+    numbered = rows.withColumn("__place", place).join(before, ["__hour", "__part"])
+    return numbered.withColumn("segment", F.floor((F.col("__before") + F.col("__place") - 1) / size).cast("int")).drop("__hour", "__part", "__place", "__before")
 
 
 def sample_per_segment(memories: DataFrame, ratio: float, seed: int = 0) -> DataFrame:

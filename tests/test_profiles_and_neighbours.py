@@ -212,3 +212,18 @@ def test_table_functions_in_sql(spark):
     got = spark.sql("SELECT id, section_index, section FROM VALUES (1, 'aa. bb.'), (2, NULL) AS t(id, x), LATERAL section_text(x, 4) ORDER BY 1, 2").collect()
     assert [tuple(r) for r in got] == [(1, 0, "aa."), (1, 1, "bb."), (2, 0, "")]
     assert [tuple(r) for r in spark.sql("SELECT chunk, start, `end` FROM chunk_text('one two')").collect()] == [("one two", 0, 7)]
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 70, 7])
+def test_segments_of_rows_of_one_time(spark, hot):
+    """Very many rows of one hour, most of one time, and a few of others, are numbered alike however they are divided."""
+    from palimpsest.operators import dynamics
+
+    rand = np.random.default_rng(6)
+    times = ["2024-01-01 10:00:00"] * 300 + ["2024-01-01 10:59:59"] * 60 + ["2023-12-31 23:00:00"] * 5 + [f"2024-01-0{d} 11:00:00" for d in range(1, 8)]
+    rows = [(f"m{i:03d}", t) for i, t in enumerate(times)]
+    df = spark.createDataFrame([rows[i] for i in rand.permutation(len(rows))], "id string, at string").selectExpr("id", "CAST(at AS TIMESTAMP_NTZ) AS created_at").repartition(6)
+    got = dynamics.assign_segments(df, size=10, hot=hot)
+    assert got.columns == ["id", "created_at", "segment"]
+    want = {i: n // 10 for n, (_, i) in enumerate(sorted((t, i) for i, t in rows))}
+    assert {r["id"]: r["segment"] for r in got.collect()} == want
