@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import HOT_KEY, divided
 from .recall import ranked
 from .tables import latest, mark
 
@@ -19,22 +20,61 @@ IDENTITY_BY_PATH = {"tags": ("name",), "preferences.habits": ("name",), "demogra
 PERSONALITIES = ("INTJ", "INTP", "ENTJ", "ENTP", "INFJ", "INFP", "ENFJ", "ENFP", "ISTJ", "ISFJ", "ESTJ", "ESFJ", "ISTP", "ISFP", "ESTP", "ESFP")
 
 
-def pair_turns(turns: DataFrame, order: list[str], keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+def pair_turns(turns: DataFrame, order: list[str], keys: tuple[str, ...] = ("user_id",), hot: int = HOT_KEY) -> DataFrame:
     """Give each question (role human) and the answer that takes it a common ``pair_id``.
 
     An answer takes the latest question that has none yet, so questions and answers
     match like brackets: at equal depth, an answer belongs to the question before
-    it. Answers without a question begin a pair of their own.
+    it. Answers without a question begin a pair of their own. ``order`` is total within a
+    key. Keys with more than ``hot`` turns are divided into ranges of turns.
     """
+    few, many = divided(turns, keys, order, hot)
     w = Window.partitionBy(*keys).orderBy(*order)
-    human = F.col("role") == "human"
-    t = turns.withColumn("__sum", F.sum(F.when(human, 1).otherwise(-1)).over(w))
+    t = few.withColumn("__sum", F.sum(_step()).over(w))
     t = t.withColumn("__level", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(w)))
-    before = F.coalesce(F.lag("__level").over(w), F.lit(0))
-    t = t.withColumn("__stack", F.when(human, F.col("__level")).when(before > 0, before).otherwise(0))
+    t = t.withColumn("__stack", _stack(F.col("__level"), F.coalesce(F.lag("__level").over(w), F.lit(0))))
     depth = Window.partitionBy(*keys, "__stack").orderBy(*order)
-    partner = F.when(~human & (F.col("__stack") > 0), F.lag("id").over(depth))
-    return t.withColumn("pair_id", F.concat(F.lit("pair:"), F.coalesce(partner, "id"))).drop("__sum", "__level", "__stack")
+    out = _with_pair(t, F.lag("id").over(depth)).select(*turns.columns, "pair_id")
+    return out if many is None else out.union(_pair_ranges(many, order).select(*turns.columns, "pair_id"))
+
+
+def _step() -> Column:
+    """A question opens, anything else closes."""
+    return F.when(F.col("role") == "human", 1).otherwise(-1)
+
+
+def _stack(level: Column, before: Column) -> Column:
+    """The depth at which a turn opens or closes; 0 where nothing is open."""
+    return F.when(F.col("role") == "human", level).when(before > 0, before).otherwise(0)
+
+
+def _with_pair(turns: DataFrame, opened: Column) -> DataFrame:
+    partner = F.when((_step() < 0) & (F.col("__stack") > 0), opened)
+    return turns.withColumn("pair_id", F.concat(F.lit("pair:"), F.coalesce(partner, "id")))
+
+
+def _pair_ranges(turns: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs of turns whose keys are divided (``__key``, ``__part``).
+
+    A range changes the depth by its sum, and the least depth so far by its least sum. These
+    compose, so what is before a range comes from one row of each earlier range. Likewise an answer
+    that finds no question at its depth in its range takes the last one of an earlier range.
+    """
+    within = Window.partitionBy("__key", "__part").orderBy(*order)
+    t = turns.withColumn("__sum", F.sum(_step()).over(within)).withColumn("__low", F.min("__sum").over(within)).withColumn("__low_before", F.lag("__low").over(within))
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = t.groupBy("__key", "__part").agg(F.sum(_step()).alias("__total"), F.min("__low").alias("__least"))
+    ends = ends.withColumn("__base", F.coalesce(F.sum("__total").over(earlier), F.lit(0)))
+    ends = ends.withColumn("__floor", F.least(F.lit(0), F.min(F.col("__base") + F.col("__least")).over(earlier)))
+    t = t.join(ends.drop("__total", "__least"), ["__key", "__part"])
+    level = F.col("__base") + F.col("__sum") - F.least("__floor", F.col("__base") + F.col("__low"))
+    before = F.col("__base") + F.col("__sum") - _step() - F.least("__floor", F.col("__base") + F.col("__low_before"))
+    t = t.withColumn("__stack", _stack(level, before))
+    last = t.where("__stack > 0").groupBy("__key", "__part", "__stack").agg(F.max_by("id", F.struct(*order)).alias("__last"))
+    carried = last.select("__key", "__part", "__stack", F.lag("__last").over(Window.partitionBy("__key", "__stack").orderBy("__part")).alias("__carried"))
+    depth = Window.partitionBy("__key", "__part", "__stack").orderBy(*order)
+    t = t.withColumn("__place", F.row_number().over(depth)).withColumn("__opened", F.lag("id").over(depth))
+    return _with_pair(t.join(carried, ["__key", "__part", "__stack"], "left"), F.when(F.col("__place") == 1, F.col("__carried")).otherwise(F.col("__opened")))
 
 
 def latest_answer(memories: DataFrame, order: str = "created_at") -> DataFrame:
@@ -79,11 +119,25 @@ def write_sessions(batches: DataFrame, summary: Column, memories: DataFrame, emb
     return rows, mark(memories, batches.select(F.explode("dialogue_ids").alias("id")), "session_joined")
 
 
-def gap_sessions(turns: DataFrame, ts: str = "ts", gap_minutes: int = 30) -> DataFrame:
-    """Add ``session_id``: a turn that comes later than the gap after the user's turn before it begins a session."""
+def gap_sessions(turns: DataFrame, ts: str = "ts", gap_minutes: int = 30, hot: int = HOT_KEY) -> DataFrame:
+    """Add ``session_id``: a turn that comes later than the gap after the user's turn before it begins a session.
+
+    Users with more than ``hot`` turns are divided into ranges of time, whose sessions are numbered on from those before.
+    """
+    few, many = divided(turns, ("user_id",), [ts, "id"], hot)
+    fresh = lambda before: F.when(F.timestamp_diff("SECOND", before, F.col(ts)) <= gap_minutes * 60, 0).otherwise(1)
     w = Window.partitionBy("user_id").orderBy(ts, "id")
-    new = F.when(F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)) <= gap_minutes * 60, 0).otherwise(1)
-    return turns.withColumn("__new", new).withColumn("session_no", F.sum("__new").over(w)).drop("__new").withColumn("session_id", F.concat("user_id", F.lit(":"), F.col("session_no").cast("string")))
+    out = few.withColumn("__new", fresh(F.lag(ts).over(w))).withColumn("session_no", F.sum("__new").over(w)).select(*turns.columns, "session_no")
+    if many is not None:
+        within, parts = Window.partitionBy("__key", "__part").orderBy(ts, "id"), Window.partitionBy("__key").orderBy("__part")
+        ends = many.groupBy("__key", "__part").agg(F.max(ts).alias("__end"))
+        t = many.join(ends.select("__key", "__part", F.lag("__end").over(parts).alias("__end")), ["__key", "__part"])
+        t = t.withColumn("__new", fresh(F.when(F.row_number().over(within) == 1, F.col("__end")).otherwise(F.lag(ts).over(within))))
+        begun = t.groupBy("__key", "__part").agg(F.sum("__new").alias("__n"))
+        begun = begun.select("__key", "__part", (F.sum("__n").over(parts) - F.col("__n")).alias("__begun"))
+        t = t.withColumn("__no", F.sum("__new").over(within)).join(begun, ["__key", "__part"])
+        out = out.union(t.withColumn("session_no", F.col("__begun") + F.col("__no")).select(*turns.columns, "session_no"))
+    return out.withColumn("session_id", F.concat("user_id", F.lit(":"), F.col("session_no").cast("string")))
 
 
 def user_summaries(memories: DataFrame, most: int = 100) -> DataFrame:

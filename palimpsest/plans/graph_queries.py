@@ -30,13 +30,13 @@ _SEEDS = """seeds AS (SELECT DISTINCT q.query_id, q.user_id, e.canonical_id FROM
  JOIN m_facts f ON f.topic_id = t.topic_id JOIN m_fact_entities e ON e.fact_id = f.id)"""
 _EDGES = f"""edges AS (SELECT user_id, a AS node, b AS nxt, coalesce(confidence, 0) * {R.sql_edge_weight('edge_relation')} AS gain FROM (SELECT user_id, source AS a, target AS b, edge_relation, confidence FROM m_relations UNION ALL SELECT user_id, target, source, edge_relation, confidence FROM m_relations) WHERE (confidence IS NULL OR confidence >= 0.5) AND a <> b)"""
 _WALK = f"""{_SEEDS}, {_EDGES},
- h1 AS (SELECT * FROM (SELECT s.query_id, s.user_id, e.nxt AS node, [s.canonical_id, e.nxt] AS path, 0.8 + e.gain * 0.8 AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY 0.8 + e.gain * 0.8 DESC, e.nxt, [s.canonical_id, e.nxt]) AS r FROM seeds s JOIN edges e ON e.user_id = s.user_id AND e.node = s.canonical_id) WHERE r <= 50),
- h2 AS (SELECT * FROM (SELECT s.query_id, e.nxt AS node, s.score * 0.8 + e.gain * (0.8::DOUBLE * 0.8::DOUBLE) AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score * 0.8 + e.gain * (0.8::DOUBLE * 0.8::DOUBLE) DESC, e.nxt, list_append(s.path, e.nxt)) AS r FROM h1 s JOIN edges e ON e.user_id = s.user_id AND e.node = s.node WHERE NOT list_contains(s.path, e.nxt)) WHERE r <= 50)"""
+ h1 AS (SELECT * FROM (SELECT s.query_id, s.user_id, e.nxt AS node, [s.canonical_id, e.nxt] AS path, 0.8 + e.gain * 0.8 AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY 0.8 + e.gain * 0.8 DESC, e.nxt, [s.canonical_id, e.nxt]) AS r FROM seeds s JOIN edges e ON e.user_id = s.user_id AND e.node = s.canonical_id) WHERE r <= 200),
+ h2 AS (SELECT * FROM (SELECT s.query_id, e.nxt AS node, s.score * 0.8 + e.gain * (0.8::DOUBLE * 0.8::DOUBLE) AS score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score * 0.8 + e.gain * (0.8::DOUBLE * 0.8::DOUBLE) DESC, e.nxt, list_append(s.path, e.nxt)) AS r FROM h1 s JOIN edges e ON e.user_id = s.user_id AND e.node = s.node WHERE NOT list_contains(s.path, e.nxt)) WHERE r <= 200)"""
 
 
 @query(f"WITH {_WALK} SELECT query_id, node AS canonical_id, round(max(score), 6) AS score FROM (SELECT query_id, node, score FROM h1 UNION ALL SELECT query_id, node, score FROM h2) GROUP BY 1, 2")
 def g5_walk(t: Tables) -> DataFrame:
-    return graph.walk(_seeds(t), t.relations, hops=2, per_hop=50).select("query_id", "canonical_id", r6(F.col("score"), "score"))
+    return graph.walk(_seeds(t), t.relations, hops=2).select("query_id", "canonical_id", r6(F.col("score"), "score"))
 
 
 _EXPAND = f"""{_EDGES}, seedm AS (SELECT query_id, user_id, unnest(['d' || substr(user_id, 2), 'd' || (CAST(substr(user_id, 2) AS BIGINT) + 20)]) AS id FROM m_queries),
