@@ -11,6 +11,7 @@ from .. import constants as C
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vectors as V
+from ..functions.embedding import Embed, embedded, hash_embed
 from ..storage import checkpointed
 from .recall import ranked
 
@@ -95,21 +96,33 @@ def reinforced(salience: Column, times: Column) -> Column:
 
 
 def reinforce(hits: DataFrame, memories: DataFrame, edges: DataFrame | None, as_of: Column) -> DataFrame:
-    """Saliences after hits (id): the hit memories, and the neighbours that their waypoints (src_id, dst_id) lead to.
+    """Saliences after hits (id) and when they were last seen, ``as_of``: the hit memories, and the neighbours that their waypoints (src_id, dst_id) lead to.
 
     A hit starts from the decayed salience. A neighbour moves towards the highest
     salience that a hit memory linked to it has reached, less the longer it was not seen.
     """
     n = hits.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("hits"))
     start = S.decayed_salience(F.col("primary_sector"), F.col("salience"), S.days(F.col("last_seen_at"), as_of))
-    hit = memories.join(n, "id").select("id", F.col("salience").alias("old_salience"), reinforced(start, F.col("hits")).alias("new_salience"), "hits")
+    hit = memories.join(n, "id").select("id", F.col("salience").alias("old_salience"), reinforced(start, F.col("hits")).alias("new_salience"), "hits", as_of.alias("last_seen_at"))
     if edges is None:
         return hit
     source = edges.join(hit.select(F.col("id").alias("src_id"), F.col("new_salience").alias("reached")), "src_id").groupBy("dst_id").agg(F.max("reached").alias("reached"))
     near = memories.join(source.withColumnRenamed("dst_id", "id"), "id").join(n, "id", "left_anti")
     salience = F.coalesce("salience", F.lit(0.0))
     moved = S.clamp(salience + (F.col("reached") - salience) * C.NEIGHBOUR_RATE * F.exp(S.days(F.col("last_seen_at"), as_of) * -C.NEIGHBOUR_DECAY))
-    return hit.union(near.select("id", F.col("salience").alias("old_salience"), moved.alias("new_salience"), F.lit(0).alias("hits")))
+    return hit.union(near.select("id", F.col("salience").alias("old_salience"), moved.alias("new_salience"), F.lit(0).alias("hits"), as_of.alias("last_seen_at")))
+
+
+def regenerated(hits: DataFrame, memories: DataFrame, vectors: DataFrame, embed: Embed = hash_embed, most: int = C.LEAST_DIM) -> DataFrame:
+    """New vectors (id, sector, user_id, v, dim) for those of hit memories' primary sectors that have shrunk to ``most`` elements or fewer.
+
+    They are made of the summary, or of the content where there is none.
+    """
+    text = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("summary", "content") if c in memories.columns], F.lit(""))
+    short = vectors.where((F.size("v") > 0) & (F.size("v") <= most)).select("id", "sector")
+    hit = memories.join(hits.select("id").distinct(), "id", "left_semi").select("id", "user_id", F.col("primary_sector").alias("sector"), text.alias("text"))
+    rows = hit.join(short, ["id", "sector"], "left_semi")
+    return rows.select("id", "sector", "user_id", embedded(T.sector_text(F.col("sector"), F.col("text")), embed).alias("v")).withColumn("dim", F.size("v"))
 
 
 def propagated(salience: Column, weight: Column, source: Column) -> Column:

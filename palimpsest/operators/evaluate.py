@@ -116,42 +116,78 @@ def label_texts(df: DataFrame) -> DataFrame:
     return out.orderBy(order, "place")
 
 
-def fit_sectors(df: DataFrame, features: int = 1 << 14):
-    """A classifier of labelled texts (text, primary as 0 to 4, labels as an array of 5): one model of the primary sector and one for each label."""
+#: What the losses of the primary sector and of the labels weigh together, and iterations that are tried one after the other.
+LOSS_WEIGHTS, ITERATIONS = (0.7, 0.3), (10, 20, 40)
+
+
+def fit_sectors(df: DataFrame, features: int = 1 << 14, weights: tuple[float, float] = LOSS_WEIGHTS, validation: float = 0.1, iterations: tuple[int, ...] = ITERATIONS, patience: int = 1):
+    """A classifier of labelled texts (text, primary as 0 to 4, labels as an array of 5): one model of the primary sector and one for each label.
+
+    A share of the texts, chosen by hash, is held out. The models are fitted with more and more
+    iterations while the weighted loss of both branches on the held-out texts falls; after ``patience``
+    steps without a lower one the best are taken. Without held-out rows the most iterations are.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
 
-    rows = df.withColumn("tokens", T.canonical_tokens(F.col("text"))).withColumn("label", F.col("primary").cast("double"))
-    prepare = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features")]).fit(rows)
-    x = prepare.transform(rows).persist()
-    primary = LogisticRegression(maxIter=20, family="multinomial").fit(x)
-    branches = [LogisticRegression(maxIter=20).fit(x.withColumn("label", F.get("labels", F.lit(i)).cast("double"))) for i in range(len(SECTORS))]
+    held = F.pmod(F.xxhash64("text", F.lit(23)), F.lit(10_000)) < int(validation * 10_000)
+    rows = df.withColumn("tokens", T.canonical_tokens(F.col("text"))).withColumn("label", F.col("primary").cast("double")).withColumn("held", held)
+    prepare = Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features")]).fit(rows.where("NOT held"))
+    x = prepare.transform(rows).select("features", "label", "labels", "held").persist()
+    train, valid = x.where("NOT held"), x.where("held")
+    best, least, worse = None, None, 0
+    steps = iterations if not valid.isEmpty() else iterations[-1:]
+    for most in steps:
+        primary = LogisticRegression(maxIter=most, family="multinomial").fit(train)
+        branches = [LogisticRegression(maxIter=most).fit(train.withColumn("label", F.get("labels", F.lit(i)).cast("double"))) for i in range(len(SECTORS))]
+        model = prepare, primary, branches
+        loss = weighted_loss(_shares(model, valid), weights).first()["loss"] if len(steps) > 1 else None
+        if best is None or loss < least:
+            best, least, worse = model, loss, 0
+        elif (worse := worse + 1) >= patience:
+            break
     x.unpersist()
-    return prepare, primary, branches
+    return best
 
 
-def score_sectors(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Add primary_pred, confidence, probabilities and labels_pred; the primary sector's label is always set.
+def weighted_loss(scored: DataFrame, weights: tuple[float, float] = LOSS_WEIGHTS) -> DataFrame:
+    """The mean log losses of both branches and their weighted sum (label, shares; labels, probabilities)."""
+    log = lambda p: -F.log(F.greatest(p, F.lit(1e-12)))
+    primary = log(F.coalesce(F.get("shares", F.col("label").cast("int")), F.lit(0.0)))
+    each = F.zip_with("labels", "probabilities", lambda y, p: log(F.when(y == 1, p).otherwise(1 - p)))
+    rows = scored.select(primary.alias("p"), (F.aggregate(each, F.lit(0.0), lambda s, v: s + v) / F.size("labels")).alias("b"))
+    return rows.agg(F.avg("p").alias("primary_loss"), F.avg("b").alias("label_loss")).withColumn("loss", weights[0] * F.col("primary_loss") + weights[1] * F.col("label_loss"))
+
+
+def _shares(model, x: DataFrame) -> DataFrame:
+    """Add shares (of each primary sector) and probabilities (of each label) to rows with ``features``.
 
     The models are applied to batches as one matrix. (Chains of their own UDFs in
     one stage cannot always be sent to tasks.)
     """
-    prepare, primary, branches = model
+    _, primary, branches = model
     of_sector, of_label = primary.coefficientMatrix.toArray(), np.stack([b.coefficients.toArray() for b in branches])
     sector_base, label_base = primary.interceptVector.toArray(), np.array([b.intercept for b in branches])
 
-    @F.pandas_udf("primary_pred int, confidence double, probabilities array<double>, labels_pred array<int>")
+    @F.pandas_udf("shares array<double>, probabilities array<double>")
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for vectors in batches:  # the parts of sparse vectors
             rows = []
             for at, values in zip(vectors["indices"], vectors["values"], strict=True):
                 margin = of_sector[:, at] @ values + sector_base
                 share = np.exp(margin - margin.max())
-                best = int(margin.argmax())
                 p = 1 / (1 + np.exp(-(of_label[:, at] @ values + label_base)))
-                rows.append((best, float(share[best] / share.sum()), p.tolist(), [int(x >= threshold or i == best) for i, x in enumerate(p)]))
-            yield pd.DataFrame(rows, columns=["primary_pred", "confidence", "probabilities", "labels_pred"])
+                rows.append(((share / share.sum()).tolist(), p.tolist()))
+            yield pd.DataFrame(rows, columns=["shares", "probabilities"])
+
+    return x.withColumn("predicted", predict("features")).select(*x.columns, "predicted.*")
 
-    x = prepare.transform(df.withColumn("tokens", T.canonical_tokens(F.col("text"))))
-    return x.withColumn("predicted", predict("features")).select(*df.columns, "predicted.*")
+
+def score_sectors(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Add primary_pred, confidence, probabilities and labels_pred; the primary sector's label is always set."""
+    x = model[0].transform(df.withColumn("tokens", T.canonical_tokens(F.col("text"))))
+    confidence = F.array_max("shares")
+    scored = _shares(model, x.select(*df.columns, "features")).withColumns({"confidence": confidence, "primary_pred": (F.array_position("shares", confidence) - 1).cast("int")})
+    labels = F.transform("probabilities", lambda p, i: ((p >= threshold) | (i == F.col("primary_pred"))).cast("int"))
+    return scored.select(*df.columns, "primary_pred", "confidence", "probabilities", labels.alias("labels_pred"))

@@ -568,13 +568,24 @@ def e1_label_texts(t: Tables) -> DataFrame:
     return evaluate.label_texts(t.raw("documents").select(k.alias("place"), "text", scores.alias("scores"))).select("place", "primary", "labels")
 
 
+def _labelled(t: Tables) -> DataFrame:
+    """The labelled documents, with quality and toxicity as two of the labels."""
+    hot = F.array(F.lit(0), F.col("quality").cast("int"), F.col("toxic").cast("int"), F.lit(0), F.lit(1))
+    return t.raw("documents").join(t.raw("labels"), "doc_id").select("text", (F.col("quality") * 2 + F.col("toxic")).alias("primary"), hot.alias("labels"))
+
+
 @query()
 def e3_sector_classifier(t: Tables) -> DataFrame:
-    """Trained on the labelled documents, with quality and toxicity as two of the labels, and applied to all."""
-    labels = t.raw("labels")
-    hot = F.array(F.lit(0), F.col("quality").cast("int"), F.col("toxic").cast("int"), F.lit(0), F.lit(1))
-    train = t.raw("documents").join(labels, "doc_id").select("text", (F.col("quality") * 2 + F.col("toxic")).alias("primary"), hot.alias("labels"))
-    return evaluate.score_sectors(evaluate.fit_sectors(train, features=1 << 12), t.raw("documents").select("doc_id", "text")).select("doc_id", "primary_pred", r6(F.col("confidence"), "confidence"))
+    """Trained on the labelled documents and applied to all."""
+    return evaluate.score_sectors(evaluate.fit_sectors(_labelled(t), features=1 << 12), t.raw("documents").select("doc_id", "text")).select("doc_id", "primary_pred", r6(F.col("confidence"), "confidence"))
+
+
+@query()
+def e3_held_out_metrics(t: Tables) -> DataFrame:
+    """Metrics of both branches on a fifth of the labelled texts that neither fitting nor the choice of iterations has seen."""
+    unseen = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(5)) == 0
+    scored = evaluate.score_sectors(evaluate.fit_sectors(_labelled(t).where(~unseen), features=1 << 12), _labelled(t).where(unseen))
+    return evaluate.branch_metrics(scored)
 
 
 @query(f"""WITH lastq AS (SELECT 'c' || conv_id AS query_id, user_id, content AS text, 3 AS top_k FROM m_turns WHERE role = 'human' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1), {_BM25.replace('FROM m_queries', 'FROM lastq')},

@@ -382,6 +382,11 @@ def m5_neighbours(t: Tables) -> DataFrame:
     return dynamics.reinforce(t.hits.select(F.col("memory_id").alias("id")), t.memories, waypoints(t), t.as_of).where("hits = 0").select("id", r6(F.col("new_salience"), "new_salience"))
 
 
+@query("SELECT m.id, v.sector, m.user_id, 256 AS dim FROM m_memories m JOIN m_vectors v ON v.id = m.id AND v.sector = m.primary_sector WHERE len(v.v) <= 64 AND m.id IN (SELECT memory_id FROM m_hits)")
+def m5_regenerated(t: Tables) -> DataFrame:
+    return dynamics.regenerated(t.hits.select(F.col("memory_id").alias("id")), t.texts, t.vectors).select("id", "sector", "user_id", "dim")
+
+
 @query("SELECT id, round(least(1.0, salience + 0.18 * feedback_score / 9.0 * 0.6), 6) AS s FROM m_memories")
 def m5b_propagated(t: Tables) -> DataFrame:
     return t.memories.select("id", r6(dynamics.propagated(F.col("salience"), F.col("feedback_score") / 9.0, F.lit(0.6)), "s"))

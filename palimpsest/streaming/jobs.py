@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.embedding import Embed, hash_embed, vectorise
 from ..operators import dynamics, graph, model_stage
 from ..operators import sessions as user_sessions
 from ..operators import tables as tab
+from ..operators.ingest import new_memories
+from ..storage import checkpointed
 
 #: How late a row may come, and the gap that ends a session.
 LATENESS, GAP = "10 minutes", "30 minutes"
@@ -34,8 +37,19 @@ def ingest_batch(new: DataFrame, memories: DataFrame, vectors: DataFrame) -> tup
     return inserts, boosts, dynamics.create_waypoints(inserts, known, among_new=True)
 
 
-def stream_ingest(source: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], sink: Callable[[int, DataFrame, DataFrame, DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Run ``ingest_batch`` on each micro-batch; ids that come again within the watermark count once.
+def ingest_texts(new: DataFrame, memories: DataFrame, vectors: DataFrame, embed: Embed = hash_embed) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One batch of new texts (id, user_id, content, primary_sector, sectors, created_at): ``ingest_batch`` with the vectors of their primary sectors.
+
+    The inserts have the defaults of new memories; the fourth table is their vectors, one for each sector.
+    """
+    own = checkpointed(vectorise(new.withColumn("sectors", F.array_union(F.array("primary_sector"), F.coalesce("sectors", F.array()))), embed))
+    first = own.select("id", F.col("sector").alias("primary_sector"), "v")
+    inserts, boosts, waypoints = ingest_batch(new.join(first, ["id", "primary_sector"]).select(*new.columns, "v"), memories, vectors)
+    return new_memories(inserts.drop("v")), boosts, waypoints, own.join(inserts.select("id"), "id", "left_semi")
+
+
+def stream_ingest(source: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], sink: Callable[..., None], checkpoint: str, step: Callable[..., tuple[DataFrame, ...]] = ingest_batch) -> StreamingQuery:
+    """Run ``ingest_batch``, or ``ingest_texts`` as ``step``, on each micro-batch; ids that come again within the watermark count once.
 
     ``tables`` reads the memories and vectors as they are now; ``sink`` gets the
     batch number, so that a batch that is run again can replace what it wrote.
@@ -44,7 +58,7 @@ def stream_ingest(source: DataFrame, tables: Callable[[], tuple[DataFrame, DataF
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        sink(number, *ingest_batch(batch, *tables()))
+        sink(number, *step(batch, *tables()))
         batch.unpersist()
 
     return once.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -344,11 +344,42 @@ def test_repeats_in_a_batch(spark):
 
 def test_sector_classifier(spark):
     words = ["alpha", "beta", "gamma", "delta", "omega"]
-    rows = [(f"{words[i % 5]} {words[i % 5]} filler{i}", i % 5, [int(k == i % 5) for k in range(5)]) for i in range(100)]
-    df = spark.createDataFrame(rows, "text string, primary int, labels array<int>")
-    scored = evaluate.score_sectors(evaluate.fit_sectors(df, features=512), df)
+    rows = [(f"{words[i % 5]} {words[i % 5]} filler{i}", i % 5, [int(k == i % 5) for k in range(5)]) for i in range(150)]
+    df = spark.createDataFrame(rows[:100], "text string, primary int, labels array<int>")
+    unseen = spark.createDataFrame(rows[100:], df.schema)
+    scored = evaluate.score_sectors(evaluate.fit_sectors(df, features=512, iterations=(1, 20)), unseen)
     assert evaluate.branch_metrics(scored).first()["accuracy"] > 0.95
-    assert len(scored.first()["probabilities"]) == len(SECTORS)
+    first = scored.first()
+    assert len(first["probabilities"]) == len(SECTORS) and first["labels_pred"][first["primary_pred"]] == 1 and 0 < first["confidence"] <= 1
+
+
+def test_weighted_loss(spark):
+    df = spark.createDataFrame([(1.0, [0.2, 0.8], [1, 0], [0.9, 0.4]), (5.0, [0.5, 0.5], [0, 0], [0.1, 0.1])], "label double, shares array<double>, labels array<int>, probabilities array<double>")
+    got = evaluate.weighted_loss(df).first()
+    primary = -(math.log(0.8) + math.log(1e-12)) / 2
+    label = -((math.log(0.9) + math.log(0.6)) / 2 + math.log(0.9)) / 2
+    assert (got["primary_loss"], got["label_loss"], got["loss"]) == pytest.approx((primary, label, 0.7 * primary + 0.3 * label))
+
+
+def test_hits_bring_back_short_vectors(spark):
+    mem = spark.createDataFrame([("a", "u", "semantic", "short", "long text"), ("b", "u", "semantic", "", "text"), ("c", "u", "semantic", None, "text"), ("d", "u", "semantic", None, "text")], "id string, user_id string, primary_sector string, summary string, content string")
+    vec = spark.createDataFrame([("a", "semantic", [0.1] * 64), ("a", "episodic", [0.1] * 64), ("b", "semantic", [0.1] * 65), ("c", "semantic", [0.1]), ("d", "semantic", [0.1])], "id string, sector string, v array<double>")
+    hits = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "id string")
+    got = {(r["id"], r["sector"]): r["v"] for r in dynamics.regenerated(hits, mem, vec).collect()}
+    want = embedding.vectorise(spark.createDataFrame([("a", "u", "short", ["semantic"]), ("c", "u", "text", ["semantic"])], "id string, user_id string, content string, sectors array<string>"))
+    assert got == {(r["id"], r["sector"]): r["v"] for r in want.collect()}
+
+
+def test_ingest_of_texts(spark):
+    at = F.lit("2024-01-02").cast("timestamp_ntz")
+    old = spark.createDataFrame([("m1", "u", "semantic", 0.5, "the cat sat on the mat", ["semantic"])], "id string, user_id string, primary_sector string, salience double, content string, sectors array<string>").withColumns({"last_seen_at": at, "created_at": at})
+    new = spark.createDataFrame([("n1", "u", "the cat sat on the mat", "semantic", ["semantic"]), ("n2", "u", "rates fell again", "episodic", ["emotional"]), ("n3", "u", "", "semantic", None)], "id string, user_id string, content string, primary_sector string, sectors array<string>").withColumn("created_at", at)
+    inserts, boosts, waypoints, vectors = jobs.ingest_texts(new, old, embedding.vectorise(old))
+    rows = {r["id"]: r for r in inserts.collect()}
+    assert "n1" not in rows and rows["n2"]["salience"] == 0.5 and rows["n2"]["version"] == 1 and "v" not in inserts.columns
+    assert [tuple(r) for r in boosts.collect()] == [("m1", 1)]
+    assert {r["src_id"] for r in waypoints.collect()} == set(rows)
+    assert {(r["id"], r["sector"]) for r in vectors.where("id = 'n2'").collect()} == {("n2", "episodic"), ("n2", "emotional")}
 
 
 def test_graph_presets():
