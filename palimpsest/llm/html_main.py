@@ -3,7 +3,9 @@
 A page is cut into tags and text by one pass of a regular expression and built
 into a tree of its block elements; text that stands in the body beside elements is
 a node of its own. Each node has features of its subtree (text, link and tag
-density), its attribute tokens, its depth and its siblings. Attribute tokens are
+density), its attribute tokens, its depth and its siblings (how many are built like
+it, whether a heading before it speaks of comments), and where it stands to the
+element that most text is in. Attribute tokens are
 hashed; what a bucket tells for or against is learned. Gradient
 boosted trees give the probability that a node is part of the article. The
 decoding picks the likeliest labels of all nodes under the condition that nothing
@@ -29,6 +31,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +42,8 @@ from pyspark.sql import functions as F
 from .common import bounded
 
 FIT_PAGES = 150
-LAYOUTS = 8
-TREES, DEPTH, RATE, BINS = 60, 4, 0.3, 32
+LAYOUTS = 14
+TREES, DEPTH, RATE, BINS = 90, 4, 0.2, 32
 
 # Elements by the part they play.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img input link meta base col area source track embed param object svg noscript template iframe".split())
@@ -63,7 +66,14 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TRUTH = re.compile(r"\bdata-part=(\w+)")
 PART = re.compile(r"[a-z]+")
-FEATURES = len(GROUPS) + 27
+FEATURES = len(GROUPS) + 38
+
+# What short texts of notices of rights, of headings of reader comments, and of adverts say.
+RIGHTS = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b|\brights reserved\b|\btous droits réservés\b|\balle rechte vorbehalten\b|\btodos los derechos\b", re.I)
+COMMENTS = re.compile(r"\b(?:comments?|repl(?:y|ies)|responses?|discussion|commentaires?|réponses?|kommentare?|antworten|comentarios?|respuestas?)\b", re.I)
+ADVERT = re.compile(r"\b(?:advertisement|advertising|sponsored|promoted|publicité|sponsorisé|anzeige|werbung|publicidad|patrocinado)\b", re.I)
+#: A notice of rights says so within so many characters; texts of comments and adverts are looked at if not longer.
+SAYING = 120
 
 
 class Node:
@@ -185,10 +195,14 @@ def said_by_tokens(parsed: list[tuple[list[Node], list[bool]]]) -> np.ndarray:
 def features(nodes: list[Node], runs: list[tuple[int, str]], said: np.ndarray) -> np.ndarray:
     """One row a node; ``said``: what the buckets of attribute tokens tell."""
     n = len(nodes)
-    own, link, words, punctuation, digits, pieces, longest = ([0] * n for _ in range(7))
+    own, link, words, punctuation, digits, pieces, longest, rights, talk, advert = ([0] * n for _ in range(10))
     start = [0] * n
     total = 0
     for k, text in runs:
+        rights[k] += RIGHTS.search(text, 0, SAYING) is not None
+        if len(text) <= SAYING:
+            talk[k] += COMMENTS.search(text) is not None
+            advert[k] += ADVERT.search(text) is not None
         own[k] += len(text)
         words[k] += text.count(" ") + 1
         punctuation[k] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
@@ -209,13 +223,17 @@ def features(nodes: list[Node], runs: list[tuple[int, str]], said: np.ndarray) -
             told = [said[bucket_of(t)] for t in x.attributes]
             bad[k], good[k] = min(0.0, *told), max(0.0, *told)
         same[x.parent, x.tag] = same.get((x.parent, x.tag), 0) + 1
+    hub, inside = _hub(nodes, own)
+    alike, most_alike = _alike(nodes, own)
     for k in range(n - 1, 0, -1):
         p = nodes[k].parent
-        for sums in (size, link, words, punctuation, digits, pieces, tags, heads, controls, paragraphs):
+        for sums in (size, link, words, punctuation, digits, pieces, tags, heads, controls, paragraphs, rights, talk, advert):
             sums[p] += sums[k]
         longest[p] = max(longest[p], longest[k])
     out = np.zeros((n, FEATURES))
     above_bad, above_good, in_part, in_main = [0.0] * n, [0.0] * n, [0] * n, [0] * n
+    #: Whether a short text about comments stands in a node above, or before the node in the same one; likeness of what is above.
+    said_comments, opened, above_alike = [0] * n, [0] * n, [0.0] * n
     base = len(GROUPS)
     for k, x in enumerate(nodes):
         group = _GROUP.get(x.tag)
@@ -227,6 +245,10 @@ def features(nodes: list[Node], runs: list[tuple[int, str]], said: np.ndarray) -
             above_bad[k], above_good[k] = min(above_bad[p], bad[p]), max(above_good[p], good[p])
             in_part[k] = in_part[p] + (up.tag in ("nav", "footer", "aside", "form", "header"))
             in_main[k] = in_main[p] + (up.tag in ("article", "main"))
+            above_alike[k] = max(above_alike[p], alike[p])
+            said_comments[k] = said_comments[p] + opened[p]
+            if talk[k] and size[k] <= SAYING:
+                opened[p] = 1
         s = size[k] or 1
         out[k, base:] = (
             bad[k], good[k], above_bad[k], above_good[k], bad[p], good[p], in_part[k], in_main[k],
@@ -234,10 +256,52 @@ def features(nodes: list[Node], runs: list[tuple[int, str]], said: np.ndarray) -
             s / (pieces[k] or 1), math.log1p(longest[k]), punctuation[k] / s, digits[k] / s, s / tags[k], x.children,
             (x.place + 1) / (up.children or 1), same[x.parent, x.tag] / (up.children or 1), up.children, start[k] / (total or 1),
             heads[k], controls[k], paragraphs[k] / tags[k], _GROUP.get(up.tag, -1),
+            inside[k], start[k] >= start[hub], rights[k] / (pieces[k] or 1), rights[k], talk[k] / (pieces[k] or 1), said_comments[k], advert[k] / (pieces[k] or 1),
+            alike[k], above_alike[k], most_alike[k], math.log1p(own[k]),
         )
     return out
 
 
+def _hub(nodes: list[Node], own: list[int]) -> tuple[int, list[int]]:
+    """The element that most text stands in directly (children count in full, theirs by half), and of each
+    node whether it is that or below (2), above (1), or beside (0)."""
+    n = len(nodes)
+    weight = [0.0] * n
+    for k in range(1, n):
+        p = nodes[k].parent
+        weight[p] += own[k]
+        if p:
+            weight[nodes[p].parent] += own[k] / 2
+    hub = max(range(n), key=weight.__getitem__)
+    inside = [0] * n
+    k = nodes[hub].parent
+    while k >= 0:
+        inside[k] = 1
+        k = nodes[k].parent
+    inside[hub] = 2
+    for k in range(hub + 1, n):
+        if inside[nodes[k].parent] == 2:
+            inside[k] = 2
+    return hub, inside
+
+
+def _alike(nodes: list[Node], own: list[int]) -> tuple[list[float], list[float]]:
+    """Of each element with others in it, how many siblings are built like it (tag, tags in it, text of its own);
+    and of each, how many of its children are built alike. Both as logarithms."""
+    inner: list[list[str]] = [[] for _ in nodes]
+    for x in nodes[1:]:
+        if len(inner[x.parent]) < 4:  # enough to tell two forms apart
+            inner[x.parent].append(x.tag)
+    form = [(x.parent, x.tag, own[k] > 0, *inner[k]) if x.children else None for k, x in enumerate(nodes)]
+    count = Counter(form)
+    alike = [math.log(count[f]) if f else 0.0 for f in form]
+    most = [0.0] * len(nodes)
+    for k in range(1, len(nodes)):
+        p = nodes[k].parent
+        most[p] = max(most[p], alike[k])
+    return alike, most
+
+
 class Trees:
     """Gradient boosted trees for a yes-or-no label, on binned features; ``said`` goes with them."""
 
@@ -342,83 +406,176 @@ NAMES = {
 }
 
 
-def _laid_out(blocks: list[str], rng: np.random.Generator) -> str:
-    """A page around the given blocks, with ``data-part`` on what is kept and what is not."""
-    words = " ".join(blocks).split() or ["text"]
-
-    def some(least: int, most: int) -> str:
-        n, i = int(rng.integers(least, most)), int(rng.integers(len(words)))
-        return html.escape(" ".join(words[i : i + n]) or words[0])
-
-    def pick(*of: str) -> str:
-        return of[int(rng.integers(len(of)))]
-
-    def links(n: int) -> str:
-        return "".join(f'<li><a href="/{i}">{some(1, 4)}</a></li>' for i in range(n))
-
-    def part(tag: str, inner: str, name: str = "") -> str:
-        if rng.random() < 0.15:  # a name that tells nothing
-            name = f"{pick('box', 'block', 'row', 'col', 'c', 'm', 'region', 'wrapper')}-{int(rng.integers(100))}"
-        attribute = f' {pick("class", "id")}="{name}"' if name else ""
-        return f"<{tag}{attribute} data-part=drop>{inner}</{tag}>"
-
-    def listing() -> str:
-        return f"<h3>{some(1, 4)}</h3><ul>{links(int(rng.integers(2, 9)))}</ul>"
-
-    front = [
-        lambda: part("nav", f"<ul>{links(int(rng.integers(3, 10)))}</ul>", pick("", *NAMES["menu"][:2])),
-        lambda: part("div", f"<ul>{links(int(rng.integers(3, 10)))}</ul>", pick(*NAMES["menu"])),
-        lambda: part("header", f"<div>{some(1, 4)}</div><ul>{links(4)}</ul>", pick("", *NAMES["head"])),
-        lambda: part("header", f"<h1>{some(1, 4)}</h1><p>{some(2, 9)}</p>", pick("", *NAMES["head"])),
-        lambda: part("div", f"<p>{some(4, 40)}</p><button>{some(1, 3)}</button>", pick(*NAMES["notice"])),
-        lambda: part("div", some(3, 30), pick(*NAMES["advert"])),
-        lambda: part("form", f"<label>{some(1, 3)}</label><input name=q><button>{some(1, 2)}</button>", pick("", *NAMES["form"])),
-    ]
-    front.append(lambda: part(pick("nav", "nav", "div"), " ".join(f'<a href="/{i}">{some(1, 3)}</a>' for i in range(int(rng.integers(1, 8)))), pick(*NAMES["menu"]) if rng.random() < 0.6 else "links"))
-    front.append(lambda: part("nav", " | ".join(f'<a href="/{i}">{some(1, 2)}</a>' for i in range(int(rng.integers(1, 6))))))
-    back = [
-        lambda: part("footer", f"<p>&copy; {some(2, 12)}</p>", pick("", *NAMES["foot"])),
-        lambda: part("footer", f"&copy; {some(1, 4)} &middot; {some(2, 14)}"),
-        lambda: part("div", f"<p>&copy; {some(1, 9)}</p><ul>{links(3)}</ul>", pick(*NAMES["foot"])),
-        lambda: part(pick("aside", "div"), listing(), pick(*NAMES["side"])),
-        lambda: part("aside", pick(listing(), f"<p>{some(4, 60)}</p>", f"<h3>{some(1, 4)}</h3><p>{some(4, 30)}</p>"), pick("", *NAMES["side"])),
-        lambda: part(pick("section", "div"), f"<h3>{some(1, 2)}</h3>" + "".join(f'<{pick("div", "article", "li")} class="{pick(*NAMES["comment"])}"><b>{some(1, 2)}</b><p>{some(3, 60)}</p></div>' for _ in range(int(rng.integers(1, 5)))), pick(*NAMES["comments"])),
-        lambda: part("div", f"<p>{some(2, 10)}</p><form><input><button>{some(1, 2)}</button></form>", pick(*NAMES["form"])),
-        lambda: part("div", "".join(f'<a href="/s">{some(1, 2)}</a> ' for _ in range(4)), pick(*NAMES["share"])),
-        lambda: part("div", some(3, 30), pick(*NAMES["advert"])),
-    ]
-    title = html.escape(blocks[0][:60]) if blocks else some(2, 8)
-    body = [f"<h1>{title}</h1>"]
-    for b in blocks:
-        text, form = html.escape(b), rng.random()
+# What such parts say in the fitted layouts.
+SAYINGS = {
+    "comments": ["Comments", "3 comments", "12 Responses", "Replies", "Discussion", "Leave a reply", "Reader comments", "Commentaires", "2 commentaires", "Kommentare", "5 Kommentare", "Comentarios", "Respuestas"],
+    "rights": ["&copy; {}", "&copy; 2021 {}", "Copyright 2019 {}", "Copyright &copy; {}", "{}. All rights reserved.", "Copyright 2020 {}. All rights reserved.", "(c) 2022 {}", "&copy; {}. Tous droits réservés.", "{}. Alle Rechte vorbehalten.", "{}. Todos los derechos reservados."],
+    "advert": ["Advertisement", "Sponsored", "Sponsored: {}", "Advertisement {}", "Anzeige", "Anzeige: {}", "Publicité {}", "Publicidad {}", "{}", "{}", "{}"],
+}
+
+
+class _Layout:
+    """Makes one page around given blocks, with ``data-part`` on what is kept and what is not."""
+
+    def __init__(self, blocks: list[str], rng: np.random.Generator) -> None:
+        self.blocks, self.rng = blocks, rng
+        self.words = " ".join(blocks).split() or ["text"]
+        #: Share of parts whose name tells nothing, and of those without a name; a page is of one maker.
+        self.vague, self.bare = [(0.1, 0.1), (0.1, 0.1), (0.5, 0.3), (0.1, 0.8)][int(rng.integers(4))]
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def pick(self, *of: str) -> str:
+        return of[int(self.rng.integers(len(of)))]
+
+    def number(self, least: int, most: int) -> int:
+        return int(self.rng.integers(least, most))
+
+    def some(self, least: int, most: int) -> str:
+        i = self.number(0, len(self.words))
+        return html.escape(" ".join(self.words[i : i + self.number(least, most)]) or self.words[0])
+
+    def says(self, what: str) -> str:
+        return self.pick(*SAYINGS[what]).format(self.some(1, 8))
+
+    def naming(self, of: str) -> str:
+        """An attribute with a name of that kind, with one that tells nothing, or none."""
+        drawn = self.rng.random()
+        if drawn < self.bare:
+            return ""
+        name = self.pick(*NAMES[of])
+        if drawn < self.bare + self.vague:
+            letters = "".join(chr(97 + self.number(0, 26)) for _ in range(self.number(1, 4)))
+            name = self.pick(f"{letters}{self.number(0, 100)}", letters, f"{self.pick('box', 'block', 'row', 'col', 'region', 'wrapper')}-{self.number(0, 100)}")
+        return f' {self.pick("class", "id")}="{name}"'
+
+    def drop(self, tag: str, inner: str, of: str) -> str:
+        return f"<{tag}{self.naming(of)} data-part=drop>{inner}</{tag}>"
+
+    def keep(self, tag: str, inner: str, of: str) -> str:
+        return f"<{tag}{self.naming(of)} data-part=keep>{inner}</{tag}>"
+
+    def links(self, least: int, most: int) -> str:
+        return "<ul>" + "".join(f'<li><a href="/{i}">{self.some(1, 4)}</a></li>' for i in range(self.number(least, most))) + "</ul>"
+
+    def row_of_links(self, between: str) -> str:
+        return between.join(f'<a href="/{i}">{self.some(1, 3)}</a>' for i in range(self.number(1, 8)))
+
+    def menu(self) -> str:
+        inner = self.pick(self.links(3, 10), self.row_of_links(" "), self.row_of_links(" | "))
+        return self.drop(self.pick("nav", "nav", "div", "ul" if inner.startswith("<a") else "div"), inner, "menu")
+
+    def head(self) -> str:
+        inner = self.pick(f"<div>{self.some(1, 4)}</div>{self.links(3, 6)}", f"<h1>{self.some(1, 4)}</h1><p>{self.some(2, 9)}</p>", f"<h1>{self.some(1, 4)}</h1>", f"<a href=/>{self.some(1, 3)}</a>{self.row_of_links(' ')}")
+        return self.drop(self.pick("header", "header", "div") if "href" in inner else "header", inner, "head")
+
+    def notice(self) -> str:
+        return self.drop("div", f"<p>{self.some(4, 40)}</p><button>{self.some(1, 3)}</button>", "notice")
+
+    def advert(self) -> str:
+        inner = self.says("advert")
+        text = self.pick(inner, f"<p>{inner}</p>", f"<a href=/ad>{inner}</a>", self.some(3, 30))
+        name = f' {self.pick("class", "id")}="{self.pick(*NAMES["advert"])}"'  # a block of any text is told by its name only
+        return f"<div{name} data-part=drop>{text}</div>"
+
+    def form(self) -> str:
+        return self.pick(self.drop("form", f"<label>{self.some(1, 3)}</label><input name=q><button>{self.some(1, 2)}</button>", "form"), self.drop("div", f"<p>{self.some(2, 10)}</p><form><input><button>{self.some(1, 2)}</button></form>", "form"))
+
+    def foot(self) -> str:
+        if self.chance(0.3):
+            return self.drop("footer", self.pick(self.some(2, 40), f"<p>{self.some(2, 40)}</p>", self.links(2, 5)), "foot")
+        said = self.says("rights")
+        inner = self.pick(said, f"<p>{said}</p>", f"{said} &middot; {self.some(2, 14)}", f"{said} &middot; {self.some(2, 50)}", f"<p>{said}</p>{self.links(2, 5)}", f"{self.links(2, 5)}<div>{said}</div>")
+        return self.drop(self.pick("footer", "div", "div"), inner, "foot")
+
+    def side(self) -> str:
+        listing = f"<h3>{self.some(1, 4)}</h3>{self.links(2, 9)}"
+        return self.pick(self.drop("div", listing, "side"), self.drop("aside", self.pick(listing, f"<p>{self.some(4, 60)}</p>", f"<h3>{self.some(1, 4)}</h3><p>{self.some(4, 30)}</p>"), "side"))
+
+    def comments(self) -> str:
+        """Remarks of one build, each with its writer; often under a heading that says so."""
+        item, build, n = self.pick("div", "div", "article", "li"), self.number(0, 5), self.number(1, 7)
+        attribute, remarks = self.naming("comment"), ""
+        for _ in range(n):
+            who, text = self.some(1, 3), f"<p>{self.some(3, 60)}</p>"
+            inner = [f"<b>{who}</b>{text}", f"<p>{who}:</p>{text}", f"<div>{who} <time>{self.number(1, 13)}:{self.number(10, 60)}</time></div>{text}", f"<h4>{who}</h4>{text}", f"<cite>{who}</cite>{text}<a href=#>{self.some(1, 2)}</a>"][build]
+            remarks += f"<{item}{attribute}>{inner}</{item}>"
+        if item == "li":
+            remarks = f"<ol>{remarks}</ol>"
+        heading = self.pick("h2", "h3", "h4", "p")
+        # Without a word that says so, a section of remarks is told by its name.
+        headed = self.chance(0.8)
+        text = f"<{heading}>{self.says('comments') if headed else self.some(1, 3)}</{heading}>{remarks}"
+        if headed:
+            return self.drop(self.pick("section", "div", "div"), text, "comments")
+        return f'<section class="{self.pick(*NAMES["comments"])}" data-part=drop>{text}</section>'
+
+    def share(self) -> str:
+        return self.drop("div", " ".join(f'<a href="/s">{self.some(1, 2)}</a>' for _ in range(4)), "share")
+
+    def several(self, makers: list, least: int, most: int) -> str:
+        order = self.rng.permutation(len(makers))[: self.number(least, most)]
+        return "".join(makers[int(i)]() for i in order)
+
+    def title(self) -> str:
+        title = html.escape(self.blocks[0][:60]) if self.blocks and self.chance(0.5) else self.some(1, 13)
+        if self.chance(0.15):  # articles are about such things too
+            title = f"{title} {self.says(self.pick('comments', 'rights', 'advert'))}"
+        head = self.pick("h1", "h1", "h1", "h2")
+        title = f"<{head}>{title}</{head}>"
+        drawn = self.rng.random()
+        if drawn < 0.2:
+            return f"<header data-part=keep>{title}{self.pick('', '', f'<p>{self.some(3, 20)}</p>')}</header>"
+        if drawn < 0.3:
+            return f"<div data-part=keep>{title}</div>"
+        return title
+
+    def block(self, b: str) -> str:
+        text, form = html.escape(b), self.rng.random()
         if form < 0.7:
-            body.append(pick(f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>"))
-        elif form < 0.76:
-            body.append(f"<h2>{html.escape(' '.join(b.split()[:6]))}</h2><p>{text}</p>")
-        elif form < 0.84:
-            body.append(f"<ul>{''.join(f'<li>{html.escape(x)}</li>' for x in b.split('. ')[:6])}</ul>")
-        elif form < 0.9:
-            body.append(f"<blockquote><p>{text}</p></blockquote>")
-        elif form < 0.94:
-            body.append(f"<table><tr><td>{some(1, 4)}</td><td>{some(1, 4)}</td></tr></table><p>{text}</p>")
-        else:
-            body.append(f"<pre>{text}</pre>")
-        if rng.random() < 0.05:
-            body.append(part(pick("div", "aside"), some(3, 25), pick(*(NAMES["advert"] + NAMES["share"] + NAMES["side"]))))
-    before = "".join(f() for f in rng.permuted(np.array(front, object))[: int(rng.integers(1, 5))])
-    after = "".join(f() for f in rng.permuted(np.array(back, object))[: int(rng.integers(1, 5))])
-    if rng.random() < 0.15:  # no element around the article, and some of its blocks without one
-        loose = [html.escape(b) if rng.random() < 0.4 and form.startswith("<p") else form for b, form in zip([title, *blocks], body, strict=False)] if len(body) == len(blocks) + 1 else body
-        if rng.random() < 0.6:
-            loose.insert(0, some(1, 6))
-        return f"<html><body>{pick(before, '')}{'<hr>'.join(loose)}{pick(after, '')}</body></html>"
-    tag, name = pick("article", "article", "main", "div", "div", "section"), pick("", "", *NAMES["article"])
-    if tag == "div" and not name:
-        name = pick(*NAMES["article"])
-    article = f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-part=keep>{"".join(body)}</{tag}>'
-    if rng.random() < 0.4:
-        article = f'<{pick("div", "main", "div")} {pick("", f"class={pick(*NAMES['wrap'])}", f"id={pick(*NAMES['wrap'])}")} data-part=keep>{article}{"".join(f() for f in rng.permuted(np.array(back, object))[: int(rng.integers(0, 2))])}</div>'
-    return f"<html><body>{before}{article}{after}</body></html>"
+            return self.pick(f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>")
+        if form < 0.76:
+            return f"<h2>{html.escape(' '.join(b.split()[:6]))}</h2><p>{text}</p>"
+        if form < 0.84:
+            return f"<ul>{''.join(f'<li>{html.escape(x)}</li>' for x in b.split('. ')[:6])}</ul>"
+        if form < 0.9:
+            return f"<blockquote><p>{text}</p></blockquote>"
+        if form < 0.94:
+            return f"<table><tr><td>{self.some(1, 4)}</td><td>{self.some(1, 4)}</td></tr></table><p>{text}</p>"
+        return f"<pre>{text}</pre>" if form < 0.97 else f"<div>{text}</div>"
+
+    def page(self) -> str:
+        blocks = self.blocks
+        if len(blocks) > 2 and self.chance(0.25):  # many pages are short
+            blocks = blocks[: self.number(1, 5)]
+        if self.chance(0.2):  # or very short
+            blocks = [" ".join(b.split()[: self.number(1, 9)]) for b in blocks[:2]]
+        title, body = self.title(), [self.block(b) for b in blocks]
+        front, back = [self.menu, self.menu, self.head, self.notice, self.advert, self.form], [self.foot, self.foot, self.side, self.comments, self.comments, self.form, self.share, self.advert]
+        before, after = self.several(front, 1, 5), self.several(back, 1, 5)
+        if self.chance(0.15):  # no element around the article, and some of its blocks without one
+            loose = [html.escape(b) if self.chance(0.4) and made.startswith("<p") else made for b, made in zip(blocks, body, strict=True)]
+            opening = [self.some(1, 6)] if self.chance(0.6) else []
+            return f"<html><body>{self.pick(before, '')}{'<hr>'.join([*opening, title, *loose])}{self.pick(after, '')}</body></html>"
+        body = [b + (self.pick(self.advert(), self.share(), self.side()) if self.chance(0.05) else "") for b in body]
+        inner = "".join(body)
+        if len(body) > 3 and self.chance(0.15):
+            tag, each, headed = self.pick("section", "div"), self.number(1, 4), self.chance(0.7)
+            parts = ["".join(body[k : k + each]) for k in range(0, len(body), each)]
+            inner = "".join(f"<{tag}>{f'<h2>{self.some(1, 6)}</h2>' if headed else ''}{x}</{tag}>" for x in parts)
+        elif self.chance(0.15):
+            inner = self.keep("div", inner, "article")
+        if self.chance(0.15):
+            inner += self.several([self.comments, self.share, self.form], 1, 2)
+        article = self.keep(self.pick("article", "article", "main", "div", "div", "section"), title + inner, "article")
+        if self.chance(0.4):
+            article = self.keep(self.pick("div", "main", "div"), article + self.several(back, 0, 3), "wrap")
+        return f"<html><body>{before}{article}{after}</body></html>"
+
+
+def _laid_out(blocks: list[str], rng: np.random.Generator) -> str:
+    return _Layout(blocks, rng).page()
 
 
 def labels_of(nodes: list[Node]) -> list[bool]:
@@ -429,14 +586,24 @@ def labels_of(nodes: list[Node]) -> list[bool]:
     return label
 
 
-def fit_layouts(laid_out: list[str]) -> Trees:
+def fit_layouts(made: list[str]) -> Trees:
     """Fit on pages with ``data-part`` on their parts. Tokens learn from one half of them, the trees from the other."""
-    parsed = [(*parsed, labels_of(parsed[0])) for parsed in map(parse, laid_out)]
+    parsed = [(*parsed, labels_of(parsed[0])) for parsed in map(parse, made)]
     said = said_by_tokens([(nodes, label) for nodes, _, label in parsed[::2]])
     rows = parsed[1::2] or parsed
     return Trees(np.concatenate([features(nodes, runs, said)[1:] for nodes, runs, _ in rows]), np.concatenate([label[1:] for _, _, label in rows]).astype(float), said)
 
 
+def laid_out(sample: list[str]) -> list[str]:
+    """``LAYOUTS`` pages around the blocks of each page of the sample."""
+    rng, out = np.random.default_rng(11), []
+    for page in sample or ["<p>text</p>"]:
+        blocks = [t for _, t in parse(page)[1]]
+        blocks = [b for b in blocks if len(b) > 40] or blocks
+        out += [_laid_out(blocks, rng) for _ in range(LAYOUTS)]
+    return out
+
+
 def fit(pages: DataFrame) -> Trees:
     """Fit on layouts of the text of at most about ``FIT_PAGES`` pages."""
     rows = pages.select("page_id", "html").where(F.col("html").isNotNull())
@@ -444,13 +611,7 @@ def fit(pages: DataFrame) -> Trees:
     if n > FIT_PAGES:
         rows = rows.where(F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(1 << 30)) < int(FIT_PAGES / n * (1 << 30)))
     sample = [r[0] for r in rows.orderBy(F.xxhash64("page_id", "html")).limit(2 * FIT_PAGES).select("html").collect()]
-    rng = np.random.default_rng(11)
-    laid_out = []
-    for page in sample or ["<p>text</p>"]:
-        blocks = [t for _, t in parse(page)[1]]
-        blocks = [b for b in blocks if len(b) > 40] or blocks
-        laid_out += [_laid_out(blocks, rng) for _ in range(LAYOUTS)]
-    return fit_layouts(laid_out)
+    return fit_layouts(laid_out(sample))
 
 
 def with_main_text(pages: DataFrame, model: Trees, page: str = "html", out: str = "main_text") -> DataFrame:
