@@ -17,7 +17,8 @@ pages, drawn by a hash of the id), laid out again in varied templates between
 menus, notices, adverts, sidebars, forms, reader comments and footers.
 
 Defined cases: null or empty html gives the empty text; text outside any tag
-belongs to the body; unknown character references stay as they are; a tag that is
+belongs to the body, and is all the main text of a page without block elements;
+unknown character references stay as they are; a tag that is
 never closed ends with its parent; one without its ``>`` is text; scripts and styles
 that are never closed go on to the page's end, other hidden elements without an end
 are passed over. Every row gives one output row, whatever ids repeat or are null; an
@@ -383,7 +384,7 @@ def main_texts(model: Trees, pages: list[str | None]) -> list[str]:
     odds = model.log_odds(np.concatenate([features(*p, model.said) for p in parsed])) if parsed else np.zeros(0)
     out, at = [], 0
     for nodes, runs in parsed:
-        keep = decode(nodes, odds[at : at + len(nodes)])
+        keep = decode(nodes, odds[at : at + len(nodes)]) if any(x.tag for x in nodes[1:]) else [True] * len(nodes)
         at += len(nodes)
         out.append("\n".join(text for k, text in runs if keep[k]))
     return out
