@@ -8,8 +8,8 @@ known one. A text's score in a language is the sum over its words.
 Learning takes labelled rows whose ``crc32(doc_id as text) mod 4`` is not 2: of each
 language at most about ``max_docs`` of them, drawn by a hash of the id (the
 documented bound of the training sample), and of each language the
-``max_entries`` most frequent words and n-grams. Both are parameters; None keeps
-all. A language with few rows is learned beside one with most of them.
+``max_entries`` most frequent words and n-grams that are met ``min_count`` times.
+All are parameters; None and 1 keep all. A language with few rows is learned beside one with most of them.
 Prediction reads the text alone.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
@@ -21,6 +21,7 @@ the output's name is replaced by it. Texts are read whole, in slices.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from .common import bounded, checkpointed, slices
 
 #: Of each language: rows learned from, and words as well as n-grams kept.
 MAX_DOCS, MAX_ENTRIES = 5_000, 15_000
-#: A word or n-gram met less often is not known.
+#: A word or n-gram met less often is not known, unless ``fit`` is given another bound (1 keeps all).
 MIN_COUNT = 2
 #: Frequency of what a language does not have; the same for languages with few rows and with many.
 FLOOR = 1e-7
@@ -61,33 +62,73 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+class Sparse:
+    """Rows of (language, value), one row an entry; what a row does not name is 0. Grows by ``add``."""
+
+    def __init__(self, at: np.ndarray, lang: np.ndarray, value: np.ndarray, rows: int) -> None:
+        """``at``: the row of each value, in ascending order."""
+        self.size = np.bincount(at, minlength=rows)
+        self.start = np.cumsum(self.size) - self.size
+        self.lang, self.value = lang.astype(np.int32), value.astype(np.float32)
+        self.rows, self.used = rows, len(lang)
+
+    def sums(self, ids: np.ndarray, groups: np.ndarray, n: int, langs: int) -> np.ndarray:
+        """Rows ``ids`` added up by group: an array of n by langs."""
+        sizes = self.size[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + sizes, sizes)
+        cell = np.repeat(groups, sizes) * langs + self.lang[at]
+        return np.bincount(cell, self.value[at], n * langs).reshape(n, langs)
+
+    def add(self, row: np.ndarray) -> None:
+        lang = np.flatnonzero(row)
+        self.start, self.size = (_room(x, self.rows + 1) for x in (self.start, self.size))
+        self.lang, self.value = (_room(x, self.used + len(lang)) for x in (self.lang, self.value))
+        self.start[self.rows], self.size[self.rows] = self.used, len(lang)
+        self.lang[self.used : self.used + len(lang)], self.value[self.used : self.used + len(lang)] = lang, row[lang]
+        self.rows, self.used = self.rows + 1, self.used + len(lang)
+
+    def cut(self, rows: int) -> None:
+        """Back to the first ``rows`` rows."""
+        self.used = int(self.start[rows]) if rows < self.rows else self.used
+        self.rows = rows
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x), 1024) - len(x), x.dtype)])
+
+
 class Model:
-    """Log frequencies by language; ``words`` and ``grams`` give rows of the matrices."""
+    """Log frequencies by language above that of what it does not have, which is the same for all; so only
+    the languages that have an entry are kept, and the model grows with its entries, not times languages.
+    ``words`` and ``grams`` give rows of the tables."""
 
     def __init__(self, langs: list[str], words: pd.DataFrame, grams: pd.DataFrame) -> None:
         self.langs = langs
-        self.words, self.word_logs = self._logs(words)
-        self.grams, self.gram_logs = {}, np.zeros((0, len(langs)), np.float32)
-        tables = [self._logs(grams[grams["entry"].str.len() == n]) for n in ORDERS] if len(grams) else []
-        for index, logs in tables:
-            self.grams |= {g: k + len(self.gram_logs) for g, k in index.items()}
-            self.gram_logs = np.concatenate([self.gram_logs, logs])
-
-    def _logs(self, counts: pd.DataFrame) -> tuple[dict[str, int], np.ndarray]:
+        self.words, self.word_logs = self._logs(words, pd.Series(0, words.index))
+        self.grams, self.gram_logs = self._logs(grams, grams["entry"].str.len() if len(grams) else pd.Series(dtype=int))
+
+    def _logs(self, counts: pd.DataFrame, group: pd.Series) -> tuple[dict[str, int], Sparse]:
+        """Frequencies are shares of a language's entries of the same group."""
+        lang, n = counts["lang"].map({x: k for k, x in enumerate(self.langs)}).to_numpy(int), counts["n"].to_numpy(float)
+        group = group.to_numpy(int)
+        cell = group * len(self.langs) + lang
+        share = n / np.maximum(np.bincount(cell, n)[cell], 1) if len(n) else n
         entries = sorted(set(counts["entry"]))
         index = {e: k for k, e in enumerate(entries)}
-        n = np.zeros((len(entries), len(self.langs)))
-        np.add.at(n, (counts["entry"].map(index).to_numpy(int), counts["lang"].map({x: k for k, x in enumerate(self.langs)}).to_numpy(int)), counts["n"])
-        return index, np.log(n / np.maximum(n.sum(0), 1) + FLOOR).astype(np.float32)
+        at = counts["entry"].map(index).to_numpy(int)
+        order = np.lexsort((lang, at))
+        return index, Sparse(at[order], lang[order], np.log1p(share / FLOOR)[order], len(entries))
 
     def word(self, word: str) -> np.ndarray:
+        """Scores of a word: its own, or those of the longest order of n-grams of which one is known."""
         if (k := self.words.get(word)) is not None:
-            return self.word_logs[k]
+            return self.word_logs.sums(np.array([k]), np.array([0]), 1, len(self.langs))[0]
         marked, row = f"<{word}>", self.grams.get
         for order in ORDERS:
             if known := [k for i in range(len(marked) - order + 1) if (k := row(marked[i : i + order])) is not None]:
-                return np.add.reduce(self.gram_logs[known]) / np.float32(len(known))
-        return np.zeros(len(self.langs), np.float32)
+                return self.gram_logs.sums(np.array(known), np.zeros(len(known), np.int64), 1, len(self.langs))[0] / len(known)
+        return np.zeros(len(self.langs))
 
 
 class Rows(dict):
@@ -95,13 +136,11 @@ class Rows(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__(model.words)
-        self.model, self.scores = model, np.concatenate([model.word_logs, np.zeros((1024, len(model.langs)), np.float32)])
+        self.model, self.scores = model, copy.copy(model.word_logs)  # arrays are replaced when they grow, never written below the known rows
 
     def __missing__(self, word: str) -> int:
-        k = self[word] = len(self)
-        if k >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[k] = self.model.word(word)
+        k = self[word] = self.scores.rows
+        self.scores.add(self.model.word(word))
         return k
 
     def trim(self) -> None:
@@ -109,6 +148,7 @@ class Rows(dict):
         if len(self) > len(self.model.words) + CACHED_WORDS:
             self.clear()
             self.update(self.model.words)
+            self.scores.cut(len(self.model.words))
 
 
 def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
@@ -121,7 +161,7 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
     if full and model.langs:
         ids = np.fromiter((k for i in full for k in map(rows.__getitem__, found[i])), np.int64)
         sizes = np.array([len(found[i]) for i in full])
-        total = np.add.reduceat(rows.scores[ids].astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        total = rows.scores.sums(ids, np.repeat(np.arange(len(full)), sizes), len(full), len(model.langs))
         best = total.argmax(1)
         mean = total / sizes[:, None] * np.minimum(sizes, SCORE_WORDS)[:, None]
         pred[full] = np.array(model.langs, object)[best]
@@ -137,7 +177,7 @@ def _emptied(found: dict[str, Counter[str]]) -> Iterator[pd.DataFrame]:
     found.clear()
 
 
-def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | None = MAX_ENTRIES) -> Model:
+def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | None = MAX_ENTRIES, min_count: int = MIN_COUNT) -> Model:
     """Learn from labelled, not held-out rows of ``docs`` (doc_id, text, lang)."""
     rows = bounded(docs).select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").count().collect()  # one row a language
@@ -170,7 +210,7 @@ def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | Non
     schema = "lang string, entry string, n long"
     words = checkpointed(rows.select("lang", "text").mapInPandas(count, schema).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
     grams = words.mapInPandas(cut, schema).groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    top = [x.where(F.col("n") >= MIN_COUNT) for x in (words, grams)]
+    top = [x.where(F.col("n") >= min_count) for x in (words, grams)]
     if max_entries is not None:
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry"))
         top = [x.withColumn("rank", rank).where(F.col("rank") <= max_entries).drop("rank") for x in top]

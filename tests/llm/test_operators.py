@@ -132,13 +132,32 @@ def test_language_like_brute_force(spark, sf):
 
     model = langid.fit(docs, max_docs=None, max_entries=None)
     got = {r["doc_id"]: r for r in langid.with_language(docs.select("doc_id", "text"), model).collect()}
-    for r in rows[:120]:
-        found = langid.words_of(r["text"])
+    cached = {}
+    for r in rows:
+        found, judged = langid.words_of(r["text"]), got[r["doc_id"]]["language"]
         if any(c.isalpha() for w in found for c in w):
-            total = sum(of_word(w) for w in found)
-            assert total[langs.index(got[r["doc_id"]]["language"]["lang_pred"])] > total.max() - 0.01
+            for w in set(found) - set(cached):
+                cached[w] = of_word(w)
+            total = sum(cached[w] for w in found)
+            assert total[langs.index(judged["lang_pred"])] > total.max() - 0.01
+            assert abs(judged["score"] - 1 / np.exp((total - total.max()) / len(found) * min(len(found), langid.SCORE_WORDS)).sum()) < 1e-4
         else:
-            assert got[r["doc_id"]]["language"]["lang_pred"] == "und"
+            assert judged["lang_pred"] == "und" and judged["score"] == 0
+
+
+def test_the_language_model_grows_with_its_entries():
+    import pandas as pd
+
+    langs = [f"l{i:02}" for i in range(60)]
+    words = pd.DataFrame([(lang, f"{lang}w{i}", 3) for lang in langs for i in range(100)], columns=["lang", "entry", "n"])
+    m = langid.Model(langs, words, pd.DataFrame([(lang, lang, 3) for lang in langs], columns=["lang", "entry", "n"]))
+    assert len(m.word_logs.value) == 6000
+    rows = langid.Rows(m)
+    rows["l07w1"], rows["unseen"], rows["xl31x"]
+    assert m.word("l07w5").argmax() == 7 and (m.word("l07w5") > 0).sum() == 1
+    assert m.word("xl31x").argmax() == 31 and rows.scores.rows == 6002 and m.word_logs.rows == 6000
+    rows.scores.cut(6000)
+    assert rows.scores.used == 6000
 
 
 def test_a_rare_language_is_learned(spark):
