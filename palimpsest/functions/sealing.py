@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import bounded_batches
 from .convert import decrypted, encrypted
 
 # Fixed value: what a sealed leaf begins with.
@@ -46,6 +47,8 @@ def _parsed(text: object) -> object:
 def leaves(value: Column, bound: Column) -> Column:
     """The texts in a JSON value in order: path, bound data and text. ``bound``: a map of names and values that every leaf is bound to."""
 
+    bounded_batches()
+
     @F.pandas_udf(LEAVES)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for values, binds in batches:
@@ -68,6 +71,8 @@ def leaves(value: Column, bound: Column) -> Column:
 def _put(value: Column, texts: Column) -> Column:
     """The JSON value with its texts replaced, in order."""
 
+    bounded_batches()
+
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for values, lists in batches:
@@ -83,13 +88,16 @@ def _put(value: Column, texts: Column) -> Column:
 def sealed_json(value: Column, key: Column, bound: Column) -> Column:
     """``value`` (JSON) with its texts sealed. ``key``: 32 bytes in base64."""
 
-    def seal(leaf: Column) -> Column:
+    def sealed(leaf: Column) -> Column:
         inner = F.substring(leaf["text"], F.lit(len(SEALED) + 1), F.length(leaf["text"]))
         again = leaf["text"].startswith(SEALED) & (decrypted(inner, key, leaf["bound"]) != inner)
-        new = encrypted(leaf["text"], key, leaf["bound"])
-        return F.when(again | (new == leaf["text"]), leaf["text"]).otherwise(F.concat(F.lit(SEALED), new))
+        return F.struct(leaf["text"].alias("old"), F.when(~again, encrypted(leaf["text"], key, leaf["bound"])).alias("new"))
+
+    def seal(x: Column) -> Column:
+        return F.when(x["new"].isNull() | (x["new"] == x["old"]), x["old"]).otherwise(F.concat(F.lit(SEALED), x["new"]))
 
-    return _put(value, F.when(key.isNotNull(), F.transform(leaves(value, bound), seal)))
+    # Two steps, so that a text is encrypted once.
+    return _put(value, F.when(key.isNotNull(), F.transform(F.transform(leaves(value, bound), sealed), seal)))
 
 
 def opened_json(value: Column, key: Column, bound: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import STEMS, SYNONYMS
+from ..storage import bounded_batches
 from .words import TOKEN, Known, Segment, canonical_words, pairs
 
 _CANONICAL = {w: line[0] for line in SYNONYMS for w in line}
@@ -58,6 +59,8 @@ def canonical_tokens(text: Column, segment: Segment = pairs) -> Column:
     nested lambdas would do again for every place.
     """
 
+    bounded_batches()
+
     @F.pandas_udf("array<string>")
     def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Known(segment)
@@ -70,6 +73,8 @@ def canonical_tokens(text: Column, segment: Segment = pairs) -> Column:
 def matched_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Column:
     """The number of canonical tokens, and how often each of the ``wanted`` ones (joined by blanks) occurs: a struct (length, terms)."""
 
+    bounded_batches()
+
     @F.pandas_udf("length int, terms array<struct<term:string,tf:int>>")
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = Known(segment)

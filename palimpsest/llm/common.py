@@ -12,12 +12,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed, shared_folder
+from ..storage import bounded_batches, checkpointed, shared_folder
 
 #: Texts handed to numpy at a time, in characters; one longer text is a slice of its own.
 SLICE_CHARS = 250_000
-#: Bytes of rows that Spark hands to a Python worker at a time, in a session that names no bound of its own.
-BATCH_BYTES = "4m"
 #: Bytes of a row group of a table of hashes.
 HASH_GROUP = 16 << 20
 
@@ -92,9 +90,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded(df: DataFrame) -> DataFrame:
     """``df`` as it is, in a session that hands rows to Python in batches of bounded bytes and not of 10 000 rows of any length."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, None) is None:
-        conf.set(name, BATCH_BYTES)
+    bounded_batches(df.sparkSession)
     return df
 
 

@@ -16,7 +16,7 @@ from ..functions import scoring as S
 from ..functions.convert import clamped, clamped_int
 from ..functions.text import entity_key
 from ..functions.vectors import cosine, doubles, with_norm
-from ..storage import checkpointed
+from ..storage import bounded_batches, checkpointed
 from .recall import ranked
 from .tables import page
 
@@ -288,6 +288,7 @@ def canonicalise_in_order(mentions: DataFrame, canonical: DataFrame, order: list
                 new.append(fresh)
             yield batch[columns].assign(canonical_id=out, is_new=new)
 
+    bounded_batches(mentions.sparkSession)
     kinds = ", ".join(f"`{x}` {m.schema[x].dataType.simpleString()}" for x in mentions.columns)
     walked = open_.repartition("user_id").sortWithinPartitions("user_id", *order).mapInPandas(walk, f"{kinds}, canonical_id string, is_new boolean")
     return stored.unionByName(walked)

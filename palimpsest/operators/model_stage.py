@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SECTORS
 from ..functions.scoring import clamp
+from ..storage import bounded_batches
 
 Fn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -48,6 +49,7 @@ def model_stage(df: DataFrame, fn: Fn, schema: str, on_error: str = "keep") -> D
                         if on_error == "keep":
                             yield row.reset_index(drop=True).assign(**dict.fromkeys(names), status="failed", error=f"{type(e).__name__}: {e}")
 
+    bounded_batches(df.sparkSession)
     return df.mapInPandas(run, full)
 
 

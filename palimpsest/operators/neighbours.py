@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles, with_norm
+from ..storage import bounded_batches
 from .recall import ranked
 
 BUCKET = ["user_id", "sector", "dim", "table", "code"]
@@ -46,6 +47,8 @@ class Projections:
     def project(self, v: Column) -> Column:
         """By table the signed distances of unit vectors from its planes."""
 
+        bounded_batches()
+
         @F.pandas_udf("array<array<double>>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             planes: dict[int, np.ndarray] = {}

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import bounded_batches
 from .ranges import HOT_KEY, divided
 from .recall import ranked
 from .tables import latest, mark
@@ -251,6 +252,8 @@ def merge_profiles(old: DataFrame, new: DataFrame, by_path: dict[str, tuple[str,
     profiles = Profiles(by_path)
     both = old.select("user_id", F.col("profile").alias("old")).join(new.select("user_id", F.col("profile").alias("new")), "user_id", "full")
 
+    bounded_batches(both.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:

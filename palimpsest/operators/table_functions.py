@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from ..storage import bounded_batches
 from .ingest import SECTION_CHARS, chunks_of, sections_of
 
 
@@ -29,6 +30,7 @@ class SectionText:
 
 def register(spark: SparkSession) -> SparkSession:
     """Make ``chunk_text`` and ``section_text`` known to the session's SQL; rows reach Python in Arrow batches."""
+    bounded_batches(spark)
     spark.udtf.register("chunk_text", udtf(ChunkText, returnType="chunk_index int, chunk string, `start` int, `end` int, tokens int", useArrow=True))
     spark.udtf.register("section_text", udtf(SectionText, returnType="section_index int, section string, total_sections int", useArrow=True))
     return spark
