@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from ..storage import bounded_batches
 
 #: Token count from which a document gets a root and sections; characters of a section and of a root's summary.
 LARGE_TOKENS, SECTION_CHARS, SUMMARY_CHARS = 200, 150, 200
@@ -58,6 +59,8 @@ def _plain(page: str | None) -> str | None:
 def html_to_text(df: DataFrame, col: str) -> DataFrame:
     """Add text, method and original_length."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -134,6 +137,8 @@ def sections_of(text: str, size: int = SECTION_CHARS) -> list[str]:
 def chunk(df: DataFrame, text: str, target: int = 128, overlap: float = 0.1) -> DataFrame:
     """One row a chunk: chunk_index, chunk, start, end, tokens."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("array<struct<chunk:string,start:int,end:int,tokens:int>>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [dict(zip(("chunk", "start", "end", "tokens"), c, strict=True)) for c in chunks_of(t or "", target, overlap)])
@@ -141,14 +146,21 @@ def chunk(df: DataFrame, text: str, target: int = 128, overlap: float = 0.1) ->
     return df.select("*", F.posexplode(run(F.col(text))).alias("chunk_index", "c")).select("*", "c.*").drop("c")
 
 
-def sections(df: DataFrame, text: str, size: int = SECTION_CHARS) -> DataFrame:
-    """One row a section: section_index, total_sections, section."""
+def section_list(text: Column, size: int = SECTION_CHARS) -> Column:
+    """The sections of a text, in order."""
+    bounded_batches()
 
     @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sections_of(t or "", size))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: sections_of(t or "", size))
+
+    return run(text)
+
 
-    return df.withColumn("s", run(F.col(text))).select("*", F.posexplode("s").alias("section_index", "section")).withColumn("total_sections", F.size("s")).drop("s")
+def sections(df: DataFrame, text: str, size: int = SECTION_CHARS) -> DataFrame:
+    """One row a section: section_index, total_sections, section."""
+    return df.withColumn("s", section_list(F.col(text), size)).select("*", F.posexplode("s").alias("section_index", "section")).withColumn("total_sections", F.size("s")).drop("s")
 
 
 def new_memories(df: DataFrame) -> DataFrame:
@@ -170,10 +182,11 @@ def ingest(docs: DataFrame, force_root: bool = False, large: int = LARGE_TOKENS,
     is_large = F.lit(force_root) | (F.col("estimated_tokens") > large)
     none, rate = F.lit(None).cast("string"), F.lit(C.DECAY_RATES["semantic"])
     single = docs.where(~is_large).select("id", "user_id", "content", F.lit("semantic").alias("primary_sector"), F.lit(0.4).alias("salience"), F.lit("single").alias("strategy"), none.alias("root_id"), F.lit(0).alias("section_index"), F.lit(0).alias("total_sections"), rate.alias("decay_lambda"), F.lit(None).cast("int").alias("segment"))
-    parts = sections(docs.where(is_large), "content", size)
-    counts = parts.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    root_text = F.concat(F.lit("[Document: "), F.upper("content_type"), F.lit("]\n\n"), T.truncated(F.col("content"), summary), F.lit("\n\n[Full content split across "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" sections]"))
-    roots = docs.where(is_large).join(counts, "id", "left").select("id", "user_id", root_text.alias("content"), F.lit("reflective").alias("primary_sector"), F.lit(1.0).alias("salience"), F.lit("root").alias("strategy"), none.alias("root_id"), F.lit(-1).alias("section_index"), F.coalesce("n", F.lit(0)).alias("total_sections"), F.lit(0.1).alias("decay_lambda"), F.lit(1).alias("segment"))
+    # The parts stay with their document, so its root knows their number without a join.
+    long = docs.where(is_large).withColumn("parts", section_list(F.col("content"), size)).withColumn("n", F.size("parts"))
+    parts = long.select("id", "user_id", F.posexplode("parts").alias("section_index", "section"), F.col("n").alias("total_sections"))
+    root_text = F.concat(F.lit("[Document: "), F.upper("content_type"), F.lit("]\n\n"), T.truncated(F.col("content"), summary), F.lit("\n\n[Full content split across "), F.col("n").cast("string"), F.lit(" sections]"))
+    roots = long.select("id", "user_id", root_text.alias("content"), F.lit("reflective").alias("primary_sector"), F.lit(1.0).alias("salience"), F.lit("root").alias("strategy"), none.alias("root_id"), F.lit(-1).alias("section_index"), F.col("n").alias("total_sections"), F.lit(0.1).alias("decay_lambda"), F.lit(1).alias("segment"))
     child_id = F.concat("id", F.lit("#"), F.col("section_index").cast("string"))
     children = parts.select(child_id.alias("id"), "user_id", F.col("section").alias("content"), F.lit("semantic").alias("primary_sector"), F.lit(0.4).alias("salience"), F.lit("child").alias("strategy"), F.col("id").alias("root_id"), "section_index", "total_sections", rate.alias("decay_lambda"), F.lit(None).cast("int").alias("segment"))
     links = children.select(F.col("root_id").alias("src_id"), F.col("id").alias("dst_id"), "user_id", F.lit(1.0).alias("weight"))
