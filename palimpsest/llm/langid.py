@@ -63,30 +63,48 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Sparse:
-    """Rows of (language, value), one row an entry; what a row does not name is 0. Grows by ``add``."""
+    """Rows of (language, value), one row an entry; what a row does not name is 0. Grows by ``add``.
 
-    def __init__(self, at: np.ndarray, lang: np.ndarray, value: np.ndarray, rows: int) -> None:
+    Where a full table is not much larger, ``table`` (languages by rows) holds the same values and is what is added up.
+    """
+
+    #: Cells of the full table for each value, at most.
+    FULL = 4
+
+    def __init__(self, at: np.ndarray, lang: np.ndarray, value: np.ndarray, rows: int, langs: int) -> None:
         """``at``: the row of each value, in ascending order."""
         self.size = np.bincount(at, minlength=rows)
         self.start = np.cumsum(self.size) - self.size
         self.lang, self.value = lang.astype(np.int32), value.astype(np.float32)
         self.rows, self.used = rows, len(lang)
+        self.table = None
+        if langs * rows <= self.FULL * len(lang):
+            self.table = np.zeros((langs, rows), np.float32)
+            self.table[self.lang, at] = self.value
 
     def sums(self, ids: np.ndarray, groups: np.ndarray, n: int, langs: int) -> np.ndarray:
         """Rows ``ids`` added up by group: an array of n by langs."""
+        if self.table is not None:
+            return np.stack([np.bincount(groups, of_lang[ids], n) for of_lang in self.table], 1)
         sizes = self.size[ids]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + sizes, sizes)
         cell = np.repeat(groups, sizes) * langs + self.lang[at]
         return np.bincount(cell, self.value[at], n * langs).reshape(n, langs)
 
-    def add(self, row: np.ndarray) -> None:
-        lang = np.flatnonzero(row)
-        self.start, self.size = (_room(x, self.rows + 1) for x in (self.start, self.size))
+    def add(self, scores: np.ndarray) -> None:
+        """Add rows: an array of rows by languages."""
+        at, lang = np.nonzero(scores)
+        size, end = np.bincount(at, minlength=len(scores)), self.rows + len(scores)
+        if self.table is not None:
+            if end > self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros((len(self.table), max(1024, self.rows // 8, end - self.rows)), np.float32)], 1)
+            self.table[:, self.rows : end] = scores.T
+        self.start, self.size = (_room(x, end) for x in (self.start, self.size))
         self.lang, self.value = (_room(x, self.used + len(lang)) for x in (self.lang, self.value))
-        self.start[self.rows], self.size[self.rows] = self.used, len(lang)
-        self.lang[self.used : self.used + len(lang)], self.value[self.used : self.used + len(lang)] = lang, row[lang]
-        self.rows, self.used = self.rows + 1, self.used + len(lang)
+        self.start[self.rows : end], self.size[self.rows : end] = self.used + np.cumsum(size) - size, size
+        self.lang[self.used : self.used + len(lang)], self.value[self.used : self.used + len(lang)] = lang, scores[at, lang]
+        self.rows, self.used = end, self.used + len(lang)
 
     def cut(self, rows: int) -> None:
         """Back to the first ``rows`` rows."""
@@ -118,17 +136,26 @@ class Model:
         index = {e: k for k, e in enumerate(entries)}
         at = counts["entry"].map(index).to_numpy(int)
         order = np.lexsort((lang, at))
-        return index, Sparse(at[order], lang[order], np.log1p(share / FLOOR)[order], len(entries))
+        return index, Sparse(at[order], lang[order], np.log1p(share / FLOOR)[order], len(entries), len(self.langs))
 
     def word(self, word: str) -> np.ndarray:
         """Scores of a word: its own, or those of the longest order of n-grams of which one is known."""
         if (k := self.words.get(word)) is not None:
             return self.word_logs.sums(np.array([k]), np.array([0]), 1, len(self.langs))[0]
-        marked, row = f"<{word}>", self.grams.get
-        for order in ORDERS:
-            if known := [k for i in range(len(marked) - order + 1) if (k := row(marked[i : i + order])) is not None]:
-                return self.gram_logs.sums(np.array(known), np.zeros(len(known), np.int64), 1, len(self.langs))[0] / len(known)
-        return np.zeros(len(self.langs))
+        return self.unseen([word])[0]
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words that the model does not have, an array of words by languages."""
+        known, sizes, row = [], np.zeros(len(words), np.int64), self.grams.get
+        for at, word in enumerate(words):
+            marked = f"<{word}>"
+            for order in ORDERS:
+                if found := [k for i in range(len(marked) - order + 1) if (k := row(marked[i : i + order])) is not None]:
+                    known += found
+                    sizes[at] = len(found)
+                    break
+        sums = self.gram_logs.sums(np.array(known, np.int64), np.repeat(np.arange(len(words)), sizes), len(words), len(self.langs))
+        return sums / np.maximum(sizes, 1)[:, None]
 
 
 class Rows(dict):
@@ -139,9 +166,13 @@ class Rows(dict):
         self.model, self.scores = model, copy.copy(model.word_logs)  # arrays are replaced when they grow, never written below the known rows
 
     def __missing__(self, word: str) -> int:
-        k = self[word] = self.scores.rows
-        self.scores.add(self.model.word(word))
-        return k
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: list[str]) -> None:
+        """Take up unseen words, all at once."""
+        self.update(zip(words, range(self.scores.rows, self.scores.rows + len(words)), strict=True))
+        self.scores.add(self.model.unseen(words))
 
     def trim(self) -> None:
         """Forget the unseen words once they are many; called between texts."""
@@ -159,6 +190,8 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
     pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     full = [i for i, w in enumerate(found) if w]
     if full and model.langs:
+        if unseen := list(dict.fromkeys(w for i in full for w in found[i] if w not in rows)):
+            rows.learn(unseen)
         ids = np.fromiter((k for i in full for k in map(rows.__getitem__, found[i])), np.int64)
         sizes = np.array([len(found[i]) for i in full])
         total = rows.scores.sums(ids, np.repeat(np.arange(len(full)), sizes), len(full), len(model.langs))

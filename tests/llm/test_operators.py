@@ -682,3 +682,23 @@ def test_one_row_of_each_group(clashing, none):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 15]
     assert neardup.without_near_duplicates(none).count() == 0
     assert BASE in {r["text"] for r in kept.collect()}
+
+
+def test_unseen_words_are_scored_at_once(monkeypatch):
+    """The words of a slice that the model does not have are summed together, with the scores that each has alone; with and without a full table."""
+    import pandas as pd
+
+    few, many = ["aa", "bb"], [f"{a}{b}" for a in "kl" for b in "abcdefghijmnoprstuvy"]
+    for langs in (few, many):
+        grams = pd.DataFrame([(lang, g, 3 + k) for k, lang in enumerate(langs) for g in (f"{lang}x", lang[0], "zq") if k % 2 == 0 or g != "zq"], columns=["lang", "entry", "n"])
+        m = langid.Model(langs, pd.DataFrame([(lang, f"{lang}w", 3) for lang in langs], columns=["lang", "entry", "n"]), grams)
+        assert (m.gram_logs.table is not None) == (langs is few)
+        texts = [f"{a}x{b}x zq{a}zq {b}w ünseen" for a in langs for b in langs]
+        alone = langid.Rows(m)
+        want = [sum(m.word(w) for w in langid.words_of(t)) for t in texts]
+        calls = []
+        monkeypatch.setattr(langid.Model, "unseen", lambda self, words, plain=langid.Model.unseen: calls.append(len(words)) or plain(self, words))
+        got = langid.predict(alone, texts)
+        monkeypatch.undo()
+        assert len(calls) == 1 and calls[0] > 2 * len(langs)
+        assert [langs[w.argmax()] for w in want] == list(got["lang_pred"])
