@@ -70,6 +70,19 @@ def canonical_tokens(text: Column, segment: Segment = pairs) -> Column:
     return words(text)
 
 
+def top_words(text: Column, k: int, segment: Segment = pairs) -> Column:
+    """The k most frequent canonical tokens, ties by first place, joined by blanks; null if there is none."""
+    bounded_batches()
+
+    @F.pandas_udf("string")
+    def top(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Known(segment)
+        for s in batches:
+            yield pd.Series([" ".join(w for w, _ in Counter(words).most_common(k)) if (words := canonical_words(t, known)) else None for t in s], dtype=object)
+
+    return top(text)
+
+
 def matched_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Column:
     """The number of canonical tokens, and how often each of the ``wanted`` ones (joined by blanks) occurs: a struct (length, terms)."""
 

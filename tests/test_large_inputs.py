@@ -39,3 +39,27 @@ def test_a_root_knows_its_sections(spark):
     assert set(roots) == {"a", "c", "m"} and roots["m"]["total_sections"] == 0 and "across 0 sections" in roots["m"]["content"]
     for k, r in roots.items():
         assert r["total_sections"] == sum(x["root_id"] == k for x in rows) == links.where(F.col("src_id") == k).count()
+
+
+def test_long_texts_are_hashed_at_once():
+    """The hash of whole arrays of code points is that of one after the other."""
+    from palimpsest.functions import vectors as V
+
+    rand = np.random.default_rng(2)
+    alphabets = ["ab \n", "".join(map(chr, range(32, 256))), "né漢字", "a😀b漢", "\0"]
+    texts = ["", "x", "\0"] + ["".join(rand.choice(list(a), n)) for a in alphabets for n in (63, 64, 65, 3000, V.HASHED_AT_ONCE - 1, V.HASHED_AT_ONCE, V.HASHED_AT_ONCE + 1, 150_000)]
+    for text in texts:
+        h = 2166136261
+        for c in text or "\0":
+            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+        assert V.fnv1a(text) == h
+
+
+def test_no_word_and_no_text_is_shuffled_to_decay(spark):
+    from palimpsest.operators import dynamics
+
+    texts = [("a", "u", "b a b a c"), ("b", "u", None), ("c", "u", "!"), ("d", "u", "one")]
+    df = spark.createDataFrame(texts, "id string, user_id string, content string")
+    words = dynamics.top_keywords(df, 2)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["keywords"] for r in dynamics.top_keywords(spark.createDataFrame([("a", "bb aa bb aa cc"), ("b", None), ("c", "!"), ("d", "one")], "id string, content string"), 2).collect()} == {"a": "bb aa", "d": "one"}
