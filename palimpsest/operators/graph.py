@@ -17,6 +17,7 @@ from ..functions.convert import clamped, clamped_int
 from ..functions.text import entity_key
 from ..functions.vectors import cosine, doubles, with_norm
 from ..storage import bounded_batches, checkpointed
+from . import pairs
 from .recall import ranked
 from .tables import page
 
@@ -223,14 +224,11 @@ def canonicalise(mentions: DataFrame, canonical: DataFrame, block: Column | None
     m = mentions.withColumn("key", entity_key(F.col("entity_type"), F.col("text"))).withColumn("block", F.col("entity_type") if block is None else block)
     c = canonical.withColumn("key", entity_key(F.col("entity_type"), F.col("name")))
     same = c.groupBy("user_id", "key").agg(F.min("id").alias("same_id"))
-    open_ = with_norm(m.join(same, ["user_id", "key"], "left_anti").select("user_id", "block", "key", "v").distinct(), "v", "n")
-    held = with_norm(c.select("user_id", F.col("id").alias("near_id"), F.col("v").alias("v2")), "v2", "n2")
-    near = open_.join(held, "user_id").select("user_id", "key", "near_id", cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))).alias("s")).where(F.col("s") >= C.CANONICAL_SIMILARITY)
-    best = near.groupBy("user_id", "key").agg(F.min_by("near_id", F.struct(-F.col("s"), "near_id")).alias("near_id"))
-    left = open_.join(best, ["user_id", "key"], "left_anti")
-    other = left.select("user_id", "block", F.col("key").alias("key2"), F.col("v").alias("v2"), F.col("n").alias("n2"))
-    links = left.join(other, ["user_id", "block"]).where("key < key2").where(cosine(F.col("v"), F.col("v2"), (F.col("n"), F.col("n2"))) >= C.CANONICAL_SIMILARITY)
-    groups = least_of_group(links.select("user_id", F.col("key").alias("a"), F.col("key2").alias("b")).distinct())
+    open_ = m.join(same, ["user_id", "key"], "left_anti").select("user_id", "block", F.col("key").alias("id"), "v").distinct()
+    near = pairs.nearest(open_.drop("block"), c.select("user_id", "id", "v"), ["user_id"], C.CANONICAL_SIMILARITY, own=True)
+    best = checkpointed(near.select("user_id", F.col("id").alias("key"), F.col("to").alias("near_id")))  # read for what is left and for the result
+    left = open_.join(best.withColumnRenamed("key", "id"), ["user_id", "id"], "left_anti")
+    groups = least_of_group(pairs.links(left, ["user_id", "block"], C.CANONICAL_SIMILARITY).select("user_id", "a", "b").distinct())
     new = F.concat(F.lit("e"), F.sha2(F.concat("user_id", F.lit("|"), F.coalesce("group", "key")), 256).substr(1, 24))
     out = m.join(same, ["user_id", "key"], "left").join(best, ["user_id", "key"], "left").join(groups, ["user_id", "key"], "left")
     return out.withColumn("canonical_id", F.coalesce("same_id", "near_id", new)).withColumn("is_new", F.coalesce("same_id", "near_id").isNull()).drop("same_id", "near_id", "key", "group", "block")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles, with_norm
 from ..storage import bounded_batches
+from . import pairs
 from .recall import ranked
 
 BUCKET = ["user_id", "sector", "dim", "table", "code"]
@@ -90,10 +91,11 @@ def candidates(probes: DataFrame, held: DataFrame, by: Projections) -> DataFrame
     return taken.select("query_id", *BUCKET).join(held, BUCKET).select("query_id", "user_id", "sector", "id").distinct()
 
 
-def near_recall(probes: DataFrame, vectors: DataFrame, by: Projections | None = None, held: DataFrame | None = None) -> DataFrame:
+def near_recall(probes: DataFrame, vectors: DataFrame, by: Projections | None = None, held: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """Like ``vector_recall``, for each query and sector its 3 * top_k most similar vectors, of those that the index finds.
 
-    ``held``: a kept ``index`` of the vectors; without it one is made.
+    ``held``: a kept ``index`` of the vectors; without it one is made. ``exact`` adds what the
+    index has missed: the least similarity that it found for a query and sector bounds a pass over all vectors.
     """
     by = by or Projections()
     found = candidates(probes, index(vectors, by) if held is None else held, by)
@@ -101,4 +103,11 @@ def near_recall(probes: DataFrame, vectors: DataFrame, by: Projections | None =
     stored = with_norm(vectors.select("user_id", "sector", "id", "v"), "v", "nv")
     both = found.join(stored, ["user_id", "sector", "id"]).join(asked, "query_id")
     scored = both.select("query_id", "user_id", "top_k", "id", "sector", cosine(F.col("v"), F.col("qv"), (F.col("nv"), F.col("nq"))).alias("similarity")).where("similarity IS NOT NULL")
-    return ranked(scored, ["query_id", "sector"], F.desc("similarity"), "id").where("rank <= top_k * 3")
+    near = ranked(scored, ["query_id", "sector"], F.desc("similarity"), "id").where("rank <= top_k * 3")
+    if not exact:
+        return near
+    full = near.groupBy("query_id", "sector").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("n"), F.max("top_k").alias("top_k")).where("n = top_k * 3 AND sector IS NOT NULL")
+    bounds = full.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("sector", "least"))).alias("bounds"))
+    asked = probes.select("query_id", "user_id", "top_k", F.col("qv").alias("v")).join(bounds, "query_id", "left").withColumnRenamed("query_id", "id")
+    rest = pairs.best(asked, vectors.select("user_id", "id", "sector", "v"), ["user_id"])
+    return ranked(rest, ["query_id", "sector"], F.desc("similarity"), "id").where("rank <= top_k * 3")

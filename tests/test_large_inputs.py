@@ -63,3 +63,51 @@ def test_no_word_and_no_text_is_shuffled_to_decay(spark):
     words = dynamics.top_keywords(df, 2)
     assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: r["keywords"] for r in dynamics.top_keywords(spark.createDataFrame([("a", "bb aa bb aa cc"), ("b", None), ("c", "!"), ("d", "one")], "id string, content string"), 2).collect()} == {"a": "bb aa", "d": "one"}
+
+
+@pytest.mark.parametrize("at_once", [7, 8192])
+def test_blocks_of_vectors_like_plain_pairs(spark, at_once):
+    """Copies, vectors without length, null ones and other lengths, in one block and in many."""
+    from palimpsest.operators import pairs
+
+    rand = np.random.default_rng(9)
+    v = np.repeat(rand.standard_normal((12, 5)), 5, axis=0) + np.repeat(rand.integers(0, 2, 30), 2)[:, None] * 0.05
+    rows = [(f"d{i}", "u" if i % 3 else "w", [float(x) for x in v[i]]) for i in range(60)] + [("z", "u", [0.0] * 5), ("n", "u", None), ("s", "u", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id string, user_id string, v array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        dot = na = nb = 0.0
+        for x, y in zip(a, b, strict=True):
+            dot, na, nb = dot + x * y, na + x * x, nb + y * y
+        return dot / (np.sqrt(na) * np.sqrt(nb)) if na * nb else 0.0
+
+    like = {(a, b): s for a, u, x in rows for b, w, y in rows if u == w and a != b and (s := cosine(x, y)) is not None}
+    got = {r["id"]: (r["to"], r["s"]) for r in pairs.nearest(df, df, ["user_id"], 0.9, at_once=at_once).collect()}
+    best = {a: min((-s, b) for (x, b), s in like.items() if x == a) for a in {a for a, _ in like}}
+    assert got == {a: (b, -s) for a, (s, b) in best.items() if -s >= 0.9}
+    all_ = pairs.cosines(df, ["user_id"], at_once).collect()
+    assert len(all_) == len(like) / 2 and {(r["a"], r["b"]): r["similarity"] for r in all_} == {k: s for k, s in like.items() if k[0] < k[1]}
+
+    def groups(edges):
+        root = {r[0]: r[0] for r in rows}
+        for _ in rows:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    kept = [(r["a"], r["b"]) for r in pairs.links(df, ["user_id"], 0.97, at_once).collect()]
+    assert groups(kept) == groups([k for k, s in like.items() if s >= 0.97]) and all(like[k] >= 0.97 for k in kept)
+
+
+def test_the_index_is_completed(spark):
+    """Vectors without near neighbours: what the projections miss comes from the pass with their bounds."""
+    from palimpsest.operators import neighbours, recall
+
+    v = np.random.default_rng(4).standard_normal((3000, 24))
+    held = spark.createDataFrame([(f"d{i}", "u", "s", [float(x) for x in y]) for i, y in enumerate(v)], "id string, user_id string, sector string, v array<double>")
+    probes = held.where("CAST(substr(id, 2) AS INT) % 100 = 0").selectExpr("id AS query_id", "user_id", "5 AS top_k", "v AS qv")
+    by = neighbours.Projections(tables=2, bits=8, enough=1)
+    found = [{(r["query_id"], r["id"], r["rank"]) for r in x.collect()} for x in (recall.vector_recall(probes, held), neighbours.near_recall(probes, held, by, exact=True), neighbours.near_recall(probes, held, by))]
+    assert found[0] == found[1] != found[2]
