@@ -45,8 +45,8 @@ ONE_IN = 20
 BLOCK_WINDOWS, PAIRS = 1 << 16, 1 << 20
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: The same words in Java's regular expressions, before A-Z become small letters.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: For each byte whether it is in a word (w) or between words, before A-Z become small letters.
+_BYTES = bytes(0x77 if WORD.match(bytes([b]).lower()) else 0x20 for b in range(256))
 SEGMENT = "terms binary, sizes binary, positions binary, starts binary, keys binary"
 
 
@@ -55,6 +55,17 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
+def n_words(text: Column) -> Column:
+    """The number of words, 0 for null: places where a byte of a word follows one between words."""
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([0 if t is None else (b" " + t.translate(_BYTES)).count(b" w") for t in s], dtype="int64")
+
+    return count(text.cast("binary"))
+
+
 class Segment:
     """The positional index of some documents: the position lists of terms (64-bit hashes, sorted)."""
 
@@ -334,10 +345,9 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     work.drop()
     names = {c: fresh(docs, c) for c in (*keys, "spans", "items")}
     hits = hits.select(*[F.col(c).alias(n) for c, n in names.items()])
-    joined = docs.join(hits, (keys["key_a"] == F.col(names["key_a"])) & (keys["key_b"] == F.col(names["key_b"])), "left")
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long")
+    joined = bounded(docs).join(hits, (keys["key_a"] == F.col(names["key_a"])) & (keys["key_b"] == F.col(names["key_b"])), "left")
     none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    hit = F.struct(n_words.alias("n_words"), F.coalesce(names["spans"], none[0]).alias("spans"), F.coalesce(names["items"], none[1]).alias("items"))
+    hit = F.struct(n_words(F.col(text)).alias("n_words"), F.coalesce(names["spans"], none[0]).alias("spans"), F.coalesce(names["items"], none[1]).alias("items"))
     return joined.withColumn(out, hit).drop(*[n for n in names.values() if n != out])
 
 

@@ -269,6 +269,15 @@ def test_decontamination_of_documents(spark, sf):
     assert sorted(map(tuple, decontam.contamination_report(docs.where("length(text) < 3000"), items).collect())) == want
 
 
+def test_decontamination_counts_words_without_lists_of_them(spark):
+    """Words are counted in the bytes; a regular expression made a list of all words of each text."""
+    texts = [None, "", " ", "a", "A-Z 09", "don't", "é\u00a0ü", "@[`{/:", "日本 語\t\n x", "\x7f\x00a\x00", "tail "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    report = decontam.contamination_report(df, df.selectExpr("doc_id AS item_id", "text").limit(0))
+    assert [r["n_words"] for r in report.orderBy("doc_id").collect()] == [len(decontam.words_of(t)) for t in texts]
+    assert "regexp" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_decontamination_edges(clashing, none, spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontam.without_contaminated(clashing, items)
