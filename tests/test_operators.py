@@ -233,6 +233,62 @@ def test_embeddings(spark):
     assert embedding.vectorise(df).count() == 2
 
 
+def _embedded_one_by_one(text, dim, sector):
+    """Each feature as a string of its own, hashed letter by letter."""
+    from collections import Counter
+
+    from palimpsest.constants import SECTOR_WEIGHTS, SYNONYMS
+    from palimpsest.functions.words import Known, canonical, canonical_words
+
+    def hashed(feature, h, factor, shift):
+        for c in feature:
+            h = (h ^ ord(c)) * factor & 0xFFFFFFFF
+            h ^= h >> shift if shift else 0
+        return h
+
+    lines = {line[0]: line for line in SYNONYMS}
+    words = canonical_words(text, Known())
+    grown = [x for w in words for x in (w, *map(canonical, lines.get(w, (w,))))]
+    scale, features, v = SECTOR_WEIGHTS.get(sector, (1.0,))[0], Counter(), np.zeros(dim)
+    for word, n in Counter(grown).items():
+        weight = (n / len(grown) * math.log(1 + len(grown) / n) + 1) * scale
+        features[f"{sector}|tok|{word}"] += weight
+        for i in range(len(word) - 2):
+            features[f"{sector}|c3|{word[i : i + 3]}"] += weight * embedding.TRIPLES
+    for i, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+        features[f"{sector}|bi|{a}_{b}"] += embedding.PAIRS * scale / (1 + i * 0.1)
+    for feature, weight in features.items():
+        h = hashed(feature, 0x811C9DC5, 16777619, 0)
+        signed = -weight if h & 1 else weight
+        v[h % dim] += signed
+        v[hashed(feature, 0xDEADBEEF, 0x5BD1E995, 13) % dim] += signed * embedding.SECOND
+    for i in range(min(len(words), embedding.PLACED)):
+        angle = i / 10000 ** (2 * (i % dim) / dim)
+        v[i % dim] += embedding.PLACES * scale / math.log(1 + len(grown)) * math.sin(angle)
+        v[(i % dim + 1) % dim] += embedding.PLACES * scale / math.log(1 + len(grown)) * math.cos(angle)
+    return (v / np.linalg.norm(v)).astype(np.float32) if words else np.full(dim, 1 / math.sqrt(dim), np.float32)
+
+
+@pytest.mark.parametrize("at_once", [3, 50_000])
+def test_embeddings_of_many_texts_like_one_by_one(at_once, monkeypatch):
+    """The same floats, whether features are hashed as arrays over many texts or letter by letter."""
+    monkeypatch.setattr(embedding, "_WORDS_AT_ONCE", at_once)
+    texts = ["", "I love night mode; the meetings, the Meetings!", "aa", "漢字漢字 theme and 漢", "!", "y" * 700, "love prefer love task todo when", "ab " * 60]
+    for dim, sector in ((256, "semantic"), (16, "reflective"), (70, "other")):
+        want = np.stack([_embedded_one_by_one(t, dim, sector) for t in texts])
+        assert np.array_equal(embedding.hash_embed(texts, dim, sector), want)
+        assert np.array_equal(embedding.embed_text(texts[1], dim, sector), want[1])
+    assert embedding.hash_embed([]).shape == (0, embedding.DIM)
+
+
+def test_embeddings_hash_no_feature_alone(monkeypatch):
+    """Only what features begin with is hashed letter by letter, however many words there are."""
+    calls, plain = [], embedding._hash
+    monkeypatch.setattr(embedding, "_hash", lambda *a: calls.append(a) or plain(*a))
+    embedding.hash_embed([f"some words with number w{i} and x{i * 7}" for i in range(300)])
+    assert len(calls) <= 6
+
+
 def test_classification(spark):
     got = one(spark, model_stage.classify(F.array(*[F.lit(float(x)) for x in (80, 40, 31, 5, 33)])))
     assert (got["primary"], got["additional"], got["confidence"]) == ("episodic", ["semantic", "reflective"], 0.9)
