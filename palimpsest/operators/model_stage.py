@@ -22,32 +22,51 @@ def model_stage(df: DataFrame, fn: Fn, schema: str, on_error: str = "keep") -> D
     """Run ``fn`` on batches. It returns one row for each, in order, with the columns of ``schema``.
 
     Added are these columns, status and error. A batch that fails is tried row by
-    row; rows that fail have nulls and their error, or are dropped (``drop``), or
+    row, and leaves as one batch again; rows that fail have nulls and their error, or are dropped (``drop``), or
     stop the job (``raise``).
     """
     names = [c.strip().split()[0] for c in schema.split(",")]
     full = df.limit(0).selectExpr("*", *[f"CAST(NULL AS {c.strip().split(None, 1)[1]}) AS {c.strip().split()[0]}" for c in schema.split(",")], "CAST(NULL AS STRING) AS status", "CAST(NULL AS STRING) AS error").schema
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        got = fn(rows).reset_index(drop=True)
+    def given(rows: pd.DataFrame) -> pd.DataFrame:
+        got = fn(rows)
         if len(got) != len(rows):
             raise ValueError("the model gave another number of rows")
-        return pd.concat([rows.reset_index(drop=True), got[names]], axis=1).assign(status="completed", error=None)
+        return got if list(got.columns) == names else got[names]
+
+    def tried(b: pd.DataFrame) -> pd.DataFrame | None:
+        """The rows of a batch that failed one by one; what they give is put together once."""
+        got, at, errors = [], [], []
+        for i in range(len(b)):
+            try:
+                got.append(given(b.iloc[i : i + 1]))
+                at.append(i)
+                errors.append(None)
+            except Exception as e:
+                errors.append(f"{type(e).__name__}: {e}")
+        if on_error == "drop":
+            if not got:
+                return None
+            return pd.concat([b.iloc[at].reset_index(drop=True), pd.concat(got, ignore_index=True)], axis=1).assign(status="completed", error=None)
+        values = pd.concat(got, ignore_index=True).set_axis(at) if got else pd.DataFrame(columns=names, dtype=object)
+        # Numbers and truth values beside nulls stay what they are as objects; as floats, long ones would not.
+        values = values.astype({c: object for c in names if values[c].dtype.kind in "iub"}).reindex(range(len(b)))
+        failed = ~values.index.isin(at)
+        for c in names:
+            if values[c].dtype == object:
+                values[c] = values[c].mask(failed, None)
+        status = pd.Series("completed", values.index, dtype=object).mask(failed, "failed")
+        return pd.concat([b.reset_index(drop=True), values], axis=1).assign(status=status, error=pd.Series(errors, dtype=object))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                yield one(b)
+                yield pd.concat([b.reset_index(drop=True), given(b).reset_index(drop=True)], axis=1).assign(status="completed", error=None)
             except Exception:
                 if on_error == "raise":
                     raise
-                for i in range(len(b)):
-                    row = b.iloc[i : i + 1]
-                    try:
-                        yield one(row)
-                    except Exception as e:
-                        if on_error == "keep":
-                            yield row.reset_index(drop=True).assign(**dict.fromkeys(names), status="failed", error=f"{type(e).__name__}: {e}")
+                if (rows := tried(b)) is not None:
+                    yield rows
 
     bounded_batches(df.sparkSession)
     return df.mapInPandas(run, full)

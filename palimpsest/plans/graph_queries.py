@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -477,10 +478,17 @@ def b5_one_session_each(t: Tables) -> DataFrame:
 
 def _said_again(rows):
     """A stand-in model for sentences: it fails for some, and says nothing for others."""
-    n = rows["content"].str.len()
-    if (n % 5 == 0).any():
+    if any(len(c) % 5 == 0 for c in rows["content"]):
         raise ValueError("no")
-    return (rows["content"].str.replace("e", "E", regex=False)).where(n % 3 > 0, " ").to_frame("said")
+    return pd.DataFrame({"said": [c.replace("e", "E") if len(c) % 3 else " " for c in rows["content"]]})
+
+
+def _length(rows):
+    """A stand-in model that gives the length of a text, and fails for some."""
+    n = [None if c is None else len(c) for c in rows["content"]]
+    if any(k is not None and k % 5 == 0 for k in n):
+        raise ValueError("no")
+    return pd.DataFrame({"n": n})
 
 
 @query("SELECT id, CASE WHEN length(content) % 5 = 0 OR length(content) % 3 = 0 OR trim(content) = '' THEN content ELSE trim(replace(content, 'e', 'E')) END AS text FROM m_memories WHERE content IS NOT NULL")
@@ -503,13 +511,7 @@ def b7_sentences(t: Tables) -> DataFrame:
 @query("SELECT count(*) AS n, CAST(sum((length(content) % 5 <> 0)::INT) AS BIGINT) AS completed, CAST(sum((length(content) % 5 = 0)::INT) AS BIGINT) AS failed FROM m_memories WHERE content IS NOT NULL")
 def a16_stage_counters(t: Tables) -> DataFrame:
     """The counters that a run of a stage leaves behind."""
-
-    def fn(rows):
-        if (rows["content"].str.len() % 5 == 0).any():
-            raise ValueError("no")
-        return rows[["content"]].assign(n=rows["content"].str.len())[["n"]]
-
-    rows, seen = model_stage.observed(model_stage.model_stage(t.memories.where("content IS NOT NULL").select("id", "content"), fn, "n long"))
+    rows, seen = model_stage.observed(model_stage.model_stage(t.texts.where("content IS NOT NULL").select("id", "content"), _length, "n long"))
     rows.write.format("noop").mode("overwrite").save()
     return t.spark.createDataFrame([(seen.get["n"], seen.get["completed"], seen.get["failed"])], "n long, completed long, failed long")
 
@@ -528,12 +530,7 @@ def b6_profile_hints(t: Tables) -> DataFrame:
 
 @query("SELECT id, 'completed' AS status, length(content) AS n FROM m_memories WHERE length(content) % 5 <> 0 UNION ALL SELECT id, 'failed', -1 FROM m_memories WHERE length(content) % 5 = 0")
 def b0_b8_model_stage(t: Tables) -> DataFrame:
-    def fn(rows):
-        if (rows["content"].str.len() % 5 == 0).any():
-            raise ValueError("no")
-        return rows[["content"]].assign(n=rows["content"].str.len())[["n"]]
-
-    return model_stage.model_stage(t.memories.select("id", "content"), fn, "n long").select("id", "status", F.coalesce("n", F.lit(-1)).alias("n"))
+    return model_stage.model_stage(t.texts.select("id", "content"), _length, "n long").select("id", "status", F.coalesce("n", F.lit(-1)).alias("n"))
 
 
 _EVAL = f"ranked AS (SELECT q.query_id, v.id, row_number() OVER (PARTITION BY q.query_id ORDER BY {R.sql_cosine('v.v', 'q.qv')} * {R.sql_penalty('q.primary_sector', 'v.sector')} DESC, v.id) AS rank FROM m_probes q JOIN m_vectors v USING (user_id)), first AS (SELECT query_id, min(rank) FILTER (id = probe_vec OR id = 'd' || (CAST(substr(probe_vec, 2) AS BIGINT) + 20)) AS r FROM m_probes LEFT JOIN ranked USING (query_id) GROUP BY query_id)"

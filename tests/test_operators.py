@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import json
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -312,6 +314,29 @@ def test_model_stage_keeps_failures(spark):
     assert rows.count() == 6 and seen.get == {"n": 6, "completed": 5, "failed": 1}
 
 
+def test_rows_tried_again_leave_as_one_batch(spark):
+    """Not a batch for each row; long numbers, texts, times and lists beside nulls stay as the model gave them."""
+    when = dt.datetime(2024, 5, 6, 7, 8, 9)
+
+    def fn(rows):
+        if (rows["n"] % 3 == 0).any():
+            raise RuntimeError("bad row")
+        n = rows["n"]
+        return rows.assign(m=n + 2**60, s=[None if x == 4 else str(x) for x in n], t=pd.Timestamp(when), v=[[float(x)] for x in n], b=n > 1, f=n / 2)[["m", "s", "t", "v", "b", "f"]]
+
+    df = spark.range(0, 30, 1, 1).selectExpr("id AS n")
+    out = model_stage.model_stage(df, fn, "m long, s string, t timestamp_ntz, v array<double>, b boolean, f double")
+    sizes = out.mapInPandas(lambda bs: (pd.DataFrame({"k": [len(b)]}) for b in bs), "k long").collect()
+    assert [r["k"] for r in sizes] == [30]
+    rows = {r["n"]: r for r in out.collect()}
+    assert all(rows[n][1:] == (None,) * 6 + ("failed", "RuntimeError: bad row") for n in range(0, 30, 3))
+    assert all(rows[n][1:] == (n + 2**60, None if n == 4 else str(n), when, [float(n)], n > 1, n / 2, "completed", None) for n in range(30) if n % 3)
+    dropped = model_stage.model_stage(df, fn, "m long, s string, t timestamp_ntz, v array<double>, b boolean, f double", on_error="drop")
+    assert sorted(r["n"] for r in dropped.collect()) == [n for n in range(30) if n % 3]
+    assert model_stage.model_stage(df.where("n = 3"), fn, "m long, s string, t timestamp_ntz, v array<double>, b boolean, f double", on_error="drop").count() == 0
+    assert model_stage.model_stage(df.where("n = 3"), fn, "m long, s string, t timestamp_ntz, v array<double>, b boolean, f double").first()["status"] == "failed"
+
+
 def test_retrieval_metrics(spark):
     results = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q2", "c", 1), ("q2", "d", 4)], "query_id string, id string, rank int")
     gold = spark.createDataFrame([("q1", "a"), ("q2", "d"), ("q3", "x")], "query_id string, id string")
