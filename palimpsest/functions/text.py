@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -104,6 +105,27 @@ def matched_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Col
     return count(text, wanted)
 
 
+def met_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Column:
+    """Which of the ``wanted`` tokens (joined by blanks) a text has: a struct (words, inside) of those among its canonical tokens, and those that occur anywhere in it as they are written."""
+
+    bounded_batches()
+
+    @F.pandas_udf("words array<string>, inside array<string>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known = Known(segment)
+        for texts, wants in batches:
+            asked = {w: [(a, re.fullmatch(TOKEN, a)) for a in w.split()] for w in wants.unique()}
+            words, inside = [], []
+            for t, w in zip(texts, wants, strict=True):
+                runs = set(re.findall(TOKEN, t)) if t else set()
+                own, held = {x for r in runs for x in known[r]}, "\n".join(runs)  # a token of one run can occur in runs only
+                words.append([a for a, _ in asked[w] if a in own])
+                inside.append([a for a, run in asked[w] if a in (held if run else t or "")])
+            yield pd.DataFrame({"words": pd.Series(words, dtype=object), "inside": pd.Series(inside, dtype=object)})
+
+    return find(text, wanted)
+
+
 def token_set(text: Column) -> Column:
     return F.array_distinct(canonical_tokens(text))
 
@@ -136,11 +158,15 @@ def token_overlap(query: Column, memory: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(query, memory)) / F.nullif(F.size(F.array_distinct(query)), F.lit(0)), F.lit(0.0))
 
 
-def keyword_overlap(query: Column, content: Column) -> Column:
-    """Share of the query's tokens that occur anywhere in the text, as they are written; tokens with ``_`` count double."""
+def keyword_overlap(query: Column, content: Column | None, inside: Column | None = None) -> Column:
+    """Share of the query's tokens that occur anywhere in the text, as they are written; tokens with ``_`` count double.
+
+    ``inside``, the tokens of ``met_terms``, can take the text's place for a query of distinct tokens.
+    """
     weight = lambda t: F.when(F.contains(t, F.lit("_")), 2.0).otherwise(1.0)
     total = F.aggregate(query, F.lit(0.0), lambda a, t: a + weight(t))
-    found = F.aggregate(F.filter(query, lambda t: F.contains(content, t)), F.lit(0.0), lambda a, t: a + weight(t))
+    held = F.filter(query, lambda t: F.contains(content, t)) if inside is None else F.array_intersect(query, inside)
+    found = F.aggregate(held, F.lit(0.0), lambda a, t: a + weight(t))
     return F.coalesce(found / F.nullif(total, F.lit(0.0)), F.lit(0.0))
 
 

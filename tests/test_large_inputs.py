@@ -122,3 +122,19 @@ def test_scores_by_words_are_whole_in_a_task(spark):
     got = recall.bm25_recall(queries, memories)
     assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["query_id"], r["id"]) for r in got.orderBy("rank").collect()] == [("q", f"m{i:02}") for i in range(1, 12, 2)]
+
+
+def test_texts_are_read_once_for_all_queries(spark):
+    """Words are looked up before texts meet queries, with the results of text by text."""
+    from palimpsest.functions import text as T
+    from palimpsest.operators import recall
+
+    texts = ["The meetings, abcdef x_y", "漢字漢 ABC abc", None, "", "sync night prefers", "a-b c3d4"]
+    memories = spark.createDataFrame([(f"m{i}", "u" if i % 2 else "w", t) for i, t in enumerate(texts)], "id string, user_id string, content string")
+    asked = spark.createDataFrame([("q1", "u", ["meeting", "bc", "漢字", "字漢"]), ("q2", "u", []), ("q3", "w", ["dark", "night", "x_y", "c3d", "cde", "prefer", "like"]), ("q4", "v", ["x"])], "query_id string, user_id string, tokens array<string>")
+    held = recall.met_index(asked, memories)
+    assert set(held.columns) == {"id", "user_id", "words", "inside"}
+    q = F.col("tokens")
+    got = held.join(asked, "user_id").select("query_id", "id", T.token_overlap(q, F.col("words")), T.keyword_overlap(q, None, F.col("inside")))
+    want = asked.join(memories, "user_id").select("query_id", "id", T.token_overlap(q, T.token_set(F.col("content"))), T.keyword_overlap(q, F.col("content")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 9
