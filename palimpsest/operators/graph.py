@@ -18,7 +18,7 @@ from ..functions.text import entity_key
 from ..functions.vectors import cosine, doubles, with_norm
 from ..storage import bounded_batches, checkpointed
 from . import pairs
-from .recall import ranked
+from .recall import ranked, small
 from .tables import page
 
 
@@ -143,16 +143,28 @@ def propagate_max(scores: DataFrame, bridge: DataFrame, key: str, to: str) -> Da
     return scores.join(bridge.select(key, to).where(F.col(to).isNotNull()), key).groupBy("query_id", to).agg(F.max("score").alias("score"))
 
 
+def usable_edges(relations: DataFrame, least_confidence: float = 0.5) -> DataFrame:
+    """Relations that walks may follow (user_id, source, target, loss); loss is the gain below 0."""
+    usable = relations.where((F.col("confidence").isNull() | (F.col("confidence") >= least_confidence)) & (F.col("source") != F.col("target")))
+    loss = -(F.coalesce("confidence", F.lit(0.0)) * S.edge_weight(F.coalesce("edge_relation", F.lit("RELATED_TO"))))
+    return usable.select("user_id", "source", "target", loss.alias("loss"))
+
+
 def adjacency(relations: DataFrame, most: int, parallel: int, least_confidence: float = 0.5) -> DataFrame:
     """The best edges of each entity (user_id, node), both ways: ``edges``, a list of (loss, to) with the best first, where loss is the gain below 0.
 
     At most ``parallel`` edges between two entities and ``most`` of an entity are kept, so a row is
     bounded however many relations the entity has.
     """
-    usable = relations.where((F.col("confidence").isNull() | (F.col("confidence") >= least_confidence)) & (F.col("source") != F.col("target")))
-    loss = -(F.coalesce("confidence", F.lit(0.0)) * S.edge_weight(F.coalesce("edge_relation", F.lit("RELATED_TO"))))
+    return best_edges(usable_edges(relations, least_confidence), most, parallel)
+
+
+def best_edges(usable: DataFrame, most: int, parallel: int, only: DataFrame | None = None) -> DataFrame:
+    """``adjacency`` of usable edges; with ``only``, of those entities (user_id, node), and no edge of others is sorted."""
     ends = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("to"))
-    edges = usable.select("user_id", loss.alias("loss"), F.explode(F.array(ends("source", "target"), ends("target", "source"))).alias("e")).select("user_id", "e.node", "e.to", "loss")
+    edges = usable.select("user_id", "loss", F.explode(F.array(ends("source", "target"), ends("target", "source"))).alias("e")).select("user_id", "e.node", "e.to", "loss")
+    if only is not None:
+        edges = edges.join(small(only, "node"), ["user_id", "node"], "left_semi")
     edges = ranked(edges, ["user_id", "node", "to"], "loss").where(F.col("rank") <= parallel).drop("rank")
     edges = ranked(edges, ["user_id", "node"], "loss", "to").where(F.col("rank") <= most)
     return edges.groupBy("user_id", "node").agg(F.array_sort(F.collect_list(F.struct("loss", "to"))).alias("edges"))
@@ -164,21 +176,27 @@ def walk(seeds: DataFrame, relations: DataFrame, hops: int = 1, decay: float = 0
     Walks follow relations of the user both ways, never return to their own path,
     and each query keeps its ``per_hop`` best states a hop. From one state at most ``per_hop`` edges
     can be among these, and its path meets at most ``hops`` - 1 others, each by at most ``per_hop`` edges that
-    count; so the ``hops * per_hop`` best edges of an entity are all that is read of it. Settings out of bounds
+    count; so the ``hops * per_hop`` best edges of an entity are all that is kept of it, and edges are sorted
+    only of entities that a hop leaves from. Settings out of bounds
     (hops 1 to 4, decay 0.1 to 1, confidence 0 to 1) count as the nearest bound.
     """
     hops, decay, least_confidence = clamped_int(hops, 1, 1, 4), clamped(decay, 0.8, 0.1), clamped(least_confidence, 0.5)
     per_hop = clamped_int(per_hop, 200)
     seeds = checkpointed(seeds.select("query_id", "user_id", "canonical_id"))  # read for users and for states
-    near = adjacency(relations.join(seeds.select("user_id").distinct(), "user_id", "left_semi"), hops * per_hop, per_hop, least_confidence)
+    usable = usable_edges(relations.join(small(seeds.select("user_id").distinct(), "user_id"), "user_id", "left_semi"), least_confidence)
+    if hops > 1:
+        usable = checkpointed(usable)  # read in each hop
     states = seeds.select("query_id", "user_id", F.col("canonical_id").alias("node"), F.array("canonical_id").alias("path"), F.lit(1.0).alias("score"))
     found = None
     for hop in range(1, hops + 1):
+        near = best_edges(usable, hops * per_hop, per_hop, states.select("user_id", "node").distinct())
         ahead = F.slice(F.filter("edges", lambda e: ~F.array_contains("path", e["to"])), 1, per_hop)
         grown = states.join(near, ["user_id", "node"]).select("query_id", "user_id", "path", "score", F.explode(ahead).alias("e"))
         score = F.col("score") * decay + -F.col("e.loss") * decay**hop
         grown = grown.select("query_id", "user_id", F.col("e.to").alias("node"), F.concat("path", F.array("e.to")).alias("path"), score.alias("score")).where(F.col("score") >= least_score)
         states = ranked(grown, ["query_id"], F.desc("score"), "node", "path").where(F.col("rank") <= per_hop).drop("rank")
+        if hop < hops:
+            states = checkpointed(states)  # read for the entities that the next hop leaves from, for its states and for the result
         part = states.select("query_id", F.col("node").alias("canonical_id"), "score")
         found = part if found is None else found.union(part)
     return found.groupBy("query_id", "canonical_id").agg(F.max("score").alias("score"))

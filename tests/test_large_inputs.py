@@ -138,3 +138,17 @@ def test_texts_are_read_once_for_all_queries(spark):
     got = held.join(asked, "user_id").select("query_id", "id", T.token_overlap(q, F.col("words")), T.keyword_overlap(q, None, F.col("inside")))
     want = asked.join(memories, "user_id").select("query_id", "id", T.token_overlap(q, T.token_set(F.col("content"))), T.keyword_overlap(q, F.col("content")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 9
+
+
+def test_walks_sort_edges_of_entities_they_leave_from(spark):
+    """The best edges of some entities are those that all entities have, and others are left out before they are ranked."""
+    from palimpsest.operators import graph
+
+    rows = [("u" if i % 2 else "w", f"a{i % 7}", f"a{i * 5 % 11}", "KNOWS", i % 10 / 10) for i in range(200)]
+    rel = spark.createDataFrame(rows, "user_id string, source string, target string, edge_relation string, confidence double")
+    only = spark.createDataFrame([("u", "a1"), ("w", "a2"), ("w", "none")], "user_id string, node string")
+    some = graph.best_edges(graph.usable_edges(rel), 6, 2, only)
+    want = {(r["user_id"], r["node"]): r["edges"] for r in graph.adjacency(rel, 6, 2).collect()}
+    assert {(r["user_id"], r["node"]): r["edges"] for r in some.collect()} == {k: v for k, v in want.items() if k in (("u", "a1"), ("w", "a2"))}
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")  # below, so before
