@@ -16,7 +16,7 @@ from ..functions import scoring as S
 from ..functions.convert import clamped, clamped_int
 from ..functions.text import entity_key
 from ..functions.vectors import cosine, doubles, with_norm
-from ..storage import bounded_batches, checkpointed
+from ..storage import bounded_batches, checkpointed, sorted_groups
 from . import pairs
 from .recall import ranked, small
 from .tables import page
@@ -94,21 +94,43 @@ def entity_counts(links: DataFrame) -> DataFrame:
     return links.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def entity_pairs(links: DataFrame, most: int | None = None, at_once: int = PAIRED_AT_ONCE) -> DataFrame:
-    """Pairs of entities (a < b) of one fact; ``most`` leaves out facts with more pairs, which is counted before they are made.
+def entity_pairs(links: DataFrame, most: int | None = None, at_once: int = PAIRED_AT_ONCE, facts: DataFrame | None = None) -> DataFrame:
+    """Pairs of entities (a < b) of one fact, each once; ``most`` leaves out facts with more pairs, which is counted before they are made.
 
-    A fact with more than ``at_once`` entities is dealt over several tasks: each of
+    The entities of a fact become one row, which meets the columns of ``facts`` (by fact_id), where given, before
+    pairs are made of it. A fact with more than ``at_once`` links is dealt over several tasks: each of
     its entities is a first end in one part and a second end in all of them.
     """
-    links = links.select("fact_id", "canonical_id")
+    links = links.select("fact_id", "canonical_id").where("fact_id IS NOT NULL AND canonical_id IS NOT NULL")
+    large = checkpointed(entity_counts(links).where(F.col("n") > at_once).select("fact_id", F.ceil(F.col("n") / at_once).cast("int").alias("parts")))
+    names = ["fact_id", "a", "b", *(c for c in (facts.columns if facts is not None else ()) if c != "fact_id")]
+    if large.isEmpty():
+        return _few_pairs(links, most, facts).select(*names)
+    named = small(large, "fact_id")
+    few = _few_pairs(links.join(named, "fact_id", "left_anti"), most, facts)
+    part = F.pmod(F.xxhash64("canonical_id"), F.col("parts").cast("long")).cast("int")
+    blocks = links.join(named, "fact_id").groupBy("fact_id", "parts", part.alias("part")).agg(F.collect_set("canonical_id").alias("entities"))
     if most is not None:
-        few = entity_counts(links).where(F.col("n") * (F.col("n") - 1) / 2 <= most)
-        links = links.join(few.select("fact_id"), "fact_id", "left_semi")
-    large = entity_counts(links).where(F.col("n") > at_once).select("fact_id", F.ceil(F.col("n") / at_once).cast("int").alias("parts"))
-    dealt = links.join(large, "fact_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    a = dealt.select("fact_id", F.pmod(F.xxhash64("canonical_id"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("canonical_id").alias("a"))
-    b = dealt.select("fact_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("canonical_id").alias("b"))
-    return a.join(b, ["fact_id", "part"]).where("a < b").select("fact_id", "a", "b")
+        n = F.sum(F.size("entities"))
+        blocks = blocks.join(blocks.groupBy("fact_id").agg(n.alias("n")).where(F.col("n") * (F.col("n") - 1) / 2 <= most).select("fact_id"), "fact_id", "left_semi")
+    others = blocks.select("fact_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("entities").alias("others"))
+    many = _ends(blocks.select("fact_id", "part", "entities").join(others, ["fact_id", "part"]), "entities", "others").select("fact_id", "a", "b")
+    if facts is not None:
+        many = many.join(small(facts.join(named, "fact_id", "left_semi"), "fact_id"), "fact_id")
+    return few.select(*names).unionByName(many.select(*names))
+
+
+def _few_pairs(links: DataFrame, most: int | None, facts: DataFrame | None) -> DataFrame:
+    """Pairs of facts that a task holds whole."""
+    sets = sorted_groups(links, "fact_id").agg(F.collect_set("canonical_id").alias("entities")).where(F.size("entities") > 1)
+    if most is not None:
+        sets = sets.where(F.size("entities") * (F.size("entities") - 1) / 2 <= most)
+    return _ends(sets if facts is None else sets.join(facts, "fact_id"), "entities", "entities")
+
+
+def _ends(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Each row with each a of one list and each b of another that comes after it."""
+    return rows.withColumn("a", F.explode(first)).withColumn("b", F.explode(second)).where("a < b")
 
 
 def infer_relation(text: Column, kind_a: Column, kind_b: Column) -> Column:
@@ -134,8 +156,14 @@ def infer_relations(pairs: DataFrame, facts: DataFrame, canonical: DataFrame, te
 
 
 def merge_relations(rows: DataFrame, order: str) -> DataFrame:
-    """One edge for each (user, ends, relation): all evidence, and source and confidence of its latest row."""
-    return rows.groupBy("user_id", "source", "target", "edge_relation").agg(F.array_sort(F.collect_set("fact_id")).alias("evidence"), F.max_by(F.struct("inference_source", "confidence"), F.struct(order, "fact_id")).alias("last")).select("user_id", "source", "target", "edge_relation", "evidence", "last.inference_source", "last.confidence")
+    """One edge for each (user, ends, relation): all evidence, and source and confidence of its latest row.
+
+    Rows are sorted by a number made of the edge first: few users and alike names make texts slow to compare.
+    """
+    edge = ["user_id", "source", "target", "edge_relation"]
+    last = F.max_by(F.struct("inference_source", "confidence"), F.struct(order, "fact_id")).alias("last")
+    merged = sorted_groups(rows.withColumn("__edge", F.xxhash64(*edge)), "__edge", *edge).agg(F.collect_set("fact_id").alias("evidence"), last)
+    return merged.select(*edge, F.sort_array("evidence").alias("evidence"), "last.inference_source", "last.confidence")
 
 
 def propagate_max(scores: DataFrame, bridge: DataFrame, key: str, to: str) -> DataFrame:

@@ -62,14 +62,14 @@ def g4_expand_graph(t: Tables) -> DataFrame:
 def g3_infer_relations(t: Tables) -> DataFrame:
     k = F.length("id") % 4
     said = F.when(k == 0, "It broke BECAUSE of rain").when(k == 1, "sold before June").when(k == 2, "this may lead to delay, later").otherwise("plain sale")
-    return graph.infer_relations(graph.entity_pairs(t.fact_entities), t.facts, t.canonical, said).drop("inference_source")
+    return graph.infer_relations(graph.entity_pairs(t.entity_links), t.facts, t.canonical, said).drop("inference_source")
 
 
 @query("""SELECT user_id, a AS source, b AS target, edge_relation, array_to_string(list_sort(list_distinct(list(fact_id))), ',') AS evidence, arg_max(confidence, (occurred_start, fact_id)) AS confidence
  FROM (SELECT f.user_id, x.canonical_id AS a, y.canonical_id AS b, f.id AS fact_id, f.fact_kind AS edge_relation, f.confidence, f.occurred_start FROM m_facts f JOIN m_fact_entities x ON x.fact_id = f.id JOIN m_fact_entities y ON y.fact_id = f.id AND x.canonical_id < y.canonical_id) GROUP BY 1, 2, 3, 4""")
 def a15_g12_merge_relations(t: Tables) -> DataFrame:
-    rows = graph.entity_pairs(t.fact_entities).join(t.facts.select(F.col("id").alias("fact_id"), "user_id", F.col("fact_kind").alias("edge_relation"), "confidence", "occurred_start"), "fact_id")
-    rows = rows.select("user_id", F.col("a").alias("source"), F.col("b").alias("target"), "edge_relation", "fact_id", F.lit("RULE").alias("inference_source"), "confidence", "occurred_start")
+    facts = t.facts.select(F.col("id").alias("fact_id"), "user_id", F.col("fact_kind").alias("edge_relation"), "confidence", "occurred_start")
+    rows = graph.entity_pairs(t.entity_links, facts=facts).select("user_id", F.col("a").alias("source"), F.col("b").alias("target"), "edge_relation", "fact_id", F.lit("RULE").alias("inference_source"), "confidence", "occurred_start")
     return graph.merge_relations(rows, "occurred_start").select("user_id", "source", "target", "edge_relation", F.array_join("evidence", ",").alias("evidence"), "confidence")
 
 
@@ -519,7 +519,7 @@ def a16_stage_counters(t: Tables) -> DataFrame:
 @query("""SELECT fact_id, a, b, CASE WHEN rule IS NOT NULL THEN rule WHEN n <= 50 AND mc >= 0.7 THEN mr ELSE 'CO_OCCURS_WITH' END AS edge_relation, CASE WHEN rule IS NOT NULL THEN 'RULE' WHEN n <= 50 AND mc >= 0.7 THEN 'LLM' ELSE 'FALLBACK' END AS inference_source
  FROM (SELECT x.fact_id, x.canonical_id AS a, y.canonical_id AS b, CASE WHEN length(x.canonical_id) % 3 = 0 THEN 'CAUSES' END AS rule, 'KNOWS' AS mr, length(x.fact_id || y.canonical_id) % 10 / 10.0::DOUBLE AS mc, count(*) OVER (PARTITION BY x.fact_id) AS n FROM m_fact_entities x JOIN m_fact_entities y ON x.fact_id = y.fact_id AND x.canonical_id < y.canonical_id)""")
 def b4_accept_relations(t: Tables) -> DataFrame:
-    p = graph.entity_pairs(t.fact_entities).withColumns({"rule": F.when(F.length("a") % 3 == 0, "CAUSES"), "model_relation": F.lit("KNOWS"), "model_confidence": F.length(F.concat("fact_id", "b")) % 10 / F.lit(10.0)})
+    p = graph.entity_pairs(t.entity_links).withColumns({"rule": F.when(F.length("a") % 3 == 0, "CAUSES"), "model_relation": F.lit("KNOWS"), "model_confidence": F.length(F.concat("fact_id", "b")) % 10 / F.lit(10.0)})
     return model_stage.accept_relations(p).select("fact_id", "a", "b", "edge_relation", "inference_source")
 
 

@@ -152,12 +152,12 @@ def j3_entity_topics(t: Tables) -> DataFrame:
 
 @query("SELECT x.fact_id, x.canonical_id AS a, y.canonical_id AS b FROM m_fact_entities x JOIN m_fact_entities y ON x.fact_id = y.fact_id AND x.canonical_id < y.canonical_id")
 def j6_entity_pairs(t: Tables) -> DataFrame:
-    return graph.entity_pairs(t.fact_entities)
+    return graph.entity_pairs(t.entity_links)
 
 
 @query("SELECT fact_id, count(*) AS pairs FROM (SELECT x.fact_id FROM m_fact_entities x JOIN m_fact_entities y ON x.fact_id = y.fact_id AND x.canonical_id < y.canonical_id) GROUP BY 1 HAVING count(*) <= 3")
 def j6_capped_pairs(t: Tables) -> DataFrame:
-    return graph.entity_pairs(t.fact_entities, most=3).groupBy("fact_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return graph.entity_pairs(t.entity_links, most=3).groupBy("fact_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query("SELECT fact_id, count(*) AS n FROM m_fact_entities GROUP BY 1 HAVING count(*) > 2")

@@ -152,3 +152,60 @@ def test_walks_sort_edges_of_entities_they_leave_from(spark):
     assert {(r["user_id"], r["node"]): r["edges"] for r in some.collect()} == {k: v for k, v in want.items() if k in (("u", "a1"), ("w", "a2"))}
     plan = some._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("LeftSemi")  # below, so before
+
+
+@pytest.mark.parametrize("at_once", [3, 512])
+def test_pairs_of_repeated_links_come_once_with_columns_of_their_fact(spark, at_once):
+    from palimpsest.operators import graph
+
+    links = [("f", f"e{i:02}") for i in range(20)] * 2 + [("g", "b"), ("g", "a"), ("g", "b"), ("h", "x"), ("h", "x"), ("i", "a"), ("i", None), (None, "a"), (None, "b"), ("k", "a"), ("k", "b")]
+    df = spark.createDataFrame(links, "fact_id string, canonical_id string")
+    facts = spark.createDataFrame([("f", "u", 1.0), ("g", "w", None), ("h", "u", 2.0)], "fact_id string, user_id string, confidence double")
+    pairs = [("f", f"e{i:02}", f"e{j:02}") for j in range(20) for i in range(j)] + [("g", "a", "b"), ("k", "a", "b")]
+    assert sorted(map(tuple, graph.entity_pairs(df, at_once=at_once).collect())) == sorted(pairs)
+    told = {"f": ("u", 1.0), "g": ("w", None)}
+    got = graph.entity_pairs(df, at_once=at_once, facts=facts)
+    assert got.columns == ["fact_id", "a", "b", "user_id", "confidence"]
+    assert sorted(map(tuple, got.collect())) == sorted((*p, *told[p[0]]) for p in pairs if p[0] in told)
+    for most, left in ((1, 2), (189, 2), (190, 192)):
+        assert graph.entity_pairs(df, most=most, at_once=at_once).count() == left
+
+
+def test_edges_are_merged_after_one_shuffle_and_one_sort(spark):
+    """Lists of evidence are not begun before the shuffle; hot edges, repeats and missing values count as before."""
+    from palimpsest.operators import graph
+
+    rows = [("u", "a", "b", "R", f"f{i % 400:03}", "RULE" if i % 2 else None, i / 10, i % 500) for i in range(1000)] + [("u", "a", "b", "S", "f1", "X", None, None), ("u", "a", "b", "S", "f0", "Y", 2.0, None), (None, "a", "b", "R", None, "Z", 1.0, 3), (None, "a", "b", "R", "f9", "Z", 4.0, 1)]
+    rows += [("w", f"a{i}", f"b{i}", "R", f"f{i}", "RULE", float(i), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "user_id string, source string, target string, edge_relation string, fact_id string, inference_source string, confidence double, at int")
+    merged = graph.merge_relations(df.repartition(5), "at")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_set" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = {}
+    for *edge, fact, source, confidence, at in rows:
+        facts, last = want.get(tuple(edge), (set(), None))
+        order = (at is not None, at or 0, fact is not None, fact or "")
+        if last is None or order > last[0]:
+            last = (order, source, confidence)
+        want[tuple(edge)] = (facts | ({fact} - {None}), last)
+    got = {tuple(r)[:4]: (r["evidence"], r["confidence"], r["inference_source"]) for r in merged.collect()}
+    ties = {("u", "a", "b", "R")}  # rows of one time and fact leave open which is last
+    assert got.keys() == want.keys() and all(got[k][0] == sorted(want[k][0]) for k in want)
+    assert all(got[k][1:] == (want[k][1][2], want[k][1][1]) for k in want.keys() - ties)
+
+
+def test_facts_are_grouped_without_sorting(spark, tmp_path):
+    """A fact is an event where O is the largest status of its lines."""
+    import datetime
+
+    from palimpsest.sources.views import Tables
+
+    at = datetime.datetime(2024, 1, 1)
+    status = [["O"], ["F", "O"], ["O", "P"], ["o"], [None], [None, "O"], ["", "O"], ["OO", "O"]]
+    lines = [(k, 1, 5, 6, 0.1 * i, s, at) for k, all_ in enumerate(status) for i, s in enumerate(all_)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 20 + k) for k in range(len(status))], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    facts = Tables(spark, str(tmp_path)).facts
+    assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    want = {f"f{k}-1": "event" if max((s for s in all_ if s is not None), default=None) == "O" else "conversation" for k, all_ in enumerate(status)}
+    assert {r["id"]: r["fact_kind"] for r in facts.collect()} == want
