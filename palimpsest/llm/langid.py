@@ -206,7 +206,8 @@ def predict(rows: Rows, texts: list[str | None]) -> pd.DataFrame:
 def _emptied(found: dict[str, Counter[str]]) -> Iterator[pd.DataFrame]:
     """The counts as rows; none stay in ``found``."""
     for lang, c in found.items():
-        yield pd.DataFrame({"lang": lang, "entry": list(c), "n": list(c.values())})
+        if c:  # Spark cannot take a frame without rows
+            yield pd.DataFrame({"lang": lang, "entry": list(c), "n": list(c.values())})
     found.clear()
 
 
@@ -238,7 +239,10 @@ def fit(docs: DataFrame, max_docs: int | None = MAX_DOCS, max_entries: int | Non
                     for order in ORDERS:
                         for g in grams_of(word, order):
                             c[g] += k
-                yield pd.DataFrame({"lang": lang, "entry": list(c), "n": list(c.values())})
+                    if len(c) > CACHED_WORDS:
+                        yield from _emptied({lang: c})
+                        c = Counter()
+                yield from _emptied({lang: c})
 
     schema = "lang string, entry string, n long"
     words = checkpointed(rows.select("lang", "text").mapInPandas(count, schema).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
@@ -261,7 +265,8 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
             parts = [predict(rows, x) for x in slices([t or "" for t in s])]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
 
-    return bounded(docs).withColumn(out, language(F.col(text)))
+    # Else a condition on the column predicts every text for itself, and again for the column, in a second worker beside the first.
+    return bounded(docs).withColumn(out, language.asNondeterministic()(F.col(text)))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -37,3 +37,22 @@ def test_stages_on_odd_rows(spark, clashing, none, sf):
             assert n <= 2 * docs.count()
             if name == "language" and docs is clashing:
                 assert n == docs.count() - 4 and langid.UNKNOWN not in {r["lang"] for r in out.collect()}
+
+
+def test_language_predicts_a_text_once(spark, sf):
+    docs = corpus_pipeline.language(spark, table(spark, sf, "documents"), sf)
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_ngrams_counted_in_parts(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents").limit(60)
+    whole = langid.fit(docs, min_count=1)
+    monkeypatch.setattr(langid, "CACHED_WORDS", 40)
+    parts = langid.fit(docs, min_count=1)
+    assert (parts.langs, parts.words, parts.grams) == (whole.langs, whole.words, whole.grams)
+    assert (parts.gram_logs.value == whole.gram_logs.value).all() and len(whole.grams) > 400
+
+
+def test_language_without_a_word(spark, sf):
+    docs = spark.createDataFrame([(k, "123 !" if k % 2 else "the cat", "fr" if k % 2 else "en", "a", 1) for k in range(40)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, sf).collect()} == set(range(0, 40, 2))
