@@ -61,7 +61,7 @@ def search(queries: DataFrame, tables: dict[str, DataFrame], as_of: Column, conf
         paths["bm25"] = checkpointed(recall.bm25_recall(queries, memories, docs=docs.join(vectors.select("id").distinct(), "id", "left_semi")))
     sessions = None
     if "sessions" in tables:
-        sessions = checkpointed(recall.session_recall(queries, tables["sessions"], ks))
+        sessions = checkpointed(recall.session_recall(queries, tables["sessions"], ks, vectors))
         paths["session"] = sessions.select("query_id", F.explode("dialogue_ids").alias("id"))
     seeds = recall.candidates(**paths).select("query_id", "id")
     waypoints = None

@@ -209,3 +209,40 @@ def test_facts_are_grouped_without_sorting(spark, tmp_path):
     assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
     want = {f"f{k}-1": "event" if max((s for s in all_ if s is not None), default=None) == "O" else "conversation" for k, all_ in enumerate(status)}
     assert {r["id"]: r["fact_kind"] for r in facts.collect()} == want
+
+
+def _sessions(spark, rand):
+    """Sessions of few vectors, two of them one way and as long, some without length, null or of another length."""
+    kinds = [[1.0, 0.0, 2.0], [0.5, -1.0, 0.0], [0.5, -1.0, 0.0], [0.0] * 3, [1.0, 2.0], None, [3.0, 1.0, 1.0]]
+    ids = [f"s{i}" for i in rand.permutation(400)]
+    vectors = spark.createDataFrame([(f"v{k}", v) for k, v in enumerate(kinds)], "id string, v array<float>")
+    rows = [(s, "u" if i % 4 else "w", [f"{s}-{j}" for j in range(i % 3)] if i % 5 else None, f"v{i % 9}") for i, s in enumerate(ids)]
+    return vectors, spark.createDataFrame(rows, "id string, user_id string, dialogue_ids array<string>, vector_id string").repartition(3)
+
+
+def test_sessions_of_one_vector_are_cut_before_they_meet_queries(spark):
+    """The plan meets no more sessions of a vector than the largest k, with the rows of all pairs; v may be the session's own."""
+    from palimpsest.functions.vectors import cosine
+    from palimpsest.operators import recall
+
+    vectors, sessions = _sessions(spark, np.random.default_rng(3))
+    own = sessions.join(vectors.withColumnRenamed("id", "vector_id"), "vector_id").drop("vector_id")
+    probes = spark.createDataFrame([(f"q{i}", u, v) for i, (u, v) in enumerate([("u", [1.0, 1.0, 1.0]), ("u", [-1.0, 2.0, 0.0]), ("w", [0.0, -1.0, 0.0]), ("w", [0.0] * 3), ("x", [1.0] * 3), ("u", None)])], "query_id string, user_id string, qv array<float>")
+    ks = spark.createDataFrame([(f"q{i}", k) for i, k in enumerate([3, 90, 5, 4, 2, 2])], "query_id string, effective_k int")
+    all_ = probes.join(ks, "query_id").join(own, "user_id").withColumn("similarity", cosine(F.col("v"), F.col("qv"))).where("similarity IS NOT NULL")
+    want = recall.ranked(all_, ["query_id"], F.desc("similarity"), "id").where("rank <= effective_k").select("query_id", "id", "dialogue_ids", "similarity", "rank")
+    for held in (sessions, own):
+        got = recall.session_recall(probes, held, ks, vectors)
+        assert sorted(map(str, map(tuple, got.select("query_id", "session_id", "dialogue_ids", "similarity", "rank").collect()))) == sorted(map(str, map(tuple, want.collect())))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" in plan and "WindowGroupLimit" in plan
+
+
+def test_vectors_that_are_no_numbers_come_first(spark):
+    """As in an ORDER BY; one that lacks a number is left out."""
+    from palimpsest.operators import recall
+
+    sessions = spark.createDataFrame([("a", "u", [1.0, 0.0], ["m"]), ("b", "u", [float("nan"), 0.0], ["n"]), ("c", "u", [0.5, 0.5], ["o"]), ("d", "u", [1.0, None], ["p"])], "id string, user_id string, v array<double>, dialogue_ids array<string>")
+    probes = spark.createDataFrame([("q", "u", [1.0, 0.0])], "query_id string, user_id string, qv array<double>")
+    got = recall.session_recall(probes, sessions, spark.createDataFrame([("q", 2)], "query_id string, effective_k int"))
+    assert [r["session_id"] for r in got.orderBy("rank").collect()] == ["b", "a"]
