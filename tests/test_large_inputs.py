@@ -248,7 +248,7 @@ def test_vectors_that_are_no_numbers_come_first(spark):
     assert [r["session_id"] for r in got.orderBy("rank").collect()] == ["b", "a"]
 
 
-@pytest.mark.parametrize("name", ["r11_session_scores", "r11_attached_sessions"])
+@pytest.mark.parametrize("name", ["r11_session_scores", "r11_attached_sessions", "r11_added_sessions"])
 def test_orders_are_sorted_once_for_sessions(spark, sf, name):
     """What is found of sessions and memories is read from a checkpoint: no later step sorts the orders again."""
     from palimpsest.plans.all_queries import QUERIES
