@@ -65,8 +65,24 @@ def relations_filter(relations: DataFrame, entity: str | None = None, kinds: lis
 def topics_of(topics: DataFrame, ids: DataFrame) -> DataFrame:
     """Topics that hold any of the memories ``ids`` (id, and other keys such as query_id): one row for each key and topic."""
     keys = [c for c in ids.columns if c != "id"]
-    flat = topics.select(F.col("id").alias("topic_id"), "user_id", "updated_at", F.explode("dialogue_ids").alias("id"))
-    return flat.join(ids, ["id", *[k for k in keys if k == "user_id"]]).select(*keys, *[c for c in ("topic_id", "user_id", "updated_at") if c not in keys]).distinct()
+    return _by_memory(topics).join(ids, ["id", *[k for k in keys if k == "user_id"]]).select(*keys, *[c for c in ("topic_id", "user_id", "updated_at") if c not in keys]).distinct()
+
+
+def _by_memory(topics: DataFrame) -> DataFrame:
+    """A row for each topic and memory that it holds: topic_id, user_id, updated_at, id."""
+    return topics.select(F.col("id").alias("topic_id"), "user_id", "updated_at", F.explode(F.array_distinct("dialogue_ids")).alias("id"))
+
+
+def latest_topics(topics: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """``topics_of`` memories (query_id, user_id, id) of the user, each query's ``most`` latest; topics of one time go by id.
+
+    A query's latest are among those of its memories: each memory keeps its ``most`` latest topics, before queries meet them.
+    """
+    latest = [F.desc_nulls_last("updated_at"), "topic_id"]
+    first = F.dense_rank().over(Window.partitionBy("user_id", "id").orderBy(*latest))  # a topic that is told twice counts once
+    near = _by_memory(topics).withColumn("rank", first).where(F.col("rank") <= most).drop("rank")
+    met = ids.select("query_id", "user_id", "id").join(near, ["user_id", "id"]).drop("id").distinct()
+    return ranked(met, ["query_id"], *latest).where(F.col("rank") <= most)
 
 
 def fact_entities(links: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -239,7 +255,8 @@ def expand_graph(seeds: DataFrame, topics: DataFrame, facts: DataFrame, links: D
     budget = F.greatest(F.lit(1), F.col("budget")) if "budget" in seeds.columns else F.lit(clamped_int(limit, 20))
     users = seeds.select("query_id", "user_id", budget.alias("budget")).distinct()
     seeds = seeds.select("query_id", "user_id", "id")
-    seed_topics = ranked(topics_of(topics, seeds), ["query_id"], F.desc_nulls_last("updated_at"), "topic_id").join(users.select("query_id", "budget"), "query_id").where(F.col("rank") <= F.col("budget")).drop("rank")
+    most = users.agg(F.max("budget")).first()[0] or 1
+    seed_topics = latest_topics(topics, seeds, most).join(users.select("query_id", "budget"), "query_id").where(F.col("rank") <= F.col("budget")).drop("rank")
     seed_facts = ranked(seed_topics.select("query_id", "user_id", "topic_id", "budget").join(facts.select("user_id", "topic_id", F.col("id").alias("fact_id"), "confidence", "occurred_start"), ["user_id", "topic_id"]), ["query_id"], F.desc_nulls_last("confidence"), F.desc_nulls_last("occurred_start"), "fact_id").where(F.col("rank") <= 2 * F.col("budget"))
     start = seed_facts.join(links, "fact_id").select("query_id", "user_id", "canonical_id").distinct()
     entities = walk(start, relations, **params)

@@ -255,3 +255,21 @@ def test_orders_are_sorted_once_for_sessions(spark, sf, name):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan
+
+
+def test_memories_keep_their_latest_topics_before_queries_meet_them(spark):
+    """Also where a memory has very many topics: ties go by id, a topic that holds two of a query's memories or is told twice counts once."""
+    import datetime
+
+    from palimpsest.operators import graph
+    from palimpsest.operators.recall import ranked
+
+    rand = np.random.default_rng(5)
+    days = [None, *(datetime.datetime(2024, 1, d) for d in (1, 2, 3))]
+    rows = [(f"t{i}", "u" if i % 3 else "w", days[rand.integers(4)], None if i % 50 == 0 else [f"d{k}" for k in rand.integers(0, 5, 3)]) for i in range(600)]
+    topics = spark.createDataFrame(rows + rows[:200], "id string, user_id string, updated_at timestamp_ntz, dialogue_ids array<string>").repartition(3)
+    ids = spark.createDataFrame([("q", "u", "d1"), ("q", "u", "d2"), ("r", "w", "d4"), ("r", "w", "d4"), ("s", "u", "none")], "query_id string, user_id string, id string")
+    want = ranked(graph.topics_of(topics, ids), ["query_id"], F.desc_nulls_last("updated_at"), "topic_id").where("rank <= 7")
+    got = graph.latest_topics(topics, ids, 7)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 14
+    assert "WindowGroupLimit [user_id" in got._jdf.queryExecution().optimizedPlan().toString()
