@@ -18,7 +18,7 @@ from ..functions.text import entity_key
 from ..functions.vectors import cosine, doubles, with_norm
 from ..storage import bounded_batches, checkpointed, sorted_groups
 from . import pairs
-from .recall import ranked, small
+from .recall import ranked, sieved, small
 from .tables import page
 
 
@@ -381,6 +381,8 @@ def explore(seeds: DataFrame, links: DataFrame, facts: DataFrame, topics: DataFr
     An entity leads to related entities, to its facts and to their topics; a fact to
     its entities and its topic; a topic to its facts and to their entities. Each
     stage of a seed keeps its ``most`` first nodes; ``cut`` tells that it had more.
+    Links may be repeated. Of links, facts and relations, only those that a stage asks for are
+    shuffled, and what is found of them is kept once for nodes and edges.
     """
     most = clamped_int(most, 50)
     if "kind" not in seeds.columns:
@@ -394,22 +396,30 @@ def explore(seeds: DataFrame, links: DataFrame, facts: DataFrame, topics: DataFr
         rows = rows.withColumns({"rank": F.row_number().over(w.orderBy("node")), "n": F.count(F.lit(1)).over(w)})
         return rows.where(F.col("rank") <= most).select("seed", "of", "node", F.lit(kind).alias("kind"), F.lit(k).alias("stage"), (F.col("n") > most).alias("cut"))
 
-    topic_of = facts.select(F.col("id").alias("fact"), F.col("topic_id").alias("topic")).join(topics.select(F.col("id").alias("topic")), "topic", "left_semi")
+    topic_of = facts.select(F.col("id").alias("fact"), F.col("topic_id").alias("topic"))
     pairs = links.select(F.col("fact_id").alias("fact"), F.col("canonical_id").alias("entity"))
-    ends = relations.select(F.col("source").alias("seed"), F.col("target").alias("node"), "edge_relation").union(relations.select(F.col("target"), F.col("source"), "edge_relation"))
+    end = lambda x, y: F.struct(F.col(x).alias("seed"), F.col(y).alias("node"))
+    ends = relations.select(F.explode(F.array(end("source", "target"), end("target", "source"))).alias("e"), "edge_relation").select("e.*", "edge_relation")
     entity, fact, topic = (seeds.where(F.col("of") == kind) for kind in ("entity", "fact", "topic"))
+    few, fact = small(entity, "seed"), checkpointed(fact)  # facts of seeds are read for topics, for entities and for edges
 
     def named(rows: DataFrame, column: str) -> DataFrame:
         return rows.withColumnRenamed(column, "node")
 
-    related = entity.join(ends, "seed").distinct()
+    related = checkpointed(few.join(ends, "seed").distinct())
     start = seeds.select("seed", "of", F.col("seed").alias("node"), F.col("of").alias("kind"), F.lit(0).alias("stage"), F.lit(False).alias("cut"))
     around = stage(related, "entity", 1)
-    fact_nodes = stage(named(entity.join(pairs, entity["seed"] == pairs["entity"]), "fact").select("seed", "of", "node").union(named(topic.join(topic_of, topic["seed"] == topic_of["topic"]), "fact").select("seed", "of", "node")), "fact", 2)
-    of_facts = fact_nodes.where("of = 'entity'").select("seed", "of", F.col("node").alias("fact")).union(fact.select("seed", "of", "seed")).join(topic_of, "fact")
-    topic_nodes = stage(named(of_facts, "topic"), "topic", 3)
-    in_facts = fact_nodes.where("of = 'topic'").select("seed", "of", F.col("node").alias("fact")).union(fact.select("seed", "of", "seed")).join(pairs, "fact")
+    of_entities = checkpointed(stage(named(few.join(pairs, few["seed"] == pairs["entity"]), "fact"), "fact", 2))
+    told = of_entities.select("seed", "of", F.col("node").alias("fact")).union(fact.select("seed", "of", "seed"))
+    asked = told.select("fact").union(topic.select("seed"))
+    topic_of = checkpointed(sieved(topic_of, asked, "fact", "topic").join(topics.select(F.col("id").alias("topic")), "topic", "left_semi"))
+    of_topics = checkpointed(stage(named(topic.join(topic_of, topic["seed"] == topic_of["topic"]), "fact"), "fact", 2))
+    fact_nodes = of_entities.union(of_topics)
+    of_facts = told.join(topic_of, "fact")
+    inner = of_topics.select("seed", "of", F.col("node").alias("fact")).union(fact.select("seed", "of", "seed"))
+    in_facts = checkpointed(inner.join(sieved(pairs, inner.select("fact"), "fact"), "fact").distinct())
     inside = stage(named(in_facts, "entity"), "entity", 4)
+    topic_nodes = stage(named(of_facts, "topic"), "topic", 3)
     nodes = reduce(DataFrame.union, [start, around, fact_nodes, topic_nodes, inside])
 
     def kept(edges: DataFrame, b: DataFrame) -> DataFrame:
@@ -417,8 +427,8 @@ def explore(seeds: DataFrame, links: DataFrame, facts: DataFrame, topics: DataFr
         return edges.join(b.select("seed", "of", F.col("node").alias("b")), ["seed", "of", "b"], "left_semi").select("seed", "of", "a", "b", "label")
 
     edges = kept(related.select("seed", "of", F.col("seed").alias("a"), F.col("node").alias("b"), F.col("edge_relation").alias("label")), around)
-    edges = edges.union(fact_nodes.where("of = 'entity'").select("seed", "of", "seed", "node", F.lit("MENTIONED_IN")))
-    edges = edges.union(fact_nodes.where("of = 'topic'").select("seed", "of", F.col("node"), F.col("seed"), F.lit("IN_TOPIC")))
+    edges = edges.union(of_entities.select("seed", "of", "seed", "node", F.lit("MENTIONED_IN")))
+    edges = edges.union(of_topics.select("seed", "of", F.col("node"), F.col("seed"), F.lit("IN_TOPIC")))
     edges = edges.union(kept(of_facts.select("seed", "of", F.col("fact").alias("a"), F.col("topic").alias("b"), F.lit("IN_TOPIC").alias("label")), topic_nodes))
     reached = kept(in_facts.select("seed", "of", F.col("fact").alias("a"), F.col("entity").alias("b"), F.lit("MENTIONED_IN").alias("label")), inside)
     return nodes, edges.union(reached.select("seed", "of", F.col("b"), F.col("a"), "label")).distinct()

@@ -152,7 +152,7 @@ def _explored(t: Tables) -> tuple[DataFrame, DataFrame]:
     seeds = t.canonical.where(F.substring("id", 2, 18).cast("long") % 50 == 0).select(F.col("id").alias("seed"), F.lit("entity").alias("kind"))
     order = F.regexp_extract("id", r"^f(\d+)-", 1).cast("long")
     seeds = seeds.union(t.facts.where(order % 50 == 0).select("id", F.lit("fact"))).union(t.topics.where(F.substring("id", 2, 18).cast("long") % 50 == 0).select("id", F.lit("topic")))
-    return graph.explore(seeds, t.fact_entities, t.facts, t.topics, t.relations)
+    return graph.explore(seeds, t.entity_links, t.facts, t.topics, t.relations)
 
 
 _EXPLORE = """s AS (SELECT id AS seed, 'entity' AS of_kind FROM m_canonical WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0 UNION ALL SELECT id, 'fact' FROM m_facts WHERE CAST(regexp_extract(id, '^f([0-9]+)-', 1) AS BIGINT) % 50 = 0 UNION ALL SELECT id, 'topic' FROM m_topics WHERE CAST(substr(id, 2) AS BIGINT) % 50 = 0),

@@ -273,3 +273,20 @@ def test_memories_keep_their_latest_topics_before_queries_meet_them(spark):
     got = graph.latest_topics(topics, ids, 7)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() == 14
     assert "WindowGroupLimit [user_id" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_left_out_before_they_are_shuffled(spark, sf, monkeypatch):
+    """What can be wanted stays, whatever shares a bit with it; the edges around seeds read what was found of links and facts once."""
+    from palimpsest.operators import recall
+    from palimpsest.plans.all_queries import QUERIES
+
+    rows = spark.createDataFrame([(f"a{i % 300}", f"b{i % 70}" if i % 9 else None, i) for i in range(3000)], "a string, b string, n int")
+    wanted = spark.createDataFrame([("a7",), ("b3",), ("a7",), (None,), ("none",)], "key string")
+    for bits, most in ((64, 3000), (1 << 26, 100)):
+        monkeypatch.setattr(recall, "SIEVE_BITS", bits)
+        got = recall.sieved(rows, wanted, "a", "b")
+        assert got.columns == ["a", "b", "n"] and "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        kept = [r for r in got.collect() if r["a"] == "a7" or r["b"] == "b3"]
+        assert sorted(kept) == sorted(rows.where("a = 'a7' OR b = 'b3'").collect()) and got.where("b IS NOT NULL").count() <= most
+    plan = QUERIES["g11_edges"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "l_orderkey" not in plan
