@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,25 +85,25 @@ def top_words(text: Column, k: int, segment: Segment = pairs) -> Column:
     return top(text)
 
 
-def matched_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Column:
-    """The number of canonical tokens, and how often each of the ``wanted`` ones (joined by blanks) occurs: a struct (length, terms)."""
+def matched_terms(text: Column, user: Column, wanted: Broadcast | None, segment: Segment = pairs) -> Column:
+    """The number of canonical tokens, and which of those ``wanted`` by the user (a set for each user; None: all tokens) occur how often: a struct (length, words, tfs), words joined by blanks."""
 
     bounded_batches()
 
-    @F.pandas_udf("length int, terms array<struct<term:string,tf:int>>")
+    @F.pandas_udf("length int, words string, tfs array<int>")
     def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         known = Known(segment)
-        for texts, wants in batches:
-            asked = {w: frozenset(w.split(" ")) for w in wants.unique()}
-            lengths, found = [], []
-            for t, w in zip(texts, wants, strict=True):
+        for texts, users in batches:
+            lengths, found, tfs = [], [], []
+            for t, u in zip(texts, users, strict=True):
                 words = canonical_words(t, known)
                 lengths.append(len(words))
-                counts = Counter(filter(asked[w].__contains__, words))
-                found.append([{"term": k, "tf": n} for k, n in counts.items()])
-            yield pd.DataFrame({"length": pd.Series(lengths, dtype="int32"), "terms": pd.Series(found, dtype=object)})
+                counts = Counter(words if wanted is None else filter(wanted.value.get(u, frozenset()).__contains__, words))
+                found.append(" ".join(counts))
+                tfs.append(list(counts.values()))
+            yield pd.DataFrame({"length": pd.Series(lengths, dtype="int32"), "words": pd.Series(found, dtype=object), "tfs": pd.Series(tfs, dtype=object)})
 
-    return count(text, wanted)
+    return count(text, user)
 
 
 def met_terms(text: Column, wanted: Column, segment: Segment = pairs) -> Column:

@@ -594,4 +594,4 @@ def r14_augmented_conversations(t: Tables) -> DataFrame:
 
     last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     asked = t.turns.where("role = 'human'").withColumn("r", last).where("r = 1").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("query_id"), "user_id", F.col("content").alias("text"), F.lit(3).alias("top_k"))
-    return augment_conversations(asked.select("query_id", "text"), recall.bm25_recall(asked, t.memories), t.memories)
+    return augment_conversations(asked.select("query_id", "text"), recall.bm25_recall(asked, t.texts), t.memories)

@@ -290,3 +290,23 @@ def test_links_are_left_out_before_they_are_shuffled(spark, sf, monkeypatch):
         assert sorted(kept) == sorted(rows.where("a = 'a7' OR b = 'b3'").collect()) and got.where("b IS NOT NULL").count() <= most
     plan = QUERIES["g11_edges"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan and "l_orderkey" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_words_asked_for_go_to_tasks_once(spark, monkeypatch, most):
+    """No text comes with the list of its user's words, and where these are too many all words stay, with the same scores."""
+    from palimpsest.operators import recall
+
+    monkeypatch.setattr(recall, "BROADCAST_BYTES", most)
+    rows = [(f"m{i:02}", "u" if i % 3 else "w", None if i == 7 else "" if i == 8 else f"alpha beta{'s' * (i % 4)} x{i % 5} " * (i % 6 + 1)) for i in range(40)] + [("z", "v", "alpha"), ("n", None, "alpha")]
+    memories = spark.createDataFrame(rows, "id string, user_id string, content string")
+    queries = spark.createDataFrame([("q", "u", "alpha beta x3", 2), ("r", "w", "beta betass x1 x1", 2), ("s", "w", None, 2), ("t", "x", "alpha", 2)], "query_id string, user_id string, text string, top_k int")
+    index = recall.term_index(queries, memories)
+    python = [x for x in index._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in x]
+    assert len(python) == 1 and "wanted" not in python[0]
+    found = {r["id"]: (r["length"], {t["term"]: t["tf"] for t in r["terms"]}) for r in index.collect()}
+    assert set(found) == {r[0] for r in rows if r[1] in ("u", "w")} and found["m07"] == found["m08"] == (0, {})
+    assert found["m13"][0] == 6 and {k: v for k, v in found["m13"][1].items() if k in ("alpha", "beta", "x3")} == {"alpha": 2, "beta": 2, "x3": 2}
+    monkeypatch.undo()
+    want = recall.bm25_recall(queries, memories).collect()
+    assert sorted(map(tuple, recall.bm25_recall(queries, memories, docs=index).collect())) == sorted(map(tuple, want)) and len(want) == 12
